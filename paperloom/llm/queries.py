@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, neardup_vectors
+from . import ann, bpe, neardup_vectors, packing
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +23,17 @@ def op1_rotated_code_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(ann.build_index(rows), rows.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op2_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op5_subspace_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup_vectors.link(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
-QUERIES = {f.__name__: f for f in (op1_rotated_code_search, op5_subspace_neardup)}
+def op9_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), end=2, capacity=1024)
+
+
+QUERIES = {f.__name__: f for f in (op1_rotated_code_search, op2_pair_index_bpe, op5_subspace_neardup, op9_histogram_packing)}
 ORACLES: dict[str, str] = {}
