@@ -75,15 +75,14 @@ def pieces(df: DataFrame, vocabulary: str, end: int, capacity: int, key: str = "
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, ids in enumerate(bpe.encode_all(rows_of(batch, "text"))):
-                ids.append(end)
-                data = np.array(ids, "<u4")
+                ids = np.append(ids, np.uint32(end))
                 cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
                 for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     row.append(i)
                     piece.append(k)
                     start.append(lo)
                     length.append(hi - lo)
-                    crc.append(zlib.crc32(data[lo:hi].tobytes()))
+                    crc.append(zlib.crc32(ids[lo:hi].tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [batch["key"].take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 names=[key, "piece", "start", "length", "ids_crc32"],

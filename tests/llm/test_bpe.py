@@ -15,6 +15,7 @@ HARD = ["", " ", "a", "aaaaaaaaaaa" * 50, "ab" * 3000, "\n\n \t x  ", "<|endofte
 def same(texts):
     for text, ids in zip(texts, OURS.encode_block(texts), strict=True):
         want = THEIRS.encode(text, add_special_tokens=False).ids
+        ids = ids.tolist()
         assert ids == want, text
         assert OURS.decode(ids) == THEIRS.decode(want, skip_special_tokens=False)
 
@@ -34,7 +35,7 @@ def test_random_texts(texts):
 
 
 def test_cut_decoding_replaces_broken_bytes():
-    ids = next(OURS.encode_block(["日本🙂"]))
+    ids = next(OURS.encode_block(["日本🙂"])).tolist()
     for i in range(len(ids)):
         assert OURS.decode(ids[: i + 1]) == THEIRS.decode(ids[: i + 1], skip_special_tokens=False)
 
