@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, neardup_vectors, packing, sharding, urlfilter
+from . import ann, bpe, chat, jaccard, neardup_vectors, packing, sharding, urlfilter
 
 
 def vocabulary() -> str:
@@ -39,6 +39,10 @@ def op5_subspace_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup_vectors.link(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op6_skipping_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"), width=5, percent=80)
+
+
 def op7_typed_parts_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "<|im_end|><|im_start|>assistant ok"
@@ -57,7 +61,7 @@ def op10_two_pass_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_rotated_code_search, op2_pair_index_bpe, op3_reversed_host_rules, op5_subspace_neardup, op7_typed_parts_chat,
+        op1_rotated_code_search, op2_pair_index_bpe, op3_reversed_host_rules, op5_subspace_neardup, op6_skipping_jaccard_join, op7_typed_parts_chat,
         op9_histogram_packing, op10_two_pass_shards,
     )
 }
