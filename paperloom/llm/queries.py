@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, jaccard, neardup_vectors, packing, sharding, urlfilter
+from . import ann, bpe, chat, jaccard, neardup_vectors, packing, pii, sharding, urlfilter
 
 
 def vocabulary() -> str:
@@ -50,6 +50,10 @@ def op7_typed_parts_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(chat.text_messages(rows.unionByName(probe))))
 
 
+def op8_offset_preserving_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.annotate(table(spark, sf_dir, "documents"))
+
+
 def op9_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), end=2, capacity=1024)
 
@@ -62,7 +66,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_rotated_code_search, op2_pair_index_bpe, op3_reversed_host_rules, op5_subspace_neardup, op6_skipping_jaccard_join, op7_typed_parts_chat,
-        op9_histogram_packing, op10_two_pass_shards,
+        op8_offset_preserving_pii, op9_histogram_packing, op10_two_pass_shards,
     )
 }
 
