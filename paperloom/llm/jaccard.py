@@ -236,3 +236,13 @@ def components(df: DataFrame, width: int = 5, percent: int = 80, key: str = "doc
     cls = cls.join(comps, "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("component"))
     out = info.drop("mins").join(cls, ["n", "d1", "d2"], "left")
     return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def keep_first(df: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose doc_id is their component's smallest, columns unchanged; see `components`.
+
+    Rows that repeat a doc_id stay together, rows with a null doc_id all stay. Only ids to drop are joined back.
+    """
+    found = components(df, width, percent, key, text)
+    gone = materialize(found.where(F.col(key) != F.col("component_id")).select(key).distinct(), "dropped")
+    return df.join(small(gone), key, "left_anti").select(df.columns)

@@ -92,7 +92,7 @@ def pieces(df: DataFrame, vocabulary: str, end: int, capacity: int, key: str = "
     return rows.mapInArrow(run, f"`{key}` {rows.schema['key'].dataType.simpleString()}, {PIECES}")
 
 
-def assign(cut: DataFrame, capacity: int, key: str = "doc_id", slice_rows: int = 50_000) -> DataFrame:
+def assign(cut: DataFrame, capacity: int, key: str = "doc_id", slice_rows: int = 1_000) -> DataFrame:
     """``cut`` (key, piece, start, length, ids_crc32) with sequence_id and offset.
 
     Only the histogram (at most ``capacity`` rows) comes to the driver, and only the plan, bounded by the capacity, goes

@@ -14,7 +14,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import rows_of
@@ -258,3 +258,10 @@ def scrub(df: DataFrame, text: str = "text") -> DataFrame:
                 yield part.set_column(at, part.schema.field(at).with_type(pa.string()), pa.array(clean, pa.string()))
 
     return df.mapInArrow(run, df.schema)
+
+
+def recounted(df: DataFrame, text: str = "text", count: str = "n_chars") -> dict[str, Column]:
+    """The column that keeps ``count`` equal to the text's length after `scrub`, if ``df`` has it; null texts keep theirs."""
+    if count not in df.columns:
+        return {}
+    return {count: F.coalesce(F.length(text), F.col(count)).cast(df.schema[count].dataType)}

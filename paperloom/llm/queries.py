@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, jaccard, neardup_vectors, packing, pii, sharding, urlfilter
+from . import ann, bpe, chat, jaccard, langid, neardup_vectors, packing, pii, sharding, urlfilter
 
 
 def vocabulary() -> str:
@@ -35,6 +35,10 @@ def op3_reversed_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op4_fused_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.label_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_subspace_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup_vectors.link(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
@@ -65,7 +69,7 @@ def op10_two_pass_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_rotated_code_search, op2_pair_index_bpe, op3_reversed_host_rules, op5_subspace_neardup, op6_skipping_jaccard_join, op7_typed_parts_chat,
+        op1_rotated_code_search, op2_pair_index_bpe, op3_reversed_host_rules, op4_fused_language_id, op5_subspace_neardup, op6_skipping_jaccard_join, op7_typed_parts_chat,
         op8_offset_preserving_pii, op9_histogram_packing, op10_two_pass_shards,
     )
 }
