@@ -6,6 +6,8 @@ After Wang et al., "Leveraging Set Relations in Exact Set Similarity Join" (VLDB
   leader's component, and pairs inside one component are derived, never compared again.
 * Index level: prefixes go into inverted lists ordered by size; lists are skipped whole when they lie within one
   component, and blocks of a list are skipped by size and by position when no pair across them can reach the threshold.
+  Pairs left are tested on parity bitmaps (Sandes et al., "Bitmap filter", 2017): sets differ in at least as many
+  tokens as their bitmaps in bits, so no pair that reaches the threshold is lost.
 
 Prefix order: first tokens that no other component's index holds, then tokens by rising document frequency.
 """
@@ -28,7 +30,8 @@ from .shingles import Shingler, mix, overlap
 #: Share of the hash space whose tokens are indexed by frequency; larger ones only fill prefixes up, in hash order.
 REGION = 0.30
 CUT = int(REGION * 2**63)
-PERMUTATIONS = 4
+PERMUTATIONS = 8
+BITS = 512
 
 
 def prefix_length(n: np.ndarray | int, percent: int):
@@ -42,25 +45,27 @@ def needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, d1, d2, mins): size, two content digests and minimum hashes of each document's set."""
+    """(doc_id, n, d1, d2, mins, bits): size, content digests, minimum hashes and parity bitmap of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Shingler(width)
         odd = [np.uint64(x) for x in np.random.default_rng(9).integers(1, 2**62, PERMUTATIONS) * 2 + 1]
         for batch in batches:
-            n, d1, d2, mins = [], [], [], []
+            n, d1, d2, mins, bits = [], [], [], [], []
             for text in rows_of(batch, "text"):
                 s = cut.shingles(text)
                 n.append(len(s))
                 d1.append(int(s.sum().view(np.int64)) if len(s) else 0)
                 d2.append(int(mix(s).sum().view(np.int64)) if len(s) else 0)
                 mins.append([int((s * m).min() >> np.uint64(1)) for m in odd] if len(s) else [])
+                odds = np.bincount((s >> np.uint64(20) & np.uint64(BITS - 1)).view(np.int64), minlength=BITS) & 1
+                bits.append(np.packbits(odds.astype(np.uint8)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(mins, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "d1", "d2", "mins"],
+                [batch["doc_id"], pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(mins, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                names=["doc_id", "n", "d1", "d2", "mins", "bits"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, mins array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, mins array<long>, bits array<long>")
 
 
 def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
@@ -126,7 +131,7 @@ def index(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _candidates(percent: int, block: int = 128, flush: int = 1_000_000):
-    """Pairs across components from lists (t, node, comp, n, pos) sorted by token and size, with their number of common prefix tokens.
+    """Pairs across components from lists (t, node, comp, n, pos, bits) sorted by token and size, with their number of common prefix tokens.
 
     ``pos`` is -1 where unknown. A list is cut into blocks; a pair of blocks is skipped when its sizes or its positions
     rule every pair out.
@@ -148,6 +153,7 @@ def _candidates(percent: int, block: int = 128, flush: int = 1_000_000):
             node, comp, n, pos = (group[c].to_numpy().astype(np.int64) for c in ("node", "comp", "n", "pos"))
             if len(node) < 2 or (comp == comp[0]).all():
                 continue
+            bits = group["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
             cuts = range(0, len(node), block)
             spans = [(n[lo : lo + block], pos[lo : lo + block]) for lo in cuts]
             for i, lo in enumerate(cuts):
@@ -166,6 +172,8 @@ def _candidates(percent: int, block: int = 128, flush: int = 1_000_000):
                     most = np.minimum(pos[x], pos[y]) + 1 + np.minimum(n[x] - pos[x], n[y] - pos[y]) - 1
                     keep = (most >= need) | (pos[x] < 0) | (pos[y] < 0)
                     x, y, need = x[keep], y[keep], need[keep]
+                    keep = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= n[x] + n[y] - 2 * need
+                    x, y, need = x[keep], y[keep], need[keep]
                     rest = np.maximum(n[x] - prefix_length(n[x], percent), n[y] - prefix_length(n[y], percent))
                     swap = node[x] > node[y]
                     a, b = np.where(swap, y, x), np.where(swap, x, y)
@@ -190,14 +198,20 @@ def components(df: DataFrame, width: int = 5, percent: int = 80, key: str = "doc
     """
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     info = materialize(profiles(docs, width), "profiles")
-    cls = info.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("mins").alias("mins"))
+    cls = info.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("mins").alias("mins"), F.first("bits").alias("bits"))
     cls = materialize(cls.where("node is not null"), "classes")
 
-    # Answer level: near copies meet under a common minimum and are compared with the smallest id there only.
+    # Answer level: near copies meet under common minima and are compared with the most central of each meeting only, the
+    # one whose minima most others share.
     meet = cls.select("node", "n", F.posexplode("mins").alias("j", "low"))
-    lead = meet.groupBy("j", "low").agg(F.min(F.struct("node", "n")).alias("lead"), F.count("*").alias("k")).where("k > 1")
-    stars = meet.join(lead, ["j", "low"]).where("lead.node < node and 100 * least(n, lead.n) >= %d * greatest(n, lead.n)" % percent)
-    stars = materialize(stars.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    size = meet.groupBy("j", "low").agg(F.count("*").alias("k")).where("k > 1")
+    meet = materialize(meet.join(size, ["j", "low"]), "meetings")
+    central = meet.groupBy("node").agg(F.sum("k").alias("score"))
+    meet = meet.join(central, "node")
+    lead = meet.groupBy("j", "low").agg(F.max(F.struct("score", (-F.col("node")).alias("minus"), "n")).alias("lead"))
+    lead = lead.select("j", "low", (-F.col("lead.minus")).alias("lead"), F.col("lead.n").alias("m"))
+    stars = meet.join(lead, ["j", "low"]).where("lead <> node and 100 * least(n, m) >= %d * greatest(n, m)" % percent)
+    stars = materialize(stars.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct(), "stars")
     links = materialize(verify(stars, docs, width, percent), "star-links")
     comps = materialize(connected_components(links), "star-components")
 
@@ -217,7 +231,7 @@ def components(df: DataFrame, width: int = 5, percent: int = 80, key: str = "doc
     placed = shared.withColumn("rank", F.row_number().over(order)).withColumn("of", F.count("*").over(Window.partitionBy("node", in_region)))
     pos = F.when(in_region, F.col("r") - F.col("of") + F.col("rank") - 1).otherwise(-1).cast("int")
     placed = placed.withColumn("pos", pos).where(F.col("pos") < F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    lists = placed.select("t", "node", "comp", "n", "pos").repartition("t").sortWithinPartitions("t", "n", "node")
+    lists = placed.select("t", "node", "comp", "n", "pos").join(cls.select("node", "bits"), "node").repartition("t").sortWithinPartitions("t", "n", "node")
     pairs = lists.mapInArrow(_candidates(percent), "a long, b long, ca long, cb long, need long, c long")
     pairs = pairs.groupBy("a", "b", "ca", "cb").agg(F.max("need").alias("need"), F.sum("c").alias("c")).where("c >= need")
     pairs = materialize(pairs, "pairs")
@@ -234,7 +248,7 @@ def components(df: DataFrame, width: int = 5, percent: int = 80, key: str = "doc
         comps = connected_components(links.unionByName(verify(rest, docs, width, percent)))
 
     cls = cls.join(comps, "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("component"))
-    out = info.drop("mins").join(cls, ["n", "d1", "d2"], "left")
+    out = info.drop("mins", "bits").join(cls, ["n", "d1", "d2"], "left")
     return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
