@@ -83,10 +83,24 @@ def semantic_chunks(blocks: DataFrame, size: int = 2000) -> DataFrame:
 
 
 def fallback_chunks(texts: DataFrame, size: int, overlap: int) -> DataFrame:
-    """(doc_id, index, text, tokens, start_char, end_char): oversize paragraphs cut by characters, the rest packed in order."""
-    cut = F.flatten(F.transform(F.split("text", "\n\n"), lambda p: fixed_cuts(p, size, overlap)))
-    rows = texts.select("doc_id", F.posexplode(greedy_pack(F.array_join(cut, "\n\n"), size)).alias("k", "c")).select("doc_id", "k", "c.text", "c.tokens")
-    return numbered(rows, ["k"]).select("doc_id", "index", "text", "tokens", "start_char", "end_char")
+    """(doc_id, index, text, tokens, start_char, end_char) of plain texts.
+
+    Oversize paragraphs are cut by characters; the rest is packed while the joined buffer stays within ``size`` tokens, and
+    a full buffer's tail of ``overlap`` tokens opens the next.
+    """
+    state = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("buf"))
+
+    def step(a: Column, p: Column) -> Column:
+        cuts = fixed_cuts(p, size, overlap)
+        out, rest = F.concat(a["out"], F.slice(cuts, 1, F.size(cuts) - 1)), F.element_at(cuts, -1)
+        joined = F.when(a["buf"] == "", rest).otherwise(F.concat(a["buf"], F.lit("\n\n"), rest))
+        carried = T.strip(F.concat(T.tail(a["buf"], overlap), F.lit("\n\n"), rest)) if overlap else rest
+        full = (T.token_count(joined) > size) & (a["buf"] != "")
+        return F.struct(F.when(full, F.array_append(out, a["buf"])).otherwise(out).alias("out"), F.when(full, carried).otherwise(joined).alias("buf"))
+
+    last = lambda a: F.when(T.strip(a["buf"]) != "", F.array_append(a["out"], T.strip(a["buf"]))).otherwise(a["out"])
+    rows = texts.select("doc_id", F.posexplode(F.aggregate(F.split("text", "\n\n"), state, step, last)).alias("k", "text"))
+    return numbered(rows.withColumn("tokens", T.token_count(F.col("text"))), ["k"]).select("doc_id", "index", "text", "tokens", "start_char", "end_char")
 
 
 def merge_tiny(chunks: DataFrame, least: int = 50) -> DataFrame:
@@ -218,7 +232,7 @@ def pelt(x: np.ndarray, penalty: float, least: int = 5) -> list[int]:
 def change_points(units: DataFrame, features: list[str], max_segments: int = 100) -> DataFrame:
     """(doc_id, seg_no, text, n_units): runs of units (doc_id, unit_no, text, features) between changes of their features."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("unit_no")
         x, n = pdf[features].to_numpy(float), len(pdf)
         ends = [n]

@@ -1,6 +1,6 @@
 """All registered queries and oracles."""
 
-from . import queries_blocks
+from . import queries_blocks, queries_rest
 
-QUERIES = {**queries_blocks.QUERIES}
-ORACLES = {**queries_blocks.ORACLES}
+QUERIES = {**queries_blocks.QUERIES, **queries_rest.QUERIES}
+ORACLES = {**queries_blocks.ORACLES, **queries_rest.ORACLES}
