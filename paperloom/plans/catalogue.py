@@ -1,6 +1,6 @@
 """All registered queries and oracles."""
 
-from . import queries_blocks, queries_rest
+from . import queries_blocks, queries_more, queries_rest
 
-QUERIES = {**queries_blocks.QUERIES, **queries_rest.QUERIES}
-ORACLES = {**queries_blocks.ORACLES, **queries_rest.ORACLES}
+QUERIES = {**queries_blocks.QUERIES, **queries_rest.QUERIES, **queries_more.QUERIES}
+ORACLES = {**queries_blocks.ORACLES, **queries_rest.ORACLES, **queries_more.ORACLES}
