@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
+
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -45,7 +47,7 @@ class ByteBPE:
     bounds the number of pieces remembered between blocks; it changes speed only.
     """
 
-    def __init__(self, spec: bytes, cache: int = 600_000):
+    def __init__(self, spec: bytes, cache: int = 200_000):
         spec = json.loads(spec)
         alphabet = byte_alphabet()
         vocab = spec["model"]["vocab"]
@@ -176,7 +178,7 @@ class ByteBPE:
             out = [b"".join(map(memo.__getitem__, x)) if isinstance(x, list) else np.uint32(x).tobytes() for x in segments]
             yield np.frombuffer(out[0] if len(out) == 1 else b"".join(out), "<u4")
 
-    def encode_all(self, texts: Iterator[str | None], block: int = 8_000_000) -> Iterator[np.ndarray]:
+    def encode_all(self, texts: Iterator[str | None], block: int = 2_000_000) -> Iterator[np.ndarray]:
         """The ids of each text; blocks hold at most ``block`` characters, or one longer text. Null counts as empty."""
         held, size = [], 0
         for text in texts:
@@ -230,4 +232,4 @@ def round_trip(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str =
 
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(rows).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

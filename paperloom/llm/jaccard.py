@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .bpe import rows_of
 from .graph import connected_components
 from .neardup_vectors import _groups
-from .scratch import materialize
+from .scratch import materialize, small_batches
 from .shingles import Shingler, mix, overlap
 
 #: Share of the hash space whose tokens are indexed by frequency; larger ones only fill prefixes up, in hash order.
@@ -65,7 +65,7 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
                 names=["doc_id", "n", "d1", "d2", "mins", "bits"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, mins array<long>, bits array<long>")
+    return small_batches(docs).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, mins array<long>, bits array<long>")
 
 
 def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
@@ -96,7 +96,7 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    held = materialize(docs.join(small(ids), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, held binary"), "sets")
+    held = materialize(small_batches(docs.join(small(ids), "doc_id", "left_semi")).mapInArrow(sets, "doc_id long, held binary"), "sets")
     both = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("held").alias("x")), "a")
     both = both.join(held.select(F.col("doc_id").alias("b"), F.col("held").alias("y")), "b").select("a", "b", "x", "y")
     return both.mapInArrow(test, "a long, b long").distinct()
@@ -127,7 +127,7 @@ def index(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     names=["t", "node", "comp", "n", "r"],
                 )
 
-    return docs.mapInArrow(run, "t long, node long, comp long, n int, r int")
+    return small_batches(docs).mapInArrow(run, "t long, node long, comp long, n int, r int")
 
 
 def _candidates(percent: int, block: int = 128, flush: int = 1_000_000):

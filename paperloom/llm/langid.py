@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import rows_of
-from .scratch import materialize
+from .scratch import materialize, small_batches
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
@@ -71,7 +71,7 @@ def train(docs: DataFrame, per_language: int = 400, languages: int = 64) -> tupl
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(held[at])], names=["lang", "bucket", "n"])
 
     counts = np.full((BUCKETS, len(names) + 1), 0.05)
-    got = sample.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    got = small_batches(sample.select("text", "lang")).mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     column = np.array([names.index(x) for x in got["lang"].to_pylist()], np.int64)
     if len(column):
         counts[got["bucket"].to_numpy(), column] += got["n"].to_numpy()
@@ -97,7 +97,7 @@ def likelihoods(docs: DataFrame, logs: np.ndarray, temper: float) -> DataFrame:
                 out.append((total * temper).tolist() if n else None)
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), pa.array(out, pa.list_(pa.float64()))], names=[*rest, "ll"])
 
-    return docs.mapInArrow(score, "struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema if f.name != "text") + ", ll: array<double>>")
+    return small_batches(docs).mapInArrow(score, "struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema if f.name != "text") + ", ll: array<double>>")
 
 
 def softmax(logits: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import ByteBPE, read_vocabulary, rows_of
-from .scratch import materialize
+from .scratch import materialize, small_batches
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
 PLAN = "length long, low long, high long, per_bin long, first_bin long, at long"
@@ -89,7 +89,7 @@ def pieces(df: DataFrame, vocabulary: str, end: int, capacity: int, key: str = "
             )
 
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"`{key}` {rows.schema['key'].dataType.simpleString()}, {PIECES}")
+    return small_batches(rows).mapInArrow(run, f"`{key}` {rows.schema['key'].dataType.simpleString()}, {PIECES}")
 
 
 def assign(cut: DataFrame, capacity: int, key: str = "doc_id", slice_rows: int = 1_000) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import rows_of
+from .scratch import small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -240,7 +241,7 @@ def annotate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     schema = f"`{key}` {rows.schema['key'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
-    return rows.mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(run, schema)
 
 
 def scrub(df: DataFrame, text: str = "text") -> DataFrame:
@@ -257,7 +258,7 @@ def scrub(df: DataFrame, text: str = "text") -> DataFrame:
                     clean.append(redact(t, [*base, *disguised(t, base)]) if t else t)
                 yield part.set_column(at, part.schema.field(at).with_type(pa.string()), pa.array(clean, pa.string()))
 
-    return df.mapInArrow(run, df.schema)
+    return small_batches(df).mapInArrow(run, df.schema)
 
 
 def recounted(df: DataFrame, text: str = "text", count: str = "n_chars") -> dict[str, Column]:

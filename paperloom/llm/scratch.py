@@ -19,6 +19,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """``df`` itself, after capping the session's Arrow batches at ``rows`` rows: rows that hold whole texts are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name))
+    if not 0 < now <= rows:
+        df.sparkSession.conf.set(name, str(rows))
+    return df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
