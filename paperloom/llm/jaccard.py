@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .bpe import rows_of
 from .graph import connected_components
 from .neardup_vectors import _groups
-from .scratch import materialize, small_batches
+from .scratch import materialize, small, small_batches
 from .shingles import Shingler, mix, overlap
 
 #: Share of the hash space whose tokens are indexed by frequency; larger ones only fill prefixes up, in hash order.
@@ -68,11 +68,6 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
     return small_batches(docs).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, mins array<long>, bits array<long>")
 
 
-def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """``df`` marked for broadcast if it is counted to hold at most ``rows`` rows; else left to a shuffled join."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of document ids whose sets reach the threshold. Only texts that occur in a pair are read again."""
 

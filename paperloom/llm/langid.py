@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import rows_of
-from .scratch import materialize, small_batches
+from .scratch import materialize, small, small_batches
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
@@ -179,8 +179,6 @@ def label_documents(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language `identify` finds; columns stay. Only the rejected rows' marks are joined back."""
-    from .jaccard import small
-
     mark = F.xxhash64(*[F.col(c) for c in docs.columns])
     scored = identify(document_evidence(docs.withColumn("_mark", mark), "_mark"), docs.select("text", "lang"))
     gone = materialize(scored.where(~F.col("kept")).select("_mark").distinct(), "rejected")
