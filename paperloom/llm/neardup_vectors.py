@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .scratch import materialize
+from .scratch import materialize, small
 from .vectors import matrix, rotate, rotation, usable
 
+KEY_SCHEMA = "label string, dim int, block int, c0 int, c1 int"
 CELL_SCHEMA = "node long, mult long, label string, dim int, block int, c0 int, c1 int, embedding array<float>"
 
 
@@ -62,11 +63,13 @@ def link(df: DataFrame, threshold: float = 0.98, tile: int = 2000, label: str =
     rows = materialize(classes(df, label), "vectors")
     reps = rows.where("ok").groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.count("*").alias("mult"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
     reps = materialize(reps, "classes")
-    cells = reps.select("node", "mult", "label", F.size("embedding").alias("dim"), "embedding").mapInArrow(_deal(threshold), CELL_SCHEMA)
+    dense = reps.select("node", "mult", "label", F.size("embedding").alias("dim"), "embedding")
     key = F.xxhash64("label", "dim", "block", "c0", "c1")
-    cells = materialize(cells.withColumn("cell", key), "cells")
-    hot = cells.groupBy("cell").count().where(F.col("count") > tile).select("cell", F.ceil(F.col("count") / tile).cast("int").alias("n"))
-    dealt = cells.join(hot, "cell", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    # Vectors are dealt twice: for the cells' counts, which keep only keys, and for the comparison.
+    count = dense.mapInArrow(_deal(threshold, keys_only=True), KEY_SCHEMA).groupBy(key.alias("cell")).count()
+    hot = materialize(count.where(F.col("count") > tile).select("cell", F.ceil(F.col("count") / tile).cast("int").alias("n")), "hot-cells")
+    cells = dense.mapInArrow(_deal(threshold), CELL_SCHEMA).withColumn("cell", key)
+    dealt = cells.join(small(hot), "cell", "left").withColumn("n", F.coalesce("n", F.lit(1)))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(3)), F.col("n")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     dealt = dealt.withColumn("tile", F.xxhash64("cell", F.least("chunk", "other"), F.greatest("chunk", "other")))
@@ -82,8 +85,10 @@ def link(df: DataFrame, threshold: float = 0.98, tile: int = 2000, label: str =
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _deal(threshold: float):
-    """Every vector into the grid cells that its half reach touches, in every block."""
+def _deal(threshold: float, keys_only: bool = False):
+    """Every vector into the grid cells that its half reach touches, in every block; or only the cells, a row for each."""
+    names = KEY_SCHEMA if keys_only else CELL_SCHEMA
+    names = [c.split()[0] for c in names.split(", ")]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans: dict[int, Plan] = {}
@@ -103,11 +108,9 @@ def _deal(threshold: float):
                         for dx in (0, 1):
                             for dy in (0, 1):
                                 i = np.flatnonzero((lo[0] + dx <= hi[0]) & (lo[1] + dy <= hi[1]))
-                                rows = batch.take(pa.array(i))
-                                yield pa.RecordBatch.from_arrays(
-                                    [rows["node"], rows["mult"], rows["label"], rows["dim"], pa.array(np.full(len(i), b, np.int32)), pa.array(lo[0][i] + np.int32(dx)), pa.array(lo[1][i] + np.int32(dy)), rows["embedding"]],
-                                    names=["node", "mult", "label", "dim", "block", "c0", "c1", "embedding"],
-                                )
+                                rows = batch.select(["label", "dim"] if keys_only else batch.schema.names).take(pa.array(i))
+                                made = {"block": pa.array(np.full(len(i), b, np.int32)), "c0": pa.array(lo[0][i] + np.int32(dx)), "c1": pa.array(lo[1][i] + np.int32(dy))}
+                                yield pa.RecordBatch.from_arrays([made[c] if c in made else rows[c] for c in names], names=names)
 
     return deal
 
