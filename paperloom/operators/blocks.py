@@ -98,11 +98,18 @@ def classify(blocks: DataFrame) -> DataFrame:
 
 
 def merge_labels(blocks: DataFrame, labels: DataFrame) -> DataFrame:
-    """``blocks`` with the first external label (doc_id, page, text, type, confidence, pos) of equal page and trimmed text, if any."""
+    """``blocks`` (with is_heading) labelled by an external model's elements (doc_id, page, text, type, confidence, pos).
+
+    The first element of equal page and trimmed text gives layout_type and confidence, else "paragraph"; texts that the model
+    calls header or footer anywhere in the document are that, and headings stay headings. is_noise follows.
+    """
+    labels = labels.withColumn("_t", T.strip(F.col("text")))
     first = Window.partitionBy("doc_id", "page", "_t").orderBy("pos")
-    one = labels.withColumn("_t", T.strip(F.col("text"))).withColumn("_k", F.row_number().over(first)).where("_k = 1")
-    one = one.select("doc_id", "page", "_t", F.col("type").alias("label"), "confidence")
-    return blocks.withColumn("_t", T.strip(F.col("text"))).join(one, ["doc_id", "page", "_t"], "left").drop("_t")
+    one = labels.withColumn("_k", F.row_number().over(first)).where("_k = 1").select("doc_id", "page", "_t", F.col("type").alias("_label"), "confidence")
+    edge = labels.where(F.col("type").isin("header", "footer")).groupBy("doc_id", "_t").agg(F.min("type").alias("_edge"))
+    out = blocks.withColumn("_t", T.strip(F.col("text"))).join(one, ["doc_id", "page", "_t"], "left").join(edge, ["doc_id", "_t"], "left")
+    out = out.withColumn("layout_type", F.when(F.col("is_heading"), "heading").otherwise(F.coalesce("_edge", "_label", F.lit("paragraph"))))
+    return out.withColumn("is_noise", F.col("layout_type").isin("header", "footer", "page_number")).drop("_t", "_label", "_edge")
 
 
 def repeated_texts(blocks: DataFrame, ratio: float = 0.6) -> DataFrame:

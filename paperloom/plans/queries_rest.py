@@ -46,13 +46,18 @@ CLASS = O.CLASSIFIED
 # Joins
 
 
-@query(f"""WITH {O.BLOCKS}, labels2 AS (SELECT doc_id, page, text, CASE WHEN block_no % 2 = 0 THEN 'Title' ELSE 'NarrativeText' END AS type, 0.5 + (block_no % 5) / 10 AS confidence, block_no AS pos FROM blocks WHERE block_no % 3 <> 1),
-one AS (SELECT * FROM (SELECT *, {O.trim('text')} AS t, row_number() OVER (PARTITION BY doc_id, page, {O.trim('text')} ORDER BY pos) AS k FROM labels2) WHERE k = 1)
-SELECT b.doc_id, b.block_no, o.type AS label, round(o.confidence, 4) AS confidence FROM blocks b LEFT JOIN one o ON o.doc_id = b.doc_id AND o.page = b.page AND o.t = {O.trim('b.text')}""")
+EXTERNAL = "CASE WHEN block_no % 10 = 0 THEN 'header' WHEN block_no % 10 = 4 THEN 'footer' WHEN block_no % 2 = 0 THEN 'list_item' ELSE 'caption' END"
+
+
+@query(f"""WITH {O.BODY}, labels2 AS (SELECT doc_id, page, {O.trim('text')} AS t, {EXTERNAL} AS type, 0.5 + (block_no % 5) / 10 AS confidence, block_no AS pos FROM blocks WHERE block_no % 3 <> 1),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page, t ORDER BY pos) AS k FROM labels2) WHERE k = 1), edge AS (SELECT doc_id, t, min(type) AS edge FROM labels2 WHERE type IN ('header', 'footer') GROUP BY 1, 2),
+m AS (SELECT b.doc_id, b.block_no, CASE WHEN is_heading THEN 'heading' ELSE coalesce(edge, o.type, 'paragraph') END AS layout_type, round(o.confidence, 4) AS confidence FROM heads b
+  LEFT JOIN one o ON o.doc_id = b.doc_id AND o.page = b.page AND o.t = {O.trim('b.text')} LEFT JOIN edge e ON e.doc_id = b.doc_id AND e.t = {O.trim('b.text')})
+SELECT *, layout_type IN ('header', 'footer', 'page_number') AS is_noise FROM m""")
 def classified_merge(s, d):
-    b = blocks(s, d)
-    labels = b.where("block_no % 3 <> 1").select("doc_id", "page", "text", F.when(F.col("block_no") % 2 == 0, "Title").otherwise("NarrativeText").alias("type"), (0.5 + (F.col("block_no") % 5) / 10).alias("confidence"), F.col("block_no").alias("pos"))
-    return B.merge_labels(b, labels).select("doc_id", "block_no", "label", F.round("confidence", 4).alias("confidence"))
+    b = B.heading_by_font(blocks(s, d))
+    labels = b.where("block_no % 3 <> 1").select("doc_id", "page", "text", F.expr(EXTERNAL).alias("type"), (0.5 + (F.col("block_no") % 5) / 10).alias("confidence"), F.col("block_no").alias("pos"))
+    return B.merge_labels(b, labels).select("doc_id", "block_no", "layout_type", F.round("confidence", 4).alias("confidence"), "is_noise")
 
 
 def mixed_blocks(s, d):

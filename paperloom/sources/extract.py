@@ -20,8 +20,8 @@ ANNOTATIONS = (
     "movie widget screen printer_mark trap_net watermark 3d redact projection rich_media web_video"
 ).split()
 CATEGORIES = {
-    "Title": "heading", "Header": "header", "Footer": "footer", "NarrativeText": "paragraph", "ListItem": "list_item", "Table": "table", "Image": "image",
-    "FigureCaption": "caption", "PageNumber": "page_number", "Formula": "formula", "Address": "address", "UncategorizedText": "text",
+    "Title": "heading", "Header": "header", "Footer": "footer", "Table": "table", "Figure": "figure", "ListItem": "list_item", "Formula": "formula",
+    "PageBreak": "page_break", "FigureCaption": "caption", "TableCaption": "caption", "NarrativeText": "paragraph", "UncategorizedText": "text",
 }
 
 
@@ -119,7 +119,8 @@ def images(rows: DataFrame, key: str, cap: int = 20, max_pixels: int = 2_000_000
 
 
 def annotation_name(code: Column) -> Column:
-    return F.coalesce(F.try_element_at(F.array(*map(F.lit, ANNOTATIONS)), code + 1), F.lit("unknown")) if code is not None else code
+    """The name of an annotation code; unknown ones are "unknown"."""
+    return F.coalesce(F.try_element_at(F.array(*map(F.lit, ANNOTATIONS)), code + 1), F.lit("unknown"))
 
 
 def category(name: Column) -> Column:

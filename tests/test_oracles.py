@@ -1,4 +1,4 @@
-"""Every registered query of the reference's own operators against its DuckDB twin; those without one by their rows."""
+"""Every registered query outside llm against its DuckDB twin; those without one by their rows."""
 
 import oracle
 import pytest
