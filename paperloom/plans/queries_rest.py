@@ -149,16 +149,16 @@ def messages(s, d):
     return A.messages(A.table(s, d, "conversations"))
 
 
-@query(f"WITH {MSGS} SELECT session_id, seq FROM msgs WHERE session_id IN (SELECT session_id FROM sess WHERE updated_at < TIMESTAMP '2024-01-03')")
+@query(f"WITH {MSGS} SELECT session_id, seq FROM msgs WHERE session_id IN (SELECT session_id FROM sess WHERE updated_at < TIMESTAMP '2024-01-01 10:00:00')")
 def old_session_messages(s, d):
     m = messages(s, d)
-    return m.join(S.session_view(m).where("updated_at < timestamp'2024-01-03 00:00:00'"), "session_id", "left_semi").select("session_id", "seq")
+    return m.join(S.session_view(m).where("updated_at < timestamp'2024-01-01 10:00:00'"), "session_id", "left_semi").select("session_id", "seq")
 
 
-@query(f"WITH {MSGS} SELECT session_id, seq FROM msgs WHERE session_id NOT IN (SELECT session_id FROM sess WHERE updated_at < TIMESTAMP '2024-01-03')")
+@query(f"WITH {MSGS} SELECT session_id, seq FROM msgs WHERE session_id NOT IN (SELECT session_id FROM sess WHERE updated_at < TIMESTAMP '2024-01-01 10:00:00')")
 def recent_session_messages(s, d):
     m = messages(s, d)
-    return m.join(S.session_view(m).where("updated_at < timestamp'2024-01-03 00:00:00'"), "session_id", "left_anti").select("session_id", "seq")
+    return m.join(S.session_view(m).where("updated_at < timestamp'2024-01-01 10:00:00'"), "session_id", "left_anti").select("session_id", "seq")
 
 
 # Windows and folds
