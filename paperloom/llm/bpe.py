@@ -47,7 +47,7 @@ class ByteBPE:
     bounds the number of pieces remembered between blocks; it changes speed only.
     """
 
-    def __init__(self, spec: bytes, cache: int = 200_000):
+    def __init__(self, spec: bytes, cache: int = 400_000):
         spec = json.loads(spec)
         alphabet = byte_alphabet()
         vocab = spec["model"]["vocab"]
@@ -178,7 +178,7 @@ class ByteBPE:
             out = [b"".join(map(memo.__getitem__, x)) if isinstance(x, list) else np.uint32(x).tobytes() for x in segments]
             yield np.frombuffer(out[0] if len(out) == 1 else b"".join(out), "<u4")
 
-    def encode_all(self, texts: Iterator[str | None], block: int = 2_000_000) -> Iterator[np.ndarray]:
+    def encode_all(self, texts: Iterator[str | None], block: int = 4_000_000) -> Iterator[np.ndarray]:
         """The ids of each text; blocks hold at most ``block`` characters, or one longer text. Null counts as empty."""
         held, size = [], 0
         for text in texts:
@@ -208,6 +208,19 @@ def rows_of(batch: pa.RecordBatch, column: str, step: int = 256) -> Iterator[str
         yield from col.slice(lo, step).to_pylist()
 
 
+def joined(batches: Iterator[pa.RecordBatch], column: str, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches put together until ``column`` holds ``size`` bytes, so that short texts still fill an encoder's block."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += batch[column].nbytes
+        if total >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, total = [], 0
+    if held and sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def round_trip(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) of every row: its text encoded, and the ids decoded again.
 
@@ -222,7 +235,7 @@ def round_trip(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str =
         bpe = ByteBPE(sent.value)
         digits = [str(i) for i in range(bpe.size)]
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for batch in batches:
+        for batch in joined(batches, "text"):
             lists = (ids.tolist() for ids in bpe.encode_all(rows_of(batch, "text")))
             out = [(len(ids), sha(",".join(map(digits.__getitem__, ids))), sha(bpe.decode(ids))) for ids in lists]
             yield pa.RecordBatch.from_arrays(

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import ByteBPE, read_vocabulary, rows_of
+from .bpe import ByteBPE, joined, read_vocabulary, rows_of
 from .scratch import materialize, small_batches
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
@@ -72,7 +72,7 @@ def pieces(df: DataFrame, vocabulary: str, end: int, capacity: int, key: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBPE(sent.value)
-        for batch in batches:
+        for batch in joined(batches, "text"):
             row, piece, start, length, crc = [], [], [], [], []
             for i, ids in enumerate(bpe.encode_all(rows_of(batch, "text"))):
                 ids = np.append(ids, np.uint32(end))
