@@ -27,6 +27,11 @@ def _page():
     return Window.partitionBy("doc_id", "page")
 
 
+def by_document(blocks: DataFrame) -> DataFrame:
+    """``blocks`` hashed by document once: every window, aggregate and join on doc_id after it then needs no shuffle."""
+    return blocks.repartition("doc_id")
+
+
 def body_font(blocks: DataFrame) -> DataFrame:
     """(doc_id, body_size): the font size that most characters have, of sizes 7 to 30; ties to the first seen; 12 without any."""
     ok = (F.length(T.strip(F.col("text"))) > 1) & F.col("font_size").between(7, 30)
@@ -77,6 +82,7 @@ def without_edges(rows: DataFrame, edges: DataFrame, column: str = "text") -> Da
 
 def classify(blocks: DataFrame) -> DataFrame:
     """``blocks`` with layout_type, is_noise, is_heading and heading_level by text rules, page edges and fonts."""
+    blocks = by_document(blocks)
     base = list_items(heading_by_font(blocks))
     edges = frequent_edges(blocks, 0.5, trim=True, least_per_page=2)
     place = edges.groupBy("doc_id", F.col("text").alias("_t")).agg(F.max("place").alias("place"))

@@ -18,6 +18,7 @@ from .config import PipelineConfig
 
 def clean_text(blocks: DataFrame) -> DataFrame:
     """(doc_id, text): blocks without page furniture joined in order, hyphens and orphans repaired, notation rebuilt, boilerplate dropped."""
+    blocks = B.by_document(blocks)
     kept = B.without_edges(blocks, B.frequent_edges(blocks, 0.6, trim=False))
     text = kept.groupBy("doc_id").agg(C.ordered_text("block_no", "text", "\n").alias("text"))
     text = C.orphan_merge(text.withColumn("text", T.repair_hyphens(F.col("text"))))
