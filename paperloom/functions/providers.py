@@ -111,3 +111,18 @@ class Tools:
             shown = [r.asDict() for r in self.call(call["tool"], **call.get("arguments", {})).limit(rows).collect()]
             said += [{"role": "assistant", "content": answer}, {"role": "user", "content": json.dumps(shown, default=str)[:cut]}]
         return model.chat(said)
+
+
+def describe_images(images: DataFrame, describer: Callable[[bytes], str], key: str = "doc_id", cap: int = 10) -> DataFrame:
+    """``images`` (key, page, image_no, data binary) with description: the first ``cap`` a document by ``describer``, the rest a placeholder."""
+    from pyspark.sql import Window
+
+    k = F.row_number().over(Window.partitionBy(key).orderBy("page", "image_no"))
+    rows = images.withColumn("described", k <= cap)
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, description string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(description=[describer(bytes(d)) if ok else "[image]" for d, ok in zip(b["data"], b["described"], strict=True)])
+
+    return rows.mapInPandas(run, schema).drop("described")

@@ -59,3 +59,37 @@ def info_nce(batch: DataFrame, temperature: float = 0.05) -> DataFrame:
     rows = s.groupBy("namespace", "id").agg(F.max("s").alias("top"), F.collect_list("s").alias("all"), F.max(F.when(F.col("id") == F.col("other"), F.col("s"))).alias("own"))
     lse = F.col("top") + F.log(F.aggregate("all", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
     return rows.withColumn("l", lse - F.col("own")).groupBy("namespace").agg(F.when(F.count("*") < 2, 0.0).otherwise(F.round(F.avg("l"), 4)).alias("loss"))
+
+
+def noisy_copy(store: DataFrame, sigma: float = 0.01, seed: int = 3) -> DataFrame:
+    """``store`` with ``noisy``: each vector plus Gaussian noise that depends on id, position and seed only (Box-Muller on hashes)."""
+    u = lambda *k: (F.pmod(F.xxhash64("id", *k), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    noise = lambda i: F.sqrt(-2 * F.log(u(i, F.lit(2 * seed)))) * F.cos(u(i, F.lit(2 * seed + 1)) * 6.283185307179586)
+    return store.withColumn("noisy", F.transform("vec", lambda x, i: x + noise(i) * sigma))
+
+
+def condition_number(store: DataFrame, dim: int) -> DataFrame:
+    """(namespace, condition): ratio of the largest and smallest singular value of a namespace's vectors of length ``dim``.
+
+    Tasks add up ``dim`` x ``dim`` Gram matrices; a namespace's few matrices then meet, whatever its number of vectors.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def grams(batches):
+        total: dict[str, np.ndarray] = {}
+        for b in batches:
+            for ns, part in b.groupby("namespace"):
+                x = np.stack(part["vec"].to_numpy())
+                total[ns] = total.get(ns, 0) + x.T @ x
+        if total:
+            yield pd.DataFrame({"namespace": list(total), "gram": [g.ravel() for g in total.values()]})
+
+    def finish(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        eig = np.linalg.eigvalsh(np.sum(np.stack(pdf["gram"].to_numpy()), axis=0).reshape(dim, dim))
+        low = max(float(eig[0]), 0.0)
+        return pd.DataFrame({"namespace": [key[0]], "condition": [float(np.sqrt(eig[-1] / low)) if low > 0 else float("inf")]})
+
+    rows = store.where((F.size("vec") == dim) & F.col("namespace").isNotNull()).select("namespace", "vec")
+    partial = rows.mapInPandas(grams, "namespace string, gram array<double>")
+    return partial.groupBy("namespace").applyInPandas(finish, "namespace string, condition double")

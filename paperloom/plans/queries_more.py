@@ -295,3 +295,14 @@ def wasserstein_costs(s, d):
 
     l = lines(s, d).select("doc_id", "line_no", (F.length("line") / 500).alias("a"), (F.size(F.split("line", " ")) / 100).alias("b"))
     return l.groupBy("doc_id").applyInPandas(cost, "doc_id long, cost double")
+
+
+@query()
+def noisy_pairs(s, d):
+    """Vectors against their noisy copies: cosines stay near one."""
+    return V.noisy_copy(store(s, d)).select("id", F.round(T.cosine(F.col("vec"), F.col("noisy")), 4).alias("cosine"))
+
+
+@query()
+def condition_number(s, d):
+    return V.condition_number(store(s, d), 64)

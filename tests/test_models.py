@@ -234,3 +234,23 @@ def test_two_columns(spark):
     df = spark.createDataFrame(rows, "doc_id long, page int, block_no int, type string, x0 double, y0 double, x1 double, y1 double")
     assert [r.block_no for r in X.two_columns(df).orderBy("pos").collect()] == [0, 2, 1, 3]
     assert {r.block_no: r.row for r in X.row_groups(df).collect()} == {0: 0, 1: 0, 2: 1, 3: 1}
+
+
+def test_noise_and_condition(spark):
+    from paperloom.operators import retrieval as V
+
+    rng = np.random.default_rng(6)
+    rows = [("a", i, [float(x) for x in rng.normal(size=8)]) for i in range(200)] + [("b", i, [1.0] * 8) for i in range(5)]
+    df = spark.createDataFrame(rows, "namespace string, id long, vec array<double>").repartition(4)
+    x = np.array([r[2] for r in rows[:200]])
+    s = np.linalg.svd(x, compute_uv=False)
+    got = {r.namespace: r.condition for r in V.condition_number(df, 8).collect()}
+    assert got["a"] == pytest.approx(s[0] / s[-1], rel=1e-9) and got["b"] > 1e6
+    noise = np.array([np.array(r.noisy) - np.array(r.vec) for r in V.noisy_copy(df, 0.1).where("namespace = 'a'").collect()]).ravel()
+    assert abs(noise.mean()) < 0.02 and abs(noise.std() - 0.1) < 0.01
+
+
+def test_images_are_described_up_to_a_cap(spark):
+    df = spark.createDataFrame([(1, 0, i, bytearray(b"x" * i)) for i in range(12)], "doc_id int, page int, image_no int, data binary")
+    got = {r.image_no: r.description for r in P.describe_images(df, lambda b: f"{len(b)} bytes").collect()}
+    assert got[3] == "3 bytes" and got[9] == "9 bytes" and got[10] == got[11] == "[image]"
