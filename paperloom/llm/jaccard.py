@@ -128,6 +128,7 @@ def index(docs: DataFrame, width: int, percent: int) -> DataFrame:
 def _candidates(percent: int, block: int = 128, flush: int = 1_000_000):
     """Pairs across components from lists (t, node, comp, n, pos, bits) sorted by token and size, with their number of common prefix tokens.
 
+    A long list comes as tiles: one for each chunk of it, and one for each two chunks, in which only pairs across them count.
     ``pos`` is -1 where unknown. A list is cut into blocks; a pair of blocks is skipped when its sizes or its positions
     rule every pair out.
     """
@@ -144,8 +145,9 @@ def _candidates(percent: int, block: int = 128, flush: int = 1_000_000):
             count = np.diff(np.append(first, len(a)))
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[first], b[first], ca[first], cb[first], need[first], count)], names=["a", "b", "ca", "cb", "need", "c"])
 
-        for group in _groups(batches, ["t"]):
-            node, comp, n, pos = (group[c].to_numpy().astype(np.int64) for c in ("node", "comp", "n", "pos"))
+        for group in _groups(batches, ["tile", "t"]):
+            node, comp, n, pos, chunk = (group[c].to_numpy().astype(np.int64) for c in ("node", "comp", "n", "pos", "chunk"))
+            cross = bool(group["cross"][0].as_py())
             if len(node) < 2 or (comp == comp[0]).all():
                 continue
             bits = group["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
@@ -162,6 +164,8 @@ def _candidates(percent: int, block: int = 128, flush: int = 1_000_000):
                     x, y = np.nonzero(comp[lo : lo + block, None] != comp[None, j * block : (j + 1) * block])
                     x, y = x + lo, y + j * block
                     keep = (x < y) & (100 * n[x] >= percent * n[y])
+                    if cross:
+                        keep &= chunk[x] != chunk[y]
                     x, y = x[keep], y[keep]
                     need = needed(n[x], n[y], percent)
                     most = np.minimum(pos[x], pos[y]) + 1 + np.minimum(n[x] - pos[x], n[y] - pos[y]) - 1
@@ -183,13 +187,14 @@ def _candidates(percent: int, block: int = 128, flush: int = 1_000_000):
     return run
 
 
-def components(df: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+def components(df: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", tile: int = 10_000) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of ``df``.
 
     Two documents link when 100 * intersection >= ``percent`` * union of their shingle sets; component_id is the smallest
     doc_id reachable by links. Null, empty and wordless texts have an empty set and link with nothing. Rows that repeat a
     doc_id share its links; a null doc_id takes its class's component, and null if it has none. Other columns are ignored.
-    Copies are never expanded into pairs, and no list of documents comes to the driver.
+    Copies are never expanded into pairs, and no list of documents comes to the driver. Lists of over ``tile`` documents are
+    dealt as pairs of chunks, so a task holds two chunks at most.
     """
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     info = materialize(profiles(docs, width), "profiles")
@@ -226,7 +231,10 @@ def components(df: DataFrame, width: int = 5, percent: int = 80, key: str = "doc
     placed = shared.withColumn("rank", F.row_number().over(order)).withColumn("of", F.count("*").over(Window.partitionBy("node", in_region)))
     pos = F.when(in_region, F.col("r") - F.col("of") + F.col("rank") - 1).otherwise(-1).cast("int")
     placed = placed.withColumn("pos", pos).where(F.col("pos") < F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    lists = placed.select("t", "node", "comp", "n", "pos").join(cls.select("node", "bits"), "node").repartition("t").sortWithinPartitions("t", "n", "node")
+    lists = placed.select("t", "node", "comp", "n", "pos", F.ceil(F.col("df") / tile).cast("int").alias("k")).join(cls.select("node", "bits"), "node")
+    lists = lists.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(7)), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    lists = lists.withColumn("tile", F.xxhash64("t", F.least("chunk", "other"), F.greatest("chunk", "other"))).withColumn("cross", F.col("chunk") != F.col("other"))
+    lists = lists.drop("k", "other").repartition("tile").sortWithinPartitions("tile", "t", "n", "node")
     pairs = lists.mapInArrow(_candidates(percent), "a long, b long, ca long, cb long, need long, c long")
     pairs = pairs.groupBy("a", "b", "ca", "cb").agg(F.max("need").alias("need"), F.sum("c").alias("c")).where("c >= need")
     pairs = materialize(pairs, "pairs")

@@ -50,7 +50,8 @@ def test_components_match_brute_force(spark):
     for seed in (1, 2):
         rows = corpus(seed)
         df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, component_id string").repartition(5)
-        assert {tuple(r) for r in jaccard.components(df).collect()} == brute(rows)
+        for tile in (10_000, 6):
+            assert {tuple(r) for r in jaccard.components(df, tile=tile).collect()} == brute(rows)
 
 
 def test_low_region_still_exact(spark):
