@@ -40,6 +40,19 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Pieces(dict):
+    """Numbers pieces in order of arrival; ``fresh`` lists those that are new since it was last taken."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.fresh.append(piece)
+        self[piece] = at = len(self)
+        return at
+
+
 class ByteBPE:
     """Encoder and decoder of one byte-level BPE vocabulary in the tokenizers library's JSON form.
 
@@ -72,7 +85,7 @@ class ByteBPE:
         self.byte_rank = self.rank(np.repeat(self.byte_id, 256), np.tile(self.byte_id, 256)).astype(np.int32)
         self.words, self.latin_words = regex.compile(SPLIT), latin_split()
         self.names = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.memo: dict[str, bytes] = {}
+        self.pieces, self.ids_of = Pieces(), []
         self.cache = cache
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -155,27 +168,21 @@ class ByteBPE:
 
     def encode_block(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, in order; merges the block's new pieces together."""
-        split, memo = self.split, self.memo
-        if len(memo) > self.cache:
-            memo.clear()
-        parts: list[list[list[str] | int]] = []
-        fresh: set[str] = set()
+        if len(self.pieces) > self.cache:
+            self.pieces, self.ids_of = Pieces(), []
+        split, number = self.split, self.pieces.__getitem__
+        parts: list[list[list[int] | int]] = []
         for text in texts:
             segments = [text]
             if self.names and any(s in text for s in self.added):
                 segments = self.names.split(text)
-            parts.append([])
-            for s in segments:
-                if s in self.added:
-                    parts[-1].append(self.added[s])
-                else:
-                    parts[-1].append(words := split(s))
-                    fresh |= set(words).difference(memo)
-        if fresh:
-            new = list(fresh)
-            memo.update(zip(new, self.merge([w.encode() for w in new]), strict=True))
+            parts.append([self.added[s] if s in self.added else list(map(number, split(s))) for s in segments])
+        if self.pieces.fresh:
+            self.ids_of += self.merge([w.encode() for w in self.pieces.fresh])
+            self.pieces.fresh = []
+        ids_of = self.ids_of.__getitem__
         for segments in parts:
-            out = [b"".join(map(memo.__getitem__, x)) if isinstance(x, list) else np.uint32(x).tobytes() for x in segments]
+            out = [b"".join(map(ids_of, x)) if isinstance(x, list) else np.uint32(x).tobytes() for x in segments]
             yield np.frombuffer(out[0] if len(out) == 1 else b"".join(out), "<u4")
 
     def encode_all(self, texts: Iterator[str | None], block: int = 4_000_000) -> Iterator[np.ndarray]:
@@ -196,6 +203,22 @@ class ByteBPE:
         return b"".join(map(self.token.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def rank_encoder(bpe: ByteBPE):
+    """A function from a text to its ids in compiled code (tiktoken), or ``bpe``'s own where the vocabulary does not allow it.
+
+    It needs ids that follow the order of the merges, as byte-level vocabularies have them; the ids are then the ranks.
+    """
+    special = {s: i for s, i in bpe.added.items()}
+    ranks = {t: i for i, t in enumerate(bpe.token) if t and i not in special.values()}
+    ordered = len(ranks) == 256 + len(bpe.made) and (np.diff(bpe.made) > 0).all() and (np.sort(bpe.byte_id) == np.arange(256)).all()
+    if not ordered:
+        return lambda text: next(bpe.encode_block([text]))
+    import tiktoken
+
+    one = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: one.encode_to_numpy(text, allowed_special="all")
+
+
 def read_vocabulary(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import ByteBPE, joined, read_vocabulary, rows_of
+from .bpe import ByteBPE, rank_encoder, read_vocabulary, rows_of
 from .scratch import materialize, small_batches
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
@@ -71,11 +71,11 @@ def pieces(df: DataFrame, vocabulary: str, end: int, capacity: int, key: str = "
     sent = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBPE(sent.value)
-        for batch in joined(batches, "text"):
+        encode = rank_encoder(ByteBPE(sent.value))
+        for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(bpe.encode_all(rows_of(batch, "text"))):
-                ids = np.append(ids, np.uint32(end))
+            for i, text in enumerate(rows_of(batch, "text")):
+                ids = np.append(encode(text or ""), np.uint32(end))
                 cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
                 for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     row.append(i)

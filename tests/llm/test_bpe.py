@@ -34,6 +34,28 @@ def test_random_texts(texts):
     same(texts)
 
 
+RANKS = bpe.rank_encoder(OURS)
+
+
+def test_rank_encoder_on_hard_texts():
+    texts = [*HARD, " " * 300_000 + "x", "ab " * 100_000, "é日" * 50_000, *(f"a{chr(c)}b {chr(c)}{chr(c)} c" for c in range(0x3200) if not 0xD800 <= c < 0xE000)]
+    for text in texts:
+        assert RANKS(text).tolist() == next(OURS.encode_block([text])).tolist(), text[:50]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.text(max_size=80), st.text("abcdehinorst' .\n", max_size=120)))
+def test_rank_encoder_on_random_texts(text):
+    assert RANKS(text).tolist() == THEIRS.encode(text, add_special_tokens=False).ids
+
+
+def test_rank_encoder_on_documents():
+    import pyarrow.parquet as pq
+
+    for text in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist():
+        assert RANKS(text).tolist() == THEIRS.encode(text, add_special_tokens=False).ids
+
+
 def test_cut_decoding_replaces_broken_bytes():
     ids = next(OURS.encode_block(["日本🙂"])).tolist()
     for i in range(len(ids)):
