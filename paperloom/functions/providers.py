@@ -38,7 +38,7 @@ class HashProvider:
         return (v / n if n else v).tolist()
 
 
-PROVIDERS: dict[str, Callable[[], Provider]] = {"hash": HashProvider}
+PROVIDERS: dict[str, Callable[[], Provider]] = {"hash": HashProvider, "hash64": lambda: HashProvider(64)}
 
 
 def provider(name: str) -> Provider:

@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 
 
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
 
 
+def _cosine() -> Column:
+    """Of qvec and vec with their norms qn and vn at hand: the product over the shorter length; 0 if a norm is 0."""
+    dot = F.aggregate(F.zip_with("qvec", "vec", lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
+    both = F.col("qn") * F.col("vn")
+    return F.when(both == 0, F.lit(0.0)).otherwise(dot / F.nullif(both, F.lit(0.0)))
+
+
 def search(store: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 0.0, max_queries: int = 10_000) -> DataFrame:
     """(query_no, rank, id, score): per query the ``k`` entries of its namespace with the largest cosine, not below ``threshold``.
 
@@ -19,9 +25,10 @@ def search(store: DataFrame, queries: DataFrame, k: int = 5, threshold: float =
     larger one meets the store by namespace in a shuffled join. Scores are rounded to 4 places; ties go by rowid.
     """
     few = queries.count() <= max_queries
-    q = queries.withColumnRenamed("namespace", "qns")
+    q = queries.withColumnRenamed("namespace", "qns").withColumn("qn", norm(F.col("qvec")))
+    store = store.withColumn("vn", norm(F.col("vec")))
     on = (F.col("qns").isNull() | (F.col("qns") == F.col("namespace"))) if few else F.col("qns") == F.col("namespace")
-    hits = store.join(F.broadcast(q) if few else q, on).withColumn("score", T.cosine(F.col("qvec"), F.col("vec"))).where(F.col("score") >= threshold)
+    hits = store.join(F.broadcast(q) if few else q, on).withColumn("score", _cosine()).where(F.col("score") >= threshold)
     best = Window.partitionBy("query_no").orderBy(F.desc("score"), "rowid")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_no", "rank", "id", F.round("score", 4).alias("score"))
 

@@ -153,7 +153,7 @@ def json_props(s, d):
     return A.table(s, d, "events").select("event_id", T.json_from_text(text, "k int")["k"].alias("k"))
 
 
-NESTED = "replace(replace(substr(text, 1, 300), 'th', '('), 'on', ')')"
+NESTED = "replace(replace(text, 'th', '('), 'on', ')')"
 
 
 @query(f"""WITH c AS (SELECT doc_id, unnest(string_split(s, '')) AS ch, unnest(range(len(string_split(s, '')))) AS i FROM (SELECT doc_id, {NESTED} AS s FROM documents)),

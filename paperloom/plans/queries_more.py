@@ -181,16 +181,12 @@ def stable_id(s, d):
     return A.table(s, d, "documents").select("doc_id", F.substring(F.sha2(F.concat(F.col("doc_id").cast("string"), "source"), 256), 1, 12).alias("id"))
 
 
-SENT = "substr(text, 1, 120)"
-
-
-@query(f"""WITH c AS (SELECT doc_id, length({SENT}) AS n, unnest(string_split({SENT}, '')) AS ch, unnest(range(length({SENT}))) AS i FROM documents),
-b AS (SELECT doc_id, n, list_sort(list_distinct(coalesce(list(CAST(i AS INTEGER)) FILTER (ch IN ('.', '!', '?') AND i > 5 AND i < n - 5), []))) AS b FROM c GROUP BY 1, 2)
-SELECT doc_id, array_to_string(CASE WHEN len(b) > 0 THEN b ELSE [CAST(n AS INTEGER)] END, ',') AS breaks, CAST(coalesce(list_min(list_filter(CASE WHEN len(b) > 0 THEN b ELSE [CAST(n AS INTEGER)] END, lambda x: x > 60)), n) AS INTEGER) AS nearest FROM b""")
+@query(f"""WITH {O.LINES}, c AS (SELECT doc_id, line_no, length(line) AS n, unnest(string_split(line, '')) AS ch, unnest(range(length(line))) AS i FROM lines WHERE line <> ''),
+b AS (SELECT doc_id, line_no, n, list_sort(list_distinct(coalesce(list(CAST(i AS INTEGER)) FILTER (ch IN ('.', '!', '?') AND i > 5 AND i < n - 5), []))) AS b FROM c GROUP BY 1, 2, 3)
+SELECT doc_id, line_no, array_to_string(CASE WHEN len(b) > 0 THEN b ELSE [CAST(n AS INTEGER)] END, ',') AS breaks, CAST(coalesce(list_min(list_filter(CASE WHEN len(b) > 0 THEN b ELSE [CAST(n AS INTEGER)] END, lambda x: x > 60)), n) AS INTEGER) AS nearest FROM b""")
 def safe_breaks(s, d):
-    t = A.table(s, d, "documents").select("doc_id", F.expr(SENT).alias("t"))
-    t = t.withColumn("b", X.break_positions(F.col("t"), F.length("t")))
-    return t.select("doc_id", F.array_join(F.transform("b", lambda x: x.cast("string")), ",").alias("breaks"), X.nearest_break(F.col("b"), F.lit(60), F.length("t")).alias("nearest"))
+    t = lines(s, d).where("line <> ''").withColumn("b", X.break_positions(F.regexp_replace("line", "[()]", "_"), F.length("line")))
+    return t.select("doc_id", "line_no", F.array_join(F.transform("b", lambda x: x.cast("string")), ",").alias("breaks"), X.nearest_break(F.col("b"), F.lit(60), F.length("line")).alias("nearest"))
 
 
 @query(f"""WITH {O.LINES}, u AS (SELECT doc_id, line_no // 3 AS seg_no, length(line) / 500 AS a, len(string_split(line, ' ')) / 100 AS b FROM lines), g AS (SELECT doc_id, seg_no, count(*) AS n, (var_pop(a) + var_pop(b)) / 2 AS v FROM u GROUP BY 1, 2)
@@ -260,16 +256,15 @@ def projection_columns(s, d):
 
 @query()
 def query_expansion(s, d):
-    q = A.table(s, d, "benchmark").select(F.col("item_id").alias("base"), F.substring("text", 1, 60).alias("query"))
+    q = A.table(s, d, "benchmark").select(F.col("item_id").alias("base"), F.col("text").alias("query"))
     return P.expand(q).select("base", "query_no", "variant")
 
 
 @query()
 def retrieval_pipeline(s, d):
     """Chunks embedded, indexed and searched for the benchmark's passages."""
-    entries = api.load(C.semantic_chunks(B.classify(blocks(s, d)), 2000), "corpus")
-    q = A.table(s, d, "benchmark").where("item_id < 5").select(F.col("item_id").alias("base"), F.substring("text", 1, 60).alias("query"))
-    return api.chat_context(entries, q)
+    entries = api.load(C.semantic_chunks(B.classify(blocks(s, d)), 2000), "corpus", "hash64")
+    return api.chat_context(entries, A.table(s, d, "benchmark").select(F.col("item_id").alias("base"), F.col("text").alias("query")), "hash64")
 
 
 @query(f"WITH {O.BLOCKS}, {O.edges(0.6, False, 1)} SELECT doc_id, count(*) AS n FROM blocks b WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.doc_id = b.doc_id AND {O.trim('e.text')} = {O.trim('b.text')}) GROUP BY 1")

@@ -399,32 +399,32 @@ def asked(s, d, step: int):
 
 
 COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
-HITS = f"hits AS (SELECT a.vec_id AS query_no, b.vec_id AS id, b.label, {COS} AS score FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 25 = 0)"
+HITS = f"hits AS (SELECT a.vec_id AS query_no, b.vec_id AS id, b.label, {COS} AS score FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 100 = 0)"
 
 
 @query(f"WITH {HITS} SELECT query_no, CAST(rank AS INTEGER) AS rank, id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_no ORDER BY score DESC, id) AS rank FROM hits WHERE score >= 0.0) WHERE rank <= 5")
 def vector_topk(s, d):
-    return V.search(store(s, d), asked(s, d, 25), 5)
+    return V.search(store(s, d), asked(s, d, 100), 5)
 
 
 @query(f"WITH {HITS} SELECT query_no, id, round(score, 4) AS score FROM hits WHERE score >= 0.2")
 def vector_threshold(s, d):
-    return V.search(store(s, d), asked(s, d, 25), 10**9, threshold=0.2).drop("rank")
+    return V.search(store(s, d), asked(s, d, 100), 10**9, threshold=0.2).drop("rank")
 
 
-@query(f"SELECT a.vec_id AS query_no, b.vec_id AS id, round({COS}, 4) AS score FROM embeddings a, embeddings b WHERE a.vec_id IN (0, 50)")
+@query(f"SELECT a.vec_id AS query_no, b.vec_id AS id, round({COS}, 4) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND {COS} >= 0.25")
 def query_vector_cross(s, d):
-    q = asked(s, d, 50).where("query_no in (0, 50)").withColumn("namespace", F.lit(None).cast("string"))
-    return V.search(store(s, d), q, 10**9, threshold=-1.1).drop("rank")
+    q = asked(s, d, 100).withColumn("namespace", F.lit(None).cast("string"))
+    return V.search(store(s, d), q, 10**9, threshold=0.25).drop("rank")
 
 
-FUSED = f"""{HITS}, top AS (SELECT query_no // 100 AS base, query_no, row_number() OVER (PARTITION BY query_no ORDER BY score DESC, id) AS rank, id, round(score, 4) AS score FROM hits WHERE score >= 0.0),
+FUSED = f"""{HITS}, top AS (SELECT query_no // 400 AS base, query_no, row_number() OVER (PARTITION BY query_no ORDER BY score DESC, id) AS rank, id, round(score, 4) AS score FROM hits WHERE score >= 0.0),
 one AS (SELECT *, row_number() OVER (PARTITION BY base, id ORDER BY query_no, rank) AS i FROM top WHERE rank <= 10),
 fused AS (SELECT base, row_number() OVER (PARTITION BY base ORDER BY query_no, rank) AS place, id, score FROM one WHERE i = 1)"""
 
 
 def variants(s, d):
-    return V.search(store(s, d), asked(s, d, 25), 10).withColumn("base", F.floor(F.col("query_no") / 100))
+    return V.search(store(s, d), asked(s, d, 100), 10).withColumn("base", F.floor(F.col("query_no") / 400))
 
 
 @query(f"WITH {FUSED} SELECT base, CAST(place AS INTEGER) AS place, id, score FROM fused WHERE place <= 5")
@@ -451,12 +451,13 @@ def anisotropy(s, d):
     return V.anisotropy(store(s, d))
 
 
-@query(f"""WITH b AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings), e AS (SELECT * FROM b WHERE k <= 16), p AS (SELECT a.label, a.vec_id AS id, b.vec_id AS other, {COS} / 0.05 AS s FROM e a JOIN e b ON a.label = b.label),
+@query(f"""WITH b AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings), e AS (SELECT * REPLACE (label || ':' || ((k - 1) // 16) AS label) FROM b), p AS (SELECT a.label, a.vec_id AS id, b.vec_id AS other, {COS} / 0.05 AS s FROM e a JOIN e b ON a.label = b.label),
 r AS (SELECT label, id, max(s) AS top, max(s) FILTER (id = other) AS own, list(s) AS l FROM p GROUP BY 1, 2), l AS (SELECT label, top + ln(list_sum(list_transform(l, lambda x: exp(x - top)))) - own AS loss FROM r)
 SELECT CAST(label AS VARCHAR) AS namespace, CASE WHEN count(*) < 2 THEN 0.0 ELSE round(avg(loss), 4) END AS loss FROM l GROUP BY 1""")
 def info_nce(s, d):
-    k = F.row_number().over(Window.partitionBy("namespace").orderBy("id"))
-    return V.info_nce(store(s, d).withColumn("k", k).where("k <= 16").drop("k"))
+    """Every row, in batches of 16 of a namespace."""
+    k = F.floor((F.row_number().over(Window.partitionBy("namespace").orderBy("id")) - 1) / 16)
+    return V.info_nce(store(s, d).withColumn("namespace", F.concat_ws(":", "namespace", k.cast("string"))))
 
 
 @query("SELECT CAST(label AS VARCHAR) AS namespace, count(*) AS n FROM embeddings GROUP BY 1")
@@ -577,10 +578,10 @@ def cache_antijoin(s, d):
     return S.misses(k, cache, F.expr(AS_OF), 86400)
 
 
-@query("SELECT conv_id, turn, string_agg(substr(text, 1, 40), ' ') OVER (PARTITION BY conv_id ORDER BY turn) AS so_far FROM conversations")
+@query("SELECT conv_id, turn, string_agg(text, ' ') OVER (PARTITION BY conv_id ORDER BY turn) AS so_far FROM conversations")
 def token_stream_prefix(s, d):
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return A.table(s, d, "conversations").select("conv_id", "turn", F.array_join(F.collect_list(F.substring("text", 1, 40)).over(w), " ").alias("so_far"))
+    return A.table(s, d, "conversations").select("conv_id", "turn", F.array_join(F.collect_list("text").over(w), " ").alias("so_far"))
 
 
 @query(f"WITH {JOBS} SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event, count(*) AS n, round(sum(value), 4) AS total FROM je GROUP BY 1, 2")
