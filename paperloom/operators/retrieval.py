@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
 
@@ -18,17 +19,30 @@ def _cosine() -> Column:
     return F.when(both == 0, F.lit(0.0)).otherwise(dot / F.nullif(both, F.lit(0.0)))
 
 
+def _blocks(queries: DataFrame, size: int) -> list[DataFrame]:
+    """``queries`` in parts of at most ``size`` rows: dealt by a hash, and a part that came out larger is cut by row number."""
+    n = queries.count()
+    if n <= size:
+        return [queries]
+    parts = -(-2 * n // size)
+    mark = F.xxhash64("query_no", "qns", "qvec")
+    order = Window.partitionBy("part").orderBy("mark", "query_no", "qns", "qvec")
+    dealt = queries.withColumn("mark", mark).withColumn("part", F.pmod("mark", F.lit(parts))).withColumn("cut", F.floor((F.row_number().over(order) - 1) / size))
+    found = dealt.select("part", "cut").distinct().orderBy("part", "cut").collect()
+    return [dealt.where((F.col("part") == r["part"]) & (F.col("cut") == r["cut"])).drop("mark", "part", "cut") for r in found]
+
+
 def search(store: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 0.0, max_queries: int = 10_000) -> DataFrame:
     """(query_no, rank, id, score): per query the ``k`` entries of its namespace with the largest cosine, not below ``threshold``.
 
-    ``queries`` (query_no, namespace or null for all, qvec) is a stated, counted set: up to ``max_queries`` it is broadcast, and a
-    larger one meets the store by namespace in a shuffled join. Scores are rounded to 4 places; ties go by rowid.
+    ``queries`` (query_no, namespace or null for all, qvec) is a stated, counted set, broadcast in blocks of at most ``max_queries``
+    under one and the same condition. Scores are rounded to 4 places; ties go by rowid.
     """
-    few = queries.count() <= max_queries
     q = queries.withColumnRenamed("namespace", "qns").withColumn("qn", norm(F.col("qvec")))
     store = store.withColumn("vn", norm(F.col("vec")))
-    on = (F.col("qns").isNull() | (F.col("qns") == F.col("namespace"))) if few else F.col("qns") == F.col("namespace")
-    hits = store.join(F.broadcast(q) if few else q, on).withColumn("score", _cosine()).where(F.col("score") >= threshold)
+    on = F.col("qns").isNull() | (F.col("qns") == F.col("namespace"))
+    hits = reduce(DataFrame.unionByName, [store.join(F.broadcast(b), on) for b in _blocks(q, max_queries)])
+    hits = hits.withColumn("score", _cosine()).where(F.col("score") >= threshold)
     best = Window.partitionBy("query_no").orderBy(F.desc("score"), "rowid")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_no", "rank", "id", F.round("score", 4).alias("score"))
 
