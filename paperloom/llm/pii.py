@@ -12,6 +12,7 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -64,16 +65,23 @@ def _sequence(words: dict[str, str]) -> str:
     return rf"\b(?:plus[\s-]+)?{one}(?:[\s,.-]{{1,3}}{one}){{3,}}\b"
 
 
-#: Disguises in folded text: bracketed or spelled "at" and "dot", spelled digits.
-BRACKETS = r"\s*[\[({<]\s*%s\s*[\])}>]\s*"
+#: Disguises in folded text: bracketed "at" and "dot", spelled digits.
+BRACKETS = r"(?:(?<!\s)\s+)?[\[({<]\s*%s\s*[\])}>]\s*"
 NAME = r"[A-Za-z0-9._%+-]+"
-DISGUISE = re.compile(
-    rf"(?P<at>{BRACKETS % '(?:at|@)'})|(?P<dot>{BRACKETS % '(?:dot|[.])'})"
-    + "".join(f"|(?P<d{i}>{_sequence(w)})" for i, w in enumerate(DIGIT_WORDS)),
-    re.IGNORECASE,
-)
-#: "name at host dot tld": plain words count only with at least one spelled dot, and no host starts with an article.
-SPOKEN = re.compile(r"\b[A-Za-z0-9_%+-]+(?:(?:\.| dot )[A-Za-z0-9_%+-]+)*( at )(?!(?:the|an?|this|that|each|every|my|your|our|his|her|its|their)\b)[A-Za-z0-9-]+(?:(?:\.| dot )[A-Za-z0-9-]+)*( dot )[A-Za-z]{2,}\b", re.IGNORECASE)
+BRACKETED = rf"(?P<at>{BRACKETS % '(?:at|@)'})|(?P<dot>{BRACKETS % '(?:dot|[.])'})"
+DISGUISE = re.compile(BRACKETED + "".join(f"|(?P<d{i}>{_sequence(w)})" for i, w in enumerate(DIGIT_WORDS)), re.IGNORECASE)
+BRACKETED = re.compile(BRACKETED, re.IGNORECASE)
+#: The two halves of "name at host dot tld": no host starts with an article, and one has at most 127 labels.
+AT = re.compile(r"(?<!\s)\s+at\s+(?!(?:the|an?|this|that|each|every|my|your|our|his|her|its|their)\b)|@", re.IGNORECASE)
+HOST = re.compile(r"[A-Za-z0-9-]++(?:(?:\.|\s++dot\s++)[A-Za-z0-9-]++){1,126}", re.IGNORECASE)
+DOT = re.compile(r"\.|\s+dot\s+", re.IGNORECASE)
+TLD = re.compile(r"[A-Za-z]{2,}")
+#: Digits and digit words of any language in a row, of any length; they count only if an identifier comes out.
+ANY_DIGIT = {w: d for words in DIGIT_WORDS for w, d in words.items()}
+SPELLED = {"dot": ".", "plus": "+"} | ANY_DIGIT
+TOKEN = r"(?:[0-9]++|" + "|".join(sorted(ANY_DIGIT, key=len, reverse=True)) + r")\b"
+MIXED = re.compile(rf"(?<![\w.])(?:plus[\s-]+|\+\s?)?{TOKEN}(?:(?:\s++dot\s++|[\s()-]{{1,3}}|,\s?|\.){TOKEN})++", re.IGNORECASE)
+PART = re.compile(r"[0-9]+|\.(?=\w)|\+|[^\W\d_]+")
 WORD = re.compile(r"\w+")
 
 
@@ -137,6 +145,10 @@ class Rewriting:
         self.stop.append(None)
         self.text = "".join(parts)
 
+    def dots(self) -> set[int]:
+        """Where replacements by a dot stand."""
+        return {at for at, stop in zip(self.at, self.stop, strict=True) if stop is not None and self.text[at : at + 1] == "."}
+
     def back(self, lo: int, hi: int) -> tuple[int, int, bool]:
         """The source span of [lo, hi), and whether it touches a replacement."""
         i, j = bisect_right(self.at, lo) - 1, bisect_right(self.at, hi - 1) - 1
@@ -160,10 +172,21 @@ def fold(text: str) -> Rewriting | None:
     return Rewriting(text, edits) if edits else None
 
 
-def unmask(text: str) -> Rewriting | None:
-    """At/dot disguises and spelled digits as plain characters; None if there are none."""
+def neighbours(text: str) -> bool:
+    """Whether two words in a row are digits, digit words or "dot", and one is not in digits: without, no number is spelled."""
+    words = WORD.findall(text.lower())
+    if SPELLED.keys().isdisjoint(words):
+        return False
+    hit = [w in SPELLED or w.isdecimal() for w in words]
+    return any(map(and_, hit, hit[1:]))
+
+
+def unmask(text: str, spelled: bool = True) -> Rewriting | None:
+    """Bracketed at/dot and longer runs of spelled digits as plain characters; None if there are none."""
     edits = []
-    for m in DISGUISE.finditer(text):
+    if not spelled and not any(c in text for c in "[({<"):
+        return None
+    for m in (DISGUISE if spelled else BRACKETED).finditer(text):
         kind = m.lastgroup
         if kind in ("at", "dot"):
             edits.append((m.start(), m.end(), "@" if kind == "at" else "."))
@@ -171,25 +194,92 @@ def unmask(text: str) -> Rewriting | None:
             words = DIGIT_WORDS[int(kind[1:])]
             plus = "+" if m[0][:4].lower() == "plus" else ""
             edits.append((m.start(), m.end(), plus + "".join(words.get(w.lower(), "") for w in WORD.findall(m[0]))))
-    if " dot " in text or " DOT " in text or " Dot " in text:
-        for m in SPOKEN.finditer(text):
-            for w in re.finditer(r" (at|dot) ", m[0], re.IGNORECASE):
-                edits.append((m.start() + w.start(), m.start() + w.end(), "@" if w[1].lower() == "at" else "."))
-        edits.sort()
-        edits = [e for i, e in enumerate(edits) if not i or e[0] >= edits[i - 1][1]]
     return Rewriting(text, edits) if edits else None
 
 
+def addresses(text: str, dots: frozenset[int] | set[int]) -> list[tuple[int, int, str]]:
+    """Edits of spelled at and dot. Plain "at" counts only with a dot that is spelled or stands in ``dots`` (disguised before)."""
+    edits, done = [], 0
+    for at in AT.finditer(text):
+        spelled = at[0] != "@"
+        host = HOST.match(text, at.end()) if at.start() >= done else None
+        if not host:
+            continue
+        cuts = [m.span() for m in DOT.finditer(text, *host.span())]
+        stop = host.end()
+        while cuts and not TLD.fullmatch(text, cuts[-1][1], stop):
+            stop = cuts.pop()[0]
+        lo, before = at.start(), []
+        while lo > done and text[lo - 1] in LOCAL_SET:
+            lo -= 1
+            if lo == done or text[lo - 1] not in LOCAL_SET:
+                word = dot_before(text, lo, done)
+                if word is None:
+                    break
+                before.append((word, lo))
+                lo = word
+        words = [c for c in [*before, *cuts] if c[1] - c[0] > 1]
+        if not cuts or lo == at.start() or not (words or spelled and any(c[0] in dots for c in cuts)):
+            continue
+        if spelled and not any(c[1] - c[0] > 1 or c[0] in dots for c in cuts):
+            continue
+        edits += [(*c, ".") for c in words]
+        if spelled:
+            edits.append((*at.span(), "@"))
+        done = stop
+    return edits
+
+
+def dot_before(text: str, at: int, done: int) -> int | None:
+    """Where a spelled dot that ends at ``at`` begins, if a name stands before it."""
+    j = at
+    while j > done and text[j - 1].isspace():
+        j -= 1
+    if j == at or text[max(done, j - 3) : j].lower() != "dot":
+        return None
+    i = j = j - 3
+    while i > done and text[i - 1].isspace():
+        i -= 1
+    return i if i < j and i > done and text[i - 1] in LOCAL_SET else None
+
+
+def numbers(text: str) -> list[tuple[int, int, str]]:
+    """Edits of digits partly spelled or parted by spelled dots, where the whole run makes an identifier."""
+    edits = []
+    for m in MIXED.finditer(text):
+        if m[0].upper() == m[0].lower():
+            continue
+        plain = "".join(SPELLED.get(w.lower(), w) for w in PART.findall(m[0]))
+        if any((lo, hi) == (0, len(plain)) for _, lo, hi in find(plain)):
+            edits.append((*m.span(), plain))
+    return edits
+
+
+def respell(text: str, dots: frozenset[int] | set[int], spelled: bool = True) -> Rewriting | None:
+    """Spelled at, dot and short digit runs of a text whose brackets are already plain; None if there are none."""
+    edits = addresses(text, dots) if dots or "dot" in text.lower() else []
+    edits = sorted([*edits, *numbers(text)] if spelled else edits)
+    kept: list[tuple[int, int, str]] = []
+    for e in edits:
+        if not kept or e[0] >= kept[-1][1]:
+            kept.append(e)
+    return Rewriting(text, kept) if kept else None
+
+
 def disguised(text: str, base: list[Span]) -> list[Span]:
     """Identifiers behind disguises, in source positions, apart from those within a span of ``base``."""
     first = fold(text)
-    second = unmask(first.text if first else text)
-    if not first and not second:
+    folded = first.text if first else text
+    spelled = neighbours(folded)
+    second = unmask(folded, spelled)
+    plain = second.text if second else folded
+    third = respell(plain, second.dots() if second else frozenset(), spelled)
+    if not first and not second and not third:
         return []
     out: list[Span] = []
-    for kind, lo, hi in find(second.text if second else first.text):
+    for kind, lo, hi in find(third.text if third else plain):
         changed = False
-        for step in (second, first):
+        for step in (third, second, first):
             if step:
                 lo, hi, touched = step.back(lo, hi)
                 changed |= touched

@@ -90,3 +90,31 @@ def test_annotate_query(spark):
     assert clean.columns == df.columns and clean.count() == len(rows)
     assert {r.text for r in clean.where("doc_id = 0").collect()} == {"<EMAIL>"}
     assert pii.annotate(df.limit(0)).count() == 0
+
+
+def test_disguise_forms_mix():
+    cases = [
+        ("to john [at] example dot com now", "email", "john [at] example dot com"),
+        ("to john (at) mail dot example dot com now", "email", "john (at) mail dot example dot com"),
+        ("to john at example [dot] com now", "email", "john at example [dot] com"),
+        ("to john at  example\ndot com now", "email", "john at  example\ndot com"),
+        ("to john dot smith [at] example dot com now", "email", "john dot smith [at] example dot com"),
+        ("to jоhn at example dot com now", "email", "jоhn at example dot com"),
+        ("to john@example dot com.", "email", "john@example dot com"),
+        ("ip one nine two dot one six eight dot zero dot one x", "ip", "one nine two dot one six eight dot zero dot one"),
+        ("ip 192 dot 168 dot 0 dot 1. Two", "ip", "192 dot 168 dot 0 dot 1"),
+        ("call plus 1 988 five five five 2485 now", "phone", "plus 1 988 five five five 2485"),
+        ("card 4111 1111 1111 one one 11 end", "card", "4111 1111 1111 one one 11"),
+    ]
+    for text, kind, source in cases:
+        got = pii.disguised(text, pii.find(text))
+        assert [(k, text[lo:hi]) for k, lo, hi in got] == [(kind, source)], (text, got)
+    for text in ["look at example.com", "one two dot three", "see version 2 dot 4", "meet at the shop dot com"]:
+        assert pii.disguised(text, pii.find(text)) == [], text
+
+
+def test_long_mixed_texts_are_linear():
+    start = time.time()
+    for text in [" " * 1_000_000, "a dot " * 100_000, "a at a dot " * 50_000, "x dot at " * 60_000, "one dot " * 60_000, "1 " * 200_000 + "one", "a%-" * 200_000 + " at b dot com", " at " * 100_000]:
+        pii.disguised(text, pii.find(text))
+    assert time.time() - start < 30
