@@ -1,4 +1,4 @@
-"""Two-pass external shuffle into shards, in DataFrame functions only.
+"""Two-pass external shuffle of whole records into shards, in DataFrame functions only.
 
 Pass one scatters records uniformly into memory-sized buckets by a seeded hash; pass two shuffles each bucket in memory
 (Spark's ``shuffle`` is a seeded Fisher-Yates). A record's place in the whole order is its bucket's start plus its place
@@ -7,50 +7,82 @@ there, and the places are dealt to the shards in turn, so shards differ by one r
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .scratch import materialize, scratch_path, small
+
+
+def numbered_copies(rows: DataFrame, lane_rows: int = 1_000) -> DataFrame:
+    """``rows`` with ``_copy``: 0, and 0, 1, 2 and on among rows that are equal in full (``_mark`` is their hash).
+
+    Only rows that repeat are written and numbered, in lanes of about ``lane_rows``, so many copies are spread too.
+    """
+    again = materialize(rows.groupBy("_mark").agg(F.count("*").alias("_n")).where("_n > 1"), "repeated")
+    if again.isEmpty():
+        return rows.withColumn("_copy", F.lit(0).cast("long"))
+    held = rows.join(small(again), "_mark").withColumn("_at", F.monotonically_increasing_id())
+    held = materialize(held.withColumn("_lane", F.pmod(F.xxhash64("_at"), F.ceil(F.col("_n") / lane_rows).cast("long"))), "copies")
+    before = Window.partitionBy("_mark").orderBy("_lane").rowsBetween(Window.unboundedPreceding, -1)
+    base = held.groupBy("_mark", "_lane").agg(F.count("*").alias("_k")).select("_mark", "_lane", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_base"))
+    rank = F.row_number().over(Window.partitionBy("_mark", "_lane").orderBy("_at")) - 1
+    copies = held.withColumn("_rank", rank).join(base, ["_mark", "_lane"]).withColumn("_copy", F.col("_rank") + F.col("_base"))
+    once = rows.join(small(again.select("_mark")), "_mark", "left_anti").withColumn("_copy", F.lit(0).cast("long"))
+    return once.unionByName(copies.select(*once.columns))
+
 
-from .scratch import materialize
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: its strings' and binaries' own, and 16 for any other column."""
+    sizes = [F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.typeName() in ("string", "binary") else F.lit(16) for f in df.schema]
+    return reduce(lambda a, b: a + b, sizes, F.lit(0).cast("long"))
 
 
-def shuffle_positions(rows: DataFrame, key: str, n_rows: int, bucket_rows: int, seed: int) -> DataFrame:
-    """``rows`` (key and payload columns) in seeded random order: each with ``position``, gapless from 0."""
-    buckets = max(1, -(-n_rows // bucket_rows))
-    payload = [c for c in rows.columns if c != key]
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), *map(F.col, rows.columns)), F.lit(buckets)))
-    counts = rows.groupBy("bucket").agg(F.count("*").alias("n"))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    held = rows.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct(key, *payload))).alias("rows"))
-    mixed = held.select("bucket", F.posexplode(F.shuffle("rows", seed)).alias("i", "row"))
-    return mixed.join(counts, "bucket").select((F.col("base") + F.col("i")).alias("position"), "row.*")
+def freed(df: DataFrame) -> DataFrame:
+    """``df`` with columns named slot or shard, which the shards need, renamed to slot_ and shard_."""
+    return df.withColumnsRenamed({c: f"{c}_" for c in df.columns if c in ("slot", "shard")})
 
 
-def assign_shards(df: DataFrame, shards: int = 8, bucket_rows: int = 20_000, seed: int = 17, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row of ``df`` under the law ``rows``.
+def write_shards(df: DataFrame, path: str, shards: int = 8, bucket_rows: int = 20_000, seed: int = 17, key: str = "doc_id", bucket_bytes: int = 16 << 20) -> None:
+    """Whole rows of ``df`` as Parquet under ``path``/shard=0 and on, with their ``slot``; each file is in slot order; see `freed`.
 
-    ``size`` is the text's UTF-8 bytes plus 1 and ``text_crc32`` its checksum; a null text counts as none. Shards' counts
-    differ by one at most, and slots run gapless from 0 within a shard. Only these narrow values move, never the texts.
-    Repeated rows and null keys each get a place of their own; other columns are ignored; no rows give no rows. A bucket
-    holds about ``bucket_rows`` rows, so their number follows the input. grown_shard is null under this law.
+    A bucket holds about ``bucket_rows`` rows and ``bucket_bytes`` bytes at most, so the number of buckets follows the input.
+    A row is known by its content and its number among equal rows, so repeated rows and null keys each get a place of
+    their own; ``key`` comes first where a bucket is sorted before it is shuffled. A bucket's task writes its part of
+    every shard, so no task holds a shard.
     """
-    rows = df.select(
-        F.col(key).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text_crc32"),
-    )
-    placed = shuffle_positions(materialize(rows, "sizes"), "doc_id", df.count(), bucket_rows, seed)
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.pmod("position", F.lit(shards)).cast("int").alias("shard"),
-        F.floor(F.col("position") / shards).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
-    )
+    df = freed(df)
+    total = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("b")).first()
+    buckets = max(1, -(-total["n"] // bucket_rows), -(-total["b"] // bucket_bytes))
+    names = [key, *(c for c in df.columns if c != key)]
+    rows = df.withColumn("_mark", F.xxhash64(F.lit(seed), *map(F.col, names)))
+    rows = numbered_copies(rows).withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), "_mark", "_copy"), F.lit(buckets)))
+    counts = rows.groupBy("_bucket").agg(F.count("*").alias("n"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = materialize(counts.select("_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base")), "buckets")
+    scattered = rows.select("_bucket", F.struct("_mark", "_copy", *names).alias("_row")).repartition(buckets, "_bucket")
+    held = scattered.groupBy("_bucket").agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
+    mixed = held.select("_bucket", F.posexplode(F.shuffle("_rows", seed)).alias("_i", "_row")).join(F.broadcast(counts), "_bucket")
+    position = F.col("_base") + F.col("_i")
+    out = mixed.select(*[F.col("_row")[c].alias(c) for c in df.columns], F.floor(position / shards).cast("long").alias("slot"), F.pmod(position, F.lit(shards)).cast("int").alias("shard"))
+    out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
-def write_shards(df: DataFrame, path: str, shards: int = 8, bucket_rows: int = 20_000, seed: int = 17, key: str = "doc_id") -> None:
-    """Whole rows of ``df`` as Parquet under ``path``/shard=0 and on, each file in slot order.
+def assign_shards(df: DataFrame, shards: int = 8, bucket_rows: int = 20_000, seed: int = 17, key: str = "doc_id", text: str = "text", bucket_bytes: int = 16 << 20) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row of ``df``, read from its written shards.
 
-    ``key`` must not repeat, since rows find their slots by it. Bucket ``part`` of a shard is one file, so no task holds a shard.
+    The shards lie in the shared scratch folder; see `write_shards`. ``size`` is the written text's UTF-8 bytes plus 1 and
+    ``text_crc32`` its checksum; a null text counts as none. Shards' counts differ by one at most, and slots run gapless
+    from 0 within a shard. No rows give no rows. grown_shard is null under this law, ``rows``.
     """
-    slots = assign_shards(df.select(key, F.lit("").alias("text")), shards, bucket_rows, seed, key).select(F.col("doc_id").alias(key), "shard", "slot")
-    slots = materialize(slots, "slots").withColumn("part", F.floor(F.col("slot") / bucket_rows))
-    rows = df.join(slots, df[key].eqNullSafe(slots[key])).drop(slots[key])
-    rows.repartition("shard", "part").sortWithinPartitions("shard", "part", "slot").drop("part").write.partitionBy("shard").parquet(path)
+    path = scratch_path(df.sparkSession, "shards")
+    write_shards(df, path, shards, bucket_rows, seed, key, bucket_bytes)
+    schema = StructType([*freed(df).schema.fields]).add("slot", "long").add("shard", "integer")
+    back = df.sparkSession.read.schema(schema).parquet(path)
+    return back.select(
+        F.col(key).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )

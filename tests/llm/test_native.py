@@ -80,3 +80,17 @@ def test_write_shards(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 300 and back.select("doc_id").distinct().count() == 300
     assert sorted(r["count"] for r in back.groupBy("shard").count().collect()) == [75] * 4
+
+
+def test_written_shards_hold_repeated_rows_and_query_reads_them(spark, tmp_path):
+    rows = [(i, f"text {i} é", i % 3) for i in range(200)] + [(7, "text 7 é", 1)] * 50 + [(None, None, 1)] * 20 + [(7, "other", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    path = str(tmp_path / "out")
+    sharding.write_shards(df, path, shards=4, bucket_rows=30, bucket_bytes=600)
+    back = spark.read.parquet(path)
+    got = back.collect()
+    assert Counter((r.doc_id, r.text, r.n) for r in got) == Counter(rows)
+    for s in range(4):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(len([r for r in got if r.shard == s])))
+    plan = sharding.assign_shards(df, shards=4, bucket_rows=30)._jdf.queryExecution().toString()
+    assert "shards-" in plan and "text" in plan
