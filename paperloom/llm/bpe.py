@@ -7,7 +7,6 @@ only the occurrence lists of the neighbours it touched change. Vocabularies are
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import json
 import re
@@ -18,6 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .scratch import small_batches
 
@@ -244,28 +244,48 @@ def joined(batches: Iterator[pa.RecordBatch], column: str, size: int = 4_000_000
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def round_trip(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) of every row: its text encoded, and the ids decoded again.
+def encode(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ids array<int>) of every row: the ids of its text, none for a null text.
 
-    ids_sha256 is the digest of the decimal ids joined by commas, decoded_sha256 of the decoded text in UTF-8. A null text
-    counts as empty: no tokens and the digest of nothing. Repeated rows and null keys stay as they are; other columns are
-    ignored. No shuffle: each task encodes the rows it scans. The vocabulary, read once on the driver, is all that is
-    broadcast, so its size does not depend on the data.
+    Repeated rows and null keys stay as they are; other columns are ignored. No shuffle: each task encodes the rows it
+    scans. The vocabulary, read once on the driver, is all that is broadcast, so its size does not depend on the data.
     """
     sent = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBPE(sent.value)
-        digits = [str(i) for i in range(bpe.size)]
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in joined(batches, "text"):
-            lists = (ids.tolist() for ids in bpe.encode_all(rows_of(batch, "text")))
-            out = [(len(ids), sha(",".join(map(digits.__getitem__, ids))), sha(bpe.decode(ids))) for ids in lists]
-            yield pa.RecordBatch.from_arrays(
-                [batch["key"], pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.string())],
-                names=[key, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            held = list(bpe.encode_all(rows_of(batch, "text")))
+            ends = np.cumsum([0, *map(len, held)]).astype(np.int32)
+            flat = np.concatenate([*held, np.zeros(0, "<u4")]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch["key"], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[key, "ids"])
 
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    kind = rows.schema["key"].dataType.simpleString()
-    return small_batches(rows).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(rows).mapInArrow(run, f"`{key}` {rows.schema['key'].dataType.simpleString()}, ids array<int>")
+
+
+def decode(df: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
+    """``df`` and ``decoded``: the text of its column ``ids``, special tokens included; null ids give null."""
+    sent = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    schema = StructType([*df.schema.fields]).add("decoded", "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = ByteBPE(sent.value)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                out = [None if x is None else bpe.decode(x) for x in part[ids].to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], names=[*part.schema.names, "decoded"])
+
+    return small_batches(df).mapInArrow(run, schema)
+
+
+def round_trip(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256) of every row, from the columns that `encode` and `decode` give.
+
+    ids_sha256 is the digest of the decimal ids joined by commas, decoded_sha256 of the decoded text in UTF-8. A null text
+    counts as empty: no tokens and the digest of nothing.
+    """
+    out = decode(encode(df, vocabulary, key, text), vocabulary)
+    said = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select(key, F.size("ids").cast("long").alias("n_tokens"), F.sha2(said, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

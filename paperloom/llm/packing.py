@@ -6,7 +6,6 @@ number of documents. Each piece then takes its planned slot by joining on its ra
 
 from __future__ import annotations
 
-import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from .bpe import ByteBPE, rank_encoder, read_vocabulary, rows_of
 from .scratch import materialize, small_batches
 
-PIECES = "piece int, start long, length long, ids_crc32 long"
+PIECES = "piece int, start long, length long, ids binary"
 PLAN = "length long, low long, high long, per_bin long, first_bin long, at long"
 
 
@@ -63,7 +62,9 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 
 
 def pieces(df: DataFrame, vocabulary: str, end: int, capacity: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, piece, start, length, ids_crc32): each document's ids and its end mark, cut only if over ``capacity``.
+    """(key, piece, start, length, ids): each document's ids and its end mark, cut only if over ``capacity``.
+
+    ``ids`` holds a piece's ids as little-endian unsigned 32-bit values, so pieces of a sequence join end to end.
 
     Cut documents give full pieces, except that the first takes what is left over. A null text counts as empty and gives
     the end mark alone.
@@ -73,19 +74,19 @@ def pieces(df: DataFrame, vocabulary: str, end: int, capacity: int, key: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = rank_encoder(ByteBPE(sent.value))
         for batch in batches:
-            row, piece, start, length, crc = [], [], [], [], []
+            row, piece, start, length, held = [], [], [], [], []
             for i, text in enumerate(rows_of(batch, "text")):
-                ids = np.append(encode(text or ""), np.uint32(end))
+                ids = np.append(encode(text or ""), np.uint32(end)).astype("<u4", copy=False)
                 cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
                 for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     row.append(i)
                     piece.append(k)
                     start.append(lo)
                     length.append(hi - lo)
-                    crc.append(zlib.crc32(ids[lo:hi].tobytes()))
+                    held.append(ids[lo:hi].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch["key"].take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                names=[key, "piece", "start", "length", "ids_crc32"],
+                [batch["key"].take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(held, pa.binary())],
+                names=[key, "piece", "start", "length", "ids"],
             )
 
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
@@ -93,12 +94,13 @@ def pieces(df: DataFrame, vocabulary: str, end: int, capacity: int, key: str = "
 
 
 def assign(cut: DataFrame, capacity: int, key: str = "doc_id", slice_rows: int = 1_000) -> DataFrame:
-    """``cut`` (key, piece, start, length, ids_crc32) with sequence_id and offset.
+    """``cut`` (key, piece, start, length and columns to carry) with sequence_id and offset.
 
     Only the histogram (at most ``capacity`` rows) comes to the driver, and only the plan, bounded by the capacity, goes
     out. Ranks within a length are counted in slices of about ``slice_rows`` rows, so a frequent length is spread.
     """
     spark = cut.sparkSession
+    rest = [c for c in cut.columns if c not in (key, "piece", "start", "length")]
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     steps = spark.createDataFrame(plan(histogram, capacity), PLAN)
     spread = spark.createDataFrame([(length, -(-n // slice_rows)) for length, n in histogram.items()], "length long, slices long")
@@ -106,13 +108,13 @@ def assign(cut: DataFrame, capacity: int, key: str = "doc_id", slice_rows: int =
     counts = rows.groupBy("length", "slice").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("length", "slice").orderBy(key, "piece", "ids_crc32", "start")
+    within = Window.partitionBy("length", "slice").orderBy(key, "piece", "start", *rest)
     rows = rows.withColumn("rank", F.row_number().over(within) - 1).join(counts, ["length", "slice"])
     rows = rows.withColumn("rank", F.col("rank") + F.col("base")).drop("slice", "slices", "base")
     slot = F.col("rank") - F.col("low")
     out = rows.join(F.broadcast(steps.withColumnRenamed("length", "of")), (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     return out.select(
-        key, "piece", "start", "length", "ids_crc32",
+        key, "piece", "start", "length", *rest,
         (F.col("first_bin") + F.floor(slot / F.col("per_bin"))).cast("long").alias("sequence_id"),
         (F.col("at") + F.pmod(slot, F.col("per_bin")) * F.col("length")).cast("long").alias("offset"),
     )
@@ -121,9 +123,11 @@ def assign(cut: DataFrame, capacity: int, key: str = "doc_id", slice_rows: int =
 def pack(df: DataFrame, vocabulary: str, end: int = 2, capacity: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every document of ``df`` in as few sequences of at most ``capacity`` tokens as best-fit decreasing finds.
 
-    Returns (key, piece, start, length, ids_crc32, sequence_id, offset), a row for each piece. Null and empty texts are
+    Returns (key, piece, start, length, ids_crc32, sequence_id, offset, ids), a row for each piece: a sequence is its
+    pieces' ``ids`` (see `pieces`) end to end in order of offset, and ids_crc32 their checksum after the placing. Null and empty texts are
     pieces of one token, the end mark; repeated rows are packed each for itself; null keys stay; other columns are
     ignored; no rows give no rows.
     """
     cut = materialize(pieces(df, vocabulary, end, capacity, key, text), "pieces")
-    return assign(cut, capacity, key)
+    placed = assign(cut, capacity, key)
+    return placed.select(key, "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset", "ids")

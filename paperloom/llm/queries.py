@@ -59,7 +59,7 @@ def op8_offset_preserving_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), end=2, capacity=1024)
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), end=2, capacity=1024).drop("ids")
 
 
 def op10_two_pass_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,3 +73,10 @@ def test_round_trip_query(spark):
     got = [tuple(r) for r in bpe.round_trip(df, PATH).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert bpe.round_trip(df.limit(0), PATH).count() == 0
+
+
+def test_encode_and_decode_columns(spark):
+    df = spark.createDataFrame(list(enumerate([*HARD, None])), "doc_id long, text string").repartition(3)
+    for r in bpe.decode(bpe.encode(df, PATH), PATH).collect():
+        text = [*HARD, None][r.doc_id] or ""
+        assert r.ids == THEIRS.encode(text, add_special_tokens=False).ids and r.decoded == text

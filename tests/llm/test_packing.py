@@ -79,3 +79,17 @@ def test_slices_change_nothing(spark):
         out = packing.assign(cut, 16, slice_rows=n).collect()
         slots = {(r.sequence_id, r.offset + i) for r in out for i in range(r.length)}
         assert len(out) == 500 and len(slots) == sum(r.length for r in out) and max(o for _, o in slots) < 16
+
+
+def test_sequences_can_be_built(spark):
+    texts = {i: "alpha béta " * (i * 37 % 900) for i in range(30)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    tok, sequences, docs = Tokenizer.from_file(PATH), {}, {}
+    for r in packing.pack(df, PATH).collect():
+        ids = np.frombuffer(r.ids, "<u4").tolist()
+        assert len(ids) == r.length and zlib.crc32(r.ids) == r.ids_crc32
+        sequences.setdefault(r.sequence_id, {}).update(dict(enumerate(ids, r.offset)))
+        docs.setdefault(r.doc_id, {})[r.piece] = ids
+    assert all(sorted(s) == list(range(len(s))) and len(s) <= 1024 for s in sequences.values())
+    for i, t in texts.items():
+        assert sum((docs[i][k] for k in sorted(docs[i])), []) == [*tok.encode(t, add_special_tokens=False).ids, 2]
