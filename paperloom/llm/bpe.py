@@ -216,7 +216,14 @@ def rank_encoder(bpe: ByteBPE):
     import tiktoken
 
     one = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: one.encode_to_numpy(text, allowed_special="all")
+
+    def encode_one(text: str) -> np.ndarray:
+        try:
+            return one.encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # its regex engine's stack ends at about a million whitespace characters in a row
+            return next(bpe.encode_block([text]))
+
+    return encode_one
 
 
 def read_vocabulary(path: str) -> bytes:

@@ -80,3 +80,8 @@ def test_encode_and_decode_columns(spark):
     for r in bpe.decode(bpe.encode(df, PATH), PATH).collect():
         text = [*HARD, None][r.doc_id] or ""
         assert r.ids == THEIRS.encode(text, add_special_tokens=False).ids and r.decoded == text
+
+
+def test_rank_encoder_on_very_long_whitespace():
+    for text in ["a" + " " * 1_200_000 + "x", "\n" * 1_200_000, "b　" + "　" * 1_200_000 + "<|endoftext|> y"]:
+        assert RANKS(text).tolist() == THEIRS.encode(text, add_special_tokens=False).ids
