@@ -44,40 +44,47 @@ class Trigrams:
                 yield h >> np.uint32(16)
 
 
-def train(docs: DataFrame, per_language: int = 400, languages: int = 64) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, per_language: int = 400) -> tuple[list[str], np.ndarray]:
     """Languages and the log likelihood of each bucket under each, plus a last column for no language at all.
 
-    ``docs`` has (text, lang). The models are fitted on a sample of about ``per_language`` whole rows of each of the
-    ``languages`` most frequent labels, chosen by a hash of the row; a smaller class gives all its rows. Only bucket counts
-    come to the driver, at most BUCKETS times ``languages``.
+    ``docs`` has (text, lang). Every label that occurs gets a model, fitted on a sample of about ``per_language`` whole
+    rows chosen by a hash of the row; a smaller class gives all its rows. Only bucket counts come to the driver.
     """
-    sizes = docs.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    sizes = docs.where("lang is not null").groupBy("lang").count().collect()
     names = sorted(r["lang"] for r in sizes)
     if not names:
         return [], np.full((BUCKETS, 1), -np.log(BUCKETS), np.float32)
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["count"])))])
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, per_language / r["count"])) for r in sizes], "lang string, _share double")
     chance = F.pmod(F.xxhash64("text", "lang", F.lit(31)), F.lit(1_000_003)) / 1_000_003
-    sample = docs.where(F.col("lang").isin(names)).where(chance < share[F.col("lang")])
+    sample = docs.select("text", "lang").join(F.broadcast(shares), "lang").where(chance < F.col("_share"))
+
+    def counted(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lang, held in total.items():
+            at = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(held[at])], names=["lang", "bucket", "n"])
+        total.clear()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, total = Trigrams(), {}
         for batch in batches:
             for text, lang in zip(rows_of(batch, "text"), batch["lang"].to_pylist(), strict=True):
+                if lang not in total and len(total) == 64:
+                    yield from counted(total)
                 held = total.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 for ids in cut.ids(text):
                     held += np.bincount(ids, minlength=BUCKETS)
-        for lang, held in total.items():
-            at = np.flatnonzero(held)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(held[at])], names=["lang", "bucket", "n"])
+        yield from counted(total)
 
-    counts = np.full((BUCKETS, len(names) + 1), 0.05)
     got = small_batches(sample.select("text", "lang")).mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    column = np.array([names.index(x) for x in got["lang"].to_pylist()], np.int64)
+    number = {x: i for i, x in enumerate(names)}
+    column = np.array([number[x] for x in got["lang"].to_pylist()], np.int64)
+    logs = np.full((BUCKETS, len(names) + 1), 0.05, np.float32)
     if len(column):
-        counts[got["bucket"].to_numpy(), column] += got["n"].to_numpy()
-    logs = np.log(counts / counts.sum(axis=0))
+        logs[got["bucket"].to_numpy(), column] += got["n"].to_numpy()
+    logs /= logs.sum(axis=0, dtype=np.float64).astype(np.float32)
+    np.log(logs, out=logs)
     logs[:, -1] = -np.log(BUCKETS)
-    return names, logs.astype(np.float32)
+    return names, logs
 
 
 def likelihoods(docs: DataFrame, logs: np.ndarray, temper: float) -> DataFrame:
@@ -118,16 +125,16 @@ def plus(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + y)
 
 
-def identify(docs: DataFrame, labelled: DataFrame, per_language: int = 400, temper: float = 0.3, trust: float = 0.9, suffix_trust: float = 0.7, kappa: float = 20.0, keep: float = 0.5) -> DataFrame:
+def identify(docs: DataFrame, labelled: DataFrame, per_language: int = 400, temper: float = 0.3, trust: float = 0.9, suffix_trust: float = 0.7, kappa: float = 20.0, keep: float = 0.5, models: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
     """``docs`` without its text, with language, posterior, kept and text_language, one row for each of its rows.
 
     ``docs`` has text, declared, host and suffix (any may be null: no evidence of that kind) and columns to carry along;
-    ``labelled`` has (text, lang) for `train`. ``language`` is the most probable class given all evidence, ``text_language``
+    ``labelled`` has (text, lang) for `train`, unless ``models`` gives what that returned. ``language`` is the most probable class given all evidence, ``text_language``
     by the text alone; both are "und" where no language fits the text better than chance does, where the text is null, empty or
     has no letters, and where nothing is labelled. ``kept`` says that a language was found with posterior >= ``keep``. Ties go
     to the alphabetically first. Priors use every row; the scored table is written once and holds no texts.
     """
-    names, logs = train(labelled, per_language)
+    names, logs = models or train(labelled, per_language)
     size = len(names) + 1
     start = F.array(*[F.lit(float(np.log(0.999 / max(1, len(names)))))] * len(names), F.lit(float(np.log(0.001 if names else 1.0))))
     rows = materialize(likelihoods(docs, logs, temper), "likelihoods")

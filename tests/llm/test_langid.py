@@ -45,3 +45,13 @@ def test_stage_keeps_columns_and_rejects_gibberish(spark):
     assert out.columns == docs.columns
     ids = {r.doc_id for r in out.select("doc_id").collect()}
     assert not ids & {10**6, 10**6 + 1, 10**6 + 2} and len(ids) >= 0.99 * docs.count()
+
+
+def test_every_label_has_a_model(spark):
+    codes = [a + b for a in "abcdefghij" for b in "klmnopqr"]
+    rows = [(f"{c}{c[::-1]}x {c}{c}z " * 20, c) for c in codes for _ in range(2)]
+    docs = spark.createDataFrame([(i, t, c) for i, (t, c) in enumerate(rows)], "doc_id long, text string, lang string").withColumn("source", F.lit("src0"))
+    names, logs = langid.train(docs.select("text", "lang"))
+    assert names == sorted(codes) and logs.shape[1] == 81
+    out = langid.identify(langid.document_evidence(docs), docs.select("text", "lang"), models=(names, logs)).collect()
+    assert all(r.language == r.declared and r.kept for r in out) and len(out) == 160
