@@ -184,6 +184,21 @@ def label_documents(docs: DataFrame) -> DataFrame:
     return identify(document_evidence(docs), labelled).select("doc_id", "language", "posterior", "declared", "text_language", "kept")
 
 
+def label_all(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """(table, doc_id, page_id, language, posterior, declared, text_language, kept) of every document and every page; see `identify`.
+
+    The models are fitted on the documents; page_id is null for documents and doc_id for pages. Documents can supply the
+    declared language (their lang) and the host (their source), and a suffix only where the source has one; pages supply
+    the html element's lang, host and suffix.
+    """
+    labelled = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    models = train(labelled)
+    told = ["language", "posterior", "declared", "text_language", "kept"]
+    of_docs = identify(document_evidence(docs), labelled, models=models).select(F.lit("documents").alias("table"), "doc_id", F.lit(None).cast(pages.schema["page_id"].dataType).alias("page_id"), *told)
+    of_pages = identify(page_evidence(pages), labelled, models=models).select(F.lit("pages").alias("table"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "page_id", *told)
+    return of_docs.unionByName(of_pages)
+
+
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language `identify` finds; columns stay. Only the rejected rows' marks are joined back."""
     mark = F.xxhash64(*[F.col(c) for c in docs.columns])

@@ -36,7 +36,7 @@ def op3_reversed_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fused_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.label_documents(table(spark, sf_dir, "documents"))
+    return langid.label_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
 
 
 def op5_subspace_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

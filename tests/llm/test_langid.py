@@ -55,3 +55,12 @@ def test_every_label_has_a_model(spark):
     assert names == sorted(codes) and logs.shape[1] == 81
     out = langid.identify(langid.document_evidence(docs), docs.select("text", "lang"), models=(names, logs)).collect()
     assert all(r.language == r.declared and r.kept for r in out) and len(out) == 160
+
+
+def test_query_labels_documents_and_pages(spark):
+    from paperloom.llm import queries
+
+    out = queries.op4_fused_language_id(spark, SF)
+    got = {(r["table"], r.d, r.p, r.n) for r in out.groupBy("table").agg(F.count("doc_id").alias("d"), F.count("page_id").alias("p"), F.count("*").alias("n")).collect()}
+    n, p = (spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("documents", "pages"))
+    assert got == {("documents", n, 0, n), ("pages", 0, p, p)}
