@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .scratch import small_batches
 
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -268,7 +267,7 @@ def encode(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays([batch["key"], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[key, "ids"])
 
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return small_batches(rows).mapInArrow(run, f"`{key}` {rows.schema['key'].dataType.simpleString()}, ids array<int>")
+    return rows.mapInArrow(run, f"`{key}` {rows.schema['key'].dataType.simpleString()}, ids array<int>")
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
@@ -284,7 +283,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
                 out = [None if x is None else bpe.decode(x) for x in part[ids].to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], names=[*part.schema.names, "decoded"])
 
-    return small_batches(df).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def round_trip(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:

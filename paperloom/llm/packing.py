@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import ByteBPE, rank_encoder, read_vocabulary, rows_of
-from .scratch import materialize, small_batches
+from .scratch import materialize
 
 PIECES = "piece int, start long, length long, ids binary"
 PLAN = "length long, low long, high long, per_bin long, first_bin long, at long"
@@ -90,25 +90,26 @@ def pieces(df: DataFrame, vocabulary: str, end: int, capacity: int, key: str = "
             )
 
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return small_batches(rows).mapInArrow(run, f"`{key}` {rows.schema['key'].dataType.simpleString()}, {PIECES}")
+    return rows.mapInArrow(run, f"`{key}` {rows.schema['key'].dataType.simpleString()}, {PIECES}")
 
 
 def assign(cut: DataFrame, capacity: int, key: str = "doc_id", slice_rows: int = 1_000) -> DataFrame:
-    """``cut`` (key, piece, start, length and columns to carry) with sequence_id and offset.
+    """``cut`` (key, piece, start, length, lane and columns to carry) with sequence_id and offset, without its lane.
 
-    Only the histogram (at most ``capacity`` rows) comes to the driver, and only the plan, bounded by the capacity, goes
-    out. Ranks within a length are counted in slices of about ``slice_rows`` rows, so a frequent length is spread.
+    ``lane`` is a number of its own for each row. Only the histogram (at most ``capacity`` rows) comes to the driver, and
+    only the plan, bounded by the capacity, goes out. Ranks within a length are counted in slices of about ``slice_rows``
+    rows dealt by lane, so a frequent length is spread, also where keys are null or rows repeat.
     """
     spark = cut.sparkSession
-    rest = [c for c in cut.columns if c not in (key, "piece", "start", "length")]
+    rest = [c for c in cut.columns if c not in (key, "piece", "start", "length", "lane")]
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     steps = spark.createDataFrame(plan(histogram, capacity), PLAN)
     spread = spark.createDataFrame([(length, -(-n // slice_rows)) for length, n in histogram.items()], "length long, slices long")
-    rows = cut.join(F.broadcast(spread), "length").withColumn("slice", F.pmod(F.xxhash64(key, "piece"), F.col("slices")))
+    rows = cut.join(F.broadcast(spread), "length").withColumn("slice", F.pmod(F.xxhash64("lane"), F.col("slices")))
     counts = rows.groupBy("length", "slice").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("length", "slice").orderBy(key, "piece", "start", *rest)
+    within = Window.partitionBy("length", "slice").orderBy("lane")
     rows = rows.withColumn("rank", F.row_number().over(within) - 1).join(counts, ["length", "slice"])
     rows = rows.withColumn("rank", F.col("rank") + F.col("base")).drop("slice", "slices", "base")
     slot = F.col("rank") - F.col("low")
@@ -128,6 +129,6 @@ def pack(df: DataFrame, vocabulary: str, end: int = 2, capacity: int = 1024, key
     pieces of one token, the end mark; repeated rows are packed each for itself; null keys stay; other columns are
     ignored; no rows give no rows.
     """
-    cut = materialize(pieces(df, vocabulary, end, capacity, key, text), "pieces")
+    cut = materialize(pieces(df, vocabulary, end, capacity, key, text).withColumn("lane", F.monotonically_increasing_id()), "pieces")
     placed = assign(cut, capacity, key)
     return placed.select(key, "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset", "ids")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,15 +21,6 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
-    """``df`` itself, after capping the session's Arrow batches at ``rows`` rows: rows that hold whole texts are large."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(name))
-    if not 0 < now <= rows:
-        df.sparkSession.conf.set(name, str(rows))
-    return df
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; it goes when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
@@ -48,6 +40,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """``df`` marked for broadcast if it is counted to hold at most ``rows`` rows; else left to a shuffled join."""
-    return F.broadcast(df) if df.count() <= rows else df
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: its strings' and binaries' own, and 16 for any other column."""
+    sizes = [F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.typeName() in ("string", "binary") else F.lit(16) for f in df.schema]
+    return reduce(lambda a, b: a + b, sizes, F.lit(0).cast("long"))
+
+
+def small(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
+    """``df`` marked for broadcast if its rows add up to at most ``limit`` bytes (see `row_bytes`); else left to a shuffled join."""
+    size = df.agg(F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= limit else df

@@ -2,18 +2,17 @@
 
 Pass one scatters records uniformly into memory-sized buckets by a seeded hash; pass two shuffles each bucket in memory
 (Spark's ``shuffle`` is a seeded Fisher-Yates). A record's place in the whole order is its bucket's start plus its place
-there, and the places are dealt to the shards in turn, so shards differ by one row at most.
+there, and the places are dealt to the shards in turn, so shards differ by one row at most. Seed, rows and bucket sizes
+alone decide the order: neither the input's partitions nor the session's shuffle partitions do.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .scratch import materialize, scratch_path, small
+from .scratch import materialize, row_bytes, scratch_path, small
 
 
 def numbered_copies(rows: DataFrame, lane_rows: int = 1_000) -> DataFrame:
@@ -34,10 +33,19 @@ def numbered_copies(rows: DataFrame, lane_rows: int = 1_000) -> DataFrame:
     return once.unionByName(copies.select(*once.columns))
 
 
-def row_bytes(df: DataFrame) -> Column:
-    """About the bytes of a row: its strings' and binaries' own, and 16 for any other column."""
-    sizes = [F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.typeName() in ("string", "binary") else F.lit(16) for f in df.schema]
-    return reduce(lambda a, b: a + b, sizes, F.lit(0).cast("long"))
+def hashable(df: DataFrame, name: str) -> Column:
+    """The column ``name`` in a form that Spark can hash: as JSON where it holds a map."""
+    col = F.col(name)
+    return F.to_json(F.struct(col)) if "map<" in df.schema[name].dataType.simpleString() else col
+
+
+def bucket_bases(counts: DataFrame, span: int = 1_000) -> DataFrame:
+    """(_bucket, _base): the rows in buckets before each of ``counts`` (_bucket, n), added up within spans of buckets and then over spans."""
+    upto = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = counts.withColumn("_span", F.floor(F.col("_bucket") / span))
+    whole = spans.groupBy("_span").agg(F.sum("n").alias("n")).select("_span", upto(Window.orderBy("_span")).alias("_start"))
+    within = spans.select("_span", "_bucket", upto(Window.partitionBy("_span").orderBy("_bucket")).alias("_in"))
+    return within.join(whole, "_span").select("_bucket", (F.col("_start") + F.col("_in")).alias("_base"))
 
 
 def freed(df: DataFrame) -> DataFrame:
@@ -50,21 +58,20 @@ def write_shards(df: DataFrame, path: str, shards: int = 8, bucket_rows: int = 2
 
     A bucket holds about ``bucket_rows`` rows and ``bucket_bytes`` bytes at most, so the number of buckets follows the input.
     A row is known by its content and its number among equal rows, so repeated rows and null keys each get a place of
-    their own; ``key`` comes first where a bucket is sorted before it is shuffled. A bucket's task writes its part of
-    every shard, so no task holds a shard.
+    their own and many equal rows are spread over the buckets. A bucket's task writes its part of every shard, so no task
+    holds a shard. No rows write an empty folder.
     """
     df = freed(df)
     total = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("b")).first()
     buckets = max(1, -(-total["n"] // bucket_rows), -(-total["b"] // bucket_bytes))
     names = [key, *(c for c in df.columns if c != key)]
-    rows = df.withColumn("_mark", F.xxhash64(F.lit(seed), *map(F.col, names)))
+    rows = df.withColumn("_mark", F.xxhash64(F.lit(seed), *(hashable(df, c) for c in names)))
     rows = numbered_copies(rows).withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), "_mark", "_copy"), F.lit(buckets)))
-    counts = rows.groupBy("_bucket").agg(F.count("*").alias("n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = materialize(counts.select("_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base")), "buckets")
-    scattered = rows.select("_bucket", F.struct("_mark", "_copy", *names).alias("_row")).repartition(buckets, "_bucket")
-    held = scattered.groupBy("_bucket").agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
-    mixed = held.select("_bucket", F.posexplode(F.shuffle("_rows", seed)).alias("_i", "_row")).join(F.broadcast(counts), "_bucket")
+    bases = materialize(bucket_bases(rows.groupBy("_bucket").agg(F.count("*").alias("n"))), "buckets")
+    # As many partitions as buckets, sorted: the shuffle's draws depend on a bucket's partition and on those before it there.
+    scattered = rows.select("_bucket", "_mark", "_copy", F.struct(*names).alias("_row")).repartition(buckets, "_bucket").sortWithinPartitions("_bucket", "_mark", "_copy")
+    held = scattered.groupBy("_bucket").agg(F.collect_list("_row").alias("_rows"))
+    mixed = held.select("_bucket", F.posexplode(F.shuffle("_rows", seed)).alias("_i", "_row")).join(small(bases), "_bucket")
     position = F.col("_base") + F.col("_i")
     out = mixed.select(*[F.col("_row")[c].alias(c) for c in df.columns], F.floor(position / shards).cast("long").alias("slot"), F.pmod(position, F.lit(shards)).cast("int").alias("shard"))
     out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -94,3 +94,36 @@ def test_written_shards_hold_repeated_rows_and_query_reads_them(spark, tmp_path)
         assert sorted(r.slot for r in got if r.shard == s) == list(range(len([r for r in got if r.shard == s])))
     plan = sharding.assign_shards(df, shards=4, bucket_rows=30)._jdf.queryExecution().toString()
     assert "shards-" in plan and "text" in plan
+
+
+def test_places_depend_on_seed_and_rows_only(spark):
+    rows = [(i, f"text {i}", {"a": i}) for i in range(600)] + [(None, "same", {"a": 1})] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>")
+    seen, held = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts, source in (("4", df.repartition(3)), ("7", df.repartition(11)), ("7", df.orderBy("text"))):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            out = sharding.assign_shards(source, shards=4, bucket_rows=25)
+            seen.append(sorted(((r.doc_id, r.text_crc32, r.shard, r.slot) for r in out.collect()), key=str))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert seen[0] == seen[1] == seen[2]
+    order = [r[0] for r in sorted(seen[0], key=lambda r: r[3] * 4 + r[2]) if r[0] is not None]
+    n = len(order)
+    inversions = sum(order[i] > order[j] for i in range(n) for j in range(i + 1, n)) / (n * (n - 1) / 2)
+    assert 0.4 < inversions < 0.6
+    assert sharding.assign_shards(df, shards=4, bucket_rows=25, seed=18).join(sharding.assign_shards(df, shards=4, bucket_rows=25), ["doc_id", "shard", "slot"]).count() < 30
+
+
+def test_many_equal_rows_are_spread_over_buckets(spark):
+    df = spark.range(20_000).selectExpr("cast(null as long) as doc_id", "'same' as text")
+    marked = df.withColumn("_mark", F.xxhash64("text"))
+    copies = sharding.numbered_copies(marked)
+    assert copies.select("_copy").distinct().count() == 20_000
+    dealt = copies.groupBy(F.pmod(F.xxhash64("_mark", "_copy"), F.lit(20))).count().agg(F.max("count")).first()[0]
+    assert dealt < 1_300
+    bases = sharding.bucket_bases(spark.range(2_500).selectExpr("id as _bucket", "id % 3 as n"), span=100)
+    total = 0
+    for r in bases.orderBy("_bucket").collect():
+        assert r._base == total
+        total += r._bucket % 3

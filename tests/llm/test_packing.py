@@ -74,7 +74,7 @@ def test_pack(spark):
 
 
 def test_slices_change_nothing(spark):
-    cut = spark.range(500).selectExpr("id as doc_id", "0 as piece", "0L as start", "cast(id % 7 + 1 as long) as length", "id as ids_crc32")
+    cut = spark.range(500).selectExpr("id as doc_id", "0 as piece", "0L as start", "cast(id % 7 + 1 as long) as length", "id as ids_crc32", "id as lane")
     for n in (7, 50_000):
         out = packing.assign(cut, 16, slice_rows=n).collect()
         slots = {(r.sequence_id, r.offset + i) for r in out for i in range(r.length)}
@@ -93,3 +93,10 @@ def test_sequences_can_be_built(spark):
     assert all(sorted(s) == list(range(len(s))) and len(s) <= 1024 for s in sequences.values())
     for i, t in texts.items():
         assert sum((docs[i][k] for k in sorted(docs[i])), []) == [*tok.encode(t, add_special_tokens=False).ids, 2]
+
+
+def test_equal_rows_without_keys_are_spread(spark):
+    df = spark.range(30_000).selectExpr("cast(null as long) as doc_id", "'alpha beta' as text", "id % 1 as lane")
+    out = packing.pack(df, PATH, capacity=16)
+    n, slots, bins = out.selectExpr("count(*)", "count(distinct sequence_id, offset)", "count(distinct sequence_id)").first()
+    assert n == slots == 30_000 and bins == -(-n // (16 // out.first().length))

@@ -118,3 +118,12 @@ def test_long_mixed_texts_are_linear():
     for text in [" " * 1_000_000, "a dot " * 100_000, "a at a dot " * 50_000, "x dot at " * 60_000, "one dot " * 60_000, "1 " * 200_000 + "one", "a%-" * 200_000 + " at b dot com", " at " * 100_000]:
         pii.disguised(text, pii.find(text))
     assert time.time() - start < 30
+
+
+def test_very_long_texts_take_seconds():
+    whole = time.time()
+    for text in [" " * 5_000_000, "\n" * 5_000_000, "a-" * 2_500_000, "a dot " * 800_000, "a-" * 40_000 + " dot ", ("(" + " " * 1000) * 3000, "[" * 3_000_000]:
+        start = time.time()
+        pii.disguised(text, pii.find(text))
+        assert time.time() - start < 5
+    assert time.time() - whole < 20
