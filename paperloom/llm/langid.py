@@ -47,7 +47,7 @@ class Trigrams:
 def train(docs: DataFrame, per_language: int = 400) -> tuple[list[str], np.ndarray]:
     """Languages and the log likelihood of each bucket under each, plus a last column for no language at all.
 
-    ``docs`` has (text, lang). Every label that occurs gets a model, fitted on a sample of about ``per_language`` whole
+    ``docs`` has (text, lang); null labels take no part, null texts count nothing, repeated rows count each. Every label that occurs gets a model, fitted on a sample of about ``per_language`` whole
     rows chosen by a hash of the row; a smaller class gives all its rows. Only bucket counts come to the driver.
     """
     sizes = docs.where("lang is not null").groupBy("lang").count().collect()
@@ -125,6 +125,22 @@ def plus(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + y)
 
 
+def attach(rows: DataFrame, table: DataFrame, key: str, hot: int = 1_000_000) -> DataFrame:
+    """``rows`` with the columns of ``table`` (key, values, _rows) but _rows; null where it lacks the key.
+
+    A table small in bytes is broadcast. A larger one is for the keys with over ``hot`` rows, so at most one in ``hot`` rows;
+    the others meet their rows in a shuffled join, and rows without a key go by.
+    """
+    held = table.drop("_rows")
+    if (ready := small(held)) is not held:
+        return rows.join(ready, key, "left")
+    often = F.broadcast(table.where(F.col("_rows") > hot).drop("_rows"))
+    empty = [F.lit(None).cast(held.schema[c].dataType).alias(c) for c in held.columns if c != key]
+    rest = rows.where(F.col(key).isNotNull()).join(often.select(key), key, "left_anti").join(held, key, "left")
+    none = rows.where(F.col(key).isNull()).select("*", *empty)
+    return rows.join(often, key).unionByName(rest).unionByName(none)
+
+
 def identify(docs: DataFrame, labelled: DataFrame, per_language: int = 400, temper: float = 0.3, trust: float = 0.9, suffix_trust: float = 0.7, kappa: float = 20.0, keep: float = 0.5, models: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
     """``docs`` without its text, with language, posterior, kept and text_language, one row for each of its rows.
 
@@ -149,10 +165,13 @@ def identify(docs: DataFrame, labelled: DataFrame, per_language: int = 400, temp
     base = [((x or 0.0) + 1 / size) / (total + 1) for x in whole]
     over = lambda c, parent: F.zip_with(c, parent, lambda x, p: (x + kappa * p) / (F.aggregate(c, F.lit(0.0), lambda a, y: a + y) + kappa))
     top = F.array(*[F.lit(float(x)) for x in base])
-    by_suffix = seen.where("suffix is not null").groupBy("suffix").agg(*sums).select("suffix", over(as_array, top).alias("_parent"))
-    by_host = seen.where("host is not null").groupBy("host").agg(F.max("suffix").alias("suffix"), *sums)
-    by_host = by_host.join(by_suffix, "suffix", "left").select("host", over(as_array, F.coalesce("_parent", top)).alias("_prior"))
-    rows = rows.join(by_host, "host", "left").join(by_suffix, "suffix", "left")
+    counted = [*sums, F.count("*").alias("_rows")]
+    by_suffix = seen.where("suffix is not null").groupBy("suffix").agg(*counted).select("suffix", over(as_array, top).alias("_parent"), "_rows")
+    by_suffix = materialize(by_suffix, "suffixes")
+    by_host = seen.where("host is not null").groupBy("host").agg(F.max("suffix").alias("suffix"), *counted)
+    by_host = by_host.join(small(by_suffix.drop("_rows")), "suffix", "left").select("host", over(as_array, F.coalesce("_parent", top)).alias("_prior"), "_rows")
+    by_host = materialize(by_host, "hosts")
+    rows = attach(attach(rows, by_host, "host"), by_suffix, "suffix")
     prior = F.transform(F.coalesce("_prior", "_parent", top), lambda p: F.log(F.greatest(p, F.lit(1e-9))))
     tags = F.create_map(*[F.lit(x) for kv in SUFFIX_LANGUAGE.items() for x in kv])
     spoken = F.try_element_at(tags, F.coalesce("suffix", F.lit("")))
@@ -166,30 +185,32 @@ def identify(docs: DataFrame, labelled: DataFrame, per_language: int = 400, temp
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
-    """(page_id, text, declared, host, suffix) of raw pages (page_id, url, html): declared is the html element's lang."""
+    """(page_id, text, declared, host, suffix) of raw pages (page_id, url, html): declared is the html element's lang.
+
+    A null html has no text and declares nothing, a null url or one without host gives no host and suffix; rows stay as
+    they are, other columns are ignored.
+    """
     body = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
     host = F.lower(F.regexp_extract("url", r"^[^:/?#]*://([^/?#:]*)", 1))
     return pages.select("page_id", body.alias("text"), F.nullif(F.regexp_extract("html", r"(?i)<html[^>]*\blang\s*=\s*[\"']?([A-Za-z]{2})", 1), F.lit("")).alias("declared"), F.nullif(host, F.lit("")).alias("host"), F.nullif(F.regexp_extract(host, r"\.([a-z]+)$", 1), F.lit("")).alias("suffix"))
 
 
 def document_evidence(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, text, declared, host, suffix) of documents (lang, source): the lang column is the declared language, the source the host."""
-    suffix = F.nullif(F.regexp_extract("source", r"\.([a-z]+)$", 1), F.lit(""))
-    return docs.select(F.col(key).alias(key), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("declared"), F.col("source").cast("string").alias("host"), suffix.alias("suffix"))
+    """(key, text, declared, host, suffix) of documents (text, source): the source is the host.
 
-
-def label_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, language, posterior, declared, text_language, kept) of every document; see `identify`."""
-    labelled = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    return identify(document_evidence(docs), labelled).select("doc_id", "language", "posterior", "declared", "text_language", "kept")
+    Documents have no markup, so nothing is declared; their lang column only labels rows for `train`. Nulls stay null.
+    """
+    source = F.col("source").cast("string")
+    suffix = F.nullif(F.regexp_extract(source, r"\.([a-z]+)$", 1), F.lit(""))
+    return docs.select(F.col(key).alias(key), F.col("text").cast("string").alias("text"), F.lit(None).cast("string").alias("declared"), source.alias("host"), suffix.alias("suffix"))
 
 
 def label_all(docs: DataFrame, pages: DataFrame) -> DataFrame:
     """(table, doc_id, page_id, language, posterior, declared, text_language, kept) of every document and every page; see `identify`.
 
-    The models are fitted on the documents; page_id is null for documents and doc_id for pages. Documents can supply the
-    declared language (their lang) and the host (their source), and a suffix only where the source has one; pages supply
-    the html element's lang, host and suffix.
+    The models are fitted on the labelled documents; page_id is null for documents and doc_id for pages. Documents supply
+    the host (their source), and a suffix where the source has one; pages supply the html element's lang, host and
+    suffix. Null ids, texts and urls stay as rows; empty tables give no rows; other columns are ignored.
     """
     labelled = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     models = train(labelled)
@@ -200,8 +221,14 @@ def label_all(docs: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language `identify` finds; columns stay. Only the rejected rows' marks are joined back."""
-    mark = F.xxhash64(*[F.col(c) for c in docs.columns])
-    scored = identify(document_evidence(docs.withColumn("_mark", mark), "_mark"), docs.select("text", "lang"))
-    gone = materialize(scored.where(~F.col("kept")).select("_mark").distinct(), "rejected")
-    return docs.withColumn("_mark", mark).join(small(gone), "_mark", "left_anti").drop("_mark")
+    """The rows of ``docs`` (text, lang, source and others) whose language `identify` finds; columns stay.
+
+    A row's verdict depends on its text and source alone, so rejected rows are matched by two hashes of these: rows that
+    repeat go or stay together. Null, empty and letterless texts go. Columns of any type and name are carried.
+    """
+    text, source = docs["text"].cast("string"), docs["source"].cast("string")
+    marks = [F.xxhash64(F.lit(i), text.isNull(), text, source) for i in (1, 2)]
+    asked = document_evidence(docs.select("text", "source", F.struct(*(m.alias(n) for m, n in zip(marks, "ab", strict=True))).alias("mark")), "mark")
+    scored = identify(asked, docs.select(text.alias("text"), docs["lang"].cast("string").alias("lang")))
+    gone = small(materialize(scored.where(~F.col("kept")).select("mark.a", "mark.b").distinct(), "rejected"))
+    return docs.join(gone, (marks[0] == gone["a"]) & (marks[1] == gone["b"]), "left_anti")
