@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def components_of(df: DataFrame, name: str) -> Column:
+    """The array column ``name`` as it is where it holds floats, else in doubles, so no component loses digits."""
+    return F.col(name) if df.schema[name].dataType.simpleString() == "array<float>" else F.col(name).cast("array<double>")
+
+
 def usable(vec: Column) -> Column:
     """True for a vector that is not null, not zero and holds only finite components."""
     finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) != F.lit(float("inf"))))

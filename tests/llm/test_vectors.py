@@ -52,7 +52,7 @@ def test_search_empty(spark):
 
 def test_link_matches_brute_force(spark):
     rows = odd_rows(np.random.default_rng(2))
-    for tile in (2000, 7):
+    for tile in (8000, 7):
         df = spark.createDataFrame(rows, SCHEMA).repartition(5)
         got = {r.vec_id: r for r in neardup_vectors.link(df, threshold=0.98, tile=tile).collect()}
         adj = {r[0]: set() for r in rows}
@@ -73,3 +73,33 @@ def test_link_matches_brute_force(spark):
 
 def test_link_empty(spark):
     assert neardup_vectors.link(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_blocks_meet_fewer_pairs_than_labels_hold(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    reps = neardup_vectors.classes(df).where("ok").selectExpr("vec_id as node", "1L as mult", "label", "size(embedding) as dim", "embedding")
+    met = []
+    rows = neardup_vectors.tiles(reps, 0.98, 8000).orderBy("tile").toArrow()
+    assert rows.num_rows <= 12 * df.count()
+    list(neardup_vectors._find(0.98, met)(iter(rows.to_batches())))
+    within = sum(r["count"] * (r["count"] - 1) // 2 for r in df.groupBy("label").count().collect())
+    assert sum(met) < within
+
+
+def test_near_pairs_finds_each_pair_once():
+    rng = np.random.default_rng(8)
+    x = rng.integers(-4000, 4000, (300, 8))
+    x[100:200] = x[:100] + rng.integers(-300, 300, (100, 8))
+    group, reach = rng.integers(0, 3, 300), np.full(300, 2263)
+    group[100:200] = group[:100]
+    got = [tuple(sorted(p)) for i, j in neardup_vectors.near_pairs(group, x, reach, np.zeros(300, np.int64), step=50) for p in zip(i.tolist(), j.tolist())]
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if group[i] == group[j] and ((x[i] - x[j]) ** 2).sum() <= 2263**2}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 90
+
+
+def test_link_in_double_precision(spark):
+    a, b = [1.0, 0.0], [0.98, (1 - 0.98**2) ** 0.5]
+    over = [[1e300, 1e-300], [1e300 * 0.999, 1e298]]
+    rows = [(1, a, "x"), (2, b, "x"), (3, [v * 1e-200 for v in b], "x"), (4, over[0], "y"), (5, over[1], "y")]
+    got = {r.vec_id: r.n_links for r in neardup_vectors.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got[4] == got[5] == 1 and got[2] >= 1
