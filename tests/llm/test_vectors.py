@@ -103,3 +103,40 @@ def test_link_in_double_precision(spark):
     rows = [(1, a, "x"), (2, b, "x"), (3, [v * 1e-200 for v in b], "x"), (4, over[0], "y"), (5, over[1], "y")]
     got = {r.vec_id: r.n_links for r in neardup_vectors.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
     assert got[4] == got[5] == 1 and got[2] >= 1
+
+
+def test_search_blocks_chunks_and_doubles(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(70).tolist()) for i in range(900)] + [(None, [1.0] * 70), (7, [1.0] * 70), (2000, [1e300, 1e299]), (2050, [1.0, 0.1000001])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    asked = df.where("vec_id % 50 = 0")
+    index = ann.build_index(df)
+    plain = sorted(map(tuple, ann.search(index, asked, eps=50.0).collect()))
+    assert sorted(map(tuple, ann.search(index, asked, eps=50.0, held_bytes=70 * 8 * 100, block=4).collect())) == plain
+    got = {(q, r): (v, s) for q, r, v, s in plain}
+    for q in range(0, 900, 50):
+        want = sorted((-cosine(rows[q][1], v), i) for i, v in rows if i is not None and i != q and len(v) == 70)[:5]
+        assert [got[q, r + 1][0] for r in range(5)] == [i for _, i in want]
+        assert all(abs(got[q, r + 1][1] + s) < 1e-12 for r, (s, _) in enumerate(want))
+    assert got[2000, 1][0] == 2050 and abs(got[2000, 1][1] - cosine([1.0, 0.1], [1.0, 0.1000001])) < 1e-12
+
+
+def test_recall_and_savings_on_embeddings(spark):
+    t = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    x, ids = np.array([r.embedding for r in t.collect()], float), np.array([r.vec_id for r in t.select("vec_id").collect()])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = {}
+    for r in ann.search(ann.build_index(t), t.where("vec_id % 50 = 0")).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = total = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        c = u @ u[q]
+        c[q] = -2
+        hits += len(found[ids[q]] & set(ids[np.argsort(-c)[:5]].tolist()))
+        total += 5
+    assert hits / total >= 0.95
+    r = x @ ann.rotation(64, 7)
+    codes = ann.Codes(ids, np.packbits(r > 0, axis=1), np.abs(r).sum(axis=1) / 8 / np.linalg.norm(x, axis=1), x)
+    met = []
+    codes.nearest(ids[:40], x[:40], 5, 1.6, 7, met)
+    assert sum(met[1::2]) < 0.3 * sum(met[0::2])
