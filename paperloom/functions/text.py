@@ -18,20 +18,25 @@ LEGAL_TERMS = (
     "contrato", "cláusula", "título", "livro", "parte", "subseção", "anexo", "considerando", "diante do exposto", "tese", "mérito",
     "pedido", "defesa", "recurso", "sentença", "acórdão", "decisão", "voto", "relatório",
 )
-BOILERPLATE = r"^Continue from your last visit|^(FULLSCREEN|COPY LINK|CONTINUE READING|LINK)$|^[0-9]+\s*/\s*[0-9]+$|^[Pp][Aa][Gg][Ee]\s+[0-9]+\s+[Oo][Ff]\s+[0-9]+$"
+BOILERPLATE = r"^Continue from your last visit|^(FULLSCREEN|COPY LINK|CONTINUE READING|LINK)$|^[0-9]+\s*/\s*[0-9]+$|^(?i:page)\s+[0-9]+\s+(?i:of)\s+[0-9]+$"
+#: Accented letters stand in both cases, since the engines fold only ASCII under (?i:).
+PAGE_LABEL = r"^\s*(?i:p[aáÁ]gina|p[aáÁ]g\.?|fl\.?|folha|page|p\.)\s*[0-9]+"
 SUPERS, SUBS = "⁰¹²³⁴⁵⁶⁷⁸⁹", "₀₁₂₃₄₅₆₇₈₉"
 ANAPHORA = (
-    "este esta estes estas esse essa esses essas aquele aquela aqueles aquelas seu sua seus suas lhe lhes o a os as mesmo mesma mesmos "
-    "mesmas tal tais cujo cuja cujos cujas"
-).split()
+    "este", "esta", "estes", "estas", "esse", "essa", "esses", "essas", "aquele", "aquela", "aqueles", "aquelas", "seu", "sua", "seus", "suas",
+    "lhe", "lhes", "o", "a", "os", "as", "mesmo", "mesma", "mesmos", "mesmas", "tal", "tais", "cujo", "cuja", "cujos", "cujas",
+)
 PARTIES = (
-    "apelante apelado recorrente recorrido reclamante reclamado autor réu requirente requerido embargante embargado exequente executado "
-    "impetrante impetrado agravante agravado"
-).split()
+    "apelante", "apelado", "recorrente", "recorrido", "reclamante", "reclamado", "autor", "réu", "requirente", "requerido", "embargante",
+    "embargado", "exequente", "executado", "impetrante", "impetrado", "agravante", "agravado",
+)
 LOOKING_BACK = (
     "diante do exposto", "ante o exposto", "isto posto", "nesse sentido", "dessa forma", "desse modo", "assim sendo", "portanto", "contudo",
     "todavia", "no entanto", "entretanto", "por fim", "ademais",
 )
+#: Openings of headings in legal texts, for the features of a unit, and headings that a page adds and no author wrote.
+LEGAL_OPENINGS = ("capítulo", "título", "art.", "seção", "subseção", "livro", "parte")
+BOILERPLATE_HEADINGS = ("fullscreen", "copy link", "continue reading", "link", "continue from your last visit")
 LETTER = "a-zA-ZáàâãéèêíïóôõöúçñÁÀÂÃÉÈÊÍÏÓÔÕÖÚÇÑ"
 
 
@@ -143,7 +148,7 @@ def is_short_caps(c: Column) -> Column:
 
 
 def is_page_label(c: Column) -> Column:
-    return c.rlike(r"^\s*[0-9]+\s*$") | c.rlike(r"^\s*([Pp][AaÁá][Gg][Ii][Nn][Aa]|[Pp][AaÁá][Gg]\.?|[Ff][Ll]\.?|[Ff][Oo][Ll][Hh][Aa]|[Pp][Aa][Gg][Ee]|[Pp]\.)\s*[0-9]+")
+    return c.rlike(r"^\s*[0-9]+\s*$") | c.rlike(PAGE_LABEL)
 
 
 def is_chapter_like(c: Column) -> Column:
@@ -167,7 +172,7 @@ def legal_ratio(c: Column) -> Column:
     return F.size(F.filter(w, lambda x: x.isin(*LEGAL_TERMS))) / F.greatest(F.size(w), F.lit(1))
 
 
-def matches(c: Column, words: list[str]) -> Column:
+def matches(c: Column, words: tuple[str, ...]) -> Column:
     """The words of ``c`` (runs of letters, lower-cased) that are in ``words``."""
     return F.filter(F.split(F.lower(c), "[^a-zà-öø-ÿ0-9_]+"), lambda w: w.isin(*words))
 

@@ -228,6 +228,27 @@ def footnotes(blocks: DataFrame) -> DataFrame:
     return blocks.where(t.rlike(r"^\[[0-9]+\]\s+|^[0-9]+\.\s{2,}") & (F.length(t) < 300))
 
 
+def authored_sections(blocks: DataFrame) -> DataFrame:
+    """(doc_id, section, heading, page, char_count, block_count) as `sections` gives them, but those that a boilerplate heading opens and
+    blocks before the first heading are left out."""
+    heading = F.col("is_heading") | (F.col("layout_type") == "heading")
+    return sections(blocks, heading).where((F.col("section") > 0) & ~F.lower("heading").isin(*T.BOILERPLATE_HEADINGS))
+
+
+def layout_features(blocks: DataFrame) -> DataFrame:
+    """(doc_id, block_no and nine features): size and its ratio to the median, case, length, marks, height on the page, repetition."""
+    t = T.strip(F.col("text"))
+    body, page_h = F.median("font_size").over(_doc()), F.max("y1").over(_page())
+    rep = repeated_texts(blocks).select("doc_id", F.col("text").alias("_t"), F.lit(True).alias("_rep"))
+    rows = blocks.withColumn("_t", t).withColumn("_ratio", F.when(body > 0, F.col("font_size") / body).otherwise(1.0)).withColumn("_y", F.when(page_h > 0, F.col("y0") / page_h).otherwise(0.5))
+    rows, t = rows.join(rep, ["doc_id", "_t"], "left"), F.col("_t")
+    caps = (F.length(t) > 1) & t.rlike("[A-Za-zÀ-ÖØ-öø-ÿ]") & ~t.rlike("[a-zß-öø-ÿ]")
+    return rows.select(
+        "doc_id", "block_no", "font_size", F.col("_ratio").alias("font_size_ratio"), caps.alias("is_all_caps"), (F.length(t) < 20).alias("is_short"), t.rlike("^[0-9]").alias("starts_with_number"),
+        t.rlike("[.!?:;]$").alias("ends_with_punctuation"), t.rlike("^[0-9]+$").alias("is_number"), F.col("_y").alias("relative_y"), F.coalesce("_rep", F.lit(False)).alias("is_repeated"),
+    )
+
+
 def scores(blocks: DataFrame) -> DataFrame:
     """(doc_id, block_no, label, noise): additive rule scores over size, case, punctuation, place and repetition."""
     page_h = F.max("y1").over(Window.partitionBy("doc_id", "page"))

@@ -6,8 +6,10 @@ array; only the change-point search runs in Python, one document at a time.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,13 +75,8 @@ def numbered(chunks: DataFrame, order: list[str]) -> DataFrame:
 
 
 def semantic_chunks(blocks: DataFrame, size: int = 2000) -> DataFrame:
-    """(doc_id, index, text, page, section, heading, tokens, depth, start_char, end_char) from classified blocks."""
-    s = section_texts(blocks)
-    one = F.array(F.struct(F.col("text"), T.token_count(F.col("text")).alias("tokens")))
-    s = s.select("doc_id", "section", "heading", "depth", "page", F.posexplode(F.when(T.token_count(F.col("text")) <= size, one).otherwise(greedy_pack(F.col("text"), size))).alias("k", "c"))
-    s = s.select("doc_id", F.col("section").alias("s"), "k", "heading", "depth", "page", "c.text", "c.tokens")
-    out = numbered(s, ["s", "k"])
-    return out.select("doc_id", "index", "text", "page", F.col("heading").alias("section"), "heading", "tokens", "depth", "start_char", "end_char")
+    """Chunks of classified blocks by section, as `packed` gives them."""
+    return packed(section_texts(blocks), "section", size)
 
 
 def fallback_chunks(texts: DataFrame, size: int, overlap: int) -> DataFrame:
@@ -104,7 +101,7 @@ def fallback_chunks(texts: DataFrame, size: int, overlap: int) -> DataFrame:
 
 
 def merge_tiny(chunks: DataFrame, least: int = 50) -> DataFrame:
-    """Chunks below ``least`` tokens joined with the next one, pair by pair.
+    """Chunks below ``least`` tokens joined with the next one, pair by pair; page and depth are the first's, headings the first's that has one.
 
     A run of small chunks always starts at a pair's head, so the odd places of a run are the heads.
     """
@@ -116,28 +113,61 @@ def merge_tiny(chunks: DataFrame, least: int = 50) -> DataFrame:
     c = c.withColumn("taken", F.coalesce(F.lag("head").over(w), F.lit(False)))
     nxt = lambda n: F.lead(n).over(w)
     text = F.when(F.col("head"), F.concat("text", F.lit("\n\n"), nxt("text"))).otherwise(F.col("text"))
-    c = c.withColumn("text2", text).withColumn("heading2", F.when(F.col("head"), F.coalesce("heading", nxt("heading"))).otherwise(F.col("heading")))
-    return c.where("not taken").select("doc_id", "index", F.col("text2").alias("text"), F.col("heading2").alias("heading"), F.when(F.col("head"), T.token_count(F.col("text2"))).otherwise(F.col("tokens")).alias("tokens"))
+    named = [n for n in ("heading", "section") if n in chunks.columns]
+    c = c.withColumns({"text2": text} | {f"{n}2": F.when(F.col("head"), F.coalesce(n, nxt(n))).otherwise(F.col(n)) for n in named})
+    rest = [n for n in ("page", "depth") if n in chunks.columns]
+    return c.where("not taken").select("doc_id", "index", F.col("text2").alias("text"), *(F.col(f"{n}2").alias(n) for n in named), *rest, F.when(F.col("head"), T.token_count(F.col("text2"))).otherwise(F.col("tokens")).alias("tokens"))
 
 
 def dedup_adjacent(chunks: DataFrame, least: int = 50) -> DataFrame:
-    """(doc_id, k, text): each chunk against the last one kept: contained ones go, the longer stays, and repeated short lines go."""
-    state = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("last"))
+    """(doc_id, k, text, tokens and other columns): each chunk against the last one kept.
+
+    Contained ones go and the longer stays; of others the short lines that the last one has go, and the whole chunk where
+    under 30 % of its lines or ``least`` tokens would be left.
+    """
+    rest = [c for c in chunks.columns if c not in ("doc_id", "index", "text")]
+    held = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("index", "text", *rest))).alias("c"))
+    kind = held.schema["c"].dataType.elementType.simpleString()
+    state = F.struct(F.array().cast(f"array<{kind}>").alias("out"), F.lit(None).cast(kind).alias("last"))
 
     def step(a: Column, c: Column) -> Column:
-        prev, cur = a["last"], c["text"]
-        put = lambda x: F.struct(F.array_append(a["out"], prev).alias("out"), x.alias("last"))
+        prev, cur = a["last"]["text"], c["text"]
         old, lines = F.split(prev, "\n"), F.split(cur, "\n")
         new = F.filter(lines, lambda x: ~F.array_contains(old, x) | (F.length(T.strip(x)) > 80))
         text = F.array_join(new, "\n")
+        fields = {"text": text} | ({"tokens": T.token_count(text)} if "tokens" in rest else {})
+        thinned = F.struct(*(fields.get(n, c[n]).alias(n) for n in ("index", "text", *rest)))
         inside = prev.contains(cur) | cur.contains(prev)
-        longer = F.struct(a["out"].alias("out"), F.when(F.length(cur) > F.length(prev), cur).otherwise(prev).alias("last"))
+        longer = F.struct(a["out"].alias("out"), F.when(F.length(cur) > F.length(prev), c).otherwise(a["last"]).alias("last"))
         drop = (F.size(new) < F.size(lines) * 0.3) | (T.token_count(text) < least)
-        return F.when(prev.isNull(), F.struct(a["out"].alias("out"), cur.alias("last"))).when(inside, longer).when(drop, a).otherwise(put(text))
+        put = F.struct(F.array_append(a["out"], a["last"]).alias("out"), thinned.alias("last"))
+        return F.when(a["last"].isNull(), F.struct(a["out"].alias("out"), c.alias("last"))).when(inside, longer).when(drop, a).otherwise(put)
 
-    held = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("index", "text"))).alias("c"))
     kept = F.aggregate("c", state, step, lambda a: F.when(a["last"].isNotNull(), F.array_append(a["out"], a["last"])).otherwise(a["out"]))
-    return held.select("doc_id", F.posexplode(kept).alias("k", "text"))
+    out = held.select("doc_id", F.posexplode(kept).alias("k", "c"))
+    return out.select("doc_id", "k", "c.text", *(F.col("c")[n].alias(n) for n in rest))
+
+
+def postprocess(chunks: DataFrame, least: int = 50) -> DataFrame:
+    """What every chunker ends with: tiny chunks merged, repeats of the one before dropped, then those of mere formatting, numbers anew.
+
+    ``chunks`` has doc_id, index, text, tokens and any of page, heading, section and depth, which stay.
+    """
+    kept = dedup_adjacent(merge_tiny(chunks, least), least).where(~T.mostly_formatting(F.col("text")))
+    rest = [c for c in kept.columns if c not in ("doc_id", "k", "text", "tokens")]
+    return numbered(kept, ["k"]).select("doc_id", "index", "text", *rest, "tokens", "start_char", "end_char")
+
+
+def packed(parts: DataFrame, order: str, size: int) -> DataFrame:
+    """(doc_id, index, text, page, section, heading, tokens, depth, start_char, end_char) of ``parts`` (doc_id, order, text, heading, depth, page).
+
+    A part over ``size`` tokens is packed by paragraphs; blank ones go.
+    """
+    s = parts.withColumn("text", T.strip(F.col("text"))).where("text <> ''")
+    one = F.array(F.struct(F.col("text"), T.token_count(F.col("text")).alias("tokens")))
+    s = s.select("doc_id", F.col(order).alias("s"), "heading", "depth", "page", F.posexplode(F.when(T.token_count(F.col("text")) <= size, one).otherwise(greedy_pack(F.col("text"), size))).alias("k", "c"))
+    s = s.select("doc_id", "s", "k", "heading", "depth", "page", "c.text", "c.tokens")
+    return numbered(s, ["s", "k"]).select("doc_id", "index", "text", "page", F.col("heading").alias("section"), "heading", "tokens", "depth", "start_char", "end_char")
 
 
 def islands(rows: DataFrame, starts: Column, order: str, **also: Column) -> DataFrame:
@@ -153,14 +183,24 @@ def merge_short(segments: DataFrame, order: str = "seg_no") -> DataFrame:
     before = Window.partitionBy("doc_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     big = F.last(F.when(F.col("n") >= 10, F.col("n")), ignorenulls=True).over(before)
     rows = rows.withColumn("starts", ~((F.col("n") < 10) & (F.coalesce(big, F.lit(0)) > 30)))
-    return islands(rows, F.col("starts"), order)
+    carried = {"depth": F.max("depth"), "heading": F.min_by("heading", F.when(F.col("heading").isNotNull(), F.col(order))), "page": F.min_by("page", order)}
+    return islands(rows, F.col("starts"), order, **{n: c for n, c in carried.items() if n in segments.columns})
+
+
+def at_risk(segments: DataFrame, order: str = "seg_no", names: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``segments`` with at_risk: not the first, refers back (pronoun, article or retrospective opening), and nothing to refer to before.
+
+    ``names`` tells whether a text, the first 200 characters of the segment before, names something; without it none does.
+    """
+    back = (F.size(T.matches(F.col("text"), T.ANAPHORA)) > 0) | T.starts_looking_back(F.col("text"))
+    prev = F.lag("text").over(_in(order))
+    known = F.coalesce(names(F.substring(prev, 1, 200)), F.lit(False)) if names else F.lit(False)
+    return segments.withColumn("_prev", prev).withColumn("_known", known).withColumn("at_risk", F.col("_prev").isNotNull() & back & ~F.col("_known")).drop("_prev", "_known")
 
 
-def merge_anaphoric(segments: DataFrame, order: str = "seg_no") -> DataFrame:
-    """Segments that refer back (pronoun, article or retrospective opening) joined to the one before; depth is the largest."""
-    risk = (F.size(T.matches(F.col("text"), T.ANAPHORA)) > 0) | T.starts_looking_back(F.col("text"))
-    first = F.row_number().over(_in(order)) == 1
-    rows = segments.withColumn("starts", first | ~risk)
+def merge_anaphoric(segments: DataFrame, order: str = "seg_no", names: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Segments at risk of losing what they refer to (see `at_risk`) joined to the one before; depth is the largest."""
+    rows = at_risk(segments, order, names).withColumn("starts", ~F.col("at_risk")).drop("at_risk")
     return islands(rows, F.col("starts"), order, depth=F.max("depth"), heading=F.min_by("heading", F.when(F.col("heading").isNotNull(), F.col(order))), page=F.min_by("page", order))
 
 
@@ -202,7 +242,7 @@ def wasserstein_cost(x: np.ndarray, n: int, least: int = 3) -> float:
         mass = np.maximum(mass / (mass.sum() + 1e-10), 1e-10)
         halves.append((np.arange(len(part)) / len(part), mass / mass.sum()))
     at = np.unique(np.concatenate([h[0] for h in halves]))
-    cdf = [np.array([w[p <= t].sum() for t in at]) for p, w in halves]
+    cdf = [np.append(0.0, np.cumsum(w))[np.searchsorted(p, at, "right")] for p, w in halves]
     return float((np.abs(cdf[0] - cdf[1])[:-1] * np.diff(at)).sum() * (1 + 10 * len(x) / max(n, 1)))
 
 
@@ -229,22 +269,152 @@ def pelt(x: np.ndarray, penalty: float, least: int = 5) -> list[int]:
     return sorted(ends)
 
 
-def change_points(units: DataFrame, features: list[str], max_segments: int = 100) -> DataFrame:
-    """(doc_id, seg_no, text, n_units): runs of units (doc_id, unit_no, text, features) between changes of their features."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("unit_no")
-        x, n = pdf[features].to_numpy(float), len(pdf)
-        ends = [n]
-        if n >= 5:
-            penalty = n * 0.02
-            ends = pelt(x, penalty)
-            if len(ends) > max_segments:
-                ends = pelt(x, penalty * 2)
-            elif len(ends) < 3:
-                ends = pelt(x, penalty * 0.3)
-        cuts = sorted({0, n, *ends})
-        rows = [(key[0], k, " ".join(pdf.text.iloc[a:b]), b - a) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-        return pd.DataFrame(rows, columns=["doc_id", "seg_no", "text", "n_units"])
-
-    return units.groupBy("doc_id").applyInPandas(run, "doc_id long, seg_no int, text string, n_units int")
+def search(x: np.ndarray, penalty: float, least: int, cost) -> list[int]:
+    """As `pelt`, for a cost of windows of ``x`` in place of the squared deviation: cost(window, number of all rows)."""
+    n = len(x)
+    best, back, open_ = np.full(n + 1, np.inf), np.zeros(n + 1, int), [0]
+    best[0] = -penalty
+    for t in range(least, n + 1):
+        starts = [s for s in open_ if t - s >= least and best[s] < np.inf]
+        if not starts:
+            continue
+        total = [best[s] + cost(x[s:t], n) + penalty for s in starts]
+        k = int(np.argmin(total))
+        best[t], back[t] = total[k], starts[k]
+        gone = {s for s, c in zip(starts, total, strict=True) if c - penalty > best[t]}
+        open_ = [s for s in open_ if s not in gone] + [t]
+    ends, t = [], n
+    while t > 0 and best[t] < np.inf:
+        ends.append(t)
+        t = back[t]
+    return sorted(ends)
+
+
+#: Costs of a window that change points can be searched with, by name; None is the squared deviation in closed form.
+COSTS = {"l2": None, "wasserstein": wasserstein_cost}
+
+
+def cut_units(x: np.ndarray, max_segments: int, cost=None, penalty: float | None = None) -> list[int]:
+    """0, the change points and the number of rows of ``x``: searched again at twice the penalty if there are too many, at 0.3 of it if under three."""
+    n = len(x)
+    if n < 5:
+        return [0, n]
+    find = (lambda p: pelt(x, p)) if cost is None else (lambda p: search(x, p, 5, cost))
+    ends = find(penalty or n * 0.02)
+    if len(ends) > max_segments:
+        ends = find((penalty or n * 0.02) * 2)
+    elif len(ends) < 3 and penalty is None:
+        ends = find(n * 0.02 * 0.3)
+    return sorted({0, n, *ends})
+
+
+def confidence(x: np.ndarray, cuts: list[int], i: int) -> float:
+    """1 for the first and last segment, else 1 / (1 + mean variance of the segment's features) within 0.1 and 1."""
+    if i == 0 or i >= len(cuts) - 2:
+        return 1.0
+    part = x[cuts[i] : cuts[i + 1]]
+    return float(min(1.0, max(0.1, 1 / (1 + part.var(axis=0).mean())))) if len(part) >= 2 else 0.8
+
+
+def by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each document of batches sorted by doc_id."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        ids = batch["doc_id"].to_numpy(zero_copy_only=False)
+        cut = (np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist()
+        for lo, hi in zip([0, *cut], [*cut, len(ids)], strict=True):
+            if lo == hi:
+                continue
+            if held and held[-1]["doc_id"][0] != batch["doc_id"][lo]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def change_points(units: DataFrame, max_segments: int = 100, cost: str | Callable = "l2", penalty: float | None = None) -> DataFrame:
+    """(doc_id, seg_no, text, n_units, confidence): runs of units (doc_id, unit_no, text, features) between changes of their features.
+
+    ``cost`` is a name in COSTS or a function of a window's features and the number of all rows. Documents are hashed to
+    tasks and sorted, and a task holds one document's units at a time.
+    """
+    score = COSTS[cost] if isinstance(cost, str) else cost
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc in by_document(batches):
+            x = np.array(doc["features"].to_pylist(), float)
+            text, cuts = doc["text"].to_pylist(), cut_units(x, max_segments, score, penalty)
+            n = len(cuts) - 1
+            yield pa.RecordBatch.from_arrays(
+                [doc["doc_id"].combine_chunks().slice(0, 1).take(pa.array([0] * n)), pa.array(range(n), pa.int32()), pa.array([" ".join(text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]), pa.array(np.diff(cuts).astype(np.int32)), pa.array([confidence(x, cuts, i) for i in range(n)], pa.float64())],
+                names=["doc_id", "seg_no", "text", "n_units", "confidence"],
+            )
+
+    rows = units.select("doc_id", "unit_no", "text", "features").repartition("doc_id").sortWithinPartitions("doc_id", "unit_no")
+    return rows.mapInArrow(run, f"doc_id {units.schema['doc_id'].dataType.simpleString()}, seg_no int, text string, n_units int, confidence double")
+
+
+BUCKETS = 68
+
+
+def units_of(texts: DataFrame) -> DataFrame:
+    """(doc_id, unit_no, text): the stripped lines of ``texts`` that start with ``#`` or have over 20 characters."""
+    rows = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("unit_no", "text")).withColumn("text", T.strip(F.col("text")))
+    return rows.where(F.col("text").startswith("#") | (F.length("text") > 20))
+
+
+def word_bucket(word: Column) -> Column:
+    """A word's bucket of 68, by a hash that is the same everywhere."""
+    return F.conv(F.substring(F.md5(word), 1, 7), 16, 10).cast("int") % BUCKETS
+
+
+def unit_ratios(t: Column) -> list[Column]:
+    """Ten features of a unit: length, words, legal words, digits, marks, legal opening, words again, punctuation, number."""
+    words = T.words_of(t)
+    share = lambda p: F.length(F.regexp_replace(t, p, "")) / F.greatest(F.length(t), F.lit(1))
+    flag = lambda c: F.when(c, 1.0).otherwise(0.0)
+    opens = F.lower(t).rlike("^(" + "|".join(x.replace(".", r"\.") for x in T.LEGAL_OPENINGS) + ")")
+    return [
+        F.length(t) / 500, F.size(words) / 100, T.legal_ratio(t), share("[^0-9]"), flag(t.startswith("#")), flag(t.rlike("^(##|# )")), flag(opens),
+        F.least(F.greatest(F.size(words), F.lit(1)), F.lit(100)) / 100, share("[^.,;:!?]"), flag(t.rlike(r"^[0-9.]+\s")),
+    ]
+
+
+def unit_features(units: DataFrame) -> DataFrame:
+    """``units`` with ``features``: the ten of `unit_ratios`, two zeros, and how often each bucket of words occurs in the first 25 words."""
+    hashed = F.transform(F.slice(T.words_of(F.col("text")), 1, 25), word_bucket)
+    counts = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.size(F.filter("_words", lambda w: w == b)).cast("double"))
+    rows = units.withColumn("_words", hashed)
+    return rows.withColumn("features", F.concat(F.array(*unit_ratios(F.col("text")), F.lit(0.0), F.lit(0.0)), counts)).drop("_words")
+
+
+def with_depth(segments: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``segments`` (doc_id, seg_no, text) with depth: the level of the first heading block within the first line, else by its mark or number."""
+    first = F.substring_index("text", "\n", 1)
+    heads = blocks.where("is_heading").select("doc_id", "block_no", T.strip(F.col("text")).alias("_t"), F.coalesce("heading_level", F.lit(1)).alias("_level"))
+    met = segments.select("doc_id", "seg_no", first.alias("_first")).join(heads, "doc_id").where(F.col("_first").contains(F.col("_t")))
+    met = met.groupBy("doc_id", "seg_no").agg(F.min_by("_level", "block_no").alias("_level"))
+    x = F.col("text")
+    marked = F.length(F.regexp_extract(x, r"^(#{1,6})\s", 1))
+    rule = F.when(marked > 0, marked).when(F.upper(x).rlike(r"^(CAPÍTULO|TÍTULO|LIVRO|PARTE|SEÇÃO)\s"), 1).when(x.rlike(r"^[0-9]+\.[0-9]+\.\s"), 2).when(x.rlike(r"^[0-9]+\.\s"), 1)
+    rule = rule.when(F.substring(x, 1, 60).rlike(r"^[A-Z][a-zá-ú]+(\s[A-Z][a-zá-ú]+){0,3}$"), 1).otherwise(0)
+    return segments.join(met, ["doc_id", "seg_no"], "left").withColumn("depth", F.coalesce("_level", rule).cast("int")).drop("_level")
+
+
+def change_point_segments(texts: DataFrame, blocks: DataFrame, max_segments: int = 100, cost: str | Callable = "l2") -> DataFrame:
+    """(doc_id, seg_no, text, depth, heading, page) of texts (doc_id, text) with five units or more, those that refer back joined."""
+    units = unit_features(units_of(texts))
+    enough = units.groupBy("doc_id").agg(F.count("*").alias("n")).where("n >= 5").select("doc_id")
+    s = change_points(units.join(enough, "doc_id", "left_semi"), max_segments, cost)
+    s = with_depth(s.where(T.strip(F.col("text")) != ""), blocks).withColumn("heading", T.heading_guess(F.col("text"))).withColumn("page", F.lit(0))
+    return merge_anaphoric(s.select("doc_id", "seg_no", "text", "depth", "heading", "page"))
+
+
+def hybrid_segments(texts: DataFrame, blocks: DataFrame, max_segments: int = 100, cost: str | Callable = "l2") -> DataFrame:
+    """(doc_id, seg_no, text, depth, heading, page, method): segments by headings, for documents without any by change points; short ones merged."""
+    by_heading = heading_segments(blocks).withColumn("seg_no", F.col("seg_no").cast("long"))
+    rest = texts.join(by_heading.select("doc_id").distinct(), "doc_id", "left_anti")
+    by_change = change_point_segments(rest, blocks, max_segments, cost).withColumn("seg_no", F.col("seg_no").cast("long"))
+    tagged = lambda s, name: merge_short(s).withColumn("method", F.lit(name))
+    return tagged(by_heading, "heading").unionByName(tagged(by_change, "change_point"))

@@ -66,23 +66,38 @@ def markdown(blocks: DataFrame) -> DataFrame:
 
 
 def html(blocks: DataFrame) -> DataFrame:
-    """(doc_id, html): an article of headings, paragraphs, quotes, code and lists; a run of list items is one list of its first one's kind."""
+    """(doc_id, html): an article of headings, paragraphs, quotes, code, lists, and tables and images as figures, then notes and references.
+
+    A run of list items is one list of its first one's kind; ``table_md`` (see `with_tables`), width and height may be absent.
+    """
+    for name, kind in (("table_md", "string"), ("width", "int"), ("height", "int")):
+        blocks = blocks if name in blocks.columns else blocks.withColumn(name, F.lit(None).cast(kind))
     skip = ~F.col("is_heading") & ~F.col("is_list_item") & F.col("layout_type").isin("header", "footer")
-    rows = B.list_runs(blocks.where(~F.coalesce(skip, F.lit(False))))
+    rows = B.list_runs(blocks.where(~F.coalesce(skip, F.lit(False))).withColumn("is_list_item", F.col("is_list_item") & ~F.col("is_heading")))
     page, text = F.concat(F.lit(' data-page="'), F.col("page").cast("string"), F.lit('"')), T.escape_html(F.col("text"))
     h = F.coalesce("heading_level", F.lit(1)).cast("string")
     item = F.concat(F.lit("<li>"), text, F.lit("</li>"))
+    figure = lambda *inside: F.concat(F.lit("<figure"), page, F.lit(">"), *inside, F.lit("</figure>"))
+    size = lambda n: F.concat(F.lit(f'{n}="'), F.coalesce(n, F.lit(0)).cast("string"), F.lit('"'))
+    image = figure(F.lit('<img src="" alt="Imagem p.'), F.col("page").cast("string"), F.lit('" '), size("width"), F.lit(" "), size("height"), F.lit("/>"))
     one = (
-        F.when(F.col("is_heading"), F.concat(F.lit("<h"), h, page, F.lit(">"), text, F.lit("</h"), h, F.lit(">"))).when(F.col("is_list_item"), item)
+        F.when(F.col("type") == "table", figure(F.lit("<table>"), table_to_html(F.col("table_md")), F.lit("</table>"))).when(F.col("type") == "image", image)
+        .when(F.col("is_heading"), F.concat(F.lit("<h"), h, page, F.lit(">"), text, F.lit("</h"), h, F.lit(">"))).when(F.col("is_list_item"), item)
         .when(F.col("text").startswith("> "), F.concat(F.lit("<blockquote"), page, F.lit("><p>"), T.escape_html(F.substr("text", F.lit(3))), F.lit("</p></blockquote>")))
         .when(F.col("text").startswith("```"), F.concat(F.lit("<pre><code"), page, F.lit(">"), T.escape_html(F.regexp_replace("text", "^`+|`+$", "")), F.lit("</code></pre>")))
         .otherwise(F.concat(F.lit("<p"), page, F.lit(">"), text, F.lit("</p>")))
     )
-    rows = rows.withColumn("part", one).withColumn("g", F.coalesce(F.col("run"), -F.col("block_no") - 1))
+    rows = rows.withColumn("part", one).where("part is not null").withColumn("g", F.coalesce(F.col("run"), -F.col("block_no") - 1))
     runs = rows.groupBy("doc_id", "g").agg(F.min("block_no").alias("at"), ordered_text("block_no", "part", "\n").alias("part"), F.min_by("list_type", "block_no").alias("kind"), F.max("run").alias("run"))
     style = F.when(F.col("kind") == "bullet", "ul").otherwise("ol")
     runs = runs.withColumn("part", F.when(F.col("run").isNotNull(), F.concat(F.lit("<"), style, F.lit(">\n"), "part", F.lit("\n</"), style, F.lit(">"))).otherwise(F.col("part")))
     out = runs.groupBy("doc_id").agg(ordered_text("at", "part", "\n").alias("body"))
+    said = blocks.where(F.col("type") == "text")
+    for name, title, found in (("footnotes", "Notas de rodapé", B.footnotes(said)), ("references", "Referências", B.references_after_heading(said))):
+        line = F.concat(F.lit("<p>"), T.escape_html(T.strip(F.col("text"))), F.lit("</p>"))
+        lines = found.withColumn("p", line).groupBy("doc_id").agg(ordered_text("block_no", "p", "\n").alias("lines"))
+        section = F.concat(F.lit(f'\n<hr/><section class="{name}">\n<h2>{title}</h2>\n'), "lines", F.lit("\n</section>"))
+        out = out.join(lines, "doc_id", "left").select("doc_id", F.concat("body", F.coalesce(section, F.lit(""))).alias("body"))
     return out.select("doc_id", F.concat(F.lit('<article class="document">\n'), "body", F.lit("\n</article>")).alias("html"))
 
 

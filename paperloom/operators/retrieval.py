@@ -62,6 +62,16 @@ def context(hits: DataFrame, limit: int = 4000) -> DataFrame:
     return held.select("base", F.when(F.length("c") > limit, F.concat(F.substring("c", 1, limit), F.lit("\n...[cortado]"))).otherwise(F.col("c")).alias("context"))
 
 
+def rerank(hits: DataFrame, k: int, score: Column | None = None, by: str = "base") -> DataFrame:
+    """The ``k`` best of each query's hits (by, place, …) with rank and rerank_score: by ``score``, rounded to four places, ties by place.
+
+    ``score`` is any column over the hits, a model's pandas UDF among them; without one the hits stay in their order.
+    """
+    rows = hits.withColumn("rerank_score", F.lit(None).cast("double") if score is None else F.round(score, 4))
+    order = Window.partitionBy(by).orderBy(F.desc_nulls_last("rerank_score"), "place")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def anisotropy(store: DataFrame) -> DataFrame:
     """(namespace, mean_norm, mean_cosine): length of the mean unit vector and mean pairwise cosine, in closed form from sums."""
     unit = store.where(norm(F.col("vec")) > 0).select("namespace", "id", F.posexplode(F.transform("vec", lambda x: x / norm(F.col("vec")))).alias("i", "x"))

@@ -32,17 +32,26 @@ def extract(blocks: DataFrame, config: PipelineConfig = PipelineConfig()) -> dic
     text = clean_text(blocks)
     shown = {"markdown": lambda: R.markdown(kept.withColumn("table_md", F.lit(None).cast("string"))), "semantic_html": lambda: R.html(kept), "text": lambda: text}[config.output_format]()
     headings = kept.where("is_heading").select("doc_id", "block_no", F.coalesce("heading_level", F.lit(4)).alias("level"), "text", "page")
-    return {"blocks": kept, "headings": headings, "text": text, "chunks": C.semantic_chunks(kept, config.chunk_size), "quality": B.quality(labelled, text), "output": shown}
+    return {"blocks": kept, "headings": headings, "text": text, "chunks": C.postprocess(C.semantic_chunks(kept, config.chunk_size), config.min_chunk_tokens), "quality": B.quality(labelled, text), "output": shown}
 
 
 def chunk(blocks: DataFrame | None, texts: DataFrame, config: PipelineConfig = PipelineConfig(), change_points: bool = False) -> DataFrame:
-    """Chunks by sections where there are blocks, by size otherwise."""
+    """(doc_id, index, text, page, section, heading, depth, tokens, start_char, end_char): the chunks of every document, post-processed.
+
+    Documents of ``texts`` that have blocks are cut by section, or with ``change_points`` into segments by headings or
+    changes of their features, packed where over the size; documents without blocks, or without segments, by size.
+    """
+    by_size = lambda t: C.fallback_chunks(t, config.chunk_size, config.chunk_overlap)
     if blocks is None:
-        return C.fallback_chunks(texts, config.chunk_size, config.chunk_overlap)
+        return C.postprocess(by_size(texts), config.min_chunk_tokens)
     if change_points:
-        s = C.heading_segments(blocks).withColumn("tokens", T.token_count(F.col("text")))
-        return C.numbered(s, ["seg_no"])
-    return C.semantic_chunks(blocks, config.chunk_size)
+        made = C.packed(C.hybrid_segments(texts.join(blocks.select("doc_id").distinct(), "doc_id", "left_semi"), blocks), "seg_no", config.chunk_size)
+        bare = blocks.join(made.select("doc_id").distinct(), "doc_id", "left_anti")
+        made = made.unionByName(C.semantic_chunks(bare, config.chunk_size))
+    else:
+        made = C.semantic_chunks(blocks, config.chunk_size)
+    rest = by_size(texts.join(blocks.select("doc_id").distinct(), "doc_id", "left_anti")).withColumn("depth", F.lit(0))
+    return C.postprocess(made.unionByName(rest, allowMissingColumns=True), config.min_chunk_tokens)
 
 
 def load(chunks: DataFrame, namespace: str, provider: str = "hash") -> DataFrame:

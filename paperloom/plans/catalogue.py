@@ -1,6 +1,7 @@
 """All registered queries and oracles."""
 
-from . import queries_blocks, queries_more, queries_rest
+from . import queries_blocks, queries_more, queries_rest, queries_segments
 
-QUERIES = {**queries_blocks.QUERIES, **queries_rest.QUERIES, **queries_more.QUERIES}
-ORACLES = {**queries_blocks.ORACLES, **queries_rest.ORACLES, **queries_more.ORACLES}
+PARTS = (queries_blocks, queries_rest, queries_more, queries_segments)
+QUERIES = {k: v for part in PARTS for k, v in part.QUERIES.items()}
+ORACLES = {k: v for part in PARTS for k, v in part.ORACLES.items()}

@@ -48,7 +48,7 @@ def level(x: str) -> str:
       WHEN {m(n['appendix'])} THEN CASE WHEN {m(APP_DOT)} THEN 2 ELSE 1 END END"""
 
 
-PAGE_LABEL = r"^\s*([Pp][AaÁá][Gg][Ii][Nn][Aa]|[Pp][AaÁá][Gg]\.?|[Ff][Ll]\.?|[Ff][Oo][Ll][Hh][Aa]|[Pp][Aa][Gg][Ee]|[Pp]\.)\s*[0-9]+"
+PAGE_LABEL = T.PAGE_LABEL
 CHAPTER = r"^\s*(?i:cap[iíÍ]tulo|se[cçÇ][aãÃ]o|parte|t[iíÍ]tulo|livro)\s+[0-9]+"
 
 

@@ -119,11 +119,6 @@ def upload_validation(s, d):
     return E.validate(A.table(s, d, "documents").select(path.alias("path"), F.col("n_chars").alias("length")), 3000)[1]
 
 
-@query(f"WITH {O.BLOCKS} SELECT doc_id, max(page) + 1 AS pages, 'too many pages' AS error FROM blocks GROUP BY 1 HAVING max(page) + 1 > 4")
-def page_guard(s, d):
-    return E.page_guard(blocks(s, d), "doc_id", 4)
-
-
 @query("SELECT vec_id AS id FROM embeddings WHERE label = 3")
 def namespace_scan(s, d):
     return store(s, d).where("namespace = '3'").select("id")
@@ -217,7 +212,11 @@ def row_groups(s, d):
     return X.row_groups(blocks(s, d).withColumn("y0", F.col("y0") - 30))
 
 
-@query()
+@query(f"""{ORACLES['row_groups'].replace('SELECT doc_id, page, block_no, CAST(row AS INTEGER) AS row FROM f', '').strip().removesuffix(',')},
+gp AS (SELECT b.doc_id, b.page, x1, lead(x0) OVER (PARTITION BY b.doc_id, b.page, f.row ORDER BY x0, b.block_no) AS nx FROM blocks b JOIN f ON f.doc_id = b.doc_id AND f.page = b.page AND f.block_no = b.block_no),
+sp AS (SELECT doc_id, page, list_sort(list(x1)) AS g FROM gp WHERE nx - x1 > 15 GROUP BY 1, 2),
+o AS (SELECT b.doc_id, b.page, block_no, y0 - 30 AS y, x0, x1, g[len(g) // 2 + 1] AS split, count(*) OVER (PARTITION BY b.doc_id, b.page) AS n FROM blocks b LEFT JOIN sp ON sp.doc_id = b.doc_id AND sp.page = b.page)
+SELECT doc_id, page, block_no, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY CASE WHEN split IS NULL OR n < 3 OR (x0 + x1) / 2 < split THEN 0 ELSE 1 END, CASE WHEN split IS NULL OR n < 3 THEN block_no ELSE y END, block_no) - 1 AS INTEGER) AS pos FROM o""")
 def two_column_order(s, d):
     return X.two_columns(blocks(s, d).withColumn("y0", F.col("y0") - 30))
 

@@ -207,13 +207,6 @@ def tiny_chunk_merge(s, d):
     return C.merge_tiny(line_chunks(s, d)).withColumnRenamed("index", "idx")
 
 
-@query()
-def adjacent_dedup(s, d):
-    c = line_chunks(s, d)
-    rep = c.select("doc_id", (F.col("index") * 2).alias("index"), "text").unionByName(c.where("index % 3 = 0").select("doc_id", (F.col("index") * 2 + 1).alias("index"), F.substring("text", 1, 120).alias("text")))
-    return C.dedup_adjacent(rep, least=10)
-
-
 PACK = f"""{O.LINES}, pr AS (SELECT doc_id, line_no AS i, line AS p, count(*) OVER (PARTITION BY doc_id) AS n FROM lines),
 fold AS (SELECT doc_id, i, n, p AS buf, CAST(NULL AS VARCHAR) AS done FROM pr WHERE i = 0 UNION ALL
   SELECT f.doc_id, pr.i, pr.n, CASE WHEN f.buf = '' THEN pr.p WHEN greatest(1, length(f.buf) // 3) + greatest(1, length(pr.p) // 3) <= 300 THEN f.buf || chr(10) || chr(10) || pr.p ELSE pr.p END,
@@ -358,35 +351,21 @@ def segments_heading(s, d):
 TAIL = "CASE WHEN greatest(1, length({0}) // 3) <= 20 THEN {0} ELSE regexp_replace(right({0}, CAST(floor(length({0}) * 20 / greatest(1, length({0}) // 3)) AS INTEGER)), '^\\s+', '') END"
 
 
-@query(rf"""WITH RECURSIVE {O.LINES}, pr AS (SELECT doc_id, line_no AS i, line AS p, count(*) OVER (PARTITION BY doc_id) AS n, greatest(0, CAST(ceil((length(line) - 902) / 280) AS INTEGER)) AS cuts FROM lines),
-pc AS (SELECT doc_id, i, n, cuts, [substr(p, CAST(k AS INTEGER) * 280 + 1, 300) for k in range(cuts)] AS parts, substr(p, cuts * 280 + 1) AS rest FROM pr),
-fold AS (SELECT doc_id, i, n, parts AS done, rest AS buf FROM pc WHERE i = 0 UNION ALL
+FALLBACK = rf"""{O.LINES}, fpr AS (SELECT doc_id, line_no AS i, line AS p, count(*) OVER (PARTITION BY doc_id) AS n, greatest(0, CAST(ceil((length(line) - 902) / 280) AS INTEGER)) AS cuts FROM lines),
+fpc AS (SELECT doc_id, i, n, cuts, [substr(p, CAST(k AS INTEGER) * 280 + 1, 300) for k in range(cuts)] AS parts, substr(p, cuts * 280 + 1) AS rest FROM fpr),
+ffold AS (SELECT doc_id, i, n, parts AS done, rest AS buf FROM fpc WHERE i = 0 UNION ALL
   SELECT f.doc_id, c.i, c.n, CASE WHEN f.buf <> '' AND greatest(1, length(f.buf || chr(10) || chr(10) || c.rest) // 3) > 300 THEN list_append(c.parts, f.buf) ELSE c.parts END,
     CASE WHEN f.buf = '' THEN c.rest WHEN greatest(1, length(f.buf || chr(10) || chr(10) || c.rest) // 3) > 300 THEN {O.trim(TAIL.format('f.buf') + " || chr(10) || chr(10) || c.rest")} ELSE f.buf || chr(10) || chr(10) || c.rest END
-  FROM fold f JOIN pc c ON c.doc_id = f.doc_id AND c.i = f.i + 1),
-raw AS (SELECT doc_id, i AS pl, unnest(done) AS text, unnest(range(len(done))) AS j FROM fold UNION ALL SELECT doc_id, n, {O.trim('buf')}, 0 FROM fold WHERE i = n - 1 AND {O.trim('buf')} <> '')
-SELECT doc_id, CAST(row_number() OVER w - 1 AS INTEGER) AS idx, text, CAST(greatest(1, length(text) // 3) AS INTEGER) AS tokens, CAST(sum(length(text)) OVER w - length(text) AS BIGINT) AS start_char, CAST(sum(length(text)) OVER w AS BIGINT) AS end_char FROM raw WINDOW w AS (PARTITION BY doc_id ORDER BY pl, j)""")
+  FROM ffold f JOIN fpc c ON c.doc_id = f.doc_id AND c.i = f.i + 1),
+fraw AS (SELECT doc_id, i AS pl, unnest(done) AS text, unnest(range(len(done))) AS j FROM ffold UNION ALL SELECT doc_id, n, {O.trim('buf')}, 0 FROM ffold WHERE i = n - 1 AND {O.trim('buf')} <> '')"""
+
+
+@query(f"WITH RECURSIVE {FALLBACK} SELECT doc_id, CAST(row_number() OVER w - 1 AS INTEGER) AS idx, text, CAST(greatest(1, length(text) // 3) AS INTEGER) AS tokens, CAST(sum(length(text)) OVER w - length(text) AS BIGINT) AS start_char, CAST(sum(length(text)) OVER w AS BIGINT) AS end_char FROM fraw WINDOW w AS (PARTITION BY doc_id ORDER BY pl, j)")
 def fallback_chunks(s, d):
     t = A.table(s, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     return C.fallback_chunks(t, 300, 20).withColumnRenamed("index", "idx")
 
 
-@query(f"WITH {sections_sql(False)}, h AS (SELECT doc_id, count(*) AS n FROM sections GROUP BY 1) SELECT doc_id, CASE WHEN h.n > 0 THEN 'heading' WHEN l.n >= 5 THEN 'change_point' ELSE 'none' END AS method FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents) l LEFT JOIN h USING (doc_id)")
-def hybrid(s, d):
-    h = C.section_texts(B.classify(blocks(s, d)), cut=None).groupBy("doc_id").agg(F.count("*").alias("h"))
-    l = A.table(s, d, "documents").select("doc_id", F.size(F.split("text", "\n")).alias("l"))
-    return l.join(h, "doc_id", "left").select("doc_id", F.when(F.col("h") > 0, "heading").when(F.col("l") >= 5, "change_point").otherwise("none").alias("method"))
-
-
-@query()
-def bcpd_segments(s, d):
-    l = lines(s, d).where(F.length("line") > 20)
-    t = F.col("line")
-    share = lambda p: F.length(F.regexp_replace(t, p, "")) / F.length(t)
-    units = l.select("doc_id", F.col("line_no").alias("unit_no"), t.alias("text"), (F.length(t) / 500).alias("f0"), (F.size(T.words_of(t)) / 100).alias("f1"), share("[^0-9]").alias("f2"), share("[^.,;:!?]").alias("f3"))
-    return C.change_points(units, ["f0", "f1", "f2", "f3"])
-
-
 # Retrieval
 
 
@@ -487,15 +466,28 @@ def render_markdown(s, d):
 ESC = "replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 
 
-@query(rf"""WITH {CLASS}, v AS (SELECT * FROM classified WHERE is_heading OR list_type IS NOT NULL AND NOT is_heading OR layout_type NOT IN ('header', 'footer')), u AS (SELECT *, CASE WHEN list_type IS NOT NULL THEN true ELSE false END AS li FROM v),
+TABLE_HTML = "'<tbody><tr><th>t' || regexp_extract(table_md, '[0-9]+') || '</th><th>x</th></tr></tbody>'"
+
+
+def html_section(rows: str, name: str, title: str) -> str:
+    return f"coalesce(chr(10) || '<hr/><section class=\"{name}\">' || chr(10) || '<h2>{title}</h2>' || chr(10) || {rows} || chr(10) || '</section>', '')"
+
+
+@query(rf"""WITH {MIXED}, v AS (SELECT * FROM zip WHERE type <> 'text' OR is_heading OR list_type IS NOT NULL OR layout_type NOT IN ('header', 'footer')), u AS (SELECT *, list_type IS NOT NULL AND NOT is_heading AS li FROM v),
 st AS (SELECT *, li AND NOT coalesce(lag(li) OVER (PARTITION BY doc_id ORDER BY block_no), false) AS s FROM u), ru AS (SELECT *, CASE WHEN li THEN count(*) FILTER (s) OVER (PARTITION BY doc_id ORDER BY block_no) END AS run FROM st),
-pt AS (SELECT *, CASE WHEN is_heading THEN '<h' || coalesce(heading_level, 1) || ' data-page="' || page || '">' || {ESC.format('text')} || '</h' || coalesce(heading_level, 1) || '>' WHEN li THEN '<li>' || {ESC.format('text')} || '</li>'
+pt AS (SELECT *, CASE WHEN type = 'table' THEN '<figure data-page="' || page || '"><table>' || {TABLE_HTML} || '</table></figure>'
+  WHEN type = 'image' THEN '<figure data-page="' || page || '"><img src="" alt="Imagem p.' || page || '" width="0" height="0"/></figure>'
+  WHEN is_heading THEN '<h' || coalesce(heading_level, 1) || ' data-page="' || page || '">' || {ESC.format('text')} || '</h' || coalesce(heading_level, 1) || '>' WHEN li THEN '<li>' || {ESC.format('text')} || '</li>'
   WHEN text LIKE '> %' THEN '<blockquote data-page="' || page || '"><p>' || {ESC.format('substr(text, 3)')} || '</p></blockquote>' WHEN text LIKE '```%' THEN '<pre><code data-page="' || page || '">' || {ESC.format("trim(text, '`')")} || '</code></pre>'
   ELSE '<p data-page="' || page || '">' || {ESC.format('text')} || '</p>' END AS part, coalesce(run, -block_no - 1) AS g FROM ru),
-rs AS (SELECT doc_id, g, min(block_no) AS pl, string_agg(part, chr(10) ORDER BY block_no) AS part, arg_min(list_type, block_no) AS kind, max(run) AS run FROM pt GROUP BY 1, 2)
-SELECT doc_id, '<article class="document">' || chr(10) || string_agg(CASE WHEN run IS NOT NULL THEN '<' || CASE WHEN kind = 'bullet' THEN 'ul' ELSE 'ol' END || '>' || chr(10) || part || chr(10) || '</' || CASE WHEN kind = 'bullet' THEN 'ul' ELSE 'ol' END || '>' ELSE part END, chr(10) ORDER BY pl) || chr(10) || '</article>' AS html FROM rs GROUP BY 1""")
+rs AS (SELECT doc_id, g, min(block_no) AS pl, string_agg(part, chr(10) ORDER BY block_no) AS part, arg_min(list_type, block_no) AS kind, max(run) AS run FROM pt WHERE part IS NOT NULL GROUP BY 1, 2),
+bd AS (SELECT doc_id, string_agg(CASE WHEN run IS NOT NULL THEN '<' || CASE WHEN kind = 'bullet' THEN 'ul' ELSE 'ol' END || '>' || chr(10) || part || chr(10) || '</' || CASE WHEN kind = 'bullet' THEN 'ul' ELSE 'ol' END || '>' ELSE part END, chr(10) ORDER BY pl) AS body FROM rs GROUP BY 1),
+nn AS (SELECT doc_id, string_agg('<p>' || {ESC.format(O.trim('text'))} || '</p>', chr(10) ORDER BY block_no) AS notes FROM mb WHERE type = 'text' AND {NOTE} GROUP BY 1),
+ro AS (SELECT *, regexp_matches({O.trim('text')}, '^(?i:refer[eê]ncias|bibliografia|references|bibliography)') AS op FROM mb WHERE type = 'text'), rr AS (SELECT *, bool_or(op) OVER (PARTITION BY doc_id ORDER BY block_no) AS inr FROM ro),
+rf AS (SELECT doc_id, string_agg('<p>' || {ESC.format(O.trim('text'))} || '</p>', chr(10) ORDER BY block_no) AS refs FROM rr WHERE inr AND NOT op AND regexp_matches({O.trim('text')}, '^[A-ZÀ-ɂ][0-9A-Za-z_À-ɂ]+.*\([0-9]{{4}}\)') GROUP BY 1)
+SELECT doc_id, '<article class="document">' || chr(10) || body || {html_section('notes', 'footnotes', 'Notas de rodapé')} || {html_section('refs', 'references', 'Referências')} || chr(10) || '</article>' AS html FROM bd LEFT JOIN nn USING (doc_id) LEFT JOIN rf USING (doc_id)""")
 def render_html(s, d):
-    return R.html(B.classify(blocks(s, d)))
+    return R.html(R.with_tables(*mixed_blocks(s, d)))
 
 
 MD = "concat('| name | qty<1> |', chr(10), '| --- | --- |', chr(10), '| ', o_orderpriority, ' | ', o_orderkey, ' |')"

@@ -16,9 +16,10 @@ Parser = Callable[[bytes], list[dict]]
 SPANS = "path string, page int, block_no int, line_no int, span_no int, text string, size double, font string"
 #: Names of annotation codes, from 0 on, and of external layout categories.
 ANNOTATIONS = (
-    "text link free_text line square circle polygon poly_line highlight underline squiggly strikeout stamp caret ink file_attachment sound "
-    "movie widget screen printer_mark trap_net watermark 3d redact projection rich_media web_video"
-).split()
+    "text", "link", "free_text", "line", "square", "circle", "polygon", "poly_line", "highlight", "underline", "squiggly", "strikeout", "stamp",
+    "caret", "ink", "file_attachment", "sound", "movie", "widget", "screen", "printer_mark", "trap_net", "watermark", "3d", "redact",
+    "projection", "rich_media", "web_video",
+)
 CATEGORIES = {
     "Title": "heading", "Header": "header", "Footer": "footer", "Table": "table", "Figure": "figure", "ListItem": "list_item", "Formula": "formula",
     "PageBreak": "page_break", "FigureCaption": "caption", "TableCaption": "caption", "NarrativeText": "paragraph", "UncategorizedText": "text",
@@ -81,9 +82,11 @@ def span_blocks(spans: DataFrame, key: str = "path") -> DataFrame:
     return out.where("text <> ''").withColumn("n_chars", F.length("text"))
 
 
-def page_guard(blocks: DataFrame, key: str, max_pages: int = 500) -> DataFrame:
-    """(key, pages, error): documents of no or too many pages."""
+def page_guard(blocks: DataFrame, key: str, max_pages: int = 500, documents: DataFrame | None = None) -> DataFrame:
+    """(key, pages, error): documents with too many pages, and those of ``documents`` (key) that have no block at all: empty."""
     pages = blocks.groupBy(key).agg((F.max("page") + 1).alias("pages"))
+    if documents is not None:
+        pages = documents.select(key).distinct().join(pages, key, "left").select(key, F.coalesce("pages", F.lit(0)).alias("pages"))
     return pages.withColumn("error", F.when(F.col("pages") > max_pages, "too many pages").when(F.col("pages") < 1, "empty")).where("error is not null")
 
 
@@ -98,6 +101,51 @@ def ocr_text(lines: DataFrame, key: str, least: float = 0.3) -> DataFrame:
     return held.select(key, "page", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("text"))
 
 
+def provided(rows: DataFrame, provider: Callable[[dict], list[dict]], schema: str) -> DataFrame:
+    """What ``provider`` makes of each row (given as a dict), as rows of ``schema``, in parallel and batch by batch.
+
+    The hook for tables (a file's rows of path, page, md, bbox and accuracy), for OCR of pages that `needs_ocr` finds and
+    for external layout models. A row that fails gives none; the provider is called once a row.
+    """
+    names = [c.strip().split()[0] for c in schema.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out: list[dict] = []
+            for row in b.to_dict("records"):
+                try:
+                    out += provider(row)
+                except Exception:  # noqa: BLE001  one broken row must not end the job
+                    continue
+            yield pd.DataFrame(out, columns=names)
+
+    return rows.mapInPandas(run, schema)
+
+
+def with_ocr_blocks(blocks: DataFrame, recognised: DataFrame, key: str = "doc_id", least: int = 50) -> DataFrame:
+    """``blocks`` and a block of type ocr for each of their pages with little text that ``recognised`` (key, page, text) holds."""
+    pages = needs_ocr(blocks, key, least).join(recognised.select(key, "page", "text"), [key, "page"])
+    last = blocks.groupBy(key).agg((F.max("block_no") + 1).alias("_from"))
+    at = F.col("_from") + F.row_number().over(Window.partitionBy(key).orderBy("page")) - 1
+    made = pages.join(last, key).select(key, "page", at.cast(blocks.schema["block_no"].dataType).alias("block_no"), F.lit("ocr").alias("type"), "text")
+    return blocks.unionByName(made, allowMissingColumns=True)
+
+
+def unite(texts: DataFrame, tables: DataFrame, images: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One stream of a document's blocks: texts (key, block_no, …), then tables (key, page, md, …), then images (key, page, image_no, …).
+
+    ``block_no`` goes on after the texts' last; tables stand by page and ``k`` (their number), images by page and number.
+    Columns that a kind lacks are null there.
+    """
+    last = texts.groupBy(key).agg((F.max("block_no") + 1).alias("_from"))
+    both = tables.withColumn("type", F.lit("table")).withColumn("_n", F.col("k"))
+    both = both.unionByName(images.withColumn("type", F.lit("image")).withColumn("_n", F.col("image_no")), allowMissingColumns=True)
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("type"), "page", "_n")) - 1
+    both = both.withColumn("_place", place).join(last, key, "left")
+    both = both.withColumn("block_no", (F.coalesce("_from", F.lit(0)) + F.col("_place")).cast(texts.schema["block_no"].dataType)).drop("_place", "_from", "_n")
+    return texts.withColumn("type", F.lit("text")).unionByName(both, allowMissingColumns=True)
+
+
 def first_confident(results: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:
     """Of results by several backends (keys, priority, text, conf), the first with mean confidence ``least`` or more; else ("", 0)."""
     ok = F.col("conf") >= least

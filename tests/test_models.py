@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import providers as P
 from paperloom.functions import text as T
 from paperloom.operators import analysis as X
+from paperloom.operators import blocks as B
 from paperloom.operators import chunks as C
 from paperloom.operators import render as R
 from paperloom.operators import state as S
@@ -254,3 +255,84 @@ def test_images_are_described_up_to_a_cap(spark):
     df = spark.createDataFrame([(1, 0, i, bytearray(b"x" * i)) for i in range(12)], "doc_id int, page int, image_no int, data binary")
     got = {r.image_no: r.description for r in P.describe_images(df, lambda b: f"{len(b)} bytes").collect()}
     assert got[3] == "3 bytes" and got[9] == "9 bytes" and got[10] == got[11] == "[image]"
+
+
+def test_change_points_equal_the_best_segmentation(spark):
+    rng = np.random.default_rng(9)
+
+    def brute(x, penalty, least, cost):
+        best, back = [-penalty] + [np.inf] * len(x), [0] * (len(x) + 1)
+        for t in range(least, len(x) + 1):
+            for s in range(t - least + 1):
+                if best[s] < np.inf and best[s] + cost(x[s:t]) + penalty < best[t] - 1e-12:
+                    best[t], back[t] = best[s] + cost(x[s:t]) + penalty, s
+        ends, t = [], len(x)
+        while t:
+            ends.append(t)
+            t = back[t]
+        return sorted(ends)
+
+    l2 = lambda w: ((w - w.mean(axis=0)) ** 2).sum()
+    for n in (12, 40, 75):
+        x = np.concatenate([rng.normal(m, 0.3, (n // 3, 4)) for m in (0, 2, -1)])
+        for penalty in (0.5, 3.0):
+            assert C.pelt(x, penalty) == brute(x, penalty, 5, l2) == C.search(x, penalty, 5, lambda w, n: l2(w))
+
+
+def test_wasserstein_cost_of_halves():
+    def plain(x, n):
+        if len(x) < 6:
+            return 0.0
+        mid, halves = len(x) // 2, []
+        for part in (x[:mid], x[mid:]):
+            m = np.maximum(np.linalg.norm(part, axis=1) / (np.linalg.norm(part, axis=1).sum() + 1e-10), 1e-10)
+            halves.append([(i / len(part), w / m.sum()) for i, w in enumerate(m)])
+        at = sorted({p for h in halves for p, _ in h})
+        cdf = [[sum(w for p, w in h if p <= t) for t in at] for h in halves]
+        return sum(abs(a - b) * (u - t) for a, b, t, u in zip(*cdf, at, at[1:])) * (1 + 10 * len(x) / n)
+
+    rng = np.random.default_rng(2)
+    for n in (4, 6, 9, 31):
+        x = rng.random((n, 3))
+        assert C.wasserstein_cost(x, 40) == pytest.approx(plain(x, 40), rel=1e-9)
+
+
+def test_change_point_segments_of_documents(spark):
+    calm, loud = "the small river runs along the quiet field today", "CHAPTER 9: 11, 22, 33, 44, 55, 66, 77, 88; 99!!!"
+    rows = [(i, "\n".join([calm] * 12 + [loud] * 12 + [calm] * 12)) for i in range(5)] + [(9, "# short\n" + calm), (10, None), (11, "")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    blocks = spark.createDataFrame([(0, 0, "nothing of it", True, 2)], "doc_id long, block_no int, text string, is_heading boolean, heading_level int")
+    for cost in ("l2", lambda x, n: float(((x - x.mean(axis=0)) ** 2).sum())):
+        u = C.unit_features(C.units_of(texts))
+        got = C.change_points(u.where("doc_id < 9"), cost=cost).collect()
+        assert {(r.doc_id, r.n_units) for r in got} == {(i, 12) for i in range(5)} and len(got) == 15
+        assert all(r.confidence == 1.0 for r in got)
+    s = C.change_point_segments(texts, blocks, cost="wasserstein").collect()
+    assert {r.doc_id for r in s} == set(range(5))
+
+
+def test_dispatcher_covers_every_document(spark):
+    from paperloom.plans import api
+    from paperloom.sources import adapters as A
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    blocks = B.classify(A.blocks(docs.where("doc_id % 2 = 0")))
+    config = PipelineConfig(chunk_size=100, chunk_overlap=10)
+    for change in (False, True):
+        out = api.chunk(blocks, docs.select("doc_id", "text"), config, change_points=change).collect()
+        assert {r.doc_id % 2 for r in out} == {0, 1}
+        by = {}
+        for r in sorted(out, key=lambda r: (r.doc_id, r["index"])):
+            assert r["index"] == len(by.setdefault(r.doc_id, [])) and r.end_char - r.start_char == len(r.text)
+            by[r.doc_id].append(r.text)
+    assert api.chunk(None, docs.select("doc_id", "text"), config).count() > 0
+
+
+def test_provided_rows_and_failures(spark):
+
+    def tables(row):
+        return [{"path": row["path"], "page": i, "md": "| a |", "accuracy": 0.9} for i in range(row["pages"])] if row["pages"] < 5 else 1 / 0
+
+    df = spark.createDataFrame([("a", 2), ("b", 9), ("c", 0)], "path string, pages int")
+    got = E.provided(df, tables, "path string, page int, md string, accuracy double").collect()
+    assert [(r.path, r.page, r.md) for r in got] == [("a", 0, "| a |"), ("a", 1, "| a |")]
