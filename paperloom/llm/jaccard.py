@@ -4,8 +4,9 @@ After Wang et al., "Leveraging Set Relations in Exact Set Similarity Join" (VLDB
 
 * Answer level: sets with equal contents are one class; a class that a verified link ties to a leader takes over the
   leader's component, and pairs inside one component are derived, never compared again.
-* Index level: prefixes go into inverted lists ordered by size; lists are skipped whole when they lie within one
-  component, and blocks of a list are skipped by size and by position when no pair across them can reach the threshold.
+* Index level: prefixes go into inverted lists ordered by bands of sizes and then by position; lists are skipped whole when
+  they lie within one component, and blocks of a list are skipped by size and by position when no pair across them can
+  reach the threshold.
   Pairs left are tested on parity bitmaps (Sandes et al., "Bitmap filter", 2017): sets differ in at least as many
   tokens as their bitmaps in bits, so no pair that reaches the threshold is lost.
 
@@ -68,8 +69,12 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, mins array<long>, bits array<long>")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of document ids whose sets reach the threshold. Only texts that occur in a pair are read again."""
+def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, fan: int = 500) -> DataFrame:
+    """The distinct pairs (a, b) of document ids whose sets reach the threshold. Only texts that occur in a pair are read again.
+
+    Of a pair's two documents the one in more pairs is its hub. A hub's set goes once to every ``fan`` or so of its partners,
+    who meet it in one task, so a document in very many pairs is neither copied for each nor gathered in one place.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Shingler(width)
@@ -80,28 +85,67 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(held, pa.binary())], names=["doc_id", "held"])
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sets_of_hub = None, []
         for batch in batches:
-            hit = []
+            a, b = [], []
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                for x, y in zip(part["x"].to_pylist(), part["y"].to_pylist(), strict=True):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    both = overlap(x, y)
-                    hit.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
+                for hub, lane, doc, held in zip(*(part[c].to_pylist() for c in ("hub", "lane", "doc_id", "held")), strict=True):
+                    y = np.frombuffer(held, np.uint64)
+                    if at != (hub, lane):
+                        at, sets_of_hub = (hub, lane), []
+                    if doc == hub:
+                        sets_of_hub.append(y)
+                    elif any(100 * (both := overlap(x, y)) >= percent * (len(x) + len(y) - both) for x in sets_of_hub):
+                        a.append(min(hub, doc))
+                        b.append(max(hub, doc))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    pairs = materialize(pairs.select("a", "b").distinct(), "asked")
+    degree = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("k")), "degrees")
+    held = materialize(docs.join(small(degree.select("doc_id")), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, held binary"), "sets")
+    of = lambda c: degree.select(F.col("doc_id").alias(c), F.col("k").alias(f"k{c}"))
+    rows = pairs.join(of("a"), "a").join(of("b"), "b")
+    first = (F.col("ka") > F.col("kb")) | ((F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")))
+    rows = rows.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("doc_id"), F.greatest("ka", "kb").alias("k"))
+    rows = rows.select("hub", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.ceil(F.col("k") / fan)).cast("int").alias("lane"), "doc_id")
+    rows = rows.unionByName(rows.select("hub", "lane", F.col("hub").alias("doc_id")).distinct()).join(held, "doc_id")
+    rows = rows.withColumn("mine", F.col("doc_id") != F.col("hub")).repartition("hub", "lane").sortWithinPartitions("hub", "lane", "mine")
+    return rows.select("hub", "lane", "doc_id", "held").mapInArrow(test, "a long, b long")
+
+
+def region(cut: Shingler, text: str | None, percent: int) -> tuple[np.ndarray, int, int]:
+    """A text's tokens below CUT, and the next ones in hash order if those are fewer than its prefix; its size; the tokens below CUT."""
+    t = (cut.shingles(text) >> np.uint64(1)).view(np.int64)
+    low = int(np.searchsorted(t, CUT))
+    return (t[: max(low, prefix_length(len(t), percent))] if len(t) else t), len(t), low
+
+
+def hot_tokens(docs: DataFrame, width: int, percent: int, limit: int) -> DataFrame | None:
+    """(t, df, lo, hi) of the tokens in over ``limit`` sets, with the least and largest component; None without any.
+
+    All tokens are counted by the lowest 16 bits of their hash, in as many numbers a task; only tokens of buckets over the
+    limit are then counted one by one. There are at most one in ``limit`` index rows.
+    """
 
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    held = materialize(docs.join(small(ids), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, held binary"), "sets")
-    both = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("held").alias("x")), "a")
-    both = both.join(held.select(F.col("doc_id").alias("b"), F.col("held").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(test, "a long, b long").distinct()
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, total = Shingler(width), np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for text in rows_of(batch, "text"):
+                total += np.bincount(region(cut, text, percent)[0] & 0xFFFF, minlength=1 << 16)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1 << 16, dtype=np.int64)), pa.array(total)], names=["bucket", "n"])
 
+    loads = docs.select("text").mapInArrow(load, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    buckets = materialize(loads.where(F.col("n") > limit).select("bucket"), "hot-buckets")
+    if buckets.isEmpty():
+        return None
+    rows = index(docs, width, percent).withColumn("bucket", F.col("t").bitwiseAND(F.lit(0xFFFF))).join(F.broadcast(buckets), "bucket", "left_semi")
+    exact = rows.groupBy("t").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    return materialize(exact.where(F.col("df") > limit), "hot-tokens")
 
-def index(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(t, node, comp, n, r): a row for each token of a class's prefix region; r of the n tokens lie in the region.
 
-    A class gives all its tokens below CUT, and the next ones in hash order if those are fewer than its prefix.
-    """
+def index(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(t, node, comp, n, r): a row for each token of a class's `region`; r of the n tokens lie below CUT."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Shingler(width)
@@ -111,10 +155,9 @@ def index(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 part = batch.slice(lo, 256)
                 tokens, sizes, low = [], [], []
                 for text in part["text"].to_pylist():
-                    t = (cut.shingles(text) >> np.uint64(1)).view(np.int64)
-                    r = int(np.searchsorted(t, CUT))
-                    tokens.append(t[: max(r, prefix_length(len(t), percent))] if len(t) else t)
-                    sizes.append(len(t))
+                    t, n, r = region(cut, text, percent)
+                    tokens.append(t)
+                    sizes.append(n)
                     low.append(r)
                 count = [len(t) for t in tokens]
                 yield pa.RecordBatch.from_arrays(
@@ -125,8 +168,27 @@ def index(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "t long, node long, comp long, n int, r int")
 
 
+def block_pairs(n: np.ndarray, pos: np.ndarray, percent: int, block: int) -> Iterator[tuple[int, int]]:
+    """Starts of the blocks of a list, pair by pair and each with itself, that sizes and positions do not rule out.
+
+    Between sets whose sizes differ by more than the threshold no pair links. A common token at place p of one set and q of
+    the other leaves them at most the larger size less the places between in common; pos is -1 where unknown.
+    """
+    starts = np.arange(0, len(n), block)
+    least, most = (f.reduceat(n, starts) for f in (np.minimum, np.maximum))
+    low, high = (f.reduceat(pos, starts) for f in (np.minimum, np.maximum))
+    for i in range(len(starts)):
+        rest = slice(i, None)
+        keep = (100 * most[i] >= percent * least[rest]) & (100 * most[rest] >= percent * least[i])
+        gap = np.maximum(low[rest] - high[i], low[i] - high[rest])
+        apart = gap > np.maximum(most[rest], most[i]) - needed(least[rest], least[i], percent)
+        keep &= ~(apart & (low[rest] >= 0) & (low[i] >= 0))
+        for j in np.flatnonzero(keep):
+            yield int(starts[i]), int(starts[i + j])
+
+
 def _candidates(percent: int, block: int = 128, flush: int = 1_000_000):
-    """Pairs across components from lists (t, node, comp, n, pos, bits) sorted by token and size, with their number of common prefix tokens.
+    """Pairs across components from lists (t, node, comp, n, pos, bits) sorted by token, band of sizes and position, with their number of common prefix tokens.
 
     A long list comes as tiles: one for each chunk of it, and one for each two chunks, in which only pairs across them count.
     ``pos`` is -1 where unknown. A list is cut into blocks; a pair of blocks is skipped when its sizes or its positions
@@ -151,50 +213,42 @@ def _candidates(percent: int, block: int = 128, flush: int = 1_000_000):
             if len(node) < 2 or (comp == comp[0]).all():
                 continue
             bits = group["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
-            cuts = range(0, len(node), block)
-            spans = [(n[lo : lo + block], pos[lo : lo + block]) for lo in cuts]
-            for i, lo in enumerate(cuts):
-                for j in range(i, len(spans)):
-                    if 100 * spans[i][0][-1] < percent * spans[j][0][0]:
-                        break  # by size: rising, so later blocks are larger still
-                    p, q = spans[i][1], spans[j][1]
-                    gap = max(q.min() - p.max(), p.min() - q.max())
-                    if p.min() >= 0 and q.min() >= 0 and gap > spans[j][0][-1] - needed(spans[i][0][0], spans[j][0][0], percent):
-                        continue  # by position
-                    x, y = np.nonzero(comp[lo : lo + block, None] != comp[None, j * block : (j + 1) * block])
-                    x, y = x + lo, y + j * block
-                    keep = (x < y) & (100 * n[x] >= percent * n[y])
-                    if cross:
-                        keep &= chunk[x] != chunk[y]
-                    x, y = x[keep], y[keep]
-                    need = needed(n[x], n[y], percent)
-                    most = np.minimum(pos[x], pos[y]) + 1 + np.minimum(n[x] - pos[x], n[y] - pos[y]) - 1
-                    keep = (most >= need) | (pos[x] < 0) | (pos[y] < 0)
-                    x, y, need = x[keep], y[keep], need[keep]
-                    keep = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= n[x] + n[y] - 2 * need
-                    x, y, need = x[keep], y[keep], need[keep]
-                    rest = np.maximum(n[x] - prefix_length(n[x], percent), n[y] - prefix_length(n[y], percent))
-                    swap = node[x] > node[y]
-                    a, b = np.where(swap, y, x), np.where(swap, x, y)
-                    held.append((node[a], node[b], comp[a], comp[b], need - rest))
-                    n_held += len(a)
-                    if n_held >= flush:
-                        yield emit()
-                        held, n_held = [], 0
+            for lo, at in block_pairs(n, pos, percent, block):
+                x, y = np.nonzero(comp[lo : lo + block, None] != comp[None, at : at + block])
+                x, y = x + lo, y + at
+                keep = (x < y) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+                if cross:
+                    keep &= chunk[x] != chunk[y]
+                x, y = x[keep], y[keep]
+                need = needed(n[x], n[y], percent)
+                most = np.minimum(pos[x], pos[y]) + 1 + np.minimum(n[x] - pos[x], n[y] - pos[y]) - 1
+                keep = (most >= need) | (pos[x] < 0) | (pos[y] < 0)
+                x, y, need = x[keep], y[keep], need[keep]
+                keep = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= n[x] + n[y] - 2 * need
+                x, y, need = x[keep], y[keep], need[keep]
+                rest = np.maximum(n[x] - prefix_length(n[x], percent), n[y] - prefix_length(n[y], percent))
+                swap = node[x] > node[y]
+                a, b = np.where(swap, y, x), np.where(swap, x, y)
+                held.append((node[a], node[b], comp[a], comp[b], need - rest))
+                n_held += len(a)
+                if n_held >= flush:
+                    yield emit()
+                    held, n_held = [], 0
         if n_held:
             yield emit()
 
     return run
 
 
-def components(df: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", tile: int = 10_000) -> DataFrame:
+def components(df: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", tile: int = 2_000, hot: int = 200_000) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of ``df``.
 
     Two documents link when 100 * intersection >= ``percent`` * union of their shingle sets; component_id is the smallest
     doc_id reachable by links. Null, empty and wordless texts have an empty set and link with nothing. Rows that repeat a
     doc_id share its links; a null doc_id takes its class's component, and null if it has none. Other columns are ignored.
     Copies are never expanded into pairs, and no list of documents comes to the driver. Lists of over ``tile`` documents are
-    dealt as pairs of chunks, so a task holds two chunks at most.
+    dealt as pairs of chunks, so a task holds two chunks at most; tokens in over ``hot`` sets are counted apart from the
+    others, so that no task gets a whole such list.
     """
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     info = materialize(profiles(docs, width), "profiles")
@@ -222,9 +276,13 @@ def components(df: DataFrame, width: int = 5, percent: int = 80, key: str = "doc
     marks = materialize(marks.groupBy("doc_id").agg(F.max("known").alias("known"), F.min("copy").alias("copy")), "marks")
     once = docs.where("doc_id is not null").join(small(marks), "doc_id", "left").where("copy is null or not copy")
     once = once.select("doc_id", "text", F.coalesce("known", "doc_id").alias("comp"))
+    often = hot_tokens(once, width, percent, hot)
     by_token = Window.partitionBy("t")
-    shared = index(once, width, percent)
+    every = index(once, width, percent)
+    shared = every if often is None else every.join(F.broadcast(often.select("t")), "t", "left_anti")
     shared = shared.withColumn("df", F.count("*").over(by_token)).withColumn("lo", F.min("comp").over(by_token)).withColumn("hi", F.max("comp").over(by_token))
+    if often is not None:
+        shared = shared.unionByName(every.join(F.broadcast(often), "t"))
     shared = materialize(shared.where("lo <> hi").drop("lo", "hi"), "shared")
     in_region = F.col("t") < CUT
     order = Window.partitionBy("node", in_region).orderBy("df", "t")
@@ -234,7 +292,9 @@ def components(df: DataFrame, width: int = 5, percent: int = 80, key: str = "doc
     lists = placed.select("t", "node", "comp", "n", "pos", F.ceil(F.col("df") / tile).cast("int").alias("k")).join(cls.select("node", "bits"), "node")
     lists = lists.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(7)), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     lists = lists.withColumn("tile", F.xxhash64("t", F.least("chunk", "other"), F.greatest("chunk", "other"))).withColumn("cross", F.col("chunk") != F.col("other"))
-    lists = lists.drop("k", "other").repartition("tile").sortWithinPartitions("tile", "t", "n", "node")
+    # Within a narrow band of sizes positions rise, so that blocks far apart are skipped.
+    lists = lists.withColumn("band", F.floor(F.log("n") / float(np.log(1.05))))
+    lists = lists.drop("k", "other").repartition("tile").sortWithinPartitions("tile", "t", "band", "pos", "node")
     pairs = lists.mapInArrow(_candidates(percent), "a long, b long, ca long, cb long, need long, c long")
     pairs = pairs.groupBy("a", "b", "ca", "cb").agg(F.max("need").alias("need"), F.sum("c").alias("c")).where("c >= need")
     pairs = materialize(pairs, "pairs")

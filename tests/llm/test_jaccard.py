@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from paperloom.llm import jaccard
 
 
@@ -50,8 +52,8 @@ def test_components_match_brute_force(spark):
     for seed in (1, 2):
         rows = corpus(seed)
         df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, component_id string").repartition(5)
-        for tile in (10_000, 6):
-            assert {tuple(r) for r in jaccard.components(df, tile=tile).collect()} == brute(rows)
+        for tile, hot in ((2_000, 200_000), (6, 40)):
+            assert {tuple(r) for r in jaccard.components(df, tile=tile, hot=hot).collect()} == brute(rows)
 
 
 def test_low_region_still_exact(spark):
@@ -70,3 +72,37 @@ def test_odd_rows(spark):
     rows = [(3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (None, None), (9, "A b C d e f")]
     got = sorted(map(tuple, jaccard.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == sorted([(3, 2, 3), (3, 2, 3), (None, 2, 3), (None, 0, None), (9, 2, 3)], key=str)
+
+
+def test_blocks_are_skipped_and_no_pair_is_lost():
+    rng = np.random.default_rng(5)
+    n = np.concatenate([rng.integers(100, 105, 400), rng.integers(300, 310, 400)])
+    pos = np.concatenate([np.sort(rng.integers(0, 21, 400)), np.sort(rng.integers(0, 61, 400))])
+    kept = set(jaccard.block_pairs(n, pos, 80, 16))
+    starts = range(0, 800, 16)
+    every = {(i, j) for i in starts for j in starts if i <= j}
+    by_size = {(i, j) for i, j in every if (i < 400) != (j < 400)}
+    assert kept <= every - by_size and len(kept) < 0.95 * len(every - by_size)
+    for x in range(800):
+        for y in range(x + 1, 800):
+            most = min(pos[x], pos[y]) + min(n[x] - pos[x], n[y] - pos[y])
+            if 100 * min(n[x], n[y]) >= 80 * max(n[x], n[y]) and most >= jaccard.needed(n[x], n[y], 80):
+                assert (x // 16 * 16, y // 16 * 16) in kept
+
+
+def test_hot_tokens_are_counted_whole(spark):
+    rows = [(i, "a common passage of some words " + " ".join(f"w{i}x{k}" for k in range(9)), i) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, comp long").repartition(4)
+    often = jaccard.hot_tokens(df, 5, 80, 30)
+    assert often is None or all((r.df, r.lo, r.hi) == (50, 0, 49) for r in often.collect())
+    n = jaccard.index(df, 5, 80).groupBy("t").count().where("count > 30").count()
+    assert (0 if often is None else often.count()) == n
+    assert jaccard.hot_tokens(df, 5, 80, 60) is None
+
+
+def test_hubs_are_dealt_out(spark):
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(words[: 60 - i % 3])) for i in range(300)] + [(900, "other text here of five words")], "doc_id long, text string")
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 300)] + [(0, 900), (5, 6), (0, 1)], "a long, b long")
+    got = sorted(map(tuple, jaccard.verify(pairs, docs, 5, 80, fan=20).collect()))
+    assert got == sorted([(0, i) for i in range(1, 300)] + [(5, 6)])
