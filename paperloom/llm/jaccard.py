@@ -45,12 +45,19 @@ def needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return -((-percent * (n + m)) // (100 + percent))
 
 
-def profiles(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, d1, d2, mins, bits): size, content digests, minimum hashes and parity bitmap of each document's set."""
+PROFILE = "doc_id long, n long, d1 long, d2 long, mins array<long>, bits array<long>, load array<long>"
+
+
+def profiles(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Size, content digests, minimum hashes and parity bitmap of each document's set, and one row a task with its token loads.
+
+    In a row of loads, which alone has ``load``, that tells how many tokens of all `region` s fall to each of 2**16 buckets.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = Shingler(width)
+        cut, load = Shingler(width), np.zeros(1 << 16, np.int64)
         odd = [np.uint64(x) for x in np.random.default_rng(9).integers(1, 2**62, PERMUTATIONS) * 2 + 1]
+        schema = pa.schema([(c, pa.list_(pa.int64()) if c in ("mins", "bits", "load") else pa.int64()) for c in (f.split()[0] for f in PROFILE.split(", "))])
         for batch in batches:
             n, d1, d2, mins, bits = [], [], [], [], []
             for text in rows_of(batch, "text"):
@@ -61,12 +68,11 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
                 mins.append([int((s * m).min() >> np.uint64(1)) for m in odd] if len(s) else [])
                 odds = np.bincount((s >> np.uint64(20) & np.uint64(BITS - 1)).view(np.int64), minlength=BITS) & 1
                 bits.append(np.packbits(odds.astype(np.uint8)).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(mins, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "d1", "d2", "mins", "bits"],
-            )
+                np.add.at(load, region(s, percent)[0] & 0xFFFF, 1)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(x, schema.field(c).type) for c, x in (("n", n), ("d1", d1), ("d2", d2), ("mins", mins), ("bits", bits))), pa.nulls(len(n), schema.field("load").type)], schema=schema)
+        yield pa.RecordBatch.from_pylist([{"load": load.tolist()}], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, mins array<long>, bits array<long>")
+    return docs.mapInArrow(run, PROFILE)
 
 
 def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, fan: int = 500) -> DataFrame:
@@ -114,32 +120,26 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, fan: int
     return rows.select("hub", "lane", "doc_id", "held").mapInArrow(test, "a long, b long")
 
 
-def region(cut: Shingler, text: str | None, percent: int) -> tuple[np.ndarray, int, int]:
-    """A text's tokens below CUT, and the next ones in hash order if those are fewer than its prefix; its size; the tokens below CUT."""
-    t = (cut.shingles(text) >> np.uint64(1)).view(np.int64)
+def region(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, int, int]:
+    """A set's tokens below CUT, and the next ones in hash order if those are fewer than its prefix; its size; the tokens below CUT."""
+    t = (shingles >> np.uint64(1)).view(np.int64)
     low = int(np.searchsorted(t, CUT))
     return (t[: max(low, prefix_length(len(t), percent))] if len(t) else t), len(t), low
 
 
-def hot_tokens(docs: DataFrame, width: int, percent: int, limit: int) -> DataFrame | None:
-    """(t, df, lo, hi) of the tokens in over ``limit`` sets, with the least and largest component; None without any.
+def hot_tokens(docs: DataFrame, loads: DataFrame, width: int, percent: int, limit: int) -> DataFrame | None:
+    """(t, df, lo, hi) of the tokens in over ``limit`` sets of ``docs``, with the least and largest component; None without any.
 
-    All tokens are counted by the lowest 16 bits of their hash, in as many numbers a task; only tokens of buckets over the
-    limit are then counted one by one. There are at most one in ``limit`` index rows.
+    The limit is four mean buckets at least, so it grows as a task's share does. Only tokens of the buckets whose loads (see
+    `profiles`) add up to more are counted one by one, so there are at most one in ``limit`` index rows.
     """
-
-    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, total = Shingler(width), np.zeros(1 << 16, np.int64)
-        for batch in batches:
-            for text in rows_of(batch, "text"):
-                total += np.bincount(region(cut, text, percent)[0] & 0xFFFF, minlength=1 << 16)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1 << 16, dtype=np.int64)), pa.array(total)], names=["bucket", "n"])
-
-    loads = docs.select("text").mapInArrow(load, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    buckets = materialize(loads.where(F.col("n") > limit).select("bucket"), "hot-buckets")
+    buckets = loads.where("load is not null").select(F.posexplode("load").alias("bucket", "n")).groupBy("bucket").agg(F.sum("n").alias("n"))
+    buckets = materialize(buckets, "loads")
+    limit = max(limit, int(4 * (buckets.agg(F.avg("n")).first()[0] or 0)))
+    buckets = materialize(buckets.where(F.col("n") > limit).select("bucket"), "hot-buckets")
     if buckets.isEmpty():
         return None
-    rows = index(docs, width, percent).withColumn("bucket", F.col("t").bitwiseAND(F.lit(0xFFFF))).join(F.broadcast(buckets), "bucket", "left_semi")
+    rows = index(docs, width, percent).withColumn("bucket", F.col("t").bitwiseAND(F.lit(0xFFFF)).cast("int")).join(F.broadcast(buckets), "bucket", "left_semi")
     exact = rows.groupBy("t").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     return materialize(exact.where(F.col("df") > limit), "hot-tokens")
 
@@ -155,7 +155,7 @@ def index(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 part = batch.slice(lo, 256)
                 tokens, sizes, low = [], [], []
                 for text in part["text"].to_pylist():
-                    t, n, r = region(cut, text, percent)
+                    t, n, r = region(cut.shingles(text), percent)
                     tokens.append(t)
                     sizes.append(n)
                     low.append(r)
@@ -251,7 +251,8 @@ def components(df: DataFrame, width: int = 5, percent: int = 80, key: str = "doc
     others, so that no task gets a whole such list.
     """
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    info = materialize(profiles(docs, width), "profiles")
+    told = materialize(profiles(docs, width, percent), "profiles")
+    info = told.where("load is null").drop("load")
     cls = info.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("mins").alias("mins"), F.first("bits").alias("bits"))
     cls = materialize(cls.where("node is not null"), "classes")
 
@@ -276,7 +277,7 @@ def components(df: DataFrame, width: int = 5, percent: int = 80, key: str = "doc
     marks = materialize(marks.groupBy("doc_id").agg(F.max("known").alias("known"), F.min("copy").alias("copy")), "marks")
     once = docs.where("doc_id is not null").join(small(marks), "doc_id", "left").where("copy is null or not copy")
     once = once.select("doc_id", "text", F.coalesce("known", "doc_id").alias("comp"))
-    often = hot_tokens(once, width, percent, hot)
+    often = hot_tokens(once, told, width, percent, hot)
     by_token = Window.partitionBy("t")
     every = index(once, width, percent)
     shared = every if often is None else every.join(F.broadcast(often.select("t")), "t", "left_anti")
