@@ -7,17 +7,19 @@ number of documents. Each piece then takes its planned slot by joining on its ra
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import ByteBPE, rank_encoder, read_vocabulary, rows_of
-from .scratch import materialize
+from .scratch import materialize, small
 
-PIECES = "piece int, start long, length long, ids binary"
+PIECES = "piece int, start long, length long, ids binary, part int, nth long"
 PLAN = "length long, low long, high long, per_bin long, first_bin long, at long"
 
 
@@ -62,9 +64,10 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 
 
 def pieces(df: DataFrame, vocabulary: str, end: int, capacity: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, piece, start, length, ids): each document's ids and its end mark, cut only if over ``capacity``.
+    """(key, piece, start, length, ids, part, nth): each document's ids and its end mark, cut only if over ``capacity``.
 
     ``ids`` holds a piece's ids as little-endian unsigned 32-bit values, so pieces of a sequence join end to end.
+    ``nth`` counts a task's pieces of one length from 0, ``part`` is the task's number.
 
     Cut documents give full pieces, except that the first takes what is left over. A null text counts as empty and gives
     the end mark alone.
@@ -72,9 +75,9 @@ def pieces(df: DataFrame, vocabulary: str, end: int, capacity: int, key: str = "
     sent = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = rank_encoder(ByteBPE(sent.value))
+        encode, part, seen = rank_encoder(ByteBPE(sent.value)), TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            row, piece, start, length, held = [], [], [], [], []
+            row, piece, start, length, held, nth = [], [], [], [], [], []
             for i, text in enumerate(rows_of(batch, "text")):
                 ids = np.append(encode(text or ""), np.uint32(end)).astype("<u4", copy=False)
                 cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
@@ -84,34 +87,32 @@ def pieces(df: DataFrame, vocabulary: str, end: int, capacity: int, key: str = "
                     start.append(lo)
                     length.append(hi - lo)
                     held.append(ids[lo:hi].tobytes())
+                    nth.append(seen[hi - lo])
+                    seen[hi - lo] += 1
             yield pa.RecordBatch.from_arrays(
-                [batch["key"].take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(held, pa.binary())],
-                names=[key, "piece", "start", "length", "ids"],
+                [batch["key"].take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(held, pa.binary()), pa.array([part] * len(row), pa.int32()), pa.array(nth, pa.int64())],
+                names=[key, "piece", "start", "length", "ids", "part", "nth"],
             )
 
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, f"`{key}` {rows.schema['key'].dataType.simpleString()}, {PIECES}")
 
 
-def assign(cut: DataFrame, capacity: int, key: str = "doc_id", slice_rows: int = 1_000) -> DataFrame:
-    """``cut`` (key, piece, start, length, lane and columns to carry) with sequence_id and offset, without its lane.
+def assign(cut: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
+    """``cut`` (key, piece, start, length, part, nth and columns to carry) with sequence_id and offset, without part and nth.
 
-    ``lane`` is a number of its own for each row. Only the histogram (at most ``capacity`` rows) comes to the driver, and
-    only the plan, bounded by the capacity, goes out. Ranks within a length are counted in slices of about ``slice_rows``
-    rows dealt by lane, so a frequent length is spread, also where keys are null or rows repeat.
+    Only the histogram (at most ``capacity`` rows) comes to the driver, and only the plan, bounded by the capacity, goes
+    out. A piece's rank within its length is its ``nth`` in its part plus the pieces of that length in the parts before, so
+    no rows are sorted or gathered, however many have one length, null keys or equal texts.
     """
     spark = cut.sparkSession
-    rest = [c for c in cut.columns if c not in (key, "piece", "start", "length", "lane")]
-    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    rest = [c for c in cut.columns if c not in (key, "piece", "start", "length", "part", "nth")]
+    counts = cut.groupBy("length", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = materialize(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "counts")
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     steps = spark.createDataFrame(plan(histogram, capacity), PLAN)
-    spread = spark.createDataFrame([(length, -(-n // slice_rows)) for length, n in histogram.items()], "length long, slices long")
-    rows = cut.join(F.broadcast(spread), "length").withColumn("slice", F.pmod(F.xxhash64("lane"), F.col("slices")))
-    counts = rows.groupBy("length", "slice").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("length", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("length", "slice").orderBy("lane")
-    rows = rows.withColumn("rank", F.row_number().over(within) - 1).join(counts, ["length", "slice"])
-    rows = rows.withColumn("rank", F.col("rank") + F.col("base")).drop("slice", "slices", "base")
+    rows = cut.join(small(counts.drop("n")), ["length", "part"]).withColumn("rank", F.col("nth") + F.col("base"))
     slot = F.col("rank") - F.col("low")
     out = rows.join(F.broadcast(steps.withColumnRenamed("length", "of")), (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     return out.select(
@@ -129,6 +130,6 @@ def pack(df: DataFrame, vocabulary: str, end: int = 2, capacity: int = 1024, key
     pieces of one token, the end mark; repeated rows are packed each for itself; null keys stay; other columns are
     ignored; no rows give no rows.
     """
-    cut = materialize(pieces(df, vocabulary, end, capacity, key, text).withColumn("lane", F.monotonically_increasing_id()), "pieces")
+    cut = materialize(pieces(df, vocabulary, end, capacity, key, text), "pieces")
     placed = assign(cut, capacity, key)
     return placed.select(key, "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset", "ids")

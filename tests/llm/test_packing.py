@@ -3,6 +3,8 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from paperloom.llm import packing
@@ -73,10 +75,12 @@ def test_pack(spark):
     assert packing.pack(df.limit(0), PATH).count() == 0
 
 
-def test_slices_change_nothing(spark):
-    cut = spark.range(500).selectExpr("id as doc_id", "0 as piece", "0L as start", "cast(id % 7 + 1 as long) as length", "id as ids_crc32", "id as lane")
-    for n in (7, 50_000):
-        out = packing.assign(cut, 16, slice_rows=n).collect()
+def test_parts_change_nothing(spark):
+    cut = spark.range(500).selectExpr("id as doc_id", "0 as piece", "0L as start", "cast(id % 7 + 1 as long) as length", "id as ids_crc32")
+    for n in (1, 9):
+        parts = cut.withColumn("part", (F.col("doc_id") % n).cast("int"))
+        parts = parts.withColumn("nth", (F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id")) - 1).cast("long"))
+        out = packing.assign(parts, 16).collect()
         slots = {(r.sequence_id, r.offset + i) for r in out for i in range(r.length)}
         assert len(out) == 500 and len(slots) == sum(r.length for r in out) and max(o for _, o in slots) < 16
 
