@@ -76,7 +76,7 @@ def pieces(df: DataFrame, vocabulary: str, end: int, capacity: int, key: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, seen = rank_encoder(ByteBPE(sent.value)), TaskContext.get().partitionId(), Counter()
-        for batch in batches:
+        for batch in (whole.slice(lo, 512) for whole in batches for lo in range(0, whole.num_rows, 512)):
             row, piece, start, length, held, nth = [], [], [], [], [], []
             for i, text in enumerate(rows_of(batch, "text")):
                 ids = np.append(encode(text or ""), np.uint32(end)).astype("<u4", copy=False)
