@@ -31,7 +31,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, size: int = 8 << 20):
+def small_batches(spark: SparkSession, size: int = 4 << 20):
     """Arrow batches of at most ``size`` bytes for the jobs run inside; the session's own setting holds again afterwards."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     held = spark.conf.get(name)
