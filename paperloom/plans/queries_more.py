@@ -222,7 +222,7 @@ def two_column_order(s, d):
 
 
 @query(f"""WITH {SEGS}, {ISLES}, a AS (SELECT *, {words_n('text')} AS n FROM merged), b AS (SELECT *, last_value(CASE WHEN n >= 10 THEN n END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY seg_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS big FROM a),
-c AS (SELECT *, sum(CASE WHEN n < 10 AND coalesce(big, 0) > 30 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY seg_no) AS g2 FROM b) SELECT doc_id, min(seg_no) AS seg_no, string_agg(text, chr(10) || chr(10) ORDER BY seg_no) AS text FROM c GROUP BY doc_id, g2""")
+c AS (SELECT *, sum(CASE WHEN n < 10 AND coalesce(big, 0) > 30 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY seg_no) AS g2 FROM b) SELECT doc_id, min(seg_no) AS seg_no, string_agg(text, chr(10) || chr(10) ORDER BY seg_no) AS text, max(depth) AS depth, arg_min(heading, seg_no) FILTER (heading IS NOT NULL) AS heading, arg_min(page, seg_no) AS page FROM c GROUP BY doc_id, g2""")
 def guard_chain(s, d):
     return X.guard_chain(segments(s, d))
 

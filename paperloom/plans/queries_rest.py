@@ -233,10 +233,10 @@ def words_n(x: str) -> str:
 SHORTENED = "CASE WHEN seg_no % 3 = 2 THEN substr(text, 1, 40) ELSE text END"
 
 
-@query(f"""WITH {SEGS}, a AS (SELECT doc_id, seg_no, t AS text, {words_n('t')} AS n FROM (SELECT *, {SHORTENED} AS t FROM segs)),
+@query(f"""WITH {SEGS}, a AS (SELECT doc_id, seg_no, depth, heading, page, t AS text, {words_n('t')} AS n FROM (SELECT *, {SHORTENED} AS t FROM segs)),
 b AS (SELECT *, last_value(CASE WHEN n >= 10 THEN n END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY seg_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS big FROM a),
 c AS (SELECT *, sum(CASE WHEN n < 10 AND coalesce(big, 0) > 30 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY seg_no) AS g FROM b)
-SELECT doc_id, min(seg_no) AS seg_no, string_agg(text, chr(10) || chr(10) ORDER BY seg_no) AS text FROM c GROUP BY doc_id, g""")
+SELECT doc_id, min(seg_no) AS seg_no, string_agg(text, chr(10) || chr(10) ORDER BY seg_no) AS text, max(depth) AS depth, arg_min(heading, seg_no) FILTER (heading IS NOT NULL) AS heading, arg_min(page, seg_no) AS page FROM c GROUP BY doc_id, g""")
 def min_size_merge(s, d):
     return C.merge_short(segments(s, d).withColumn("text", F.expr(SHORTENED)))
 
