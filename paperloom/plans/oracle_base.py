@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import text as T
-from ..sources.adapters import TRIGGER
+from ..sources.adapters import HELD, PLACE, TRIGGER
 
 LINES = """lines AS (SELECT doc_id, source, CAST(i AS INTEGER) AS line_no, line FROM (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents))"""
@@ -11,9 +11,12 @@ BLOCKS = f"""{LINES},
 blocks AS (SELECT doc_id, source, i AS block_no, p AS page, 'text' AS type, text,
   CASE WHEN length(text) < 25 THEN 18.0::DOUBLE WHEN length(text) < 60 THEN 14.0 ELSE 11.0 END AS font_size,
   CASE WHEN length(text) < 25 AND doc_id % 2 = 0 THEN 'Test-Bold' ELSE 'Test-Regular' END AS font,
-  CASE WHEN i % 2 = 0 THEN 50.0::DOUBLE ELSE 320.0 END AS x0, (72.0 + 120 * (i % 5))::DOUBLE AS y0,
-  CASE WHEN i % 2 = 0 THEN 290.0::DOUBLE ELSE 560.0 END AS x1, (172.0 + 120 * (i % 5))::DOUBLE AS y1
-  FROM (SELECT doc_id, source, i, p, {TRIGGER} AS text FROM (SELECT doc_id, source, line, line_no AS i, doc_id AS d, line_no // 5 AS p FROM lines)))"""
+  CASE WHEN i % 2 = 0 THEN 50.0::DOUBLE ELSE 320.0 END AS x0, (72.0 + 80 * (i % 8))::DOUBLE AS y0,
+  CASE WHEN i % 2 = 0 THEN 290.0::DOUBLE ELSE 560.0 END AS x1, (138.0 + 80 * (i % 8))::DOUBLE AS y1
+  FROM (SELECT doc_id, source, CAST(p * 8 + {PLACE} AS INTEGER) AS i, p, {TRIGGER} AS text FROM (
+    SELECT *, line_no % r AS j, least(r, n - p * r) AS m, unnest([0, 1, 2, 3]) AS s FROM (SELECT *, CAST(line_no // r AS INTEGER) AS p FROM (
+      SELECT *, doc_id AS d, CASE WHEN doc_id % 3 < 2 THEN 1 ELSE 0 END AS h, CASE WHEN doc_id % 3 < 2 THEN 5 ELSE 7 END AS r,
+        count(*) OVER (PARTITION BY doc_id) AS n FROM lines))) WHERE {HELD}))"""
 
 
 def trim(x: str) -> str:

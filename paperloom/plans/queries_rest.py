@@ -129,10 +129,10 @@ def depth_contains_join(s, d):
     return l.join(m, ["doc_id", "seg_no"], "left").select("doc_id", "seg_no", F.coalesce("lv", rule).cast("long").alias("depth"))
 
 
-@query(f"WITH {O.BLOCKS} SELECT doc_id, block_no FROM blocks WHERE (x0 + x1) / 2 BETWEEN 40.0 + page * 20 AND 300.0 AND (y0 + y1) / 2 BETWEEN 100.0 AND 400.0 AND page <= 3")
+@query(f"WITH {O.BLOCKS} SELECT doc_id, block_no FROM blocks WHERE (x0 + x1) / 2 BETWEEN 40.0 + page % 4 * 20 AND 300.0 AND (y0 + y1) / 2 BETWEEN 100.0 AND 400.0")
 def point_in_region(s, d):
     b = blocks(s, d)
-    regions = b.select("doc_id", "page").distinct().where("page <= 3").select("doc_id", "page", (F.col("page") * 20 + 40.0).alias("rx0"), F.lit(100.0).alias("ry0"), F.lit(300.0).alias("rx1"), F.lit(400.0).alias("ry1"))
+    regions = b.select("doc_id", "page").distinct().select("doc_id", "page", (F.col("page") % 4 * 20 + 40.0).alias("rx0"), F.lit(100.0).alias("ry0"), F.lit(300.0).alias("rx1"), F.lit(400.0).alias("ry1"))
     return B.inside(b, regions).select("doc_id", "block_no")
 
 
