@@ -1,3 +1,5 @@
+import re
+
 from paperloom.operators import retrieval as V
 
 
@@ -11,3 +13,33 @@ def test_blocks_of_queries_change_nothing(spark):
     for size in (1, 2, 4):
         assert all(b.count() <= size for b in V._blocks(queries.withColumnRenamed("namespace", "qns"), size))
         assert sorted(map(tuple, V.search(store, queries, 50, max_queries=size).collect())) == want
+
+
+def test_chat_context_against_brute_force(spark):
+    from paperloom.functions import providers as P
+    from paperloom.plans import api
+
+    words = "river stone light paper green seven north cloud bread music".split()
+    texts = [" ".join(words[(i * 3 + j * j) % 10] for j in range(3 + i % 4)) for i in range(25)] + ["river stone", "river stone"]
+    chunks = spark.createDataFrame([(i // 5, i % 5, t, i % 3, None if i % 2 else f"head {i}") for i, t in enumerate(texts)], "doc_id long, index int, text string, page int, heading string")
+    asked = [(1, "river stone light"), (2, "green paper\n\nnorth cloud"), (3, "music")]
+    store = api.load(chunks, "corpus", "hash64")
+    got = {r.base: re.sub(r"score: [^)]*", "", r.context) for r in api.chat_context(store, spark.createDataFrame(asked, "base long, query string"), "hash64", k=3).collect()}
+
+    entries, model = store.collect(), P.HashProvider(64)
+
+    def cosine(a, b):
+        norms = sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5
+        return sum(x * y for x, y in zip(a, b, strict=True)) / norms if norms else 0.0
+
+    for base, query in asked:
+        answer = ("Rephrase:\n" + query)[:200]
+        found = {}
+        for variant in [query, *[x for x in answer.split("\n") if x.strip()][:3]]:
+            q = model.embed(variant)
+            best = sorted(((-cosine(q, e.vec), e.rowid, e) for e in entries), key=lambda x: x[:2])[:6]
+            for s, _, e in best:
+                if s <= 0:
+                    found.setdefault(e.id, e)
+        passages = [f"[Trecho () [p.{e.page}" + (f", §{e.heading}" if e.heading else "") + f"]]\n{e.text}\n" for e in list(found.values())[:3]]
+        assert got[base] == "\n".join(passages)
