@@ -91,6 +91,31 @@ def fit_boundary_model(rows: DataFrame, features: list[str], label: str):
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x"), LogisticRegression(featuresCol="_x", labelCol=label, maxIter=50)]).fit(rows)
 
 
+def boundary_intervals(rows: DataFrame, features: list[str], label: str, part: str, confidence: float = 0.9) -> DataFrame:
+    """``rows`` with estimate, lower and upper: the chance of a boundary and its split-conformal interval.
+
+    Rows whose ``part`` is 'train' fit the model, those of 'calibrate' give the width; both need a label. Any other row is
+    only judged. Rows with a null feature keep a null estimate; without training rows, or with one label alone, the
+    estimate is the share of boundaries among them, 0.5 if there are none, as no model can be fitted.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    whole = F.lit(True)
+    for f in features:
+        whole = whole & F.col(f).isNotNull()
+    known = rows.where((F.col(part) == "train") & F.col(label).isNotNull() & whole)
+    seen = known.agg(F.min(label).alias("low"), F.max(label).alias("high"), F.avg(label).alias("mean")).first()
+    if seen["low"] == seen["high"]:
+        estimate = F.lit(0.5 if seen["mean"] is None else float(seen["mean"]))
+        scored = rows.withColumn("estimate", F.when(whole, estimate))
+    else:
+        model = fit_boundary_model(known, features, label)
+        judged = model.transform(rows.where(whole)).withColumn("estimate", vector_to_array("probability")[1])
+        scored = judged.select(*rows.columns, "estimate").unionByName(rows.where(~whole).withColumn("estimate", F.lit(None).cast("double")))
+    truth = F.when((F.col(part) == "calibrate") & F.col("estimate").isNotNull(), F.col(label).cast("double"))
+    return conformal(scored.withColumn("truth", truth), confidence).drop("truth")
+
+
 def guard_chain(segments: DataFrame) -> DataFrame:
     """Segments (doc_id, seg_no, text, depth, heading, page) after both joins: those that refer back, then short ones."""
     return C.merge_short(C.merge_anaphoric(segments))

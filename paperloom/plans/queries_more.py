@@ -203,6 +203,14 @@ def conformal_intervals(s, d):
     return X.conformal(l.select("doc_id", "line_no", F.when(F.col("doc_id") % 2 == 0, F.col("truth0")).alias("truth"), "estimate"))
 
 
+@query()
+def boundary_intervals(s, d):
+    """Every line's chance of being a heading and its interval, the documents dealt to training, calibration and judging."""
+    l = lines(s, d).select("doc_id", "line_no", F.length("line").cast("double").alias("chars"), F.size(F.split("line", " ")).cast("double").alias("words"), T.heading_guess(F.col("line")).isNotNull().cast("double").alias("label"))
+    dealt = F.get(F.array(F.lit("train"), F.lit("calibrate"), F.lit("judge")), (F.col("doc_id") % 3).cast("int"))
+    return X.boundary_intervals(l.withColumn("part", dealt), ["chars", "words"], "label", "part")
+
+
 @query(f"""WITH RECURSIVE {O.BLOCKS}, r AS (SELECT doc_id, page, block_no, CAST(y0 - 30 AS DOUBLE) AS y0, y1, row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0, block_no) AS i FROM blocks),
 f AS (SELECT doc_id, page, block_no, i, [struct_pack(y0 := y0, y1 := y1)] AS anchors, CAST(0 AS BIGINT) AS row FROM r WHERE i = 1 UNION ALL
   SELECT r.doc_id, r.page, r.block_no, r.i, CASE WHEN len(h) = 0 THEN list_append(anchors, struct_pack(y0 := r.y0, y1 := r.y1)) ELSE anchors END, CASE WHEN len(h) = 0 THEN len(anchors) ELSE h[1] END

@@ -44,3 +44,25 @@ def test_all_tools_answer(spark):
 
     tools_seen = {r.tool for r in document_tool_results(spark, "/root/testdata/sf0.001").select("tool").distinct().collect()}
     assert tools_seen == {"search_document", "summarize_document", "classify_document", "analyze_document", "extract_structure", "map_arguments"}
+
+
+def test_boundary_intervals_cover_the_truth(spark):
+    from paperloom.operators import analysis as X
+
+    rows = spark.range(3000).select("id", (F.rand(5) * 10).alias("x"))
+    rows = rows.withColumn("label", (F.col("x") + F.randn(7) > 5).cast("double")).withColumn("part", F.expr("array('train', 'calibrate', 'judge')[cast(id % 3 as int)]"))
+    rows = rows.unionByName(spark.createDataFrame([(-1, None, 1.0, "judge"), (-2, None, None, "train")], "id long, x double, label double, part string")).cache()
+    got = {r.id: r for r in X.boundary_intervals(rows, ["x"], "label", "part", 0.9).collect()}
+    assert len(got) == 3002 and got[-1].estimate is None and got[-2].lower is None
+    judged = [r for r in got.values() if r.part == "judge" and r.estimate is not None]
+    assert sum(r.lower <= r.label <= r.upper for r in judged) / len(judged) > 0.85
+    assert all((r.estimate > 0.5) == (r.x > 5) for r in judged if abs(r.x - 5) > 1)
+
+
+def test_boundary_intervals_without_a_model(spark):
+    from paperloom.operators import analysis as X
+
+    shape = "id long, x double, label double, part string"
+    one = spark.createDataFrame([(1, 1.0, 1.0, "train"), (2, 2.0, 1.0, "train"), (3, 3.0, None, "judge")], shape)
+    assert [(r.estimate, r.upper) for r in X.boundary_intervals(one, ["x"], "label", "part").orderBy("id").collect()] == [(1.0, float("inf"))] * 3
+    assert X.boundary_intervals(spark.createDataFrame([], shape), ["x"], "label", "part").count() == 0
