@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, jaccard, langid, neardup_vectors, packing, pii, sharding, urlfilter
+from . import ann, bpe, chat, foldbpe, jaccard, langid, neardup_vectors, packing, pii, sharding, urlfilter
 
 
 def vocabulary() -> str:
@@ -14,6 +14,12 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def rank_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -66,11 +72,16 @@ def op10_two_pass_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op11_folded_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return foldbpe.round_trip(table(spark, sf_dir, "documents"), rank_file())
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_rotated_code_search, op2_pair_index_bpe, op3_reversed_host_rules, op4_fused_language_id, op5_subspace_neardup, op6_skipping_jaccard_join, op7_typed_parts_chat,
         op8_offset_preserving_pii, op9_histogram_packing, op10_two_pass_shards,
+        op11_folded_byte_bpe,
     )
 }
 
