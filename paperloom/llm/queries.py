@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, foldbpe, jaccard, langid, neardup_vectors, packing, pii, sharding, urlfilter
+from . import ann, bpe, chat, foldbpe, jaccard, langid, neardup_vectors, packing, periods, pii, sharding, urlfilter
 
 
 def vocabulary() -> str:
@@ -76,12 +76,17 @@ def op11_folded_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return foldbpe.round_trip(table(spark, sf_dir, "documents"), rank_file())
 
 
+def op13_synchronised_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return periods.digest(periods.detect(docs.select("doc_id", periods.planted(F.col("text"), F.col("doc_id")).alias("text"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_rotated_code_search, op2_pair_index_bpe, op3_reversed_host_rules, op4_fused_language_id, op5_subspace_neardup, op6_skipping_jaccard_join, op7_typed_parts_chat,
         op8_offset_preserving_pii, op9_histogram_packing, op10_two_pass_shards,
-        op11_folded_byte_bpe,
+        op11_folded_byte_bpe, op13_synchronised_runs,
     )
 }
 
