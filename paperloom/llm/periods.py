@@ -220,10 +220,12 @@ def planted(text: Column, key: Column) -> Column:
     g = F.floor(h / 10)
     words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     n = F.nullif(F.size(words), F.lit(0))
-    a = g % n
-    p = F.floor((n - a) / (g % 8 + 3)) + 1
-    repeated = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.element_at(words, (a + (i - a) % p + 1).cast("int"))))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(repeated, " ")).otherwise(text)
+    a = (g % n).cast("int")
+    p = (F.floor((n - a) / (g % 8 + 3)) + 1).cast("int")
+    root = F.slice(words, a + 1, p)
+    times = F.ceil((n - a) / p).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(root, times)), F.lit(1), n - a)
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(F.concat(F.slice(words, F.lit(1), a), tail), " ")).otherwise(text)
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
