@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, foldbpe, jaccard, langid, neardup_vectors, packing, periods, pii, sharding, urlfilter
+from . import ann, bpe, chat, collocations, foldbpe, jaccard, langid, neardup_vectors, packing, periods, pii, sharding, urlfilter
 
 
 def vocabulary() -> str:
@@ -76,6 +76,10 @@ def op11_folded_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return foldbpe.round_trip(table(spark, sf_dir, "documents"), rank_file())
 
 
+def op12_quotient_filter_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op13_synchronised_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return periods.digest(periods.detect(docs.select("doc_id", periods.planted(F.col("text"), F.col("doc_id")).alias("text"))))
@@ -86,7 +90,7 @@ QUERIES = {
     for f in (
         op1_rotated_code_search, op2_pair_index_bpe, op3_reversed_host_rules, op4_fused_language_id, op5_subspace_neardup, op6_skipping_jaccard_join, op7_typed_parts_chat,
         op8_offset_preserving_pii, op9_histogram_packing, op10_two_pass_shards,
-        op11_folded_byte_bpe, op13_synchronised_runs,
+        op11_folded_byte_bpe, op12_quotient_filter_phrases, op13_synchronised_runs,
     )
 }
 
@@ -127,5 +131,20 @@ c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM f a JOIN f b ON a.
 l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
 r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id)
 SELECT doc_id, n AS n_shingles, component_id FROM n JOIN (SELECT doc_id, min(c) AS component_id FROM r GROUP BY 1) USING (doc_id)
+""",
+    "op12_quotient_filter_phrases": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n-\r]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(greatest(len(w) - k + 1, 0)), lambda i: array_to_string(w[i + 1 : i + k], ' '))) AS phrase FROM w, (VALUES (1), (2), (3), (4)) AS ks(k)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL), c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 30),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1),
+cut AS (SELECT lang, phrase, w, a, unnest(range(1, k)) AS i FROM c),
+s AS (SELECT cut.lang, cut.phrase, cut.a, x.a AS l, y.a AS r, (2000000::HUGEINT * cut.a) // (x.a + y.a) AS score, i FROM cut
+      JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(w[1 : i], ' ') JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(w[i + 1 :], ' ')),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+longer AS (SELECT lang, array_to_string(w[i : i + j - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT lang, w, a, unnest(range(1, k)) AS i, k FROM c) t, (VALUES (2), (3)) AS js(j) WHERE j < k AND i + j - 1 <= k GROUP BY 1, 2)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM low LEFT JOIN longer USING (lang, phrase) JOIN n USING (lang) WHERE NOT coalesce(100 * longer >= 80 * a, false)
+QUALIFY rank <= 2000
 """,
 }
