@@ -24,6 +24,15 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("&lt;|"), F.lit("<|")), F.lit("&amp;"), F.lit("&"))
 
 
+def escape_role(role: Column) -> Column:
+    """``role`` as one line without any control string; `unescape_role` restores it exactly."""
+    return F.replace(escape(role), F.lit("\n"), F.lit("&#10;"))
+
+
+def unescape_role(role: Column) -> Column:
+    return unescape(F.replace(role, F.lit("&#10;"), F.lit("\n")))
+
+
 def expanded(part: Column, patch: int = 14, audio_rate: int = 25, page_tokens: int = 256) -> Column:
     """Tokens that a non-text part's placeholder stands for: patches, audio frames, or pages. Unknown sizes count 0."""
     size = F.ceil(part["width"] / patch) * F.ceil(part["height"] / patch)
@@ -47,13 +56,13 @@ def visit(parts: Column) -> tuple[Column, Column]:
 def format_chats(messages: DataFrame) -> DataFrame:
     """(conv_id, n_turns, formatted, attachments) of ``messages`` (conv_id, turn, role, parts), one row a conversation.
 
-    Turns go by ``turn``, null first, ties by role and then text; repeated rows stay. Null roles count as empty, null parts
+    Turns go by ``turn``, null first, ties by role and then text; repeated rows stay. Null roles count as empty, line ends in roles are escaped, null parts
     as no parts, unknown kinds of part as nothing. The turns of a conversation meet in one row, since they are one text.
     """
     text, media = visit(F.coalesce("parts", F.array().cast(f"array<{PART}>")))
     rows = messages.select("conv_id", F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), text.alias("text"), media.alias("media")).alias("m"))
     turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("turns"))
-    one = lambda t: F.concat(F.lit(START), escape(t["role"]), F.lit("\n"), t["text"], F.lit(END + "\n"))
+    one = lambda t: F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"), t["text"], F.lit(END + "\n"))
     return turns.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.array_join(F.transform("turns", one), "").alias("formatted"),
         F.flatten(F.transform("turns", lambda t, i: F.transform(t["media"], lambda a: F.struct(i.alias("turn"), a["at"].alias("at"), a["kind"].alias("kind"), a["ref"].alias("ref"), a["tokens"].alias("tokens"))))).alias("attachments"),
@@ -64,7 +73,7 @@ def read_back(formatted: Column) -> Column:
     """The turns of a formatted text as array<struct<role, text>>, unescaped; placeholders stay as marks."""
     whole = F.filter(F.split(formatted, r"<\|im_end\|>\n"), lambda s: s != "")
     return F.transform(whole, lambda s: F.struct(
-        unescape(F.substring_index(F.substr(s, F.lit(len(START) + 1)), "\n", 1)).alias("role"),
+        unescape_role(F.substring_index(F.substr(s, F.lit(len(START) + 1)), "\n", 1)).alias("role"),
         unescape(F.substr(s, F.instr(s, "\n") + 1)).alias("text"),
     ))
 

@@ -7,6 +7,7 @@ host's suffix, and that towards the whole corpus.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,15 @@ BUCKETS = 1 << 16
 UNKNOWN = "und"
 #: Address suffixes and the language they speak for.
 SUFFIX_LANGUAGE = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl"}
+#: Three-letter language codes (ISO 639-3) of languages that tags write with two letters (ISO 639-1).
+TWO_LETTERS = """
+afr af amh am ara ar aze az bel be ben bn bos bs bul bg cat ca ces cs cym cy dan da deu de ell el eng en epo eo est et eus eu
+fas fa fin fi fra fr gle ga glg gl guj gu hau ha heb he hin hi hrv hr hun hu hye hy ibo ig ind id isl is ita it jav jv jpn ja
+kan kn kat ka kaz kk khm km kor ko kur ku lao lo lat la lav lv lit lt ltz lb mal ml mar mr mkd mk mlt mt mon mn msa ms mya my
+nep ne nld nl nno nn nob nb nor no oci oc pan pa pol pl por pt pus ps que qu ron ro rus ru sin si slk sk slv sl som so spa es
+sqi sq srp sr sun su swa sw swe sv tam ta tat tt tel te tgk tg tgl tl tha th tur tr uig ug ukr uk urd ur uzb uz vie vi xho xh
+yid yi yor yo zho zh zul zu
+""".split()
 
 
 class Trigrams:
@@ -114,11 +124,29 @@ def softmax(logits: Column) -> Column:
     return F.transform(grown, lambda x: x / total)
 
 
+SHORT = dict(zip(TWO_LETTERS[::2], TWO_LETTERS[1::2], strict=True))
+
+
+def primary(tag: Column) -> Column:
+    """The language that a tag such as ``EN-us`` names: its first subtag in lower case, with two letters where there are such; null stays null."""
+    first = F.lower(F.element_at(F.split(F.trim(tag), "[-_]"), 1))
+    return F.coalesce(F.element_at(F.from_json(F.lit(json.dumps(SHORT)), "map<string,string>"), first), first)
+
+
+def primary_of(label: str) -> str:
+    """As `primary`, for a label."""
+    first = label.strip(" ").replace("_", "-").split("-")[0].lower()
+    return SHORT.get(first, first)
+
+
 def evidence(said: Column, names: list[str], trust: float) -> Column:
-    """Log likelihood of a language tag under each class: ``trust`` if it is the class's own; nothing for null or unknown tags."""
-    other = (1 - trust) / max(1, len(names) - 1)
-    known = F.array(*[F.when(said == n, F.lit(float(np.log(trust)))).otherwise(F.lit(float(np.log(other)))) for n in names], F.lit(float(np.log(1 / max(2, len(names))))))
-    return F.when(said.isin(names), known).otherwise(F.array(*[F.lit(0.0)] * (len(names) + 1)))
+    """Log likelihood of a declared language (see `primary`) under each class: ``trust`` shared by the classes whose labels name it; nothing for null or unknown ones."""
+    n = len(names)
+    tags = F.from_json(F.lit(json.dumps([primary_of(x) for x in names])), "array<string>")
+    shares = F.greatest(F.size(F.filter(tags, lambda t: t == said)), F.lit(1))
+    own, other = F.log(F.lit(trust) / shares), F.log((1 - trust) / F.greatest(n - shares, F.lit(1)))
+    known = F.concat(F.transform(tags, lambda t: F.when(t == said, own).otherwise(other)), F.array(F.lit(float(np.log(1 / max(2, n))))))
+    return F.when(F.array_contains(tags, said), known).otherwise(F.array_repeat(F.lit(0.0), n + 1))
 
 
 def plus(a: Column, b: Column) -> Column:
@@ -152,7 +180,7 @@ def identify(docs: DataFrame, labelled: DataFrame, per_language: int = 400, temp
     """
     names, logs = models or train(labelled, per_language)
     size = len(names) + 1
-    start = F.array(*[F.lit(float(np.log(0.999 / max(1, len(names)))))] * len(names), F.lit(float(np.log(0.001 if names else 1.0))))
+    start = F.concat(F.array_repeat(F.lit(float(np.log(0.999 / max(1, len(names))))), len(names)), F.array(F.lit(float(np.log(0.001 if names else 1.0)))))
     rows = materialize(likelihoods(docs, logs, temper), "likelihoods")
     rows = rows.withColumn("_text", F.when(F.col("ll").isNotNull(), softmax(plus(F.col("ll"), start))))
 
@@ -175,9 +203,9 @@ def identify(docs: DataFrame, labelled: DataFrame, per_language: int = 400, temp
     prior = F.transform(F.coalesce("_prior", "_parent", top), lambda p: F.log(F.greatest(p, F.lit(1e-9))))
     tags = F.create_map(*[F.lit(x) for kv in SUFFIX_LANGUAGE.items() for x in kv])
     spoken = F.try_element_at(tags, F.coalesce("suffix", F.lit("")))
-    logits = plus(plus(F.col("ll"), prior), plus(evidence(F.lower(F.substring("declared", 1, 2)), names, trust), evidence(spoken, names, suffix_trust)))
+    logits = plus(plus(F.col("ll"), prior), plus(evidence(primary(F.col("declared")), names, trust), evidence(spoken, names, suffix_trust)))
     rows = rows.withColumn("_all", F.when(F.col("ll").isNotNull(), softmax(logits)))
-    label = F.array(*map(F.lit, [*names, UNKNOWN]))
+    label = F.from_json(F.lit(json.dumps([*names, UNKNOWN])), "array<string>")
     best = lambda c: F.coalesce(F.try_element_at(label, F.array_position(c, F.array_max(c)).cast("int")), F.lit(UNKNOWN))
     out = rows.withColumn("language", best(F.col("_all"))).withColumn("text_language", best(F.col("_text"))).withColumn("posterior", F.array_max("_all"))
     out = out.withColumn("kept", (F.col("language") != UNKNOWN) & (F.coalesce("posterior", F.lit(0.0)) >= keep))
@@ -192,7 +220,7 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     """
     body = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
     host = F.lower(F.regexp_extract("url", r"^[^:/?#]*://([^/?#:]*)", 1))
-    return pages.select("page_id", body.alias("text"), F.nullif(F.regexp_extract("html", r"(?i)<html[^>]*\blang\s*=\s*[\"']?([A-Za-z]{2})", 1), F.lit("")).alias("declared"), F.nullif(host, F.lit("")).alias("host"), F.nullif(F.regexp_extract(host, r"\.([a-z]+)$", 1), F.lit("")).alias("suffix"))
+    return pages.select("page_id", body.alias("text"), F.nullif(F.regexp_extract("html", r"(?i)<html[^>]*\blang\s*=\s*[\"']?([A-Za-z]{2,8}(?:[-_][A-Za-z0-9]+)*)", 1), F.lit("")).alias("declared"), F.nullif(host, F.lit("")).alias("host"), F.nullif(F.regexp_extract(host, r"\.([a-z]+)$", 1), F.lit("")).alias("suffix"))
 
 
 def document_evidence(docs: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -56,8 +56,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def row_bytes(df: DataFrame) -> Column:
     """About the bytes of a row: its strings' and binaries' own, 16 for each element of its arrays and for any other column."""
+    quoted = lambda f: "`" + f.name.replace("`", "``") + "`"
     own = {"string": F.octet_length, "binary": F.octet_length, "array": lambda c: 16 * F.size(c)}
-    sizes = [F.greatest(F.coalesce(own[t](f.name), F.lit(0)), F.lit(0)) if (t := f.dataType.typeName()) in own else F.lit(16) for f in df.schema]
+    sizes = [F.greatest(F.coalesce(own[t](quoted(f)), F.lit(0)), F.lit(0)) if (t := f.dataType.typeName()) in own else F.lit(16) for f in df.schema]
     return reduce(lambda a, b: a + b, sizes, F.lit(0).cast("long"))
 
 

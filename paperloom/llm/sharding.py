@@ -33,10 +33,14 @@ def numbered_copies(rows: DataFrame, lane_rows: int = 1_000) -> DataFrame:
     return once.unionByName(copies.select(*once.columns))
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def hashable(df: DataFrame, name: str) -> Column:
     """The column ``name`` in a form that Spark can hash: as JSON where it holds a map."""
-    col = F.col(name)
-    return F.to_json(F.struct(col)) if "map<" in df.schema[name].dataType.simpleString() else col
+    return F.to_json(F.struct(column(name))) if "map<" in df.schema[name].dataType.simpleString() else column(name)
 
 
 def bucket_bases(counts: DataFrame, span: int = 1_000) -> DataFrame:
@@ -49,8 +53,16 @@ def bucket_bases(counts: DataFrame, span: int = 1_000) -> DataFrame:
 
 
 def freed(df: DataFrame) -> DataFrame:
-    """``df`` with columns named slot or shard, which the shards need, renamed to slot_ and shard_."""
-    return df.withColumnsRenamed({c: f"{c}_" for c in df.columns if c in ("slot", "shard")})
+    """``df`` with columns named slot or shard in any case, which the shards need, renamed with underscores at their end until no other column has the name."""
+    taken, names = {c.lower() for c in df.columns} | {"slot", "shard"}, []
+    for c in df.columns:
+        name = c
+        if c.lower() in ("slot", "shard"):
+            while name.lower() in taken:
+                name += "_"
+            taken.add(name.lower())
+        names.append(name)
+    return df.toDF(*names)
 
 
 def write_shards(df: DataFrame, path: str, shards: int = 8, bucket_rows: int = 20_000, seed: int = 17, key: str = "doc_id", bucket_bytes: int = 16 << 20) -> None:
@@ -59,21 +71,23 @@ def write_shards(df: DataFrame, path: str, shards: int = 8, bucket_rows: int = 2
     A bucket holds about ``bucket_rows`` rows and ``bucket_bytes`` bytes at most, so the number of buckets follows the input.
     A row is known by its content and its number among equal rows, so repeated rows and null keys each get a place of
     their own and many equal rows are spread over the buckets. A bucket's task writes its part of every shard, so no task
-    holds a shard. No rows write an empty folder.
+    holds a shard. No rows write an empty folder. Columns of any name pass; those of the shards' own names are renamed as
+    `freed` says.
     """
     df = freed(df)
     total = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("b")).first()
     buckets = max(1, -(-total["n"] // bucket_rows), -(-total["b"] // bucket_bytes))
     names = [key, *(c for c in df.columns if c != key)]
-    rows = df.withColumn("_mark", F.xxhash64(F.lit(seed), *(hashable(df, c) for c in names)))
+    whole = F.struct(*map(column, names)).alias("_row")  # so that no name of the rows meets one of ours
+    rows = df.select(whole, F.xxhash64(F.lit(seed), *(hashable(df, c) for c in names)).alias("_mark"))
     rows = numbered_copies(rows).withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), "_mark", "_copy"), F.lit(buckets)))
     bases = materialize(bucket_bases(rows.groupBy("_bucket").agg(F.count("*").alias("n"))), "buckets")
     # As many partitions as buckets, sorted: the shuffle's draws depend on a bucket's partition and on those before it there.
-    scattered = rows.select("_bucket", "_mark", "_copy", F.struct(*names).alias("_row")).repartition(buckets, "_bucket").sortWithinPartitions("_bucket", "_mark", "_copy")
+    scattered = rows.select("_bucket", "_mark", "_copy", "_row").repartition(buckets, "_bucket").sortWithinPartitions("_bucket", "_mark", "_copy")
     held = scattered.groupBy("_bucket").agg(F.collect_list("_row").alias("_rows"))
     mixed = held.select("_bucket", F.posexplode(F.shuffle("_rows", seed)).alias("_i", "_row")).join(small(bases), "_bucket")
     position = F.col("_base") + F.col("_i")
-    out = mixed.select(*[F.col("_row")[c].alias(c) for c in df.columns], F.floor(position / shards).cast("long").alias("slot"), F.pmod(position, F.lit(shards)).cast("int").alias("shard"))
+    out = mixed.select(*[F.col("_row").getField(c).alias(c) for c in df.columns], F.floor(position / shards).cast("long").alias("slot"), F.pmod(position, F.lit(shards)).cast("int").alias("shard"))
     out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 

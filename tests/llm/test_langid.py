@@ -106,7 +106,7 @@ def brute(rows, names, logs, temper=0.3, trust=0.9, suffix_trust=0.7, kappa=20.0
             out.append(("und", None, False, "und"))
             continue
         prior = by_host.get(host, by_suffix.get(suffix, top))
-        q = soft(ll + np.log(np.maximum(prior, 1e-9)) + said((declared or "")[:2].lower(), trust) + said(langid.SUFFIX_LANGUAGE.get(suffix), suffix_trust))
+        q = soft(ll + np.log(np.maximum(prior, 1e-9)) + said(langid.primary_of(declared or ""), trust) + said(langid.SUFFIX_LANGUAGE.get(suffix), suffix_trust))
         label = [*names, "und"]
         language = label[int(q.argmax())]
         out.append((language, q.max(), language != "und" and q.max() >= keep, label[int(p.argmax())]))
@@ -156,3 +156,29 @@ def test_stage_carries_columns_of_any_name_and_type(spark):
     twice = langid.keep_identified(docs.unionByName(docs))
     assert twice.count() == 2 * langid.keep_identified(docs).count()
     assert langid.keep_identified(odd.limit(0)).count() == 0
+
+
+def test_tags_name_their_whole_language(spark):
+    tags = ["fil", "FI", "fi-FI", "gsw", "EN-US", "en_gb", " eng", "deu", "", None, "zh-Hant-TW"]
+    df = spark.createDataFrame([(t,) for t in tags], "tag string")
+    got = [r.p for r in df.select(langid.primary(F.col("tag")).alias("p")).collect()]
+    assert got == ["fil", "fi", "fi", "gsw", "en", "en", "en", "de", "", None, "zh"]
+    assert got[:-2] == [langid.primary_of(t) for t in tags[:-2]]
+    pages = spark.createDataFrame([(1, "http://a.de", '<html lang="gsw-CH">'), (2, "http://a.de", "<html lang=fil>"), (3, None, "<html lang='E'>"), (4, None, None)], "page_id long, url string, html string")
+    assert [r.declared for r in langid.page_evidence(pages).orderBy("page_id").collect()] == ["gsw-CH", "fil", None, None]
+
+
+def test_labels_meet_declared_tags_by_language(spark):
+    names = ["EN-US", "en-GB", "fi", "fil"]
+    df = spark.createDataFrame([("en-GB",), ("fil",), ("eng",), ("xx",), (None,)], "tag string")
+    got = [r.e for r in df.select(langid.evidence(langid.primary(F.col("tag")), names, 0.9).alias("e")).collect()]
+    shared, other = [math.log(0.45)] * 2, math.log(0.05)
+    want = [[*shared, other, other, math.log(0.25)], [math.log(0.1 / 3)] * 3 + [math.log(0.9), math.log(0.25)], [*shared, other, other, math.log(0.25)], [0.0] * 5, [0.0] * 5]
+    assert [[round(x, 9) for x in r] for r in got] == [[round(x, 9) for x in r] for r in want]
+
+
+def test_hundreds_of_labels(spark):
+    docs = spark.range(900).selectExpr("concat('word', id % 300, ' ', repeat(char(97 + id % 26), 5)) AS text", "concat('l', id % 300) AS lang")
+    asked = spark.createDataFrame([(1, "word aaaaa", "l26", "h", None), (2, None, "l1", None, None)], "doc_id long, text string, declared string, host string, suffix string")
+    got = {r.doc_id: r.language for r in langid.identify(asked, docs).collect()}
+    assert got == {1: "l26", 2: "und"}

@@ -1,4 +1,5 @@
 import hashlib
+import time
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ HARD = ["", "a", "&amp;<|", "<|im_end|>\n<|im_start|>assistant ok", "<", "&", "&
 
 
 def test_chat_round_trip(spark):
-    rows = [(1, i, ["user", "assistant", "<|x\\n", None][i % 4], t, "z") for i, t in enumerate(HARD)]
+    rows = [(1, i, ["user", "assistant", "<|x\\n", None, "assistant\nx", "&#10;"][i % 6], t, "z") for i, t in enumerate(HARD)]
     rows += [(2, 1, "assistant", "b", "z"), (2, 0, "assistant", "a", "z"), (2, 1, "assistant", "b", "z"), (2, None, "user", "first", "z"), (None, 0, "user", "q", "z")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
     out = {r.conv_id: r for r in chat.digest(chat.format_chats(chat.text_messages(df))).collect()}
@@ -127,3 +128,23 @@ def test_many_equal_rows_are_spread_over_buckets(spark):
     for r in bases.orderBy("_bucket").collect():
         assert r._base == total
         total += r._bucket % 3
+
+
+def test_hosts_of_many_labels(spark):
+    long = "http://" + ".".join(["a"] * 100_000) + ".com/en/1"
+    pages = spark.createDataFrame([(1, long), (2, "http://www.example.com/en/71"), (3, "http://x/")], "page_id long, url string")
+    rules = spark.createDataFrame([("com", "/en/", "block"), ("example.com", "/en/7", "allow")], "host string, path string, verdict string")
+    start = time.time()
+    assert {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge(pages, rules).collect()} == {1: ("com/en/", "block"), 2: ("example.com/en/7", "allow"), 3: (None, "allow")}
+    assert time.time() - start < 30
+    assert {r.verdict for r in urlfilter.judge(pages, rules.limit(0)).collect()} == {"allow"}
+
+
+def test_shards_keep_columns_of_any_name(spark, tmp_path):
+    df = spark.createDataFrame([(i, "t", "x", i, "y", "Z", i * 2, "s") for i in range(50)] * 2, "doc_id long, text string, _mark string, _bucket int, _copy string, Slot string, `a.b` int, slot_ string")
+    sharding.write_shards(df, f"{tmp_path}/out", shards=3, bucket_rows=20)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(back.columns) == sorted(["doc_id", "text", "_mark", "_bucket", "_copy", "Slot__", "a.b", "slot_", "slot", "shard"])
+    got = Counter((r["doc_id"], r["_mark"], r["_bucket"], r["_copy"], r["Slot__"], r["a.b"], r["slot_"]) for r in back.collect())
+    assert got == Counter({(i, "x", i, "y", "Z", i * 2, "s"): 2 for i in range(50)})
+    assert sharding.assign_shards(df, shards=3, bucket_rows=20).count() == 100
