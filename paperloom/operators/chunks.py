@@ -176,6 +176,13 @@ def islands(rows: DataFrame, starts: Column, order: str, **also: Column) -> Data
     return r.groupBy("doc_id", "_i").agg(F.min(order).alias(order), ordered_text(order, "text", "\n\n").alias("text"), *[c.alias(n) for n, c in also.items()]).drop("_i")
 
 
+def carried(rows: DataFrame, order: str) -> dict[str, Column]:
+    """What a joined segment keeps of its parts, for the columns that ``rows`` has: its first part's, but the largest depth, the first heading and the last end."""
+    first = {c: F.min_by(c, order) for c in ("page", "start_char", "confidence", "method")}
+    rest = {"depth": F.max("depth"), "heading": F.min_by("heading", F.when(F.col("heading").isNotNull(), F.col(order))), "end_char": F.max_by("end_char", order), "n_units": F.sum("n_units")}
+    return {n: c for n, c in (first | rest).items() if n in rows.columns}
+
+
 def merge_short(segments: DataFrame, order: str = "seg_no") -> DataFrame:
     """Segments under 10 words joined to the one before, if the last of 10 or more words before has over 30."""
     n = F.size(T.words_of(F.col("text")))
@@ -183,8 +190,7 @@ def merge_short(segments: DataFrame, order: str = "seg_no") -> DataFrame:
     before = Window.partitionBy("doc_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     big = F.last(F.when(F.col("n") >= 10, F.col("n")), ignorenulls=True).over(before)
     rows = rows.withColumn("starts", ~((F.col("n") < 10) & (F.coalesce(big, F.lit(0)) > 30)))
-    carried = {"depth": F.max("depth"), "heading": F.min_by("heading", F.when(F.col("heading").isNotNull(), F.col(order))), "page": F.min_by("page", order)}
-    return islands(rows, F.col("starts"), order, **{n: c for n, c in carried.items() if n in segments.columns})
+    return islands(rows, F.col("starts"), order, **carried(segments, order))
 
 
 def at_risk(segments: DataFrame, order: str = "seg_no", names: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -201,7 +207,7 @@ def at_risk(segments: DataFrame, order: str = "seg_no", names: Callable[[Column]
 def merge_anaphoric(segments: DataFrame, order: str = "seg_no", names: Callable[[Column], Column] | None = None) -> DataFrame:
     """Segments at risk of losing what they refer to (see `at_risk`) joined to the one before; depth is the largest."""
     rows = at_risk(segments, order, names).withColumn("starts", ~F.col("at_risk")).drop("at_risk")
-    return islands(rows, F.col("starts"), order, depth=F.max("depth"), heading=F.min_by("heading", F.when(F.col("heading").isNotNull(), F.col(order))), page=F.min_by("page", order))
+    return islands(rows, F.col("starts"), order, **carried(segments, order))
 
 
 def heading_segments(blocks: DataFrame) -> DataFrame:
@@ -333,26 +339,34 @@ def by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def change_points(units: DataFrame, max_segments: int = 100, cost: str | Callable = "l2", penalty: float | None = None) -> DataFrame:
-    """(doc_id, seg_no, text, n_units, confidence): runs of units (doc_id, unit_no, text, features) between changes of their features.
+def change_points(units: DataFrame, max_segments: int = 100, cost: str | Callable = "l2", penalty: float | None = None, least_units: int = 1) -> DataFrame:
+    """(doc_id, seg_no, text, n_units, confidence, start_char, end_char): runs of units (doc_id, unit_no, text, features) between changes of their features.
 
-    ``cost`` is a name in COSTS or a function of a window's features and the number of all rows. Documents are hashed to
-    tasks and sorted, and a task holds one document's units at a time.
+    ``cost`` is a name in COSTS or a function of a window's features and the number of all rows. Documents under
+    ``least_units`` units are left out. Offsets count the segments' own characters, end to end. Documents are hashed to tasks
+    and sorted, and a task holds one document's units at a time.
     """
     score = COSTS[cost] if isinstance(cost, str) else cost
+    names = ["doc_id", "seg_no", "text", "n_units", "confidence", "start_char", "end_char"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc in by_document(batches):
-            x = np.array(doc["features"].to_pylist(), float)
+            if doc.num_rows < least_units:
+                continue
+            flat = doc["features"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            x = flat.reshape(doc.num_rows, -1).astype(float)
             text, cuts = doc["text"].to_pylist(), cut_units(x, max_segments, score, penalty)
             n = len(cuts) - 1
-            yield pa.RecordBatch.from_arrays(
-                [doc["doc_id"].combine_chunks().slice(0, 1).take(pa.array([0] * n)), pa.array(range(n), pa.int32()), pa.array([" ".join(text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]), pa.array(np.diff(cuts).astype(np.int32)), pa.array([confidence(x, cuts, i) for i in range(n)], pa.float64())],
-                names=["doc_id", "seg_no", "text", "n_units", "confidence"],
-            )
+            parts = [" ".join(text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+            ends = np.cumsum([len(t) for t in parts])
+            sure = pa.array([confidence(x, cuts, i) for i in range(n)], pa.float64())
+            doc_id = doc["doc_id"].combine_chunks().slice(0, 1).take(pa.array([0] * n))
+            columns = [doc_id, pa.array(range(n), pa.int32()), pa.array(parts), pa.array(np.diff(cuts).astype(np.int32)), sure, pa.array(np.append(0, ends[:-1]), pa.int64()), pa.array(ends, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = units.select("doc_id", "unit_no", "text", "features").repartition("doc_id").sortWithinPartitions("doc_id", "unit_no")
-    return rows.mapInArrow(run, f"doc_id {units.schema['doc_id'].dataType.simpleString()}, seg_no int, text string, n_units int, confidence double")
+    kinds = (units.schema["doc_id"].dataType.simpleString(), "int", "string", "int", "double", "long", "long")
+    return rows.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
 
 
 BUCKETS = 68
@@ -382,11 +396,14 @@ def unit_ratios(t: Column) -> list[Column]:
 
 
 def unit_features(units: DataFrame) -> DataFrame:
-    """``units`` with ``features``: the ten of `unit_ratios`, two zeros, and how often each bucket of words occurs in the first 25 words."""
-    hashed = F.transform(F.slice(T.words_of(F.col("text")), 1, 25), word_bucket)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.size(F.filter("_words", lambda w: w == b)).cast("double"))
-    rows = units.withColumn("_words", hashed)
-    return rows.withColumn("features", F.concat(F.array(*unit_ratios(F.col("text")), F.lit(0.0), F.lit(0.0)), counts)).drop("_words")
+    """``units`` with ``features``: the ten of `unit_ratios`, two zeros, and how often each bucket of words occurs in the first 25 words.
+
+    The words' buckets are one string with a character a word, made once a unit, in which each bucket's character is counted.
+    """
+    said = F.array_join(F.transform(F.slice(T.words_of(F.col("text")), 1, 25), lambda w: F.char(word_bucket(w) + 48)), "")
+    count = lambda t, b: (F.length(t) - F.length(F.replace(t, F.lit(chr(48 + b)), F.lit("")))).cast("double")
+    counts = F.element_at(F.transform(F.array(said), lambda t: F.array(*(count(t, b) for b in range(BUCKETS)))), 1)
+    return units.withColumn("features", F.concat(F.array(*unit_ratios(F.col("text")), F.lit(0.0), F.lit(0.0)), counts))
 
 
 def with_depth(segments: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -402,19 +419,58 @@ def with_depth(segments: DataFrame, blocks: DataFrame) -> DataFrame:
     return segments.join(met, ["doc_id", "seg_no"], "left").withColumn("depth", F.coalesce("_level", rule).cast("int")).drop("_level")
 
 
-def change_point_segments(texts: DataFrame, blocks: DataFrame, max_segments: int = 100, cost: str | Callable = "l2") -> DataFrame:
-    """(doc_id, seg_no, text, depth, heading, page) of texts (doc_id, text) with five units or more, those that refer back joined."""
-    units = unit_features(units_of(texts))
-    enough = units.groupBy("doc_id").agg(F.count("*").alias("n")).where("n >= 5").select("doc_id")
-    s = change_points(units.join(enough, "doc_id", "left_semi"), max_segments, cost)
-    s = with_depth(s.where(T.strip(F.col("text")) != ""), blocks).withColumn("heading", T.heading_guess(F.col("text"))).withColumn("page", F.lit(0))
-    return merge_anaphoric(s.select("doc_id", "seg_no", "text", "depth", "heading", "page"))
+SEGMENT = ["doc_id", "seg_no", "text", "depth", "heading", "page", "start_char", "end_char", "confidence", "n_units", "method"]
+
+
+def change_point_segments(texts: DataFrame, blocks: DataFrame, max_segments: int = 100, cost: str | Callable = "l2", sentences: DataFrame | None = None) -> DataFrame:
+    """The columns of SEGMENT for texts (doc_id, text) with five units or more.
+
+    Segments that begin at an unsafe break of ``sentences`` (see `safe_breaks`; without them every break is safe) are joined
+    to the one before, then those that refer back; a joined segment keeps its first part's start and confidence.
+    """
+    s = change_points(unit_features(units_of(texts)), max_segments, cost, least_units=5)
+    name = "bcpd_pelt" if cost == "l2" else f"bcpd_pelt_{cost if isinstance(cost, str) else 'custom'}"
+    s = with_depth(s.where(T.strip(F.col("text")) != ""), blocks).withColumn("heading", T.heading_guess(F.col("text")))
+    s = s.withColumns({"page": F.lit(0), "method": F.lit(name)}).select(*SEGMENT)
+    return merge_anaphoric(s if sentences is None else merge_unsafe(s, sentences)).select(*SEGMENT)
+
+
+def safe_breaks(proposed: DataFrame, sentences: DataFrame, window: int = 200, near: int = 5) -> DataFrame:
+    """(doc_id, at, safe, moved) of the ``proposed`` breaks (doc_id, at), with ``sentences`` (doc_id, start, text, tree) parsed.
+
+    A break strictly inside a sentence is unsafe if it lies under ``near`` characters from one of the sentence's own breaks
+    (see `break_positions` on its printed ``tree``); ``moved`` is that sentence's next break after it, or its end. Elsewhere
+    a break is safe and stays. Sentences are indexed by the stretches of ``window`` characters that they touch, so a break
+    meets only those of its own stretch. A null tree parses to nothing: breaks in it are safe and stay.
+    """
+    from .analysis import break_positions
+
+    held = sentences.where("tree is not null").select("doc_id", F.col("start").cast("long").alias("start"), F.length("text").alias("size"), break_positions(F.col("tree"), F.length("text")).alias("breaks"))
+    held = held.where("size > 0").withColumn("end", F.col("start") + F.col("size"))
+    stretch = lambda c: F.floor(c / window)
+    index = held.withColumn("stretch", F.explode(F.sequence(stretch(F.col("start")), stretch(F.col("end") - 1))))
+    asked = proposed.select("doc_id", F.col("at").cast("long").alias("at")).distinct().withColumn("stretch", stretch(F.col("at")))
+    inside = asked.join(index, ["doc_id", "stretch"]).where("start < at and at < end").withColumn("rel", F.col("at") - F.col("start"))
+    later = F.array_min(F.filter("breaks", lambda b: b > F.col("rel")))
+    met = inside.groupBy("doc_id", "at").agg(
+        F.bool_or(F.exists("breaks", lambda b: F.abs(b - F.col("rel")) < near)).alias("_unsafe"), F.min(F.coalesce(F.col("start") + later, F.col("end"))).alias("_moved")
+    )
+    out = proposed.withColumn("at", F.col("at").cast("long")).join(met, ["doc_id", "at"], "left")
+    return out.select("doc_id", "at", (~F.coalesce("_unsafe", F.lit(False))).alias("safe"), F.coalesce("_moved", "at").alias("moved"))
+
+
+def merge_unsafe(segments: DataFrame, sentences: DataFrame, order: str = "seg_no") -> DataFrame:
+    """``segments`` (with start_char) without those whose beginning is an unsafe break, which are joined to the one before."""
+    judged = safe_breaks(segments.select("doc_id", F.col("start_char").alias("at")).distinct(), sentences)
+    rows = segments.join(judged.select("doc_id", F.col("at").alias("start_char"), "safe"), ["doc_id", "start_char"])
+    return islands(rows, F.col("safe"), order, **carried(segments, order))
 
 
 def hybrid_segments(texts: DataFrame, blocks: DataFrame, max_segments: int = 100, cost: str | Callable = "l2") -> DataFrame:
-    """(doc_id, seg_no, text, depth, heading, page, method): segments by headings, for documents without any by change points; short ones merged."""
+    """(doc_id, seg_no, text, depth, heading, page, confidence, method): segments by headings, for documents without any by change points; short ones merged."""
     by_heading = heading_segments(blocks).withColumn("seg_no", F.col("seg_no").cast("long"))
     rest = texts.join(by_heading.select("doc_id").distinct(), "doc_id", "left_anti")
     by_change = change_point_segments(rest, blocks, max_segments, cost).withColumn("seg_no", F.col("seg_no").cast("long"))
-    tagged = lambda s, name: merge_short(s).withColumn("method", F.lit(name))
-    return tagged(by_heading, "heading").unionByName(tagged(by_change, "change_point"))
+    shared = ["doc_id", "seg_no", "text", "depth", "heading", "page", "confidence", "method"]
+    sure = by_heading.withColumns({"confidence": F.lit(1.0), "method": F.lit("heading")})
+    return merge_short(sure).select(*shared).unionByName(merge_short(by_change.withColumn("method", F.lit("change_point"))).select(*shared))

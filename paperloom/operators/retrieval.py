@@ -19,32 +19,43 @@ def _cosine() -> Column:
     return F.when(both == 0, F.lit(0.0)).otherwise(dot / F.nullif(both, F.lit(0.0)))
 
 
-def _blocks(queries: DataFrame, size: int) -> list[DataFrame]:
-    """``queries`` in parts of at most ``size`` rows: dealt by a hash, and a part that came out larger is cut by row number."""
-    n = queries.count()
-    if n <= size:
-        return [queries]
-    parts = -(-2 * n // size)
-    mark = F.xxhash64("query_no", "qns", "qvec")
-    order = Window.partitionBy("part").orderBy("mark", "query_no", "qns", "qvec")
-    dealt = queries.withColumn("mark", mark).withColumn("part", F.pmod("mark", F.lit(parts))).withColumn("cut", F.floor((F.row_number().over(order) - 1) / size))
-    found = dealt.select("part", "cut").distinct().orderBy("part", "cut").collect()
-    return [dealt.where((F.col("part") == r["part"]) & (F.col("cut") == r["cut"])).drop("mark", "part", "cut") for r in found]
-
-
-def search(store: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 0.0, max_queries: int = 10_000) -> DataFrame:
+def _met(store: DataFrame, q: DataFrame, n: int, most: int, named: bool) -> DataFrame:
+    """``store`` with the queries that may ask each of its rows: those of its namespace, or all of them.
+
+    Up to ``most`` queries are broadcast. More meet the store in a shuffled join on tiles of it, so that neither a frequent
+    namespace nor the whole store is one key; the plan does not grow with their number.
+    """
+    same = F.col("qns") == F.col("namespace")
+    if n <= most:
+        return store.join(F.broadcast(q), same if named else None, "inner" if named else "cross")
+    tiles = 4 * int(store.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = store.withColumn("tile", F.pmod(F.xxhash64("rowid", "id"), F.lit(tiles)).cast("int"))
+    asked = q.withColumn("qtile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    tile = F.col("tile") == F.col("qtile")
+    return dealt.join(asked, tile & same if named else tile).drop("tile", "qtile")
+
+
+def search(store: DataFrame, queries: DataFrame, k: int | None = 5, threshold: float = 0.0, max_queries: int = 10_000) -> DataFrame:
     """(query_no, rank, id, score): per query the ``k`` entries of its namespace with the largest cosine, not below ``threshold``.
 
-    ``queries`` (query_no, namespace or null for all, qvec) is a stated, counted set, broadcast in blocks of at most ``max_queries``
-    under one and the same condition. Scores are rounded to 4 places; ties go by rowid.
+    ``queries`` has (query_no, namespace or null for all, qvec); see `_met` for how they meet the store. With ``k`` None all
+    hits are returned, without rank and without a shuffle. Else a task keeps its ``k`` best of a query before the shuffle
+    (``k`` up to spark.sql.optimizer.windowGroupLimitThreshold). Scores are rounded to 4 places; ties go by rowid.
     """
     q = queries.withColumnRenamed("namespace", "qns").withColumn("qn", norm(F.col("qvec")))
     store = store.withColumn("vn", norm(F.col("vec")))
-    on = F.col("qns").isNull() | (F.col("qns") == F.col("namespace"))
-    hits = reduce(DataFrame.unionByName, [store.join(F.broadcast(b), on) for b in _blocks(q, max_queries)])
-    hits = hits.withColumn("score", _cosine()).where(F.col("score") >= threshold)
+    total, named = q.agg(F.count("*"), F.count("qns")).first()
+    parts = []
+    if named or not total:
+        parts.append(_met(store, q.where("qns is not null"), named, max_queries, True))
+    if total > named:
+        parts.append(_met(store, q.where("qns is null"), total - named, max_queries, False))
+    hits = reduce(DataFrame.unionByName, parts).withColumn("score", _cosine()).where(F.col("score") >= threshold)
+    if k is None:
+        return hits.select("query_no", "id", F.round("score", 4).alias("score"))
     best = Window.partitionBy("query_no").orderBy(F.desc("score"), "rowid")
-    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_no", "rank", "id", F.round("score", 4).alias("score"))
+    ranked = hits.select("query_no", "id", "rowid", "score", F.row_number().over(best).alias("rank")).where(F.col("rank") <= k)
+    return ranked.select("query_no", "rank", "id", F.round("score", 4).alias("score"))
 
 
 def fuse(hits: DataFrame, k: int = 5) -> DataFrame:
@@ -81,15 +92,36 @@ def anisotropy(store: DataFrame) -> DataFrame:
     return out.select("namespace", F.when(few, 1.0).otherwise(F.round(F.sqrt("q") / F.col("n"), 4)).alias("mean_norm"), F.when(few, 1.0).otherwise(F.round((F.col("q") - F.col("n")) / (F.col("n") * F.greatest(F.col("n") - 1, F.lit(1))), 4)).alias("mean_cosine"))
 
 
-def info_nce(batch: DataFrame, temperature: float = 0.05) -> DataFrame:
-    """(namespace, loss) over batches (namespace, id, vec) of bounded size: mean -log softmax of each row's similarity to itself."""
-    unit = batch.select("namespace", "id", F.transform("vec", lambda x: x / norm(F.col("vec"))).alias("u"))
-    b = unit.select("namespace", F.col("id").alias("other"), F.col("u").alias("w"))
-    dot = F.aggregate(F.zip_with("u", "w", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    s = unit.join(b, "namespace").withColumn("s", dot / temperature)
-    rows = s.groupBy("namespace", "id").agg(F.max("s").alias("top"), F.collect_list("s").alias("all"), F.max(F.when(F.col("id") == F.col("other"), F.col("s"))).alias("own"))
-    lse = F.col("top") + F.log(F.aggregate("all", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
-    return rows.withColumn("l", lse - F.col("own")).groupBy("namespace").agg(F.when(F.count("*") < 2, 0.0).otherwise(F.round(F.avg("l"), 4)).alias("loss"))
+def info_nce(store: DataFrame, temperature: float = 0.05, tile: int = 512) -> DataFrame:
+    """(namespace, loss) over whole namespaces (namespace, id, vec): mean -log softmax of each row's similarity to itself among all rows.
+
+    A namespace is cut into tiles of about ``tile`` rows by a hash of the id, its key. Each pair of tiles is one product of two
+    small matrices, of which a row keeps its sum of exponentials under the largest possible similarity, 1 / temperature;
+    these sums add up over the tiles, so no row meets all others in one place. The work grows with the square of a
+    namespace, as the loss itself does. Vectors that are null, of length 0 or shorter than their namespace's longest take no
+    part; a namespace of one row loses 0.
+    """
+    import numpy as np
+    import pandas as pd
+
+    rows = store.where(norm(F.col("vec")) > 0).select("namespace", "id", "vec")
+    sizes = rows.groupBy(F.col("namespace").alias("_ns")).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"), F.max(F.size("vec")).alias("dim"))
+    rows = rows.join(sizes, F.col("namespace").eqNullSafe(F.col("_ns"))).where(F.size("vec") == F.col("dim"))
+    own, each = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    asking = rows.select("namespace", own.alias("left"), each.alias("right"), F.lit(True).alias("asks"), "id", "vec")
+    asked = rows.select("namespace", each.alias("left"), own.alias("right"), F.lit(False).alias("asks"), "id", "vec")
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf["vec"].to_numpy())
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        side = pdf["asks"].to_numpy(bool)
+        total = np.exp((x[side] @ x[~side].T - 1) / temperature).sum(axis=1)
+        return pd.DataFrame({"namespace": pdf["namespace"][side], "id": pdf["id"][side], "total": total, "own": (x[side] * x[side]).sum(axis=1)})
+
+    kind = store.schema["id"].dataType.simpleString()
+    met = asking.unionByName(asked).groupBy("namespace", "left", "right").applyInPandas(product, f"namespace string, id {kind}, total double, own double")
+    loss = F.log(F.sum("total")) - (F.max("own") - 1) / temperature
+    return met.groupBy("namespace", "id").agg(loss.alias("l")).groupBy("namespace").agg(F.round(F.avg("l"), 4).alias("loss"))
 
 
 def noisy_copy(store: DataFrame, sigma: float = 0.01, seed: int = 3) -> DataFrame:

@@ -184,6 +184,32 @@ def safe_breaks(s, d):
     return t.select("doc_id", "line_no", F.array_join(F.transform("b", lambda x: x.cast("string")), ",").alias("breaks"), X.nearest_break(F.col("b"), F.lit(60), F.length("line")).alias("nearest"))
 
 
+#: A line as a printed parse tree: every clause after a comma is a bracket of its own.
+TREE = "concat('(S ', regexp_replace({}, ',([^,]*)', ',(C$1)'), ')')"
+PROPOSED = "10 + 40 * i"
+
+
+@query(f"""WITH {O.LINES}, s AS (SELECT doc_id, line_no, l AS text, n, CAST(sum(n + 1) OVER (PARTITION BY doc_id ORDER BY line_no) - n - 1 AS BIGINT) AS start,
+  '(S ' || regexp_replace(l, ',([^,]*)', ',(C\\1)', 'g') || ')' AS tree FROM (SELECT doc_id, line_no, regexp_replace(line, '[()]', '_', 'g') AS l, length(line) AS n FROM lines)),
+t AS (SELECT doc_id, sum(n + 1) AS total FROM s GROUP BY 1), p AS (SELECT doc_id, unnest(range(CAST(total // 40 AS BIGINT))) * 40 + 10 AS pos FROM t),
+c AS (SELECT doc_id, line_no, start, n, unnest(string_split(tree, '')) AS ch, unnest(range(length(tree))) AS i FROM s WHERE n > 0),
+d AS (SELECT *, sum(CASE ch WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER w AS depth, i - 1 - coalesce(max(CASE WHEN ch = ')' THEN i END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS run
+  FROM c WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY i)),
+b AS (SELECT doc_id, start, n, coalesce(list(DISTINCT run) FILTER (depth <= 1 AND ch IN ('.', '!', '?') AND run > 5 AND run < n - 5), []) AS b FROM d GROUP BY doc_id, line_no, start, n),
+e AS (SELECT doc_id, start, n, CASE WHEN len(b) > 0 THEN b ELSE [n] END AS b FROM b),
+m AS (SELECT p.doc_id, p.pos, NOT len(list_filter(b, lambda x: abs(x - (pos - start)) < 5)) > 0 AS safe, start + coalesce(list_min(list_filter(b, lambda x: x > pos - start)), n) AS moved
+  FROM p JOIN e ON e.doc_id = p.doc_id AND start < pos AND pos < start + n)
+SELECT doc_id, pos, coalesce(safe, true) AS safe, CAST(coalesce(moved, pos) AS BIGINT) AS moved FROM p LEFT JOIN m USING (doc_id, pos)""")
+def safe_break_windows(s, d):
+    """Every 40th character of a text as a break, against its lines as parsed sentences."""
+    text = lines(s, d).withColumn("text", F.regexp_replace("line", "[()]", "_"))
+    upto = F.sum(F.length("text") + 1).over(Window.partitionBy("doc_id").orderBy("line_no"))
+    sentences = text.select("doc_id", "text", (upto - F.length("text") - 1).alias("start"), F.expr(TREE.format("text")).alias("tree"))
+    total = sentences.groupBy("doc_id").agg(F.sum(F.length("text") + 1).alias("total"))
+    asked = total.where("total >= 40").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("total") / 40) - 1)).alias("i")).select("doc_id", F.expr(PROPOSED).alias("at"))
+    return C.safe_breaks(asked, sentences).withColumnRenamed("at", "pos")
+
+
 @query(f"""WITH {O.LINES}, u AS (SELECT doc_id, line_no // 3 AS seg_no, length(line) / 500 AS a, len(string_split(line, ' ')) / 100 AS b FROM lines), g AS (SELECT doc_id, seg_no, count(*) AS n, (var_pop(a) + var_pop(b)) / 2 AS v FROM u GROUP BY 1, 2)
 SELECT doc_id, seg_no, round(CASE WHEN seg_no <= 0 OR seg_no >= max(seg_no) OVER (PARTITION BY doc_id) THEN 1.0 WHEN n >= 2 THEN least(1.0, greatest(0.1, 1 / (1 + v))) ELSE 0.8 END, 4) AS confidence FROM g""")
 def segment_confidence(s, d):

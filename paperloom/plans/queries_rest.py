@@ -388,13 +388,13 @@ def vector_topk(s, d):
 
 @query(f"WITH {HITS} SELECT query_no, id, round(score, 4) AS score FROM hits WHERE score >= 0.2")
 def vector_threshold(s, d):
-    return V.search(store(s, d), asked(s, d, 100), 10**9, threshold=0.2).drop("rank")
+    return V.search(store(s, d), asked(s, d, 100), None, threshold=0.2)
 
 
 @query(f"SELECT a.vec_id AS query_no, b.vec_id AS id, round({COS}, 4) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND {COS} >= 0.25")
 def query_vector_cross(s, d):
     q = asked(s, d, 100).withColumn("namespace", F.lit(None).cast("string"))
-    return V.search(store(s, d), q, 10**9, threshold=0.25).drop("rank")
+    return V.search(store(s, d), q, None, threshold=0.25)
 
 
 FUSED = f"""{HITS}, top AS (SELECT query_no // 400 AS base, query_no, row_number() OVER (PARTITION BY query_no ORDER BY score DESC, id) AS rank, id, round(score, 4) AS score FROM hits WHERE score >= 0.0),
@@ -430,13 +430,12 @@ def anisotropy(s, d):
     return V.anisotropy(store(s, d))
 
 
-@query(f"""WITH b AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings), e AS (SELECT * REPLACE (label || ':' || ((k - 1) // 16) AS label) FROM b), p AS (SELECT a.label, a.vec_id AS id, b.vec_id AS other, {COS} / 0.05 AS s FROM e a JOIN e b ON a.label = b.label),
-r AS (SELECT label, id, max(s) AS top, max(s) FILTER (id = other) AS own, list(s) AS l FROM p GROUP BY 1, 2), l AS (SELECT label, top + ln(list_sum(list_transform(l, lambda x: exp(x - top)))) - own AS loss FROM r)
-SELECT CAST(label AS VARCHAR) AS namespace, CASE WHEN count(*) < 2 THEN 0.0 ELSE round(avg(loss), 4) END AS loss FROM l GROUP BY 1""")
+@query("""WITH v AS (SELECT CAST(label AS VARCHAR) AS namespace, vec_id AS id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+s AS (SELECT a.namespace, a.id, b.id AS other, list_dot_product(a.e, b.e) / (a.n * b.n) / 0.05 AS s FROM v a JOIN v b ON a.namespace IS NOT DISTINCT FROM b.namespace WHERE a.n > 0 AND b.n > 0),
+l AS (SELECT namespace, id, max(s) FILTER (id = other) AS own, 20 + ln(sum(exp(s - 20))) AS lse FROM s GROUP BY 1, 2)
+SELECT namespace, round(avg(lse - own), 4) AS loss FROM l GROUP BY 1""")
 def info_nce(s, d):
-    """Every row, in batches of 16 of a namespace."""
-    k = F.floor((F.row_number().over(Window.partitionBy("namespace").orderBy("id")) - 1) / 16)
-    return V.info_nce(store(s, d).withColumn("namespace", F.concat_ws(":", "namespace", k.cast("string"))))
+    return V.info_nce(store(s, d))
 
 
 @query("SELECT CAST(label AS VARCHAR) AS namespace, count(*) AS n FROM embeddings GROUP BY 1")

@@ -88,7 +88,7 @@ def chunk_dispatch(s, d):
 @query(f"""WITH RECURSIVE {sections_sql(False)}, segs AS (SELECT doc_id, section AS seg_no, text, depth, heading, page FROM sections), {ISLES},
 sh AS (SELECT *, {words_n('text')} AS nw FROM merged), sb AS (SELECT *, last_value(CASE WHEN nw >= 10 THEN nw END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY seg_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS big FROM sh),
 sg AS (SELECT *, sum(CASE WHEN nw < 10 AND coalesce(big, 0) > 30 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY seg_no) AS gg FROM sb)
-SELECT doc_id, CAST(min(seg_no) AS BIGINT) AS seg_no, string_agg(text, chr(10) || chr(10) ORDER BY seg_no) AS text, CAST(max(depth) AS INTEGER) AS depth, arg_min(heading, seg_no) FILTER (heading IS NOT NULL) AS heading, arg_min(page, seg_no) AS page, 'heading' AS method FROM sg GROUP BY doc_id, gg""")
+SELECT doc_id, CAST(min(seg_no) AS BIGINT) AS seg_no, string_agg(text, chr(10) || chr(10) ORDER BY seg_no) AS text, CAST(max(depth) AS INTEGER) AS depth, arg_min(heading, seg_no) FILTER (heading IS NOT NULL) AS heading, arg_min(page, seg_no) AS page, 1.0 AS confidence, 'heading' AS method FROM sg GROUP BY doc_id, gg""")
 def hybrid(s, d):
     t = A.table(s, d, "documents").select("doc_id", "text")
     return C.hybrid_segments(t, B.classify(blocks(s, d)))

@@ -3,16 +3,54 @@ import re
 from paperloom.operators import retrieval as V
 
 
-def test_blocks_of_queries_change_nothing(spark):
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+ASKED = [(1, None, [1.0, 0.0, 1.0]), (2, "a", [0.0, 1.0, 0.0]), (3, None, [2.0, 1.0, 0.0]), (3, None, [2.0, 1.0, 0.0]), (4, "b", [1.0, 1.0, 1.0]), (5, "none", [1.0, 1.0, 1.0])]
+
+
+def test_tiles_of_the_store_change_nothing(spark):
     rows = [(i, i, "ab"[i % 2] if i % 7 else None, [float(i % 5), 1.0, float(i % 3)]) for i in range(40)]
     store = spark.createDataFrame(rows, "rowid long, id long, namespace string, vec array<double>")
-    asked = [(1, None, [1.0, 0.0, 1.0]), (2, "a", [0.0, 1.0, 0.0]), (3, None, [2.0, 1.0, 0.0]), (3, None, [2.0, 1.0, 0.0]), (4, "b", [1.0, 1.0, 1.0])]
-    queries = spark.createDataFrame(asked, "query_no long, namespace string, qvec array<double>")
-    want = sorted(map(tuple, V.search(store, queries, 50).collect()))
-    assert sum(r[0] == 1 for r in want) == 40
-    for size in (1, 2, 4):
-        assert all(b.count() <= size for b in V._blocks(queries.withColumnRenamed("namespace", "qns"), size))
-        assert sorted(map(tuple, V.search(store, queries, 50, max_queries=size).collect())) == want
+    queries = spark.createDataFrame(ASKED, "query_no long, namespace string, qvec array<double>")
+    for k in (50, 3, None):
+        want = sorted(map(tuple, V.search(store, queries, k).collect()))
+        for most in (0, 2):
+            assert sorted(map(tuple, V.search(store, queries, k, max_queries=most).collect())) == want
+    assert V.search(store, queries.limit(0)).count() == 0
+    got = [(r.query_no, r.id) for r in V.search(store, queries.where("query_no = 2"), 3).orderBy("rank").collect()]
+    best = sorted((-(v[1] / sum(x * x for x in v) ** 0.5), i) for i, _, ns, v in rows if ns == "a")[:3]
+    assert got == [(2, i) for _, i in best]
+
+
+def test_named_queries_meet_by_hash_and_tasks_keep_their_best(spark):
+    store = spark.range(40).selectExpr("id AS rowid", "id", "cast(id % 3 AS string) AS namespace", "array(1.0D, cast(id AS double)) AS vec")
+    queries = spark.createDataFrame([(1, "1", [1.0, 2.0])], "query_no long, namespace string, qvec array<double>")
+    top = plan_of(V.search(store, queries, 5))
+    assert "BroadcastNestedLoopJoin" not in top and "BroadcastHashJoin" in top
+    final, exchange, partial = top.index(", Final"), top.index("Exchange hashpartitioning(query_no"), top.index(", Partial")
+    assert final < exchange < partial and "WindowGroupLimit" in top
+    assert "Exchange hashpartitioning" not in plan_of(V.search(store, queries, None))
+    many = queries.unionAll(spark.range(100).selectExpr("id + 10", "'1'", "array(1.0D, 1.0D)"))
+    assert plan_of(V.search(store, many, 5, max_queries=10)).count("Join") == top.count("Join")
+
+
+def test_loss_over_whole_namespaces(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 6))
+    rows = [(["a", "b", None][i % 3] if i else "alone", i, v.tolist()) for i, v in enumerate(x)] + [("a", 900, [0.0] * 6), ("a", 901, None), ("b", 902, [1.0])]
+    store = spark.createDataFrame(rows, "namespace string, id long, vec array<double>")
+    for tile in (1000, 7):
+        got = {r.namespace: r.loss for r in V.info_nce(store, tile=tile).collect()}
+        assert got.pop("alone") == 0.0 and set(got) == {"a", "b", None}
+        for ns, loss in got.items():
+            u = np.array([v for n, i, v in rows[:90] if n == ns])
+            u = u / np.linalg.norm(u, axis=1, keepdims=True)
+            s = u @ u.T / 0.05
+            assert abs(loss - np.mean(np.log(np.exp(s).sum(axis=1)) - np.diag(s))) < 1e-4
 
 
 def test_chat_context_against_brute_force(spark):
