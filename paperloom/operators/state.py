@@ -23,6 +23,39 @@ def job_view(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").agg(status.alias("status"), F.sum((F.col("event") == "progress").cast("long")).alias("progress"), F.count("*").alias("n_events"))
 
 
+TERMINAL = ("complete", "error")
+#: Fixed value: what an error of the second stage begins with.
+CHUNKING = "Chunking failed: "
+FEED = "seq long, k long, event string, at timestamp, status string, page long, total long, error string"
+
+
+def job_feed(events: DataFrame, idle_s: float = 30) -> DataFrame:
+    """(job_id, columns of FEED) of a log of job events (job_id, seq, ts, event, page, total, stage, message).
+
+    A job's events by time and number up to its first terminal one (``k`` = 0), each with what the job has stored by then:
+    its status, the last page told with stage `tables`, as a multiple of five or as the last one, and the error, which
+    names the second stage. Every ``idle_s`` seconds of silence before the next event are a keepalive (``k`` = 1, 2, ...),
+    with the number and the state of the event before. What follows a terminal event is not told.
+    """
+    job = Window.partitionBy("job_id").orderBy("ts", "seq")
+    upto, before = job.rowsBetween(Window.unboundedPreceding, 0), job.rowsBetween(Window.unboundedPreceding, -1)
+    ended = F.coalesce(F.max(F.col("event").isin(*TERMINAL)).over(before), F.lit(False))
+    rows = events.withColumn("_ended", ended).where("not _ended").withColumn("_next", F.lead("ts").over(job))
+    told = (F.col("event") == "progress") & ((F.col("stage") == "tables") | (F.col("page") % 5 == 0) | (F.col("page") == F.col("total")))
+    stored = F.last(F.when(F.coalesce(told, F.lit(False)) & F.col("page").isNotNull(), F.struct("page", "total")), ignorenulls=True).over(upto)
+    done, failed = F.col("event") == "complete", F.col("event") == "error"
+    page = F.when(done, F.coalesce(F.col("total"), F.col("_stored.page"))).otherwise(F.col("_stored.page"))
+    error = F.when(failed, F.concat(F.when(F.col("stage") == "chunk", CHUNKING).otherwise(""), F.coalesce("message", F.lit(""))))
+    idle = int(idle_s * 1_000_000)
+    waits = F.when(done | failed | F.col("_next").isNull(), F.lit(0)).otherwise(F.floor((F.unix_micros("_next") - F.unix_micros("ts") - 1) / idle))
+    rows = rows.withColumn("_stored", stored).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(waits.cast("long"), F.lit(0)))))
+    return rows.select(
+        "job_id", F.col("seq").cast("long").alias("seq"), "k", F.when(F.col("k") > 0, "keepalive").otherwise(F.col("event")).alias("event"),
+        F.timestamp_micros(F.unix_micros("ts") + F.col("k") * idle).alias("at"), F.when(done, "done").when(failed, "error").otherwise("processing").alias("status"),
+        page.cast("long").alias("page"), F.when(done, page).otherwise(F.col("_stored.total")).cast("long").alias("total"), error.alias("error"),
+    )
+
+
 def idle_gaps(events: DataFrame, seconds: int) -> DataFrame:
     """(job_id, seq, gap_s): events that follow ``seconds`` or more of silence of their job; each would be a keepalive."""
     gap = F.col("ts").cast("long") - F.lag(F.col("ts").cast("long")).over(Window.partitionBy("job_id").orderBy("ts", "seq"))

@@ -537,6 +537,27 @@ def job_latest(s, d):
     return S.job_view(job_log(s, d))
 
 
+def told(s, d):
+    """Job events with a page, a stage and a message of their own."""
+    log = job_log(s, d)
+    stage = F.element_at(F.array(*map(F.lit, ("extract", "tables", "chunk"))), (F.col("seq") % 3 + 1).cast("int"))
+    return log.withColumns({"page": F.col("seq") % 21, "total": F.lit(20), "stage": stage, "message": F.concat(F.lit("e"), F.col("seq").cast("string"))})
+
+
+@query(f"""WITH {JOBS}, e AS (SELECT *, seq % 21 AS page, 20 AS total, CASE seq % 3 WHEN 0 THEN 'extract' WHEN 1 THEN 'tables' ELSE 'chunk' END AS stage, epoch_us(ts) AS us FROM je),
+o AS (SELECT *, coalesce(sum(CASE WHEN event IN ('complete', 'error') THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e),
+f AS (SELECT *, lead(us) OVER w AS nxt, last_value(CASE WHEN event = 'progress' AND (stage = 'tables' OR page % 5 = 0 OR page = total) THEN page END IGNORE NULLS) OVER w AS stored
+  FROM o WHERE before = 0 WINDOW w AS (PARTITION BY job_id ORDER BY ts, seq)),
+k AS (SELECT *, unnest(range(CASE WHEN event IN ('complete', 'error') OR nxt IS NULL THEN 1 ELSE greatest((nxt - us - 1) // 21600000000, 0) + 1 END)) AS k FROM f)
+SELECT job_id, CAST(seq AS BIGINT) AS seq, k, CASE WHEN k > 0 THEN 'keepalive' ELSE event END AS event, make_timestamp(us + k * 21600000000) AS at_,
+  CASE event WHEN 'complete' THEN 'done' WHEN 'error' THEN 'error' ELSE 'processing' END AS status, CAST(CASE WHEN event = 'complete' THEN total ELSE stored END AS BIGINT) AS page,
+  CAST(CASE WHEN event = 'complete' THEN total WHEN stored IS NOT NULL THEN total END AS BIGINT) AS total,
+  CASE WHEN event = 'error' THEN (CASE WHEN stage = 'chunk' THEN 'Chunking failed: ' ELSE '' END) || 'e' || seq END AS error FROM k""")
+def job_feed(s, d):
+    """Events, keepalives after six hours of silence, and stored states of every job up to its end."""
+    return S.job_feed(told(s, d), 21600).withColumnRenamed("at", "at_")
+
+
 @query(f"WITH {JOBS}, g AS (SELECT job_id, seq, CAST(floor(epoch(ts)) - lag(floor(epoch(ts))) OVER (PARTITION BY job_id ORDER BY ts, seq) AS BIGINT) AS gap_s FROM je) SELECT * FROM g WHERE gap_s > 43200")
 def idle_gaps(s, d):
     return S.idle_gaps(job_log(s, d), 43200)

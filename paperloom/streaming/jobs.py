@@ -40,10 +40,17 @@ def job_states(events: DataFrame) -> DataFrame:
     return job_view(events)
 
 
-def admit_stream(requests: DataFrame, limit: int, window_s: float) -> DataFrame:
-    """(key, seq, admitted) of a request stream; the state of a key is the times it admitted within the window."""
+def admit_stream(requests: DataFrame, limit: int, window_s: float, late: str | None = None) -> DataFrame:
+    """(key, seq, admitted) of a request stream; the state of a key is the times it admitted within the window.
+
+    With ``late``, requests later than that are dropped and a key's state goes once the watermark has passed its window,
+    so state is bounded by the keys of that time; without it keys are kept for ever.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["at", "seq"])
         out = []
@@ -53,11 +60,15 @@ def admit_stream(requests: DataFrame, limit: int, window_s: float) -> DataFrame:
             if out[-1]:
                 kept.append(t)
         state.update((kept,))
+        if late:
+            state.setTimeoutTimestamp(max(int((max(kept, default=0) + window_s) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": rows["key"], "seq": rows["seq"], "admitted": out})
 
-    rows = requests.select("key", "seq", (F.unix_micros("ts") / 1e6).alias("at"))
+    requests = requests.withWatermark("ts", late) if late else requests
+    rows = requests.select("key", "seq", (F.unix_micros("ts") / 1e6).alias("at"), *(["ts"] if late else []))
     kind = requests.schema["key"].dataType.simpleString()
-    return rows.groupBy("key").applyInPandasWithState(step, f"key {kind}, seq long, admitted boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if late else GroupStateTimeout.NoTimeout
+    return rows.groupBy("key").applyInPandasWithState(step, f"key {kind}, seq long, admitted boolean", "times array<double>", "append", timeout)
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> None:
