@@ -84,8 +84,74 @@ def tool_call(answer: Column) -> Column:
     return F.when(call["tool"].isNotNull(), call)
 
 
+MESSAGES = "array<struct<role:string,content:string>>"
+
+
+def converse(df: DataFrame, name: str, said: str = "said", out: str = "answer") -> DataFrame:
+    """``df`` with the provider's answer to the messages of ``said``; null where they are null. The provider is made once a task."""
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, `{out}` string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = provider(name)
+        for b in batches:
+            yield b.assign(**{out: [None if x is None else model.chat([{"role": m["role"], "content": m["content"]} for m in x]) for x in b[said]]})
+
+    return df.mapInPandas(run, schema)
+
+
+def tool_turns(questions: DataFrame, tools: dict[str, Callable[[DataFrame], DataFrame]], name: str = "hash", turns: int = 3, cut: int = 2000, key: str = "question_id") -> DataFrame:
+    """(key, answer, used) of all ``questions`` (key, question) together: ``turns`` rounds of answers and tools, then a last answer.
+
+    In a round every open question is answered once; free text ends it. An answer that is a tool call goes with all others
+    of its tool, as rows (key, arguments map), to that tool, a function of DataFrames which gives (key, result) with one
+    JSON string a call. The result's first ``cut`` characters are the next message. A tool that is not known, or gives
+    nothing, has an error as its result. ``used`` lists (tool, result) in order. The plan has ``turns`` rounds whatever the
+    number of questions; nothing comes to the driver. A state is kept on disk so that no model is asked twice.
+    """
+    from pyspark import StorageLevel
+
+    user = lambda c: F.struct(F.lit("user").alias("role"), c.alias("content"))
+    state = questions.select(
+        F.col(key).alias("key"), F.array(user(F.coalesce("question", F.lit("")))).alias("said"), F.lit(None).cast("string").alias("final"),
+        F.array().cast("array<struct<tool:string,result:string>>").alias("used"),
+    )
+    for _ in range(turns):
+        asked = converse(state.withColumn("open", F.when(F.col("final").isNull(), F.col("said"))), name, "open").drop("open")
+        asked = asked.withColumn("call", tool_call(F.col("answer"))).persist(StorageLevel.DISK_ONLY)
+        results = None
+        for tool, handler in tools.items():
+            calls = asked.where(F.col("final").isNull() & (F.col("call.tool") == tool)).select("key", F.coalesce("call.arguments", F.create_map().cast("map<string,string>")).alias("arguments"))
+            one = handler(calls).select("key", F.col("result").cast("string").alias("result"))
+            results = one if results is None else results.unionByName(one)
+        met = asked.withColumn("result", F.lit(None).cast("string")) if results is None else asked.join(results, "key", "left")
+        result = F.coalesce("result", F.to_json(F.struct(F.concat(F.lit("no result of tool "), F.col("call.tool")).alias("error"))))
+        told = F.array(F.struct(F.lit("assistant").alias("role"), F.col("answer").alias("content")), user(F.substring(result, 1, cut)))
+        again = F.col("final").isNull() & F.col("call").isNotNull()
+        state = met.select(
+            "key", F.when(again, F.concat("said", told)).otherwise(F.col("said")).alias("said"),
+            F.coalesce("final", F.when(F.col("call").isNull(), F.col("answer"))).alias("final"),
+            F.when(again, F.concat("used", F.array(F.struct(F.col("call.tool").alias("tool"), result.alias("result"))))).otherwise(F.col("used")).alias("used"),
+        )
+    last = converse(state.withColumn("open", F.when(F.col("final").isNull(), F.col("said"))), name, "open")
+    return last.select(F.col("key").alias(key), F.coalesce("final", "answer").alias("answer"), "used")
+
+
+class ScriptedProvider(HashProvider):
+    """Calls the tools that a question names as ``tool:argument``, one a turn, then answers with what they gave: for tests and offline runs."""
+
+    def chat(self, messages: list[dict[str, str]]) -> str:
+        wanted = re.findall(r"(\w+):(\w+)", messages[0]["content"])
+        turn = len(messages) // 2
+        if turn < len(wanted):
+            return json.dumps({"tool": wanted[turn][0], "arguments": {"of": wanted[turn][1]}})
+        return "; ".join(m["content"] for m in messages[2::2]) or "nothing to look up"
+
+
+PROVIDERS["scripted"] = ScriptedProvider
+
+
 class Tools:
-    """Named tools over DataFrames, and a loop of at most ``turns`` calls on the driver."""
+    """Named tools over DataFrames, and a loop of at most ``turns`` calls for one question at the driver; see `tool_turns` for many."""
 
     def __init__(self) -> None:
         self.handlers: dict[str, Callable[..., DataFrame]] = {}

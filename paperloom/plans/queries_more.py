@@ -184,6 +184,58 @@ def safe_breaks(s, d):
     return t.select("doc_id", "line_no", F.array_join(F.transform("b", lambda x: x.cast("string")), ",").alias("breaks"), X.nearest_break(F.col("b"), F.lit(60), F.length("line")).alias("nearest"))
 
 
+def text_files(s, d):
+    """Documents as files: one in ten locked, the password wrong for half of those, one in seventeen broken."""
+    head = F.when(F.col("doc_id") % 17 == 0, "%broken\n").when(F.col("doc_id") % 10 == 0, "%locked key\n").otherwise("")
+    content = F.encode(F.concat(head, F.coalesce("text", F.lit(""))), "UTF-8")
+    password = F.when(F.col("doc_id") % 10 == 0, F.when(F.col("doc_id") % 20 == 0, "key").otherwise("other"))
+    return A.table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), content.alias("content"), F.octet_length(content).alias("length"), password.alias("password"))
+
+
+@query(r"""WITH f AS (SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 17 = 0 THEN 'ValueError: broken file' WHEN doc_id % 20 = 10 THEN 'ValueError: wrong password' END AS error, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+n AS (SELECT *, CASE WHEN error IS NULL AND (len(l) + 39) // 40 > 500 THEN 'too many pages' ELSE error END AS failed FROM f)
+SELECT path, CAST(i // 40 AS INTEGER) AS page, CAST(i AS INTEGER) AS block_no, text, NULL AS error FROM (SELECT path, unnest(l) AS text, unnest(range(len(l))) AS i FROM n WHERE failed IS NULL)
+UNION ALL SELECT path, NULL, NULL, NULL, failed FROM n WHERE failed IS NOT NULL""")
+def read_documents(s, d):
+    """Spans of whole documents read as files in shares of 4 kB, and the failures of the same pass."""
+    read = E.read_documents(text_files(s, d), E.TextFile, share_bytes=4096)
+    rows = read.select("path", F.explode(F.concat(
+        F.transform("spans", lambda x: F.struct(x["page"].alias("page"), x["block_no"].alias("block_no"), x["text"].alias("text"), F.lit(None).cast("string").alias("error"))),
+        F.transform("failures", lambda x: F.struct(x["page"].alias("page"), F.lit(None).cast("int").alias("block_no"), F.lit(None).cast("string").alias("text"), x["error"].alias("error"))),
+    )).alias("r"))
+    return rows.select("path", "r.*")
+
+
+@query(r"""SELECT CAST(doc_id AS VARCHAR) AS path, CAST((len(string_split(coalesce(text, ''), chr(10))) + 39) // 40 AS INTEGER) AS pages, CASE WHEN doc_id % 10 = 0 THEN 'true' ELSE 'false' END AS encrypted,
+  CAST(len(string_split(coalesce(text, ''), chr(10))) AS VARCHAR) AS n_lines FROM documents WHERE doc_id % 17 <> 0 AND doc_id % 20 <> 10""")
+def document_metadata(s, d):
+    found = E.documents_of(E.read_documents(text_files(s, d), E.TextFile))
+    return found.select("path", "pages", F.col("metadata")["encrypted"].alias("encrypted"), F.col("metadata")["lines"].alias("n_lines"))
+
+
+@query(r"""WITH q AS (SELECT doc_id, source, len(coalesce(text, '')) AS n, len(string_split(coalesce(text, ''), chr(10))) AS l FROM documents), c AS (SELECT source, count(*) AS k FROM documents GROUP BY 1)
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'nothing to look up' WHEN doc_id % 4 = 1 THEN '{"chars":' || n || '}' WHEN doc_id % 4 = 2 THEN '{"chars":' || n || '}; {"lines":' || l || '}'
+  ELSE '{"error":"no result of tool other"}; {"of_source":' || k || '}' END AS answer, CAST(CASE doc_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS INTEGER) AS n_used FROM q LEFT JOIN c USING (source)""")
+def tool_turns(s, d):
+    """One question a document, all in the same three rounds: no tool, one, two, or an unknown one and another."""
+    docs = A.table(s, d, "documents").select("doc_id", "text", "source")
+    said = F.element_at(F.array(*map(F.lit, ("hello", "size:chars", "size:chars size:lines", "other:x source:rows"))), (F.col("doc_id") % 4 + 1).cast("int"))
+
+    def size(calls):
+        rows = calls.join(docs, F.col("key") == F.col("doc_id"))
+        text = F.coalesce("text", F.lit(""))
+        lines_ = F.to_json(F.struct(F.size(F.split(text, "\n")).alias("lines")))
+        return rows.select("key", F.when(F.col("arguments")["of"] == "lines", lines_).otherwise(F.to_json(F.struct(F.length(text).alias("chars")))).alias("result"))
+
+    def source(calls):
+        of = docs.groupBy(F.col("source").alias("_s")).agg(F.count("*").alias("of_source"))
+        rows = calls.join(docs, F.col("key") == F.col("doc_id")).join(of, F.col("source") == F.col("_s"))
+        return rows.select("key", F.to_json(F.struct("of_source")).alias("result"))
+
+    out = P.tool_turns(docs.select(F.col("doc_id").alias("question_id"), said.alias("question")), {"size": size, "source": source}, "scripted")
+    return out.select(F.col("question_id").alias("doc_id"), "answer", F.size("used").alias("n_used"))
+
+
 #: A line as a printed parse tree: every clause after a comma is a bracket of its own.
 TREE = "concat('(S ', regexp_replace({}, ',([^,]*)', ',(C$1)'), ')')"
 PROPOSED = "10 + 40 * i"

@@ -6,6 +6,7 @@ No parser is bundled; a provider is any callable from file bytes to rows, run ba
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +14,19 @@ from pyspark.sql import functions as F
 
 Parser = Callable[[bytes], list[dict]]
 
+
+class Document(Protocol):
+    """An opened file: its metadata, its number of pages, and the spans of one page, numbered from 0."""
+
+    page_count: int
+    metadata: dict
+
+    def spans(self, page: int) -> list[dict]: ...
+
+
+#: From a file's bytes and its password or None to a document; raises for files that are broken or locked.
+Opener = Callable[[bytes, str | None], Document]
+
 SPANS = "path string, page int, block_no int, line_no int, span_no int, text string, size double, font string"
 #: Names of annotation codes, from 0 on, and of external layout categories.
 ANNOTATIONS = (
@@ -55,6 +69,95 @@ def parse(files: DataFrame, parser: Parser) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, SPANS)
 
 
+SPAN = "struct<page:int,block_no:int,line_no:int,span_no:int,text:string,size:double,font:string>"
+READ = f"path string, share int, shares int, pages int, metadata map<string,string>, spans array<{SPAN}>, failures array<struct<page:int,error:string>>"
+
+
+def read_documents(files: DataFrame, opener: Opener, share_bytes: int = 4 << 20, max_pages: int = 500) -> DataFrame:
+    """The columns of READ: one row for each share of the pages of ``files`` (path, length, content and, if need be, password).
+
+    A file has a share for every ``share_bytes`` of it; the shares of one file are parsed by different tasks, which open it
+    once each. Files of one share stay with the task that read them; only larger ones travel. Spans and failures come from
+    the same pass: a file that does not open, or has no or over ``max_pages`` pages, has one failure with a null page, in its first share; a page that fails
+    has its own. Write the result once and take `documents_of`, `spans_of` and `failures_of` from it. Null contents and
+    lengths count as empty files.
+    """
+    names = [c.split(":")[0] for c in SPAN.removeprefix("struct<").removesuffix(">").split(",")]
+
+    def share(path: str, content: bytes | None, password: str | None, k: int, n: int) -> tuple:
+        try:
+            opened = opener(bytes(content or b""), password)
+            pages, about = opened.page_count, {str(a): "" if b is None else str(b) for a, b in opened.metadata.items()}
+        except Exception as e:  # noqa: BLE001  a broken file is data
+            return path, k, n, None, None, [], [(None, f"{type(e).__name__}: {e}")] if k == 0 else []
+        if not 0 < pages <= max_pages:
+            return path, k, n, pages, about, [], [(None, "too many pages" if pages else "empty")] if k == 0 else []
+        spans, failed = [], []
+        for page in range(pages * k // n, pages * (k + 1) // n):
+            try:
+                spans += [tuple({"page": page, **s}.get(c) for c in names) for s in opened.spans(page)]
+            except Exception as e:  # noqa: BLE001
+                failed.append((page, f"{type(e).__name__}: {e}"))
+        return path, k, n, pages, about, spans, failed
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in READ.split(", ")]
+        for b in batches:
+            for r in b.itertuples(index=False):
+                yield pd.DataFrame([share(r.path, r.content, r.password, r.share, r.shares)], columns=columns)
+
+    rows = files if "password" in files.columns else files.withColumn("password", F.lit(None).cast("string"))
+    rows = rows.withColumn("shares", F.greatest(F.lit(1), F.ceil(F.coalesce("length", F.lit(0)) / share_bytes)).cast("int"))
+    whole = rows.where("shares = 1").withColumn("share", F.lit(0))
+    parts = rows.where("shares > 1").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).repartition("path", "share")
+    asked = ["path", "content", "password", "share", "shares"]
+    return whole.select(*asked).mapInPandas(run, READ).unionByName(parts.select(*asked).mapInPandas(run, READ))
+
+
+def documents_of(read: DataFrame) -> DataFrame:
+    """(path, pages, metadata) of the files that opened."""
+    return read.where("share = 0 and pages is not null").select("path", "pages", "metadata")
+
+
+def spans_of(read: DataFrame) -> DataFrame:
+    """The columns of SPANS of every page that could be read."""
+    return read.select("path", F.inline("spans"))
+
+
+def failures_of(read: DataFrame) -> DataFrame:
+    """(path, page, error): a null page stands for the whole file."""
+    return read.select("path", F.inline("failures"))
+
+
+def progress_of(read: DataFrame) -> DataFrame:
+    """(path, share, page, total, stage): the last page of each share as a progress event of `operators.state.job_feed`."""
+    last = F.floor(F.col("pages") * (F.col("share") + 1) / F.col("shares"))
+    return read.where("pages > 0").select("path", "share", last.cast("long").alias("page"), F.col("pages").cast("long").alias("total"), F.lit("pages").alias("stage"))
+
+
+class TextFile:
+    """A plain-text document: pages of ``lines`` lines. ``%locked <password>`` as its first line locks it, ``%broken`` breaks it."""
+
+    lines = 40
+
+    def __init__(self, content: bytes, password: str | None):
+        first, _, rest = content.decode().partition("\n")
+        locked = first.startswith("%locked ")
+        if first == "%broken":
+            raise ValueError("broken file")
+        if locked and password is None:
+            raise ValueError("password needed")
+        if locked and first != f"%locked {password}":
+            raise ValueError("wrong password")
+        self.text = (rest if locked else content.decode()).split("\n")
+        self.page_count = -(-len(self.text) // self.lines)
+        self.metadata = {"encrypted": str(locked).lower(), "lines": len(self.text)}
+
+    def spans(self, page: int) -> list[dict]:
+        lo = page * self.lines
+        return [{"block_no": lo + i, "line_no": 0, "span_no": 0, "text": t, "size": 11.0, "font": "Text"} for i, t in enumerate(self.text[lo : lo + self.lines])]
+
+
 def failures(files: DataFrame, parser: Parser) -> DataFrame:
     """(path, error) of files that ``parser`` refuses."""
 
