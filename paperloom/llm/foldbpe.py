@@ -122,7 +122,7 @@ def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 BLOCK = "keys array<{key}>, counts array<int>, at array<int>, words array<string>, far array<array<int>>"
 
 
-def encode(df: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "text", block: int = 32_000_000) -> DataFrame:
+def encode(df: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "text", block: int = 8_000_000) -> DataFrame:
     """(key, ids array<int>, packed binary) of every row; ``packed`` has the ids as little-endian unsigned 32-bit values.
 
     A task cuts blocks of ``block`` bytes, or one longer text, into words; the fold runs once for each distinct word of a
