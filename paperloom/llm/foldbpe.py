@@ -119,10 +119,21 @@ def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def sliced(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Batches whose ``column`` holds about ``size`` bytes, small ones joined and large ones cut; a longer text is one alone."""
+    for batch in joined(batches, column, size):
+        ends = np.cumsum(np.diff(batch[column].offsets.to_numpy()))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 BLOCK = "keys array<{key}>, counts array<int>, at array<int>, words array<string>, far array<array<int>>"
 
 
-def encode(df: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "text", block: int = 8_000_000) -> DataFrame:
+def encode(df: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "text", block: int = 4_000_000) -> DataFrame:
     """(key, ids array<int>, packed binary) of every row; ``packed`` has the ids as little-endian unsigned 32-bit values.
 
     A task cuts blocks of ``block`` bytes, or one longer text, into words; the fold runs once for each distinct word of a
@@ -136,7 +147,7 @@ def encode(df: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "tex
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split_all, split_latin = regex.compile(SPLIT), latin_split()
-        for batch in joined(batches, "text", block):
+        for batch in sliced(batches, "text", block):
             number: dict[str, int] = {}
             counts, at = [], []
             for said in rows_of(batch, "text"):
