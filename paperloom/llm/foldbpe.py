@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,7 +123,7 @@ def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 def sliced(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
     """Batches whose ``column`` holds about ``size`` bytes, small ones joined and large ones cut; a longer text is one alone."""
     for batch in joined(batches, column, size):
-        ends = np.cumsum(np.diff(batch[column].offsets.to_numpy()))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         lo = 0
         while lo < batch.num_rows:
             hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, "right")))
