@@ -39,14 +39,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def rank_lookup(ranks: dict[bytes, int]) -> Callable[[Column], Column]:
-    """Word to rank, or NONE, from a literal of about one entry a bucket."""
+def rank_maps(ranks: dict[bytes, int]) -> tuple[Column, int]:
+    """The literal rank map: an array of small maps, with about one entry each, and their number."""
     n = 1 << max(1, len(ranks)).bit_length()
     buckets: list[dict[str, int]] = [{} for _ in range(n)]
     for token, rank in ranks.items():
         word = token.decode("latin-1")
         buckets[zlib.crc32(word.encode()) % n][word] = rank
-    maps = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>"), n
+
+
+def rank_lookup(maps: Column, n: int) -> Callable[[Column], Column]:
+    """Word to rank, or NONE, from the ``n`` maps of `rank_maps`."""
 
     def rank(word: Column) -> Column:
         bucket = F.element_at(maps, (F.crc32(word.cast("binary")) % n + 1).cast("int"))
@@ -194,9 +198,11 @@ def encode(df: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "tex
                     yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(edge), pa.array(ids)), packed], names=[key, "ids", "packed"])
                     lo = hi
 
-    rank = rank_lookup(ranks)
+    maps, n = rank_maps(ranks)
     blocks = rows.mapInArrow(cut, BLOCK.format(key=kind))
-    folded = blocks.select("keys", "counts", "at", F.transform("words", lambda w: fold(w, rank)).alias("ids"), "far")
+    # The maps are bound once, so that the plan holds one literal however often a fold looks ranks up.
+    ids = let(maps, lambda m: F.transform("words", lambda w: fold(w, rank_lookup(m, n))))
+    folded = blocks.select("keys", "counts", "at", ids.alias("ids"), "far")
     return folded.mapInArrow(spread, f"`{key}` {kind}, ids array<int>, packed binary")
 
 
