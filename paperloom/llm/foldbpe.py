@@ -1,4 +1,4 @@
-"""Byte-level BPE from a rank file, folded by Spark's higher-order functions once for each distinct word of all texts.
+"""Byte-level BPE from a rank file, folded by Spark's higher-order functions over the distinct words of a task's texts.
 
 A word is the string of its bytes, one character a byte (ISO-8859-1). Its parts are a list of cuts; each step of the fold
 joins the leftmost pair of the least rank and looks only the two new pairs up. The rank map is a literal of the plan: an
@@ -12,17 +12,16 @@ import heapq
 import json
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import SPLIT, joined, latin_split, rows_of
-from .scratch import materialize
 
 #: The rank of a pair that is no token.
 NONE = 2**31 - 1
@@ -137,17 +136,50 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterato
             lo = hi
 
 
-BLOCK = "block long, keys array<{key}>, counts array<int>, at array<int>, words array<string>, far array<array<int>>"
+#: A task forgets the words it has numbered beyond so many of them, or so many characters.
+WORDS, CHARS = 1_000_000, 32_000_000
+BLOCK = "fresh boolean, keys array<{key}>, counts array<int>, at array<int>, words array<string>, places array<int>, far array<array<int>>"
 
 
-def encode(df: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "text", block: int = 4_000_000) -> DataFrame:
+class Told:
+    """The ids of the words a task has numbered, end to end in arrays that double when they are full."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.n, self.used = 0, 0
+        self.starts, self.sizes, self.flat = (np.empty(1024, np.int32) for _ in range(3))
+
+    def add(self, near: pa.Array, places: np.ndarray, far: pa.Array) -> None:
+        """The next words' ids: those of ``near``, but at ``places`` those of ``far``."""
+        starts, sizes = near.offsets.to_numpy()[:-1] - near.offsets[0].as_py(), np.diff(near.offsets.to_numpy())
+        ids = near.flatten().to_numpy()
+        starts, sizes = starts.astype(np.int32), sizes.astype(np.int32)
+        starts[places], sizes[places] = far.offsets.to_numpy()[:-1] - far.offsets[0].as_py() + len(ids), np.diff(far.offsets.to_numpy())
+        ids = np.concatenate([ids, far.flatten().to_numpy()])
+        for name, at, more in (("starts", self.n, starts + self.used), ("sizes", self.n, sizes), ("flat", self.used, ids)):
+            held = getattr(self, name)
+            if at + len(more) > len(held):
+                held = np.resize(held, 2 * (at + len(more)))
+                setattr(self, name, held)
+            held[at : at + len(more)] = more
+        self.n, self.used = self.n + len(sizes), self.used + len(ids)
+
+    def spell(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a run of words end to end, and where each word's begin (and the last one's end)."""
+        n = self.sizes[words]
+        upto = np.append(0, np.cumsum(n))
+        return self.flat[np.repeat(self.starts[words] - upto[:-1], n) + np.arange(upto[-1])], upto
+
+
+def encode(df: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "text", block: int = 2_000_000) -> DataFrame:
     """(key, ids array<int>, packed binary) of every row; ``packed`` has the ids as little-endian unsigned 32-bit values.
 
-    Tasks cut blocks of ``block`` bytes, or one longer text, into words, and a block is written with its distinct words. A
-    word's blocks then meet, the first of them folds it, and the others take its ids over; the ids go back to their blocks
-    as a sorted stream. A word counts once a block, so even the most frequent is a small share of the rows. A null or empty
-    text has no ids; repeated rows and null keys stay as they are; other columns are ignored. Only the rank file, whose size
-    does not depend on the data, is sent out.
+    A task cuts blocks of ``block`` bytes, or one longer text, into words and numbers the words; a block carries only those
+    that the task has not met, up to WORDS of them, so the fold runs once for each distinct word of a task. A null or empty
+    text has no ids; repeated rows and null keys stay as they are; other columns are ignored. Nothing is shuffled, and only
+    the rank file, whose size does not depend on the data, is sent out.
     """
     ranks = read_ranks(ranks_path)
     sent = df.sparkSession.sparkContext.broadcast(ranks)
@@ -156,75 +188,60 @@ def encode(df: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "tex
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split_all, split_latin = regex.compile(SPLIT), latin_split()
-        first = TaskContext.get().partitionId() << 32
-        for no, batch in enumerate(sliced(batches, "text", block)):
-            number: dict[str, int] = {}
-            counts, at = [], []
+        number: dict[str, int] = {}
+        chars, fresh = 0, True
+        for batch in sliced(batches, "text", block):
+            counts, at, before = [], [], len(number)
             for said in rows_of(batch, "text"):
                 said = said or ""
                 pieces = (split_latin if said.isascii() or max(said) < "Ā" else split_all).findall(said)
                 counts.append(len(pieces))
                 at.append(np.fromiter((number.setdefault(p, len(number)) for p in pieces), np.int32, len(pieces)))
-            words = [w.encode() for w in number]
-            long = np.fromiter((len(w) > LONGEST for w in words), bool, len(words))
-            near = int((~long).sum())
-            place = np.empty(len(words), np.int32)  # long words are numbered after the others
-            place[~long], place[long] = np.arange(near), np.arange(near, len(words))
+            words = [w.encode() for w in islice(number, before, None)]
+            far = [i for i, w in enumerate(words) if len(w) > LONGEST]  # their places are left empty
             cols = [
                 batch["key"],
                 pa.array(counts, pa.int32()),
-                pa.array(place[np.concatenate(at)]),
-                pa.array([w.decode("latin-1") for w in words if len(w) <= LONGEST], pa.string()),
-                pa.array([heap_merge(words[i], sent.value) for i in np.flatnonzero(long)], pa.list_(pa.int32())),
+                pa.array(np.concatenate(at)),
+                pa.array([w.decode("latin-1") if len(w) <= LONGEST else "" for w in words], pa.string()),
+                pa.array(far, pa.int32()),
+                pa.array([heap_merge(words[i], sent.value) for i in far], pa.list_(pa.int32())),
             ]
             one = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in cols]
-            yield pa.RecordBatch.from_arrays([pa.array([first + no]), *one], names=["block", "keys", "counts", "at", "words", "far"])
-
-    def texts(head: pa.RecordBatch, near: list[pa.Array]) -> Iterator[pa.RecordBatch]:
-        """The rows of one block from the ids of its words, those of ``near`` before the long ones."""
-        keys, counts, at = head["keys"].flatten(), head["counts"].flatten().to_numpy(), head["at"].flatten().to_numpy()
-        lists = [*near, head["far"].flatten()]
-        flat = np.concatenate([x.flatten().to_numpy() for x in lists])
-        sizes = np.concatenate([np.diff(x.offsets.to_numpy()) for x in lists])
-        starts, ends = np.cumsum(sizes) - sizes, np.cumsum(counts)
-        lo = 0
-        while lo < len(counts):  # about a million words at a time, or one longer text
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 1_000_000, "right")))
-            part = at[ends[lo] - counts[lo] : ends[hi - 1]]
-            n = sizes[part]
-            upto = np.append(0, np.cumsum(n))
-            ids = flat[np.repeat(starts[part] - upto[:-1], n) + np.arange(upto[-1])].astype(np.int32)
-            edge = upto[np.append(ends[lo:hi] - counts[lo:hi], ends[hi - 1]) - (ends[lo] - counts[lo])].astype(np.int32)
-            raw = [None, pa.py_buffer((4 * edge).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))]
-            packed = pa.Array.from_buffers(pa.binary(), hi - lo, raw)
-            cols = [keys.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(edge), pa.array(ids)), packed]
-            yield pa.RecordBatch.from_arrays(cols, names=[key, "ids", "packed"])
-            lo = hi
+            names = ["fresh", "keys", "counts", "at", "words", "places", "far"]
+            yield pa.RecordBatch.from_arrays([pa.array([fresh]), *one], names=names)
+            chars += sum(map(len, words))
+            fresh = len(number) > WORDS or chars > CHARS
+            if fresh:
+                number, chars = {}, 0
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, near = None, []
-        for batch in batches:
-            heads = np.flatnonzero(batch["no"].to_numpy() < 0)
-            for lo, hi in zip([0, *heads], [*heads, batch.num_rows], strict=True):
-                rest = batch.slice(lo, hi - lo)
-                if lo in heads and hi > lo:
-                    if head is not None:
-                        yield from texts(head, near)
-                    head, near, rest = rest.slice(0, 1), [], rest.slice(1)
-                near.append(rest["ids"])
-        if head is not None:
-            yield from texts(head, near)
-
-    blocks = materialize(rows.mapInArrow(cut, BLOCK.format(key=kind)), "bpe-blocks")
-    meeting = Window.partitionBy("word").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+        told = Told()
+        for row in (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows)):
+            if row["fresh"][0].as_py():
+                told.clear()
+            told.add(row["ids"].flatten(), row["places"].flatten().to_numpy(), row["far"].flatten())
+            keys, counts, at = row["keys"].flatten(), row["counts"].flatten().to_numpy(), row["at"].flatten().to_numpy()
+            ends = np.cumsum(counts)
+            lo = 0
+            while lo < len(counts):  # about a million words at a time, or one longer text
+                first = ends[lo] - counts[lo]
+                hi = max(lo + 1, int(np.searchsorted(ends, first + 1_000_000, "right")))
+                ids, upto = told.spell(at[first : ends[hi - 1]])
+                edge = upto[np.append(ends[lo:hi] - counts[lo:hi], ends[hi - 1]) - first].astype(np.int32)
+                raw = [None, pa.py_buffer((4 * edge).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))]
+                packed = pa.Array.from_buffers(pa.binary(), hi - lo, raw)
+                cols = [keys.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(edge), pa.array(ids)), packed]
+                yield pa.RecordBatch.from_arrays(cols, names=[key, "ids", "packed"])
+                lo = hi
+
     maps, n = rank_maps(ranks)
+    blocks = rows.mapInArrow(cut, BLOCK.format(key=kind))
     # The maps are bound once, so that the plan holds one literal however often a fold looks ranks up.
-    folded = F.when(F.col("nth") == 1, let(maps, lambda m: fold(F.col("word"), rank_lookup(m, n))))
-    words = blocks.select("block", F.posexplode("words").alias("no", "word")).withColumn("nth", F.row_number().over(meeting))
-    ids = words.withColumn("ids", folded).select("block", "no", F.first("ids").over(meeting).alias("ids"))
-    heads = blocks.select("block", F.lit(-1).alias("no"), "keys", "counts", "at", "far")
-    stream = heads.unionByName(ids, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "no")
-    return stream.mapInArrow(spread, f"`{key}` {kind}, ids array<int>, packed binary")
+    ids = let(maps, lambda m: F.transform("words", lambda w: fold(w, rank_lookup(m, n))))
+    # A task's blocks stay in their order between the two, as nothing is shuffled.
+    folded = blocks.select("fresh", "keys", "counts", "at", ids.alias("ids"), "places", "far")
+    return folded.mapInArrow(spread, f"`{key}` {kind}, ids array<int>, packed binary")
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:

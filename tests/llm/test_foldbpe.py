@@ -25,6 +25,20 @@ def test_equals_tiktoken(spark):
         assert bytes(out[i].decoded) == (text or "").encode()
 
 
+def test_words_met_before_are_not_sent_again(spark):
+    """Blocks of one task share their words, long ones too, also after the task has forgotten them."""
+    texts = [*HARD, "it's a zz " + "z" * 129, *HARD, "x" * 127 + " new words", *HARD]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    chars = foldbpe.CHARS
+    for limit in (chars, 300):
+        foldbpe.CHARS = limit
+        try:
+            got = {r.doc_id: r.ids for r in foldbpe.encode(df, PATH, block=200).collect()}
+        finally:
+            foldbpe.CHARS = chars
+        assert got == {i: THEIRS.encode_ordinary(t or "") for i, t in enumerate(texts)}
+
+
 def test_heap_equals_tiktoken():
     rng = np.random.default_rng(1)
     for word in [b"a" * 3001, *(bytes(rng.choice(list(b"abethinors"), 700)) for _ in range(30))]:
