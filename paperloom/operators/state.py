@@ -104,6 +104,12 @@ def history(messages: DataFrame, n: int, newest: bool = False) -> DataFrame:
     return messages.withColumn("_k", F.row_number().over(Window.partitionBy("session_id").orderBy(*order))).where(F.col("_k") <= n).drop("_k")
 
 
+def session_history(messages: DataFrame, n: int, newest: bool = False) -> DataFrame:
+    """(session_id, created_at, updated_at, n_messages, seq, role, content): sessions joined with their ``history``."""
+    told = history(messages, n, newest).select("session_id", "seq", "role", "content")
+    return session_view(messages).join(told, "session_id")
+
+
 def page_of(rows: DataFrame, order: list[str], page: int, per_page: int, key: str | None = None) -> DataFrame:
     """One page (from 1) of ``rows`` in each key's order, with total_pages."""
     if page < 1 or not 1 <= per_page <= 100:

@@ -11,6 +11,7 @@ from ..operators import chunks as C
 from ..operators import render as R
 from ..operators import retrieval as V
 from ..operators import state as S
+from ..operators.tables import KeyedTable, shared_folder
 from ..sources import adapters as A
 from ..streaming import jobs as J
 from . import oracle_base as O
@@ -525,7 +526,36 @@ def sessions_view(s, d):
     return S.session_view(messages(s, d))
 
 
+@query(f"""WITH {MSGS} SELECT session_id, s.created_at, updated_at, n_messages, seq, role, content
+FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at, seq) AS k FROM msgs) m JOIN sess s USING (session_id) WHERE k <= 50""")
+def session_history(s, d):
+    """Every session with its oldest 50 messages."""
+    return S.session_history(messages(s, d), 50)
+
+
+def job_rows(s, d):
+    """The log of a job's states, two writes of it, in a keyed table."""
+    log = A.job_events(A.table(s, d, "events")).select(F.col("job_id").cast("long").alias("job_id"), F.col("seq").cast("long").alias("seq"), "ts", "event")
+    table = KeyedTable(s, shared_folder(s, "jobs"), log.schema, "job_id", ("ts", "seq"), 16)
+    for epoch in range(2):
+        table.upsert(log.where(F.col("seq") % 2 == epoch), epoch)
+    return table
+
+
 JOBS = "je AS (SELECT user_id AS job_id, event_id AS seq, ts, CASE WHEN event_type IN ('view', 'click') THEN 'progress' WHEN event_type = 'purchase' THEN 'complete' WHEN event_type = 'error' THEN 'error' ELSE 'created' END AS event, value FROM events)"
+LAST = f"WITH {JOBS}, held AS (SELECT job_id, seq, ts, event FROM je QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) = 1)"
+
+
+@query(f"{LAST} SELECT * FROM held")
+def keyed_upsert(s, d):
+    """Every job's last event from a keyed table that was written in two halves of the log."""
+    return job_rows(s, d).read()
+
+
+@query(f"{LAST} SELECT held.* FROM held JOIN (SELECT DISTINCT c_custkey FROM customer) ON c_custkey = job_id")
+def point_read(s, d):
+    """The jobs of the customers' numbers, looked up by key."""
+    return job_rows(s, d).get_all(A.table(s, d, "customer").select("c_custkey"))
 
 
 def job_log(s, d):
