@@ -61,6 +61,20 @@ def load(chunks: DataFrame, namespace: str, provider: str = "hash") -> DataFrame
     return out.select("namespace", F.concat_ws(":", F.col("_d").cast("string"), F.col("_i").cast("string")).alias("id"), "text", "vec", "page", "heading", F.xxhash64("_d", "_i").alias("rowid"))
 
 
+def index_chunks(chunks: DataFrame, vectors: DataFrame, namespace: str, metadata: DataFrame | None = None) -> DataFrame:
+    """Chunks (doc_id, index, text) and vectors (doc_id, index, vec) made elsewhere as entries (namespace, id, text, vec, metadata, rowid).
+
+    They meet on document and index, one row each on both sides; a chunk without a vector and a vector without a chunk are left
+    out. ``metadata`` (doc_id, index, metadata) is JSON; an entry without any tells its index.
+    """
+    at = ["doc_id", "index"]
+    rows = chunks.select(*at, "text").join(vectors.select(*at, "vec"), at)
+    rows = rows.join(metadata.select(*at, "metadata"), at, "left") if metadata is not None else rows.withColumn("metadata", F.lit(None).cast("string"))
+    told = F.coalesce("metadata", F.to_json(F.struct(F.col("index").alias("chunk_index"))))
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(":chunk_"), F.col("index").cast("string"))
+    return rows.select(F.lit(namespace).alias("namespace"), name.alias("id"), "text", "vec", told.alias("metadata"), F.xxhash64(*at).alias("rowid"))
+
+
 def chat_context(store: DataFrame, questions: DataFrame, provider: str = "hash", k: int = 5) -> DataFrame:
     """(base, context) for questions (base, query): expanded, searched, fused, and put together."""
     variants = P.expand(questions, provider).withColumn("query_no", F.col("base") * 1000 + F.col("query_no"))

@@ -339,6 +339,18 @@ def projection_columns(s, d):
     return B.projection_columns(blocks(s, d))
 
 
+@query(f"""WITH {O.LINES} SELECT doc_id || ':chunk_' || line_no AS id, line AS text, len(embedding) AS dims,
+coalesce(CASE WHEN vec_id % 2 = 0 THEN '{{"label":' || label || '}}' END, '{{"chunk_index":' || line_no || '}}') AS metadata
+FROM lines JOIN embeddings ON vec_id // 3 = doc_id AND vec_id % 3 = line_no""")
+def index_chunks(s, d):
+    """Lines as chunks, each document's first three with the next three vectors; every second entry has metadata of its own."""
+    at = (F.floor(F.col("vec_id") / 3).alias("doc_id"), (F.col("vec_id") % 3).cast("int").alias("index"))
+    v = A.table(s, d, "embeddings")
+    own = v.where("vec_id % 2 = 0").select(*at, F.concat(F.lit('{"label":'), F.col("label").cast("string"), F.lit("}")).alias("metadata"))
+    entries = api.index_chunks(lines(s, d).select("doc_id", F.col("line_no").alias("index"), F.col("line").alias("text")), v.select(*at, F.col("embedding").alias("vec")), "corpus", own)
+    return entries.select("id", "text", F.size("vec").alias("dims"), "metadata")
+
+
 @query()
 def query_expansion(s, d):
     q = A.table(s, d, "benchmark").select(F.col("item_id").alias("base"), F.col("text").alias("query"))

@@ -5,7 +5,7 @@ import pytest
 
 from paperloom.operators import state as S
 from paperloom.operators import tables as K
-from paperloom.plans import catalogue
+from paperloom.plans import api, catalogue
 
 LOG = "id string, ts long, v string"
 
@@ -71,6 +71,14 @@ def test_a_stream_of_upserts(spark, tmp_path):
     assert rows(t.read()) == rows(S.latest(spark.createDataFrame(log, LOG), "id", "ts"))
 
 
-@pytest.mark.parametrize("name", ["keyed_upsert", "point_read", "session_history"])
+def test_chunks_meet_their_vectors_on_the_index(spark):
+    chunks = spark.createDataFrame([(1, 1, "b"), (1, 0, "a"), (2, 0, None), (3, 0, "no vector")], "doc_id long, index int, text string")
+    vectors = spark.createDataFrame([(1, 0, [1.0]), (1, 1, [2.0]), (2, 0, None), (4, 0, [3.0])], "doc_id long, index int, vec array<double>")
+    got = {r.id: (r.text, r.vec, r.metadata) for r in api.index_chunks(chunks, vectors, "n").collect()}
+    assert got == {"1:chunk_0": ("a", [1.0], '{"chunk_index":0}'), "1:chunk_1": ("b", [2.0], '{"chunk_index":1}'), "2:chunk_0": (None, None, '{"chunk_index":0}')}
+    assert api.index_chunks(chunks.limit(0), vectors, "n").count() == 0
+
+
+@pytest.mark.parametrize("name", ["keyed_upsert", "point_read", "session_history", "index_chunks"])
 def test_queries(spark, name):
     assert oracle.compare(spark, "/root/testdata/sf0.001", catalogue.QUERIES[name], catalogue.ORACLES[name]) is None
