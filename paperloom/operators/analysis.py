@@ -82,6 +82,67 @@ def conformal(scored: DataFrame, confidence: float = 0.9) -> DataFrame:
     return scored.withColumn("lower", F.col("estimate") - width).withColumn("upper", F.col("estimate") + width)
 
 
+def conformal_by(scored: DataFrame, by: list[str], confidence: float = 0.9, digits: int = 4) -> DataFrame:
+    """``scored`` (truth or null, estimate) with lower and upper: an interval of its own for each group of ``by``.
+
+    Rows with a truth calibrate their group: its width is the k-th smallest error, k = ceil((n + 1) * confidence), errors
+    rounded up to ``digits`` digits, so that the promised cover holds. Groups without rows enough have infinite intervals,
+    rows with a null estimate null ones; nulls in ``by`` are a group. Errors are counted by value before they are ordered:
+    a group's window has one row a distinct error (10,001 for chances), however many rows it has, and nothing is collected.
+    """
+    error = F.ceil(F.abs(F.col("truth") - F.col("estimate")) * 10**digits)
+    seen = scored.where("truth is not null and estimate is not null").groupBy(*by, error.alias("_e")).agg(F.count("*").alias("_c"))
+    upto = Window.partitionBy(*by).orderBy("_e").rowsBetween(Window.unboundedPreceding, 0)
+    seen = seen.withColumn("_upto", F.sum("_c").over(upto)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
+    # ceil of a product that is whole in decimals must not be raised by its binary rounding
+    rank = F.ceil(F.round((F.col("_n") + 1) * confidence, 9))
+    widths = seen.where(F.col("_upto") >= rank).groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]).agg((F.min("_e") / 10**digits).alias("_w"))
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & scored[c].eqNullSafe(widths[f"_g{i}"])
+    out = scored.join(widths, same, "left").withColumn("_w", F.coalesce("_w", F.lit(float("inf"))))
+    out = out.withColumn("lower", F.col("estimate") - F.col("_w")).withColumn("upper", F.col("estimate") + F.col("_w"))
+    return out.drop("_w", *[f"_g{i}" for i in range(len(by))])
+
+
+def segment_features(segments: DataFrame, order: str = "seg_no") -> DataFrame:
+    """``segments`` with chars, words and inner: the length over 500, the words over 100, and whether a segment stands before it."""
+    text = F.lower(F.coalesce("text", F.lit("")))
+    before = F.row_number().over(Window.partitionBy("doc_id").orderBy(order)) > 1
+    size = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    return segments.withColumn("chars", F.length(text) / 500.0).withColumn("words", size / 100.0).withColumn("inner", before.cast("int"))
+
+
+def segment_uncertainty(scored: DataFrame) -> DataFrame:
+    """``scored`` (lower, upper) with uncertainty and confidence: the interval's width up to 1, and what is left of 1.
+
+    Without an interval (null or infinite) both are 0.5, as nothing is known.
+    """
+    width = F.col("upper") - F.col("lower")
+    known = width.isNotNull() & ~F.isnan(width) & (width < float("inf"))
+    doubt = F.round(F.when(known, F.least(F.lit(1.0), width)).otherwise(0.5), 4)
+    trust = F.round(F.when(known, F.greatest(F.lit(0.0), 1 - width)).otherwise(0.5), 4)
+    return scored.withColumn("uncertainty", doubt).withColumn("confidence", trust)
+
+
+def judged_segments(segments: DataFrame, label: str, part: str, confidence: float = 0.9, step: float = 0.1, order: str = "seg_no") -> DataFrame:
+    """``segments`` (doc_id, order, text) with estimate, lower, upper, uncertainty and confidence of ``label`` (0, 1 or null).
+
+    The estimate is the mean label of the 'train' rows of like length, words and place (cells of ``step``), or of all of
+    them where the cell has none, or null where there is no training row; 'calibrate' rows with a label give each place
+    (first or inner) its width (see `conformal_by`). Every step is a grouped aggregate of a few numbers.
+    """
+    cell = [F.floor(F.col("chars") / step).alias("_a"), F.floor(F.col("words") / step).alias("_b"), F.col("inner")]
+    rows = segment_features(segments, order).select("*", *cell[:2])
+    known = rows.where((F.col(part) == "train") & F.col(label).isNotNull())
+    near = known.groupBy("_a", "_b", "inner").agg(F.avg(label).alias("_near"))
+    rows = rows.join(near, ["_a", "_b", "inner"], "left").crossJoin(F.broadcast(known.agg(F.avg(label).alias("_all"))))  # one row
+    rows = rows.withColumn("estimate", F.round(F.coalesce("_near", "_all"), 6))
+    rows = rows.withColumn("truth", F.when(F.col(part) == "calibrate", F.col(label).cast("double")))
+    out = segment_uncertainty(conformal_by(rows, ["inner"], confidence))
+    return out.select(*segments.columns, "estimate", "lower", "upper", "uncertainty", "confidence")
+
+
 def fit_boundary_model(rows: DataFrame, features: list[str], label: str):
     """A logistic model of segment boundaries; its probability column feeds `conformal`."""
     from pyspark.ml import Pipeline

@@ -196,6 +196,19 @@ def inside(blocks: DataFrame, regions: DataFrame) -> DataFrame:
     return b.join(regions.alias("r"), F.expr(on), "left_semi").drop("cx", "cy")
 
 
+def mark_inside(blocks: DataFrame, regions: DataFrame, name: str = "inside_table") -> DataFrame:
+    """``blocks`` with a boolean ``name``: whether the centre lies in a region (doc_id, page, rx0, ry0, rx1, ry1) of the page.
+
+    A page's regions travel as one array, so a block stays one row however many regions hold it. A region with a null
+    edge holds nothing; a block without a box is in none.
+    """
+    box = F.struct("rx0", "ry0", "rx1", "ry1")
+    held = regions.groupBy("doc_id", "page").agg(F.collect_list(box).alias("_regions"))
+    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    hit = F.exists("_regions", lambda r: F.coalesce(cx.between(r["rx0"], r["rx1"]) & cy.between(r["ry0"], r["ry1"]), F.lit(False)))
+    return blocks.join(held, ["doc_id", "page"], "left").withColumn(name, F.coalesce(hit, F.lit(False))).drop("_regions")
+
+
 def section_ids(blocks: DataFrame, heading: Column) -> DataFrame:
     """``blocks`` with section: the number of headings up to the row; 0 before the first."""
     return blocks.withColumn("section", F.sum(heading.cast("int")).over(_so_far()))
@@ -231,7 +244,7 @@ def footnotes(blocks: DataFrame) -> DataFrame:
 def authored_sections(blocks: DataFrame) -> DataFrame:
     """(doc_id, section, heading, page, char_count, block_count) as `sections` gives them, but those that a boilerplate heading opens and
     blocks before the first heading are left out."""
-    heading = F.col("is_heading") | (F.col("layout_type") == "heading")
+    heading = F.coalesce("is_heading", F.lit(False)) | F.coalesce(F.col("layout_type") == "heading", F.lit(False))
     return sections(blocks, heading).where((F.col("section") > 0) & ~F.lower("heading").isin(*T.BOILERPLATE_HEADINGS))
 
 
@@ -250,7 +263,10 @@ def layout_features(blocks: DataFrame) -> DataFrame:
 
 
 def scores(blocks: DataFrame) -> DataFrame:
-    """(doc_id, block_no, label, noise): additive rule scores over size, case, punctuation, place and repetition."""
+    """(doc_id, block_no, label, noise): additive rule scores over size, case, punctuation, place and repetition.
+
+    Blocks that ``inside_table`` marks (see `mark_inside`) and that are not large are table cells, never noise.
+    """
     page_h = F.max("y1").over(Window.partitionBy("doc_id", "page"))
     body = F.median("font_size").over(_doc())
     rep = repeated_texts(blocks).select("doc_id", F.col("text").alias("t"), F.lit(True).alias("rep"))
@@ -272,7 +288,9 @@ def scores(blocks: DataFrame) -> DataFrame:
     noise = F.col("rep") | (digits & short & (F.col("y") > 0.75)) | ((F.col("ratio") < 0.6) & short)
     kind = F.when(digits, "page_number").when(F.col("y") < 0.15, "header").when(F.col("y") > 0.85, "footer").otherwise("noise")
     big = F.col("ratio") >= 1.15
-    return rows.select("doc_id", "block_no", F.when(big, "heading").when(noise, kind).otherwise(best).alias("label"), (~big & noise).alias("noise"))
+    cell = F.coalesce("inside_table", F.lit(False)) if "inside_table" in blocks.columns else F.lit(False)
+    label = F.when(big, "heading").when(cell, "table_cell").when(noise, kind).otherwise(best)
+    return rows.select("doc_id", "block_no", label.alias("label"), (~big & ~cell & noise).alias("noise"))
 
 
 def quality(blocks: DataFrame, texts: DataFrame) -> DataFrame:

@@ -95,6 +95,63 @@ def document_structure(blocks: DataFrame, headings: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.coalesce("toc", F.lit("")).alias("toc"), F.coalesce("sections", nothing).alias("sections"), "n_headings", "n_fonts", "layout")
 
 
+def table_summaries(tables: DataFrame, cap: int = 20) -> DataFrame:
+    """(doc_id, tables array<struct<index, rows, preview>>): the first ``cap`` tables (doc_id, k, md) of a document, numbered from 0.
+
+    A table has a row for every line of its trimmed text; the preview is its first 200 characters. A null text is empty.
+    """
+    index = F.row_number().over(Window.partitionBy("doc_id").orderBy("k")) - 1
+    md = F.coalesce("md", F.lit(""))
+    one = F.struct(F.col("index"), F.size(F.split(T.strip(md), "\n")).alias("rows"), F.substring(md, 1, 200).alias("preview"))
+    rows = tables.withColumn("index", index).where(F.col("index") < cap)
+    return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("tables"))
+
+
+def counted(rows: DataFrame | None, name: str, documents: DataFrame) -> DataFrame:
+    """(doc_id, name): how many of ``rows`` (doc_id) each of ``documents`` has; none at all where there is no such table."""
+    if rows is None:
+        return documents.withColumn(name, F.lit(0).cast("long"))
+    return documents.join(rows.groupBy("doc_id").agg(F.count("*").alias(name)), "doc_id", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+
+
+def structure_report(
+    blocks: DataFrame, headings: DataFrame, tables: DataFrame | None = None, quality: DataFrame | None = None, annotations: DataFrame | None = None,
+    links: DataFrame | None = None, fonts: int = 10,
+) -> DataFrame:
+    """(doc_id, toc, sections, layout, fonts, tables, quality, n_annotations, n_links): a document's whole structure as one row.
+
+    ``toc`` has every heading's level (0 if null), first line and page, without those that are boilerplate; ``sections`` are
+    `blocks.authored_sections`; ``layout`` counts the text blocks of each type, "unknown" if null; ``fonts`` are the most
+    frequent ones, ties to the one seen first; ``tables`` as in `table_summaries`. Documents without a part have an empty
+    array or 0 there, and a null quality. Each part is one aggregate by document.
+    """
+    documents = blocks.select("doc_id").distinct()
+    line = lambda n: F.substring(F.substring_index(T.strip(F.coalesce("text", F.lit(""))), "\n", 1), 1, n)
+    ordered = lambda *c: F.array_sort(F.collect_list(F.struct(*c)))
+    listed = headings.withColumn("title", line(80)).where(~F.lower("title").isin(*T.BOILERPLATE_HEADINGS))
+    listed = listed.groupBy("doc_id").agg(ordered("block_no", F.coalesce("level", F.lit(0)).alias("level"), F.col("title").alias("text"), "page").alias("toc"))
+    listed = listed.withColumn("toc", F.transform("toc", lambda h: h.dropFields("block_no")))
+    texts = blocks.where("type = 'text'")
+    parts = B.authored_sections(texts).groupBy("doc_id").agg(ordered("section", "heading", "page", "char_count", "block_count").alias("sections"))
+    kinds = texts.groupBy("doc_id", F.coalesce("layout_type", F.lit("unknown")).alias("kind")).agg(F.count("*").alias("n"))
+    kinds = kinds.groupBy("doc_id").agg(ordered("kind", "n").alias("layout"))
+    used = texts.where("font <> ''").groupBy("doc_id", "font").agg(F.count("*").alias("n"), F.min("block_no").alias("seen"))
+    used = used.groupBy("doc_id").agg(ordered((-F.col("n")).alias("_less"), "seen", "font", "n").alias("fonts"))
+    used = used.withColumn("fonts", F.transform(F.slice("fonts", 1, fonts), lambda f: f.dropFields("_less", "seen")))
+    out = documents
+    for part in (listed, parts, kinds, used, None if tables is None else table_summaries(tables)):
+        out = out if part is None else out.join(part, "doc_id", "left")
+    if tables is None:
+        out = out.withColumn("tables", F.lit(None).cast("array<struct<index:int,rows:int,preview:string>>"))
+    for name in ("toc", "sections", "layout", "fonts", "tables"):
+        out = out.withColumn(name, F.coalesce(name, F.array().cast(out.schema[name].dataType)))
+    scored = documents.withColumn("quality", F.lit(None).cast("double")) if quality is None else quality.select("doc_id", F.col("overall").alias("quality"))
+    out = out.join(scored, "doc_id", "left")
+    for rows, name in ((annotations, "n_annotations"), (links, "n_links")):
+        out = out.join(counted(rows, name, documents), "doc_id")
+    return out
+
+
 def document_tools(parts: dict[str, DataFrame], store: DataFrame, provider: str = "hash") -> P.Tools:
     """The registry of all six tools over what `api.extract` and `api.load` gave; an unknown name raises ValueError."""
     blocks, headings, text = parts["blocks"], parts["headings"], parts["text"]

@@ -16,7 +16,10 @@ Parser = Callable[[bytes], list[dict]]
 
 
 class Document(Protocol):
-    """An opened file: its metadata, its number of pages, and the spans of one page, numbered from 0."""
+    """An opened file: its metadata, its number of pages, and the spans of one page, numbered from 0.
+
+    ``links(page)``, if it has one, gives the page's links as dicts of uri and box (x0, y0, x1, y1).
+    """
 
     page_count: int
     metadata: dict
@@ -70,7 +73,11 @@ def parse(files: DataFrame, parser: Parser) -> DataFrame:
 
 
 SPAN = "struct<page:int,block_no:int,line_no:int,span_no:int,text:string,size:double,font:string>"
-READ = f"path string, share int, shares int, pages int, metadata map<string,string>, spans array<{SPAN}>, failures array<struct<page:int,error:string>>"
+LINK = "struct<page:int,uri:string,x0:double,y0:double,x1:double,y1:double>"
+READ = (
+    f"path string, share int, shares int, pages int, metadata map<string,string>, spans array<{SPAN}>, links array<{LINK}>, "
+    "failures array<struct<page:int,error:string>>"
+)
 
 
 def read_documents(files: DataFrame, opener: Opener, share_bytes: int = 4 << 20, max_pages: int = 500) -> DataFrame:
@@ -89,16 +96,19 @@ def read_documents(files: DataFrame, opener: Opener, share_bytes: int = 4 << 20,
             opened = opener(bytes(content or b""), password)
             pages, about = opened.page_count, {str(a): "" if b is None else str(b) for a, b in opened.metadata.items()}
         except Exception as e:  # noqa: BLE001  a broken file is data
-            return path, k, n, None, None, [], [(None, f"{type(e).__name__}: {e}")] if k == 0 else []
+            return path, k, n, None, None, [], [], [(None, f"{type(e).__name__}: {e}")] if k == 0 else []
         if not 0 < pages <= max_pages:
-            return path, k, n, pages, about, [], [(None, "too many pages" if pages else "empty")] if k == 0 else []
-        spans, failed = [], []
+            return path, k, n, pages, about, [], [], [(None, "too many pages" if pages else "empty")] if k == 0 else []
+        spans, links, failed = [], [], []
         for page in range(pages * k // n, pages * (k + 1) // n):
             try:
-                spans += [tuple({"page": page, **s}.get(c) for c in names) for s in opened.spans(page)]
+                found = [tuple({"page": page, **s}.get(c) for c in names) for s in opened.spans(page)]
+                linked = opened.links(page) if hasattr(opened, "links") else []
+                links += [(page, x.get("uri") or "", *map(float, x.get("box") or (0, 0, 0, 0))) for x in linked]
+                spans += found
             except Exception as e:  # noqa: BLE001
                 failed.append((page, f"{type(e).__name__}: {e}"))
-        return path, k, n, pages, about, spans, failed
+        return path, k, n, pages, about, spans, links, failed
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in READ.split(", ")]
@@ -124,6 +134,11 @@ def spans_of(read: DataFrame) -> DataFrame:
     return read.select("path", F.inline("spans"))
 
 
+def links_of(read: DataFrame) -> DataFrame:
+    """(path, page, uri, x0, y0, x1, y1) of every link; one without an address has an empty uri, one without a box four zeros."""
+    return read.select("path", F.inline("links"))
+
+
 def failures_of(read: DataFrame) -> DataFrame:
     """(path, page, error): a null page stands for the whole file."""
     return read.select("path", F.inline("failures"))
