@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +81,18 @@ READ = (
 )
 
 
+def read_batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of READ as one batch."""
+    struct = lambda **k: pa.list_(pa.struct(list(k.items())))
+    i, s, f = pa.int32(), pa.string(), pa.float64()
+    spans = struct(page=i, block_no=i, line_no=i, span_no=i, text=s, size=f, font=s)
+    kinds = (s, i, i, i, pa.map_(s, s), spans, struct(page=i, uri=s, x0=f, y0=f, x1=f, y1=f), struct(page=i, error=s))
+    columns = [list(c) for c in zip(*rows, strict=True)]
+    columns[4] = [None if m is None else list(m.items()) for m in columns[4]]
+    names = [c.split()[0] for c in READ.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
 def read_documents(files: DataFrame, opener: Opener, share_bytes: int = 4 << 20, max_pages: int = 500) -> DataFrame:
     """The columns of READ: one row for each share of the pages of ``files`` (path, length, content and, if need be, password).
 
@@ -90,6 +103,7 @@ def read_documents(files: DataFrame, opener: Opener, share_bytes: int = 4 << 20,
     lengths count as empty files.
     """
     names = [c.split(":")[0] for c in SPAN.removeprefix("struct<").removesuffix(">").split(",")]
+    asked = ["path", "content", "password", "share", "shares"]
 
     def share(path: str, content: bytes | None, password: str | None, k: int, n: int) -> tuple:
         try:
@@ -110,18 +124,23 @@ def read_documents(files: DataFrame, opener: Opener, share_bytes: int = 4 << 20,
                 failed.append((page, f"{type(e).__name__}: {e}"))
         return path, k, n, pages, about, spans, links, failed
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in READ.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.itertuples(index=False):
-                yield pd.DataFrame([share(r.path, r.content, r.password, r.share, r.shares)], columns=columns)
+            held, size = [], 0
+            for path, content, password, k, n in zip(*(b[c] for c in asked), strict=True):
+                held.append(share(path.as_py(), content.as_py(), password.as_py(), k.as_py(), n.as_py()))
+                size += min(len(content.as_py() or b""), share_bytes)
+                if size >= 4 << 20 or len(held) == 1000:
+                    yield read_batch(held)
+                    held, size = [], 0
+            if held:
+                yield read_batch(held)
 
     rows = files if "password" in files.columns else files.withColumn("password", F.lit(None).cast("string"))
     rows = rows.withColumn("shares", F.greatest(F.lit(1), F.ceil(F.coalesce("length", F.lit(0)) / share_bytes)).cast("int"))
     whole = rows.where("shares = 1").withColumn("share", F.lit(0))
     parts = rows.where("shares > 1").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).repartition("path", "share")
-    asked = ["path", "content", "password", "share", "shares"]
-    return whole.select(*asked).mapInPandas(run, READ).unionByName(parts.select(*asked).mapInPandas(run, READ))
+    return whole.select(*asked).mapInArrow(run, READ).unionByName(parts.select(*asked).mapInArrow(run, READ))
 
 
 def documents_of(read: DataFrame) -> DataFrame:
