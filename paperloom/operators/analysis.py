@@ -42,15 +42,19 @@ def two_columns(blocks: DataFrame, least: float = 15.0) -> DataFrame:
 
 
 def break_positions(tree: Column, length: Column) -> Column:
-    """Character positions of sentence marks outside nested brackets of a printed parse tree; the length if there are none."""
+    """Character positions of sentence marks outside nested brackets of a printed parse tree; the length if there are none.
+
+    The fold takes a step for each mark or bracket, with the plain characters before it, not for each character.
+    """
     state = F.struct(F.lit(0).alias("d"), F.lit(0).alias("run"), F.array().cast("array<int>").alias("out"))
 
-    def step(a: Column, c: Column) -> Column:
-        d = a["d"] + F.when(c == "(", 1).when(c == ")", -1).otherwise(0)
-        ok = (d <= 1) & c.isin(".", "!", "?") & (a["run"] > 5) & (a["run"] < length - 5)
-        return F.struct(d.alias("d"), F.when(c == ")", 0).otherwise(a["run"] + 1).alias("run"), F.when(ok, F.array_append(a["out"], a["run"])).otherwise(a["out"]).alias("out"))
+    def step(a: Column, x: Column) -> Column:
+        c = F.right(x, F.lit(1))
+        d, at = a["d"] + F.when(c == "(", 1).when(c == ")", -1).otherwise(0), a["run"] + F.length(x) - 1
+        ok = (d <= 1) & c.isin(".", "!", "?") & (at > 5) & (at < length - 5)
+        return F.struct(d.alias("d"), F.when(c == ")", 0).otherwise(at + 1).alias("run"), F.when(ok, F.array_append(a["out"], at)).otherwise(a["out"]).alias("out"))
 
-    found = F.array_sort(F.array_distinct(F.aggregate(F.split(tree, ""), state, step, lambda a: a["out"])))
+    found = F.array_sort(F.array_distinct(F.aggregate(F.split(tree, "(?<=[().!?])"), state, step, lambda a: a["out"])))
     return F.when(F.size(found) > 0, found).otherwise(F.array(length))
 
 

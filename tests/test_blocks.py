@@ -34,3 +34,42 @@ def test_edges_of_pages(spark):
     found = lambda **k: {tuple(r) for r in B.frequent_edges(df, 0.5, **k).collect()}
     assert found(trim=True, least_per_page=2) == {(1, "header", "Same header", 4), (1, "footer", "Same footer", 4)}
     assert found(trim=False) == {(1, "header", "Same header ", 4), (1, "footer", "Same footer", 4)}
+
+
+def test_break_positions_step_from_mark_to_mark(spark):
+    from paperloom.operators import analysis as X
+
+    def slow(tree, n):
+        d, run, out = 0, 0, set()
+        for c in tree:
+            d += {"(": 1, ")": -1}.get(c, 0)
+            if d <= 1 and c in ".!?" and 5 < run < n - 5:
+                out.add(run)
+            run = 0 if c == ")" else run + 1
+        return sorted(out) or [n]
+
+    trees = ["", "plain", "(S one two. three! four (C five. six.) seven? eight nine)", "a.\nb.c...d.e.f.g.h.i.j.k", "((((x. y. z. w.))))x. abcdefgh. ijklmnop", ")" * 9 + "éééééé. êêêêêêêê. x", "no mark " * 20_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(trees)], "i long, t string")
+    got = {r.i: r.b for r in df.select("i", X.break_positions(F.col("t"), F.length("t")).alias("b")).collect()}
+    assert got == {i: slow(t, len(t)) for i, t in enumerate(trees)}
+    plan = optimized(df.select(X.break_positions(F.col("t"), F.length("t"))))
+    assert "split(t#" in plan and ", , -1)" not in plan  # no step for each character
+
+
+def test_window_costs_of_documents(spark):
+    from paperloom.operators import chunks as C
+    import numpy as np
+
+    rows = [(d, i, float((i * 7 + (d or 3)) % 5 + 1), float(i % 3)) for d in (1, 2, None, 2**60 + 1, 2**60 + 2) for i in range(d % 5 + 4 if d else 9)]
+    df = spark.createDataFrame(rows, "doc_id long, i int, a double, b double").repartition(4)
+    got = {r.doc_id: r.cost for r in C.wasserstein_costs(df, "i", ["a", "b"]).collect()}
+    x = {d: np.array([r[2:] for r in rows if r[0] == d]) for d in {r[0] for r in rows}}
+    assert got == {d: C.wasserstein_cost(v, len(v)) for d, v in x.items()}
+    assert C.wasserstein_costs(df.limit(0), "i", ["a", "b"]).count() == 0
+
+
+def test_a_batch_holds_many_read_files(spark):
+    from paperloom.sources import extract as E
+
+    rows = E.read_batch([("a", 0, 1, None, None, [], [], [(None, "bad")]), ("b", 0, 1, 2, {"k": "v"}, [(0, 1, 0, 0, "t", 11, None)], [(0, "u", 0.0, 0.0, 1.0, 1.0)], [])])
+    assert rows.num_rows == 2 and rows["spans"].to_pylist()[1][0]["size"] == 11.0 and rows["metadata"].to_pylist() == [None, [("k", "v")]]
