@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,25 +13,88 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
 
 
-def _cosine() -> Column:
-    """Of qvec and vec with their norms qn and vn at hand: the product over the shorter length; 0 if a norm is 0."""
-    dot = F.aggregate(F.zip_with("qvec", "vec", lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
-    both = F.col("qn") * F.col("vn")
-    return F.when(both == 0, F.lit(0.0)).otherwise(dot / F.nullif(both, F.lit(0.0)))
+def _blocks(rows: DataFrame, space: str, block: int = 512) -> DataFrame:
+    """``rows`` as blocks of at most ``block`` rows of one namespace, each other column an array; made in the tasks, without a shuffle."""
+    import numpy as np
+    import pyarrow as pa
+
+    names = [c for c in rows.columns if c != space]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            codes = b[space].dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(codes, kind="stable")
+            starts = np.append(0, np.flatnonzero(np.diff(codes[order])) + 1)
+            ends = np.append(starts[1:], len(order))
+            cuts = np.concatenate([np.arange(lo, hi, block) for lo, hi in zip(starts, ends, strict=True)])
+            offsets = pa.array(np.append(cuts, len(order)), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, b[c].take(pa.array(order))) for c in names]
+            yield pa.RecordBatch.from_arrays([b[space].take(pa.array(order[cuts])), *lists], names=[space, *names])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.select(space, *names).mapInArrow(run, ", ".join([f"{space} {kinds[space]}", *(f"{c} array<{kinds[c]}>" for c in names)]))
+
+
+def _scored(met: DataFrame, threshold: float, k: int | None) -> DataFrame:
+    """(query_no, id, rowid, score): the hits of blocks of entries (id, rowid, vec) beside blocks of queries (query_no, qvec), one product a pair of blocks.
+
+    A score is the product over the shorter length by both norms, 0 if a norm is 0; NaN counts as the largest, and null
+    vectors and those with a null component score nothing. A pair of blocks gives a query's ``k`` best and ties with the last.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    names = ["query_no", "id", "rowid"]
+    kinds = [f"{c} {met.schema[c].dataType.elementType.simpleString()}" for c in names]
+
+    def by_length(vecs: pa.Array) -> list[tuple]:
+        """(places, their vectors as a matrix) of each length."""
+        sizes, found = pc.fill_null(pc.list_value_length(vecs), -1).to_numpy(zero_copy_only=False), []
+        for n in np.unique(sizes[sizes >= 0]):
+            at = np.flatnonzero(sizes == n)
+            flat = vecs.take(pa.array(at)).flatten()
+            whole = ~flat.is_null().to_numpy(zero_copy_only=False).reshape(len(at), n).any(axis=1)
+            x = flat.fill_null(0).to_numpy(zero_copy_only=False).astype(float).reshape(len(at), n)
+            found.append((at[whole], x[whole], np.sqrt((x[whole] * x[whole]).sum(axis=1))))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                part = {c: b[c][r].values for c in b.schema.names}
+                entries = by_length(part["vec"])
+                for qi, q, qn in by_length(part["qvec"]):
+                    for vi, v, vn in entries:
+                        least = min(q.shape[1], v.shape[1])
+                        with np.errstate(all="ignore"):
+                            both = np.outer(qn, vn)
+                            score = np.where(both == 0, 0.0, q[:, :least] @ v[:, :least].T / both)
+                        hit = ~(score < threshold)
+                        if k is not None and score.shape[1] > k:
+                            ranked = np.where(np.isnan(score), np.inf, score)
+                            hit &= ranked >= np.partition(ranked, -k, axis=1)[:, -k, None]
+                        x, y = np.nonzero(hit)
+                        columns = [part["query_no"].take(pa.array(qi[x])), part["id"].take(pa.array(vi[y])), part["rowid"].take(pa.array(vi[y])), pa.array(score[x, y])]
+                        yield pa.RecordBatch.from_arrays(columns, names=[*names, "score"])
+
+    return met.select(*names, "vec", "qvec").mapInArrow(run, ", ".join(kinds) + ", score double")
 
 
 def _met(store: DataFrame, q: DataFrame, n: int, most: int, named: bool) -> DataFrame:
-    """``store`` with the queries that may ask each of its rows: those of its namespace, or all of them.
+    """Blocks of ``store`` with the blocks of queries that may ask them: those of their namespace, or all of them.
 
-    Up to ``most`` queries are broadcast. More meet the store in a shuffled join on tiles of it, so that neither a frequent
-    namespace nor the whole store is one key; the plan does not grow with their number.
+    Up to ``most`` queries are broadcast. More meet the store in a shuffled join on tiles of its blocks, so that neither a
+    frequent namespace nor the whole store is one key; the plan does not grow with their number.
     """
     same = F.col("qns") == F.col("namespace")
     if n <= most:
-        return store.join(F.broadcast(q), same if named else None, "inner" if named else "cross")
+        return store.join(F.broadcast(_blocks(q.coalesce(1), "qns")), same if named else None, "inner" if named else "cross")
     tiles = 4 * int(store.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = store.withColumn("tile", F.pmod(F.xxhash64("rowid", "id"), F.lit(tiles)).cast("int"))
-    asked = q.withColumn("qtile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    asked = _blocks(q, "qns").withColumn("qtile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
     tile = F.col("tile") == F.col("qtile")
     return dealt.join(asked, tile & same if named else tile).drop("tile", "qtile")
 
@@ -38,19 +102,19 @@ def _met(store: DataFrame, q: DataFrame, n: int, most: int, named: bool) -> Data
 def search(store: DataFrame, queries: DataFrame, k: int | None = 5, threshold: float = 0.0, max_queries: int = 10_000) -> DataFrame:
     """(query_no, rank, id, score): per query the ``k`` entries of its namespace with the largest cosine, not below ``threshold``.
 
-    ``queries`` has (query_no, namespace or null for all, qvec); see `_met` for how they meet the store. With ``k`` None all
-    hits are returned, without rank and without a shuffle. Else a task keeps its ``k`` best of a query before the shuffle
-    (``k`` up to spark.sql.optimizer.windowGroupLimitThreshold). Scores are rounded to 4 places; ties go by rowid.
+    ``queries`` has (query_no, namespace or null for all, qvec); see `_met` for how they meet the store and `_scored` for the
+    scores. With ``k`` None all hits are returned, without rank and without a shuffle. Else a task keeps its ``k`` best of a
+    query before the shuffle (``k`` up to spark.sql.optimizer.windowGroupLimitThreshold). Scores are rounded to 4 places; ties go by rowid.
     """
-    q = queries.withColumnRenamed("namespace", "qns").withColumn("qn", norm(F.col("qvec")))
-    store = store.withColumn("vn", norm(F.col("vec")))
+    q = queries.select("query_no", F.col("namespace").alias("qns"), F.col("qvec").cast("array<double>").alias("qvec"))
+    entries = _blocks(store.select("namespace", "id", "rowid", F.col("vec").cast("array<double>").alias("vec")), "namespace")
     total, named = q.agg(F.count("*"), F.count("qns")).first()
     parts = []
     if named or not total:
-        parts.append(_met(store, q.where("qns is not null"), named, max_queries, True))
+        parts.append(_scored(_met(entries, q.where("qns is not null"), named, max_queries, True), threshold, k))
     if total > named:
-        parts.append(_met(store, q.where("qns is null"), total - named, max_queries, False))
-    hits = reduce(DataFrame.unionByName, parts).withColumn("score", _cosine()).where(F.col("score") >= threshold)
+        parts.append(_scored(_met(entries, q.where("qns is null"), total - named, max_queries, False), threshold, k))
+    hits = reduce(DataFrame.unionByName, parts)
     if k is None:
         return hits.select("query_no", "id", F.round("score", 4).alias("score"))
     best = Window.partitionBy("query_no").orderBy(F.desc("score"), "rowid")

@@ -81,3 +81,26 @@ def test_chat_context_against_brute_force(spark):
                     found.setdefault(e.id, e)
         passages = [f"[Trecho () [p.{e.page}" + (f", §{e.heading}" if e.heading else "") + f"]]\n{e.text}\n" for e in list(found.values())[:3]]
         assert got[base] == "\n".join(passages)
+
+
+def test_blocks_score_odd_vectors_as_pairs_do(spark):
+    import math
+
+    nan, inf = math.nan, math.inf
+    odd = [[1.0, 2.0], [0.0, 0.0], [], None, [1.0, None], [nan, 1.0], [3.0], [1.0, 1.0, 1.0], [-1.0, -2.0], [inf, 1.0]]
+    store = spark.createDataFrame([(i, i, ["a", None, "b"][i % 3], v) for i, v in enumerate(odd * 60)], "rowid long, id long, namespace string, vec array<double>").coalesce(1)
+    asked = [(i, None, v) for i, v in enumerate(odd[:9])]
+    queries = spark.createDataFrame(asked, "query_no long, namespace string, qvec array<double>")
+
+    def score(x, y):
+        if x is None or y is None or None in x or None in y:
+            return None
+        both = math.sqrt(sum(a * a for a in x)) * math.sqrt(sum(a * a for a in y))
+        return 0.0 if both == 0 else sum(a * b for a, b in zip(x, y, strict=False)) / both
+
+    want = [(n, i, s) for n, _, x in asked for i, y in enumerate(odd * 60) if (s := score(x, y)) is not None and not s < 0.2]
+    plain = lambda rows: sorted((n, i, "nan" if math.isnan(s) else f"{s:.3f}") for n, i, s in rows)
+    for most in (10_000, 0):
+        hits = V.search(store, queries, None, 0.2, max_queries=most)
+        assert plain(map(tuple, hits.collect())) == plain(want)
+    assert "zip_with" not in plan_of(hits) and "MapInArrow" in plan_of(hits)
