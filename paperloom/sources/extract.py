@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 Parser = Callable[[bytes], list[dict]]
 
 
@@ -209,13 +211,16 @@ def failures(files: DataFrame, parser: Parser) -> DataFrame:
 
 
 def span_blocks(spans: DataFrame, key: str = "path") -> DataFrame:
-    """Spans as blocks (key, page, block_no, text, n_chars, font_size, font): lines joined by newlines, blank blocks dropped; the first span's font."""
-    line = spans.groupBy(key, "page", "block_no", "line_no").agg(F.array_sort(F.collect_list(F.struct("span_no", "text", "size", "font"))).alias("s"))
-    line = line.withColumn("line", F.array_join(F.transform("s", lambda x: x["text"]), "")).withColumn("first", F.element_at("s", 1))
-    block = line.groupBy(key, "page", "block_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "line", "first"))).alias("l"))
-    text = F.regexp_replace(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), r"^\s+|\s+$", "")
-    first = F.element_at("l", 1)["first"]
-    out = block.select(key, "page", "block_no", text.alias("text"), F.bround(first["size"], 1).alias("font_size"), first["font"].alias("font"))
+    """Spans as blocks (key, page, block_no, text, n_chars, font_size, font): lines joined by newlines, blank blocks dropped; the first span's font.
+
+    One aggregate by block, so that spans are shuffled once, and their sizes and fonts only where they are the first's.
+    """
+    order = ("line_no", "span_no", "text")
+    first = F.min_by(F.struct("size", "font"), F.struct(*order, "size", "font"))
+    block = spans.groupBy(key, "page", "block_no").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("s"), first.alias("first"))
+    new = lambda x, i: (i > 0) & ~x["line_no"].eqNullSafe(F.get("s", i - 1)["line_no"])
+    said = F.transform("s", lambda x, i: F.concat(F.when(new(x, i), "\n").otherwise(""), F.coalesce(x["text"], F.lit(""))))
+    out = block.select(key, "page", "block_no", T.strip(F.array_join(said, "")).alias("text"), F.bround(F.col("first.size"), 1).alias("font_size"), F.col("first.font").alias("font"))
     return out.where("text <> ''").withColumn("n_chars", F.length("text"))
 
 

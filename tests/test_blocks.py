@@ -73,3 +73,18 @@ def test_a_batch_holds_many_read_files(spark):
 
     rows = E.read_batch([("a", 0, 1, None, None, [], [], [(None, "bad")]), ("b", 0, 1, 2, {"k": "v"}, [(0, 1, 0, 0, "t", 11, None)], [(0, "u", 0.0, 0.0, 1.0, 1.0)], [])])
     assert rows.num_rows == 2 and rows["spans"].to_pylist()[1][0]["size"] == 11.0 and rows["metadata"].to_pylist() == [None, [("k", "v")]]
+
+
+def test_spans_are_shuffled_once(spark):
+    from paperloom.sources import extract as E
+
+    rows = [("a", 0, 0, 1, 1, "two", 9.0, "B"), ("a", 0, 0, 1, 0, "one ", 8.04, "A"), ("a", 0, 0, 2, 0, None, 7.0, "C"), ("a", 0, 0, 3, 0, "end", 6.0, "D"), ("a", 0, 0, None, 5, "top", 5.0, "N"), ("a", 0, 1, 0, 0, " ", 5.0, "N")]
+    df = spark.createDataFrame(rows, "path string, page int, block_no int, line_no int, span_no int, text string, size double, font string")
+    out = E.span_blocks(df)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert [tuple(r) for r in out.collect()] == [("a", 0, 0, "top\none two\n\nend", 5.0, "N", 16)]
+
+
+def test_depth_reads_the_blocks_once(spark):
+    plan = optimized(catalogue.QUERIES["depth_contains_join"](spark, SF))
+    assert plan.count("RepartitionByExpression") == 1
