@@ -203,8 +203,11 @@ def analysis_sections(blocks: DataFrame, budget: int = 8000, cap: int = 20) -> D
 
 
 def structure(blocks: DataFrame) -> DataFrame:
-    """(doc_id, n_headings, n_sections, n_fonts, layout): outline sizes and the count of each layout type as a map."""
-    counts = blocks.groupBy("doc_id", "layout_type").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("layout_type", "n")))).alias("layout"))
-    sums = blocks.groupBy("doc_id").agg(F.sum(F.col("is_heading").cast("long")).alias("n_headings"), F.countDistinct("font_size").alias("n_fonts"))
-    sections = B.sections(blocks).where("section > 0").groupBy("doc_id").agg(F.count("*").alias("n_sections"))
-    return sums.join(sections, "doc_id", "left").join(counts, "doc_id").select("doc_id", "n_headings", F.coalesce("n_sections", F.lit(0)).alias("n_sections"), "n_fonts", "layout")
+    """(doc_id, n_headings, n_sections, n_fonts, layout): outline sizes and the count of each layout type as a map; one pass, as each heading opens a section."""
+    size = F.col("font_size") + F.lit(0).cast(blocks.schema["font_size"].dataType)  # -0.0 is 0.0
+    kinds = blocks.groupBy("doc_id", "layout_type").agg(F.count("*").alias("n"), F.sum(F.col("is_heading").cast("long")).alias("heads"), F.collect_set(size).alias("sizes"))
+    out = kinds.where("doc_id is not null").groupBy("doc_id").agg(
+        F.sum("heads").alias("n_headings"), F.size(F.array_distinct(F.flatten(F.collect_list("sizes")))).cast("long").alias("n_fonts"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("layout_type", "n")))).alias("layout"),
+    )
+    return out.select("doc_id", "n_headings", F.coalesce("n_headings", F.lit(0)).cast("long").alias("n_sections"), "n_fonts", "layout")

@@ -1,8 +1,10 @@
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
+from paperloom.operators import analysis as X
 from paperloom.operators import blocks as B
 from paperloom.plans import catalogue
+from paperloom.sources import adapters as A
 
 SF = "/root/testdata/sf0.001"
 
@@ -88,3 +90,26 @@ def test_spans_are_shuffled_once(spark):
 def test_depth_reads_the_blocks_once(spark):
     plan = optimized(catalogue.QUERIES["depth_contains_join"](spark, SF))
     assert plan.count("RepartitionByExpression") == 1
+
+
+def planned(spark, df):
+    """How often the plan of ``df`` hashes whole blocks by document, and by anything with a text, where nothing is small enough to broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    return sum("REPARTITION_BY_COL" in x for x in exchanges), sum("_t#" in x or "strip" in x or "k#" in x for x in exchanges)
+
+
+def small_blocks(spark):
+    return A.blocks(spark.createDataFrame([(1, "a b\nc d", "s"), (2, "e", "s")], "doc_id long, text string, source string"))
+
+
+def test_structure_classifies_and_hashes_blocks_once(spark):
+    made = X.structure(B.classify(small_blocks(spark)))
+    assert planned(spark, made) == (1, 0)
+    rows = [(1, "heading", True, 1.0), (1, "paragraph", False, -0.0), (1, "paragraph", None, 0.0), (2, "paragraph", None, None)]
+    got = X.structure(spark.createDataFrame(rows, "doc_id long, layout_type string, is_heading boolean, font_size double")).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [(1, 1, 1, 2, {"heading": 1, "paragraph": 2}), (2, None, 0, 0, {"paragraph": 1})]
