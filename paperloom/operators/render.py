@@ -33,8 +33,31 @@ def table_to_html(md: Column) -> Column:
 def with_tables(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     """``blocks`` with ``table_md``: the k-th table text (doc_id, k, md) of the document at its k-th table block."""
     k = F.sum((F.col("type") == "table").cast("int")).over(B._so_far()) - 1
-    rows = blocks.withColumn("k", F.when(F.col("type") == "table", k))
-    return rows.join(tables.select("doc_id", "k", F.col("md").alias("table_md")), ["doc_id", "k"], "left").drop("k")
+    rows = blocks.withColumn("_k", F.when(F.col("type") == "table", k).cast("int"))
+    held = tables.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "md"))).alias("_tables"))
+    # Texts numbered without gaps lie at their place; else they are looked for.
+    own, found = F.get("_tables", F.col("_k")), F.get(F.filter("_tables", lambda t: t["k"] == F.col("_k")), F.lit(0))
+    md = F.when(F.col("_k").isNotNull(), F.when(own["k"] == F.col("_k"), own["md"]).otherwise(found["md"]))
+    return rows.join(held, "doc_id", "left").withColumn("table_md", md).drop("_k", "_tables")
+
+
+def parts_of(order: str, text: str) -> Column:
+    """An aggregate: the group's texts that are not null, with their places, for `in_order`."""
+    return F.collect_list(F.when(F.col(text).isNotNull(), F.struct(F.col(order).alias("at"), F.col(text).alias("said"))))
+
+
+def in_order(parts: str | Column, sep: str) -> Column:
+    return F.array_join(F.transform(F.array_sort(parts), lambda x: x["said"]), sep)
+
+
+def said_note() -> Column:
+    """Whether a row is a text block and a footnote; see `blocks.footnotes`."""
+    return F.coalesce((F.col("type") == "text") & B.is_footnote(), F.lit(False))
+
+
+def said_reference() -> Column:
+    """Whether a row is a text block and a reference, all blocks of its document being there; see `blocks.references_after_heading`."""
+    return F.coalesce((F.col("type") == "text") & B.is_reference(F.col("type") == "text"), F.lit(False))
 
 
 def markdown(blocks: DataFrame) -> DataFrame:
@@ -46,7 +69,7 @@ def markdown(blocks: DataFrame) -> DataFrame:
     skip = ~F.col("is_heading") & ~F.col("is_list_item") & F.col("layout_type").isin("header", "footer")
     quote = (kind == "text") & ~F.col("is_heading") & ~F.col("is_list_item") & text.startswith(">")
     ends = F.col("is_heading") | kind.isin("table", "image")
-    rows = blocks.where(~F.coalesce(skip, F.lit(False))).withColumn("state", F.when(quote, True).when(ends, False))
+    rows = blocks.withColumn("shown", ~F.coalesce(skip, F.lit(False))).withColumn("state", F.when(F.col("shown"), F.when(quote, True).when(ends, False)))
     before = Window.partitionBy("doc_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("open", F.coalesce(F.last("state", ignorenulls=True).over(before), F.lit(False)))
     wrap = lambda c: F.concat(F.lit("\n"), c, F.lit("\n"))
@@ -57,12 +80,12 @@ def markdown(blocks: DataFrame) -> DataFrame:
         .when(quote | text.startswith("```"), wrap(text)).otherwise(text)
     )
     part = F.when(F.col("open") & ends, F.concat(F.lit("\n\n"), body)).otherwise(body)
-    out = rows.withColumn("part", part).where("part is not null").groupBy("doc_id").agg(T.strip(ordered_text("block_no", "part", "\n\n")).alias("m"))
-    notes = B.footnotes(blocks.where(kind == "text")).withColumn("n", F.concat(F.lit("- "), T.strip(text))).groupBy("doc_id").agg(ordered_text("block_no", "n", "\n").alias("notes"))
-    refs = B.references_after_heading(blocks.where(kind == "text")).withColumn("n", F.concat(F.lit("- "), T.strip(text))).groupBy("doc_id").agg(ordered_text("block_no", "n", "\n").alias("refs"))
-    out = out.join(notes, "doc_id", "left").join(refs, "doc_id", "left")
-    tail = lambda c, title: F.coalesce(F.concat(F.lit(f"\n\n---\n**{title}:**\n"), F.col(c)), F.lit(""))
-    return out.select("doc_id", F.concat("m", tail("notes", "Notas de rodapé"), tail("refs", "Referências")).alias("markdown"))
+    rows = rows.withColumn("part", F.when(F.col("shown"), part))
+    line = F.concat(F.lit("- "), T.strip(text))
+    rows = rows.withColumn("note", F.when(said_note(), line)).withColumn("ref", F.when(said_reference(), line))
+    out = rows.groupBy("doc_id").agg(*(parts_of("block_no", c).alias(c) for c in ("part", "note", "ref"))).where(F.size("part") > 0)
+    tail = lambda c, title: F.when(F.size(c) > 0, F.concat(F.lit(f"\n\n---\n**{title}:**\n"), in_order(c, "\n"))).otherwise("")
+    return out.select("doc_id", F.concat(T.strip(in_order("part", "\n\n")), tail("note", "Notas de rodapé"), tail("ref", "Referências")).alias("markdown"))
 
 
 def html(blocks: DataFrame) -> DataFrame:
@@ -73,7 +96,8 @@ def html(blocks: DataFrame) -> DataFrame:
     for name, kind in (("table_md", "string"), ("width", "int"), ("height", "int")):
         blocks = blocks if name in blocks.columns else blocks.withColumn(name, F.lit(None).cast(kind))
     skip = ~F.col("is_heading") & ~F.col("is_list_item") & F.col("layout_type").isin("header", "footer")
-    rows = B.list_runs(blocks.where(~F.coalesce(skip, F.lit(False))).withColumn("is_list_item", F.col("is_list_item") & ~F.col("is_heading")))
+    rows = blocks.withColumn("shown", ~F.coalesce(skip, F.lit(False))).withColumn("is_list_item", F.coalesce(F.col("is_list_item") & ~F.col("is_heading"), F.lit(False)))
+    rows = B.list_runs(rows, F.col("shown"))
     page, text = F.concat(F.lit(' data-page="'), F.col("page").cast("string"), F.lit('"')), T.escape_html(F.col("text"))
     h = F.coalesce("heading_level", F.lit(1)).cast("string")
     item = F.concat(F.lit("<li>"), text, F.lit("</li>"))
@@ -87,18 +111,22 @@ def html(blocks: DataFrame) -> DataFrame:
         .when(F.col("text").startswith("```"), F.concat(F.lit("<pre><code"), page, F.lit(">"), T.escape_html(F.regexp_replace("text", "^`+|`+$", "")), F.lit("</code></pre>")))
         .otherwise(F.concat(F.lit("<p"), page, F.lit(">"), text, F.lit("</p>")))
     )
-    rows = rows.withColumn("part", one).where("part is not null").withColumn("g", F.coalesce(F.col("run"), -F.col("block_no") - 1))
-    runs = rows.groupBy("doc_id", "g").agg(F.min("block_no").alias("at"), ordered_text("block_no", "part", "\n").alias("part"), F.min_by("list_type", "block_no").alias("kind"), F.max("run").alias("run"))
+    rows = rows.withColumn("part", F.when(F.col("shown"), one)).withColumn("g", F.coalesce(F.col("run"), -F.col("block_no") - 1))
+    line = F.concat(F.lit("<p>"), T.escape_html(T.strip(F.col("text"))), F.lit("</p>"))
+    rows = rows.withColumn("note", F.when(said_note(), line)).withColumn("ref", F.when(said_reference(), line)).withColumn("at", F.when(F.col("part").isNotNull(), F.col("block_no")))
+    joined = in_order(parts_of("block_no", "part"), "\n")
+    runs = rows.groupBy("doc_id", "g").agg(
+        F.min("at").alias("at"), joined.alias("part"), F.min_by("list_type", "at").alias("kind"), F.max("run").alias("run"), *(parts_of("block_no", c).alias(c) for c in ("note", "ref"))
+    )
     style = F.when(F.col("kind") == "bullet", "ul").otherwise("ol")
     runs = runs.withColumn("part", F.when(F.col("run").isNotNull(), F.concat(F.lit("<"), style, F.lit(">\n"), "part", F.lit("\n</"), style, F.lit(">"))).otherwise(F.col("part")))
-    out = runs.groupBy("doc_id").agg(ordered_text("at", "part", "\n").alias("body"))
-    said = blocks.where(F.col("type") == "text")
-    for name, title, found in (("footnotes", "Notas de rodapé", B.footnotes(said)), ("references", "Referências", B.references_after_heading(said))):
-        line = F.concat(F.lit("<p>"), T.escape_html(T.strip(F.col("text"))), F.lit("</p>"))
-        lines = found.withColumn("p", line).groupBy("doc_id").agg(ordered_text("block_no", "p", "\n").alias("lines"))
-        section = F.concat(F.lit(f'\n<hr/><section class="{name}">\n<h2>{title}</h2>\n'), "lines", F.lit("\n</section>"))
-        out = out.join(lines, "doc_id", "left").select("doc_id", F.concat("body", F.coalesce(section, F.lit(""))).alias("body"))
-    return out.select("doc_id", F.concat(F.lit('<article class="document">\n'), "body", F.lit("\n</article>")).alias("html"))
+    runs = runs.withColumn("part", F.when(F.col("at").isNotNull(), F.col("part")))
+    out = runs.groupBy("doc_id").agg(parts_of("at", "part").alias("part"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("note", "ref"))).where(F.size("part") > 0)
+    section = lambda c, name, title: F.when(
+        F.size(c) > 0, F.concat(F.lit(f'\n<hr/><section class="{name}">\n<h2>{title}</h2>\n'), in_order(c, "\n"), F.lit("\n</section>"))
+    ).otherwise("")
+    body = F.concat(in_order("part", "\n"), section("note", "footnotes", "Notas de rodapé"), section("ref", "references", "Referências"))
+    return out.select("doc_id", F.concat(F.lit('<article class="document">\n'), body, F.lit("\n</article>")).alias("html"))
 
 
 def outline(headings: DataFrame, cap: int = 30) -> DataFrame:
