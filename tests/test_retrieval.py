@@ -1,5 +1,6 @@
 import re
 
+from paperloom.functions import providers as P
 from paperloom.operators import retrieval as V
 
 
@@ -104,3 +105,26 @@ def test_blocks_score_odd_vectors_as_pairs_do(spark):
         hits = V.search(store, queries, None, 0.2, max_queries=most)
         assert plain(map(tuple, hits.collect())) == plain(want)
     assert "zip_with" not in plan_of(hits) and "MapInArrow" in plan_of(hits)
+
+
+def test_hashed_words_are_those_of_plain_md5():
+    import hashlib
+
+    import numpy as np
+
+    text, want = "The cat, the CAT and été 9", np.zeros(64)
+    for w in ("the", "cat", "the", "cat", "and", "été", "9"):
+        h = int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big")
+        want[h % 64] += 1 if h >> 63 else -1
+    assert P.HashProvider(64).embed(text) == (want / np.linalg.norm(want)).tolist()
+    assert P.HashProvider(64).embed("") == [0.0] * 64
+
+
+def test_entries_are_embedded_once(spark):
+    """The search and the texts of its hits, and several tools, read what is kept."""
+    from paperloom.plans import catalogue
+
+    for name, least in (("retrieval_pipeline", 2), ("document_tool_results", 6)):
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().withCachedData().toString()
+        assert plan.count("InMemoryRelation") >= least
+    spark.catalog.clearCache()
