@@ -136,3 +136,18 @@ def test_safe_breaks_equal_a_plain_search(spark):
                 safe = all(abs(b - (r.at - start)) >= 5 for b in breaks)
                 moved = start + min([b for b in breaks if b > r.at - start], default=len(t))
         assert (r.safe, r.moved) == (safe, moved), r
+
+
+def test_change_points_are_searched_once(spark):
+    """The depth of a segment comes from its document's headings without the segments being made anew."""
+    texts = spark.createDataFrame([(1, "\n".join(f"a line of some length {i}" for i in range(9)))], "doc_id long, text string")
+    heads = spark.createDataFrame([(1, 5, True, " length ", 3), (1, 2, True, "line", 2), (1, 9, True, None, 1), (1, 0, False, "a", 1)], "doc_id long, block_no int, is_heading boolean, text string, heading_level int")
+    out = C.change_point_segments(texts, heads)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert [r.depth for r in out.where("seg_no = 0").collect()] == [2]
+
+
+def test_reference_back_without_names(spark):
+    rows = [(1, 0, "Este"), (1, 1, "O_casa (mesmo) dia"), (1, 2, "nothing, here"), (1, 3, "todavia x"), (2, 0, None), (2, 1, "tal"), (2, 2, "cujos-9"), (2, 3, "estes9")]
+    got = C.at_risk(spark.createDataFrame(rows, "doc_id long, seg_no long, text string"), "seg_no").orderBy("doc_id", "seg_no").collect()
+    assert [bool(r.at_risk) for r in got] == [False, True, False, True, False, False, True, False]
