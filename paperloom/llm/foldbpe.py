@@ -1,7 +1,8 @@
 """Byte-level BPE from a rank file, folded by Spark's higher-order functions over the distinct words of a task's texts.
 
 A word is the string of its bytes, one character a byte (ISO-8859-1). Its parts are a list of cuts; each step of the fold
-joins the leftmost pair of the least rank and looks only the two new pairs up. The rank map is a literal of the plan: an
+joins the leftmost pair of the least rank and looks only the two new pairs up; a task's Python looks up the pairs of bytes
+in which it begins, and words that are tokens. The rank map is a literal of the plan: an
 array of small maps by checksum, since a lookup in one map takes time in its size. Decoding concatenates the bytes of the ids.
 """
 
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 
 from .bpe import SPLIT, joined, latin_split, rows_of
 
-#: The rank of a pair that is no token.
-NONE = 2**31 - 1
+#: The rank of a pair that is no token; real ones are below it. What a rank and a start count for in a fold's numbers.
+NONE = 1 << 24
+RANK, START = 1 << 32, 1 << 24
 #: Longer words are merged by a heap in the task instead, since a fold takes time in the square of a word's length.
 LONGEST = 128
 
@@ -60,38 +62,54 @@ def rank_lookup(maps: Column, n: int) -> Callable[[Column], Column]:
     return rank
 
 
-def fold(word: Column, rank: Callable[[Column], Column]) -> Column:
-    """The ids (array<int>) of one word; a word that is a token is its own id, an empty or null one has none.
+def byte_ranks(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The ranks of single bytes and of pairs of bytes, each by its bytes' number."""
+    single = [ranks[bytes([b])] for b in range(256)]
+    return np.array(single), np.array([ranks.get(bytes([a, b]), NONE) for a in range(256) for b in range(256)])
 
-    The state has one number a part, the rank of its pair with the next part above the part's start, and one for the
-    word's end. The least number is then the leftmost pair of the least rank.
+
+def begin(words: list[bytes], single: np.ndarray, pairs: np.ndarray) -> pa.ListArray:
+    """The states in which the folds of words of up to LONGEST bytes begin: a part for each byte; see `fold` and `byte_ranks`."""
+    raw = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes)
+    rank = np.full(len(raw), NONE, np.int64)
+    if len(raw):
+        rank[:-1] = pairs[raw[:-1] * 256 + raw[1:]]
+        rank[ends - 1] = NONE
+    places = np.arange(len(raw)) - np.repeat(ends - sizes, sizes) + 1
+    ends_of = ends + np.arange(len(words))  # each word's parts are followed by one for its end
+    state = np.empty(len(raw) + len(words), np.int64)
+    state[ends_of] = NONE * RANK + (sizes + 1) * START
+    state[np.delete(np.arange(len(state)), ends_of)] = rank * RANK + places * START + single[raw]
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends_of + 1), pa.int32()), pa.array(state))
+
+
+def fold(word: Column, begun: Column, rank: Callable[[Column], Column]) -> Column:
+    """The ids (array<int>) of one word, folded from the state in which it begins.
+
+    A state has one number a part: the rank of its pair with the next part, above its start, above its id; and one for the
+    word's end. The least number is then the leftmost pair of the least rank, which is the id of the two joined.
     """
-    at, shift = F.element_at, 1 << 20
-    none = F.array().cast("array<int>")
-    size = F.length(word)
+    at = F.element_at
     between = lambda lo, hi: F.substring(word, lo, hi - lo)
-    start = lambda state, i: at(state, i).bitwiseAND(shift - 1).cast("int")
-    part = lambda r, lo: r.cast("long") * shift + lo
+    start = lambda state, i: F.shiftright(at(state, i), 24).bitwiseAND(255).cast("int")
+    known = lambda state, i: at(state, i).bitwiseAND(RANK - 1)
 
     def step(state: Column, _: Column) -> Column:
         def merge(i: Column) -> Column:
             after = F.when(i + 2 < F.size(state), rank(between(start(state, i), start(state, i + 3)))).otherwise(NONE)
-            joined = part(after, start(state, i))
-            before = lambda: part(rank(between(start(state, i - 1), start(state, i + 2))), start(state, i - 1))
-            first = F.array(F.array(joined), F.slice(state, 3, size))
-            later = F.array(F.slice(state, 1, i - 2), F.array(before(), joined), F.slice(state, i + 2, size))
+            whole = after.cast("long") * RANK + at(state, i).bitwiseAND(255 * START) + F.shiftright(at(state, i), 32)
+            before = lambda: rank(between(start(state, i - 1), start(state, i + 2))).cast("long") * RANK + known(state, i - 1)
+            first = F.array(F.array(whole), F.slice(state, 3, F.size(state)))
+            later = F.array(F.slice(state, 1, i - 2), F.array(before(), whole), F.slice(state, i + 2, F.size(state)))
             return F.flatten(F.when(i == 1, first).otherwise(later))
 
         least = F.array_min(state)
-        return F.when(least < NONE * shift, let(F.array_position(state, least).cast("int"), merge)).otherwise(state)
+        return F.when(least < NONE * RANK, let(F.array_position(state, least).cast("int"), merge)).otherwise(state)
 
-    pairs = F.transform(F.sequence(F.lit(1), size + 1), lambda i: part(F.when(i < size, rank(F.substring(word, i, F.lit(2)))).otherwise(NONE), i))
-    ids = lambda state: F.transform(
-        F.slice(state, 1, F.size(state) - 1), lambda x, k: rank(between(x.bitwiseAND(shift - 1).cast("int"), start(state, k + 2)))
-    )
-    folded = F.aggregate(F.sequence(F.lit(2), size), pairs, step, ids)
-    whole = lambda r: F.when(r < NONE, F.array(r)).otherwise(folded)
-    return F.when(size >= 1, F.when(size == 1, F.array(rank(word))).otherwise(let(rank(word), whole))).otherwise(none)
+    ids = lambda state: F.transform(F.slice(state, 1, F.size(state) - 1), lambda x: x.bitwiseAND(START - 1).cast("int"))
+    return F.aggregate(F.sequence(F.lit(3), F.size(begun)), begun, step, ids)
 
 
 def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -138,7 +156,8 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterato
 
 #: A task forgets the words it has numbered beyond so many of them, or so many characters.
 WORDS, CHARS = 1_000_000, 32_000_000
-BLOCK = "fresh boolean, keys array<{key}>, counts array<int>, at array<int>, words array<string>, places array<int>, far array<array<int>>"
+BLOCK = "fresh boolean, keys array<{key}>, counts array<int>, at array<int>, words array<string>, begun array<array<bigint>>, places array<int>, far array<array<int>>"
+
 
 
 class Told:
@@ -188,7 +207,7 @@ def encode(df: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "tex
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split_all, split_latin = regex.compile(SPLIT), latin_split()
-        number: dict[str, int] = {}
+        tables, number = byte_ranks(sent.value), dict[str, int]()
         chars, fresh = 0, True
         for batch in sliced(batches, "text", block):
             counts, at, before = [], [], len(number)
@@ -198,17 +217,21 @@ def encode(df: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "tex
                 counts.append(len(pieces))
                 at.append(np.fromiter((number.setdefault(p, len(number)) for p in pieces), np.int32, len(pieces)))
             words = [w.encode() for w in islice(number, before, None)]
-            far = [i for i, w in enumerate(words) if len(w) > LONGEST]  # their places are left empty
+            far = [i for i, w in enumerate(words) if len(w) > LONGEST or w in sent.value]  # their places are left empty
+            near = words.copy()
+            for i in far:
+                near[i] = b""
             cols = [
                 batch["key"],
                 pa.array(counts, pa.int32()),
                 pa.array(np.concatenate(at)),
-                pa.array([w.decode("latin-1") if len(w) <= LONGEST else "" for w in words], pa.string()),
+                pa.array([w.decode("latin-1") for w in near], pa.string()),
+                begin(near, *tables),
                 pa.array(far, pa.int32()),
                 pa.array([heap_merge(words[i], sent.value) for i in far], pa.list_(pa.int32())),
             ]
             one = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in cols]
-            names = ["fresh", "keys", "counts", "at", "words", "places", "far"]
+            names = ["fresh", "keys", "counts", "at", "words", "begun", "places", "far"]
             yield pa.RecordBatch.from_arrays([pa.array([fresh]), *one], names=names)
             chars += sum(map(len, words))
             fresh = len(number) > WORDS or chars > CHARS
@@ -238,7 +261,7 @@ def encode(df: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "tex
     maps, n = rank_maps(ranks)
     blocks = rows.mapInArrow(cut, BLOCK.format(key=kind))
     # The maps are bound once, so that the plan holds one literal however often a fold looks ranks up.
-    ids = let(maps, lambda m: F.transform("words", lambda w: fold(w, rank_lookup(m, n))))
+    ids = let(maps, lambda m: F.zip_with("words", "begun", lambda w, b: fold(w, b, rank_lookup(m, n))))
     # A task's blocks stay in their order between the two, as nothing is shuffled.
     folded = blocks.select("fresh", "keys", "counts", "at", ids.alias("ids"), "places", "far")
     return folded.mapInArrow(spread, f"`{key}` {kind}, ids array<int>, packed binary")

@@ -61,3 +61,10 @@ def test_whole_documents(spark):
         assert got[doc_id].n_tokens == len(ids)
         assert got[doc_id].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert got[doc_id].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
+
+
+def test_fold_begins_with_the_ranks_of_its_bytes():
+    words = [b"", b"ab", b"", "é日".encode(), b"z" * 128]
+    for word, state in zip(words, foldbpe.begin(words, *foldbpe.byte_ranks(RANKS)).to_pylist(), strict=True):
+        want = [(RANKS.get(word[i : i + 2], foldbpe.NONE) if i + 2 <= len(word) else foldbpe.NONE, i + 1, RANKS[word[i : i + 1]]) for i in range(len(word))]
+        assert [(x // foldbpe.RANK, x // foldbpe.START % 256, x % foldbpe.START) for x in state] == [*want, (foldbpe.NONE, len(word) + 1, 0)]
