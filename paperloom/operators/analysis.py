@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +61,55 @@ def break_positions(tree: Column, length: Column) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(length))
 
 
+def breaks_of(trees: pa.Array, lengths: np.ndarray) -> pa.ListArray:
+    """`break_positions` of many trees at once, on their bytes end to end; a null tree has no marks, a length below 0 is null."""
+    trees = trees.cast(pa.large_binary())
+    if trees.null_count:
+        trees = trees.fill_null(b"")
+    offsets = np.frombuffer(trees.buffers()[1], np.int64)[trees.offset : trees.offset + len(trees) + 1]
+    held = trees.buffers()[2]
+    text = np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]] if held and offsets[-1] > offsets[0] else np.empty(0, np.uint8)
+    offsets = offsets - offsets[0]
+    kinds = np.zeros(256, np.int8)
+    kinds[list(b"().!?")] = 1, 2, 3, 3, 3
+    at = np.flatnonzero(kinds[text])
+    kind = kinds[text[at]]
+    place, begins = at, offsets[:-1]
+    if len(text) and text.max() > 127:  # characters, not bytes
+        chars = np.append(0, np.cumsum((text & 0xC0) != 0x80))
+        place, begins = chars[at], chars[begins]
+    row = np.repeat(np.arange(len(trees)), np.diff(np.searchsorted(at, offsets)))
+    depth = np.append(0, np.cumsum((kind == 1).astype(np.int64) - (kind == 2)))
+    depth = depth[1:] - depth[np.searchsorted(at, offsets[:-1])][row]
+    closed = np.maximum.accumulate(np.where(kind == 2, place, -1)) if len(at) else at
+    run = place - np.maximum(closed, begins[row] - 1) - 1
+    ok = (kind == 3) & (depth <= 1) & (run > 5) & (run < lengths[row] - 5)
+    found = np.unique(row[ok] << 32 | run[ok])
+    counts = np.bincount(found >> 32, minlength=len(trees))
+    none = counts == 0
+    firsts = np.cumsum(counts) - counts
+    values = np.insert(found & 0xFFFFFFFF, firsts[none], lengths[none])
+    ends = np.append(0, np.cumsum(np.maximum(counts, 1))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.int32), mask=values < 0))
+
+
+def tree_breaks(tree: Column, length: Column, size: int = 4_000_000) -> Column:
+    """`break_positions` in Arrow batches, for large tables; trees of about ``size`` bytes, or one longer, are read at a time."""
+
+    @F.arrow_udf("array<int>")
+    def read(trees: pa.Array, lengths: pa.Array) -> pa.Array:
+        sizes = lengths.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(trees), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        out, lo = [], 0
+        while lo < len(trees):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, "right")))
+            out.append(breaks_of(trees.slice(lo, hi - lo), sizes[lo:hi]))
+            lo = hi
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
+
+    return read(tree, length.cast("int"))
+
+
 def nearest_break(breaks: Column, proposed: Column, length: Column) -> Column:
     """The smallest break after ``proposed``, or the text's end."""
     return F.coalesce(F.array_min(F.filter(breaks, lambda b: b > proposed)), length)

@@ -151,3 +151,31 @@ def test_reference_back_without_names(spark):
     rows = [(1, 0, "Este"), (1, 1, "O_casa (mesmo) dia"), (1, 2, "nothing, here"), (1, 3, "todavia x"), (2, 0, None), (2, 1, "tal"), (2, 2, "cujos-9"), (2, 3, "estes9")]
     got = C.at_risk(spark.createDataFrame(rows, "doc_id long, seg_no long, text string"), "seg_no").orderBy("doc_id", "seg_no").collect()
     assert [bool(r.at_risk) for r in got] == [False, True, False, True, False, False, True, False]
+
+
+def test_safe_breaks_shuffle_breaks_and_pieces_once(spark):
+    """Overlapping sentences and equal breaks too; neither texts nor a sentence's list of breaks travel."""
+    text = "One sentence here. " * 40
+    sentences = spark.createDataFrame([(1, 0, text, text), (1, 300, "x" * 100 + ". " + "y" * 50, "x" * 100 + ". " + "y" * 50), (None, 0, text, text)], "doc_id long, start int, text string, tree string")
+    asked = spark.createDataFrame([(1, 390)] * 3 + [(1, 450), (1, 0), (1, len(text)), (None, 17)], "doc_id long, at long")
+    out = C.safe_breaks(asked, sentences)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if " Exchange " in line]
+    assert len(shuffles) == 2
+    got = sorted(((r.doc_id or 0, r.at, r.safe, r.moved) for r in out.collect()))
+    breaks = [i for i, c in enumerate(text) if c == "." and i < len(text) - 5]
+    moved = lambda at, later: min([b for b in breaks if b > at] + [later])
+    near = lambda at: any(abs(b - at) < 5 for b in [*breaks, 400])
+    want = [(1, 390, not near(390), moved(390, 400))] * 3 + [(1, 450, not near(450), moved(450, 452)), (1, 0, True, 0), (1, len(text), True, len(text)), (0, 17, True, 17)]
+    assert got == sorted(want)
+
+
+def test_tree_breaks_equal_break_positions(spark):
+    from paperloom.operators import analysis as X
+
+    trees = ["", "plain", None, "(S one two. three! four (C five. six.) seven? eight nine)", "((((x. y. z. w.))))x. abcdefgh. ijklmnop", ")" * 9 + "éééééé. 🙂êêêêêêê. xyzxyz", "a sentence. " * 400, "(((" * 5]
+    rows = [(i, t, n) for i, t in enumerate(trees) for n in (len(t or ""), 30, None)]
+    df = spark.createDataFrame(rows, "i long, t string, n int").coalesce(1)
+    got = df.select(X.break_positions(F.col("t"), F.col("n")).alias("a"), X.tree_breaks(F.col("t"), F.col("n"), 50).alias("b")).collect()
+    assert len(got) == len(rows)
+    assert [r.a for r in got] == [r.b for r in got]
