@@ -1,7 +1,10 @@
 """Byte-level BPE from a rank file, folded by Spark's higher-order functions over the distinct words of a task's texts.
 
-A word is the string of its bytes, one character a byte (ISO-8859-1). Its parts are a list of cuts; each step of the fold
-joins the leftmost pair of the least rank and looks only the two new pairs up; a task's Python looks up the pairs of bytes
+A task's Python finds the tokens that stand anywhere in a word of up to SHORT bytes, by their ranks and then from the left;
+the fold goes through them once and joins those that are two parts at their turn (see `settle`), in one number a word.
+
+A longer word is the string of its bytes, one character a byte (ISO-8859-1). Its parts are a list of cuts; each step of its
+fold joins the leftmost pair of the least rank and looks only the two new pairs up; a task's Python looks up the pairs of bytes
 in which it begins, and words that are tokens. The rank map is a literal of the plan: an
 array of small maps by checksum, since a lookup in one map takes time in its size. Decoding concatenates the bytes of the ids.
 """
@@ -29,6 +32,9 @@ NONE = 1 << 24
 RANK, START = 1 << 32, 1 << 24
 #: Longer words are merged by a heap in the task instead, since a fold takes time in the square of a word's length.
 LONGEST = 128
+#: Words up to here are settled in one number: bit i stands for the cut before byte i, and bit 32 + i for the same again.
+SHORT = 30
+BOTH, FLAG = (1 << 32) + 1, 1 << 31
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -112,6 +118,89 @@ def fold(word: Column, begun: Column, rank: Callable[[Column], Column]) -> Colum
     return F.aggregate(F.sequence(F.lit(3), F.size(begun)), begun, step, ids)
 
 
+class Tokens:
+    """The tokens as a tree of their bytes: sorted steps (node * 256 + byte), the nodes they lead to, and every node's rank."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        nodes, steps = {b"": 0}, []
+        for token in ranks:
+            for i in range(1, len(token) + 1):
+                if token[:i] not in nodes:
+                    nodes[token[:i]] = len(nodes)
+                    steps.append(nodes[token[: i - 1]] * 256 + token[i - 1])
+        order = np.argsort(steps)
+        self.steps, self.kids = np.array(steps, np.int64)[order], order + 1
+        self.rank = np.fromiter((ranks.get(p, NONE) for p in nodes), np.int64, len(nodes))
+        self.one = self.child(np.zeros(256, np.int64), np.arange(256))
+        self.two = self.child(np.repeat(self.one, 256), np.tile(np.arange(256), 256))
+
+    def child(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The nodes one byte on, or -1."""
+        step = node * 256 + byte
+        at = np.minimum(np.searchsorted(self.steps, step), len(self.steps) - 1)
+        return np.where((self.steps[at] == step) & (node >= 0), self.kids[at], -1)
+
+    def found(self, raw: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+        """For words of up to SHORT bytes each, end to end: their tokens of two bytes or more by rank and from the left, as `settle` reads them."""
+        word = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(raw)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        left = sizes[word] - place
+        at, size, hits = np.flatnonzero(left > 1), 2, [(np.empty(0, np.int64),) * 3]
+        node = self.two[raw[at] * 256 + raw[at + 1]]
+        while len(at):
+            rank = self.rank[node]  # of no node: any, and left out below
+            hit = (node >= 0) & (rank < NONE)
+            hits.append((at[hit], np.full(np.count_nonzero(hit), size), rank[hit]))
+            more = (node >= 0) & (left[at] > size)
+            at, node = at[more], node[more]
+            node = self.child(node, raw[at + size])
+            size += 1
+        at, size, rank = map(np.concatenate, zip(*hits, strict=True))
+        order = np.argsort(word[at] << 29 | rank << 5 | place[at])
+        lo = place[at][order]
+        hi = lo + size[order]
+        values = ((1 << lo) | (1 << hi)) << 32 | ((1 << hi) - (2 << lo))
+        ends = np.append(0, np.cumsum(np.bincount(word[at], minlength=len(sizes))))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))
+
+    def spelled(self, raw: np.ndarray, sizes: np.ndarray, joined_cuts: np.ndarray) -> pa.ListArray:
+        """The ids of the words' parts, after `settle` has told which cuts are gone."""
+        word = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(raw)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        starts = np.flatnonzero((joined_cuts[word] >> place) & 1 == 0)
+        lengths = np.diff(np.append(starts, len(raw)))
+        node = self.one[raw[starts]]
+        for i in range(1, int(lengths.max(initial=1))):
+            more = np.flatnonzero(lengths > i)
+            node[more] = self.child(node[more], raw[starts[more] + i])
+        ends = np.append(0, np.cumsum(np.bincount(word[starts], minlength=len(sizes))))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(self.rank[node], pa.int32()))
+
+
+def settle(tokens: Column) -> Column:
+    """The cuts that are gone from a word (bits, each twice) when its ``tokens`` have been joined, by rank and from the left.
+
+    A token is its two outer cuts, 32 bits up, and the cuts inside it. It is joined at its turn if its outer cuts are left and
+    one inner cut. If more are left, it might yet come to be two parts after tokens of higher rank; only a word in which that
+    is so takes, for each join anew, the first token that is two parts.
+    """
+    whole = lambda gone, c: c.bitwiseAND(gone) < 1 << 32
+    rest = lambda gone, c: c.bitwiseXOR(c.bitwiseAND(gone))
+    pair = lambda gone, c: F.bit_count(rest(gone, c)) == 3
+    join = lambda gone, c: gone.bitwiseOR(rest(gone, c).bitwiseAND(FLAG - 1) * BOTH)
+    none = F.lit(0).cast("long")
+
+    def step(gone: Column, c: Column) -> Column:
+        return F.when(whole(gone, c), F.when(pair(gone, c), join(gone, c)).otherwise(gone.bitwiseOR(FLAG))).otherwise(gone)
+
+    def anew(gone: Column, _: Column) -> Column:
+        first = F.get(F.filter(tokens, lambda c: whole(gone, c) & pair(gone, c)), F.lit(0))
+        return let(first, lambda c: F.when(c.isNull(), gone).otherwise(join(gone, c)))
+
+    again = F.aggregate(F.sequence(F.lit(2), F.lit(SHORT)), none, anew)
+    return F.aggregate(tokens, none, step, lambda gone: F.when(gone.bitwiseAND(FLAG) == 0, gone).otherwise(again))
+
+
 def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one word by a heap of pairs; for words too long to fold."""
     if word in ranks:
@@ -156,9 +245,8 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterato
 
 #: A task forgets the words it has numbered beyond so many of them, or so many characters.
 WORDS, CHARS = 1_000_000, 32_000_000
-BLOCK = "fresh boolean, keys array<{key}>, counts array<int>, at array<int>, words array<string>, begun array<array<bigint>>, places array<int>, far array<array<int>>"
-
-
+BLOCK = "fresh boolean, raw binary, keys array<{key}>, counts array<int>, at array<int>, sizes array<int>, tokens array<array<bigint>>"
+BLOCK += ", words array<string>, begun array<array<bigint>>, places array<int>, far array<array<int>>"
 
 class Told:
     """The ids of the words a task has numbered, end to end in arrays that double when they are full."""
@@ -201,13 +289,14 @@ def encode(df: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "tex
     the rank file, whose size does not depend on the data, is sent out.
     """
     ranks = read_ranks(ranks_path)
-    sent = df.sparkSession.sparkContext.broadcast(ranks)
+    sent = df.sparkSession.sparkContext.broadcast((ranks, Tokens(ranks)))
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split_all, split_latin = regex.compile(SPLIT), latin_split()
-        tables, number = byte_ranks(sent.value), dict[str, int]()
+        ranks, held = sent.value
+        tables, number = byte_ranks(ranks), dict[str, int]()
         chars, fresh = 0, True
         for batch in sliced(batches, "text", block):
             counts, at, before = [], [], len(number)
@@ -217,33 +306,44 @@ def encode(df: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "tex
                 counts.append(len(pieces))
                 at.append(np.fromiter((number.setdefault(p, len(number)) for p in pieces), np.int32, len(pieces)))
             words = [w.encode() for w in islice(number, before, None)]
-            far = [i for i, w in enumerate(words) if len(w) > LONGEST or w in sent.value]  # their places are left empty
-            near = words.copy()
-            for i in far:
-                near[i] = b""
+            far = [i for i, w in enumerate(words) if len(w) > LONGEST or w in ranks]
+            known = set(far)
+            long = [i for i, w in enumerate(words) if len(w) > SHORT and i not in known]
+            short = words.copy()
+            for i in far + long:  # their places are left empty
+                short[i] = b""
+            raw, sizes = b"".join(short), np.fromiter(map(len, short), np.int64, len(short))
+            ends = np.append(0, np.cumsum(sizes))
+            bits = np.frombuffer(raw, np.uint8).astype(np.int64)
+            some = range(0, len(short), 20_000)
+            found = [held.found(bits[ends[i] : ends[min(i + 20_000, len(short))]], sizes[i : i + 20_000]) for i in some]
             cols = [
                 batch["key"],
                 pa.array(counts, pa.int32()),
                 pa.array(np.concatenate(at)),
-                pa.array([w.decode("latin-1") for w in near], pa.string()),
-                begin(near, *tables),
-                pa.array(far, pa.int32()),
-                pa.array([heap_merge(words[i], sent.value) for i in far], pa.list_(pa.int32())),
+                pa.array(sizes, pa.int32()),
+                pa.concat_arrays(found) if found else pa.array([], pa.list_(pa.int64())),
+                pa.array([words[i].decode("latin-1") for i in long], pa.string()),
+                begin([words[i] for i in long], *tables),
+                pa.array(long + far, pa.int32()),
+                pa.array([heap_merge(words[i], ranks) for i in far], pa.list_(pa.int32())),
             ]
             one = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in cols]
-            names = ["fresh", "keys", "counts", "at", "words", "begun", "places", "far"]
-            yield pa.RecordBatch.from_arrays([pa.array([fresh]), *one], names=names)
+            names = ["fresh", "raw", "keys", "counts", "at", "sizes", "tokens", "words", "begun", "places", "far"]
+            yield pa.RecordBatch.from_arrays([pa.array([fresh]), pa.array([raw], pa.binary()), *one], names=names)
             chars += sum(map(len, words))
             fresh = len(number) > WORDS or chars > CHARS
             if fresh:
                 number, chars = {}, 0
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told = Told()
+        told, held = Told(), sent.value[1]
         for row in (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows)):
             if row["fresh"][0].as_py():
                 told.clear()
-            told.add(row["ids"].flatten(), row["places"].flatten().to_numpy(), row["far"].flatten())
+            raw = np.frombuffer(row["raw"][0].as_py(), np.uint8).astype(np.int64)
+            near = held.spelled(raw, row["sizes"].flatten().to_numpy().astype(np.int64), row["gone"].flatten().to_numpy())
+            told.add(near, row["places"].flatten().to_numpy(), pa.concat_arrays([row["ids"].flatten(), row["far"].flatten()]))
             keys, counts, at = row["keys"].flatten(), row["counts"].flatten().to_numpy(), row["at"].flatten().to_numpy()
             ends = np.cumsum(counts)
             lo = 0
@@ -263,7 +363,8 @@ def encode(df: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "tex
     # The maps are bound once, so that the plan holds one literal however often a fold looks ranks up.
     ids = let(maps, lambda m: F.zip_with("words", "begun", lambda w, b: fold(w, b, rank_lookup(m, n))))
     # A task's blocks stay in their order between the two, as nothing is shuffled.
-    folded = blocks.select("fresh", "keys", "counts", "at", ids.alias("ids"), "places", "far")
+    gone = F.transform("tokens", settle)
+    folded = blocks.select("fresh", "raw", "keys", "counts", "at", "sizes", gone.alias("gone"), ids.alias("ids"), "places", "far")
     return folded.mapInArrow(spread, f"`{key}` {kind}, ids array<int>, packed binary")
 
 

@@ -68,3 +68,26 @@ def test_fold_begins_with_the_ranks_of_its_bytes():
     for word, state in zip(words, foldbpe.begin(words, *foldbpe.byte_ranks(RANKS)).to_pylist(), strict=True):
         want = [(RANKS.get(word[i : i + 2], foldbpe.NONE) if i + 2 <= len(word) else foldbpe.NONE, i + 1, RANKS[word[i : i + 1]]) for i in range(len(word))]
         assert [(x // foldbpe.RANK, x // foldbpe.START % 256, x % foldbpe.START) for x in state] == [*want, (foldbpe.NONE, len(word) + 1, 0)]
+
+
+def test_words_are_settled_in_one_number(spark):
+    """Ranks that are in no order of merging too: a token of low rank that comes to be two parts late."""
+    rng = np.random.default_rng(3)
+    rare = [bytes([b]) for b in range(256)] + [bytes(x) for x in {tuple(rng.choice(list(b"abc"), n)) for n in rng.integers(2, 6, 400)}]
+    for ranks in (RANKS, {t: int(r) for t, r in zip(rare, rng.permutation(len(rare)), strict=True)}):
+        words = [b"", b"a", b"abcabc" * 5, *(bytes(rng.choice(list(b"abc"), n)) for n in rng.integers(2, 31, 400)), *(w.encode()[:30] for w in HARD if w)]
+        held = foldbpe.Tokens(ranks)
+        raw, sizes = np.frombuffer(b"".join(words), np.uint8).astype(np.int64), np.array([*map(len, words)])
+        df = spark.createDataFrame([(i, x) for i, x in enumerate(held.found(raw, sizes).to_pylist())], "i long, tokens array<bigint>")
+        gone = [r.gone for r in df.orderBy("i").select(foldbpe.settle(F.col("tokens")).alias("gone")).collect()]
+        ids = held.spelled(raw, sizes, np.array(gone)).to_pylist()
+        assert ids == [merged(w, ranks) for w in words]
+
+
+def merged(word, ranks):
+    """Pair by pair, the leftmost of the least rank."""
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while pairs := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
+        i = min(pairs)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[p] for p in parts]
