@@ -6,12 +6,16 @@ No parser is bundled; a provider is any callable from file bytes to rows, run ba
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from ..functions import text as T
 
@@ -210,18 +214,61 @@ def failures(files: DataFrame, parser: Parser) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, error string")
 
 
-def span_blocks(spans: DataFrame, key: str = "path") -> DataFrame:
-    """Spans as blocks (key, page, block_no, text, n_chars, font_size, font): lines joined by newlines, blank blocks dropped; the first span's font.
+def span_runs(spans: DataFrame, line: list[str]) -> DataFrame:
+    """Spans as runs (``line``, span_no, text, ends, size, font): those that stand one after another in a batch and in a line, with the first one's size and font.
 
-    One aggregate by block, so that spans are shuffled once, and their sizes and fonts only where they are the first's.
+    ``line`` names the columns that tell a line; ``ends`` are the places in the text, in characters, where its spans end.
     """
-    order = ("line_no", "span_no", "text")
-    first = F.min_by(F.struct("size", "font"), F.struct(*order, "size", "font"))
-    block = spans.groupBy(key, "page", "block_no").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("s"), first.alias("first"))
-    new = lambda x, i: (i > 0) & ~x["line_no"].eqNullSafe(F.get("s", i - 1)["line_no"])
-    said = F.transform("s", lambda x, i: F.concat(F.when(new(x, i), "\n").otherwise(""), F.coalesce(x["text"], F.lit(""))))
-    out = block.select(key, "page", "block_no", T.strip(F.array_join(said, "")).alias("text"), F.bround(F.col("first.size"), 1).alias("font_size"), F.col("first.font").alias("font"))
-    return out.where("text <> ''").withColumn("n_chars", F.length("text"))
+    rest = [*line, "span_no", "size", "font"]
+    rows = spans.select(*line, F.col("span_no").cast("long").alias("span_no"), F.coalesce("text", F.lit("")).alias("text"), "size", "font")
+    out = StructType([*rows.schema.fields]).add("ends", ArrayType(IntegerType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            goes_on = np.ones(n - 1, dtype=bool)
+            for name in [*line, "span_no"]:
+                c = b.column(name)
+                before = pc.add(c[:-1], 1) if name == "span_no" else c[:-1]
+                goes_on &= pc.fill_null(pc.equal(c[1:], before), False).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.concatenate([[True], ~goes_on]))
+            sizes = np.diff(np.append(starts, n))
+            chars = np.cumsum(pc.utf8_length(b.column("text")).to_numpy(zero_copy_only=False), dtype=np.int64)
+            ends = chars - np.repeat(np.append(0, chars)[starts], sizes)
+            held = pa.array(np.append(starts, n), pa.int32())
+            text = pc.binary_join(pa.ListArray.from_arrays(held, b.column("text")), "")
+            first = {name: b.column(name).take(pa.array(starts)) for name in rest}
+            first |= {"text": text, "ends": pa.ListArray.from_arrays(held, pa.array(ends, pa.int32()))}
+            yield pa.RecordBatch.from_arrays([first[name] for name in out.names], names=out.names)
+
+    return rows.mapInArrow(run, out)
+
+
+def span_blocks(spans: DataFrame, key: str = "path", copy: str | None = None, strip: bool = True) -> DataFrame:
+    """Spans as blocks (key, page, block_no, text, n_chars, font_size, font): lines joined by newlines; the first span's font.
+
+    White space at a block's ends goes and blank blocks are dropped, unless ``strip`` is False. ``copy`` names a column that
+    tells apart, and orders, lines of equal number, as of a repeated document. Spans are shuffled once, in the runs in which
+    their batches hold them; where runs of a line meet each other's numbers, they are taken apart into spans again.
+    """
+    line = ["line_no", *([copy] if copy else [])]
+    place, order = [key, "page", "block_no"], [*line, "span_no", "text"]
+    head = F.expr("substring(text, 1, ends[0])")
+    first = F.min_by(F.struct("size", "font"), F.struct(*line, "span_no", head, "size", "font"))
+    block = span_runs(spans, [*place, *line]).groupBy(*place).agg(F.array_sort(F.collect_list(F.struct(*order, "ends"))).alias("s"), first.alias("first"))
+    same = lambda x, y: reduce(Column.__and__, (x[c].eqNullSafe(y[c]) for c in line))
+    before = lambda i: F.get("s", i - 1)
+    last = lambda x: x["span_no"] + F.size(x["ends"]) - 1
+    met = F.exists(F.transform("s", lambda x, i: (i > 0) & same(x, before(i)) & ~F.coalesce(x["span_no"] > last(before(i)), F.lit(False))), lambda x: x)
+    cut = lambda x, i: F.coalesce(F.get(x["ends"], i - 1), F.lit(0))
+    spans_of = lambda x: F.transform(x["ends"], lambda e, i: F.struct(*(x[c].alias(c) for c in line), (x["span_no"] + i).alias("span_no"), F.substr(x["text"], cut(x, i) + 1, e - cut(x, i)).alias("text"), F.array(e - cut(x, i)).alias("ends")))
+    block = block.withColumn("s", F.when(met, F.array_sort(F.flatten(F.transform("s", spans_of)))).otherwise(F.col("s")))
+    said = F.transform("s", lambda x, i: F.concat(F.when((i > 0) & ~same(x, before(i)), "\n").otherwise(""), x["text"]))
+    text = F.array_join(said, "")
+    out = block.select(*place, (T.strip(text) if strip else text).alias("text"), F.bround(F.col("first.size"), 1).alias("font_size"), F.col("first.font").alias("font"))
+    return (out.where("text <> ''") if strip else out).withColumn("n_chars", F.length("text"))
 
 
 def page_guard(blocks: DataFrame, key: str, max_pages: int = 500, documents: DataFrame | None = None) -> DataFrame:

@@ -1,3 +1,4 @@
+import oracle
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
@@ -87,6 +88,32 @@ def test_spans_are_shuffled_once(spark):
     assert [tuple(r) for r in out.collect()] == [("a", 0, 0, "top\none two\n\nend", 5.0, "N", 16)]
 
 
+def test_span_blocks_equals_sql_on_blank_and_repeated_documents(spark, tmp_path):
+    texts = ["", None, "a", "a\n\n\nb  c", "\n\n\n", " \n\t\n x ", "\x0b a b\x0b", "a\r\nb\r\n", "\x85é 😀 x\x85\ny", "same a b\nline two", "same a b\nline two"]
+    rows = [(None if i == 2 else min(i, 9), t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    for name in oracle.TABLES:
+        if name != "documents":
+            (tmp_path / f"{name}.parquet").symlink_to(f"{SF}/{name}.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert oracle.compare(spark, str(tmp_path), catalogue.QUERIES["span_blocks"], catalogue.ORACLES["span_blocks"]) is None
+
+
+def test_runs_that_meet_are_taken_apart(spark):
+    from paperloom.sources import extract as E
+
+    row = lambda line, n, text, copy=0, size=9.0: ("a", 0, 0, line, n, text, size, "A", copy)
+    rows = [row(0, 0, "é "), row(0, 1, "b "), row(0, 2, ""), row(0, 5, "f "), row(0, 3, "😀 "), row(0, 4, "e "), row(1, 0, "x "), row(1, 1, "y"), row(1, 1, "z"), row(1, 0, "w ", size=1.0), row(2, 3, "m", 1), row(2, 3, "n", 0), row(2, None, "k", 0)]
+    df = spark.createDataFrame(rows, "path string, page int, block_no int, line_no int, span_no int, text string, size double, font string, copy int")
+    assert E.span_runs(df.coalesce(1), ["path", "page", "block_no", "line_no"]).select("text", "ends").collect()[0] == ("é b ", [2, 4, 4])
+    for parts in (1, 8):
+        got, = E.span_blocks(df.repartition(parts) if parts > 1 else df.coalesce(1)).collect()
+        assert (got.text, got.n_chars, got.font_size) == ("é b 😀 e f \nw x yz\nkmn", 21, 9.0)
+        got, = E.span_blocks(df.repartition(parts) if parts > 1 else df.coalesce(1), copy="copy").collect()
+        assert got.text == "é b 😀 e f \nw x yz\nkn\nm"
+    blank = spark.createDataFrame([("a", 0, 1, 0, 0, " ", 5.0, "N")], E.SPANS)
+    assert E.span_blocks(blank).count() == 0 and [(r.text, r.n_chars) for r in E.span_blocks(blank, strip=False).collect()] == [(" ", 1)]
+
+
 def test_depth_reads_the_blocks_once(spark):
     plan = optimized(catalogue.QUERIES["depth_contains_join"](spark, SF))
     assert plan.count("RepartitionByExpression") == 1
