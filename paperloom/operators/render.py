@@ -129,12 +129,10 @@ def html(blocks: DataFrame) -> DataFrame:
     return out.select("doc_id", F.concat(F.lit('<article class="document">\n'), body, F.lit("\n</article>")).alias("html"))
 
 
-def outline(headings: DataFrame, cap: int = 30) -> DataFrame:
-    """(doc_id, outline): the first ``cap`` headings (doc_id, block_no, level, text) as nested marks under a title."""
-    k = F.row_number().over(B._in_doc())
+def outline(headings: DataFrame) -> DataFrame:
+    """(doc_id, outline): every heading (doc_id, block_no, level, text), by the first 80 characters of its first line, as nested marks under a title."""
     line = F.concat(F.repeat(F.lit("#"), F.least(F.col("level") + 1, F.lit(6))), F.lit(" "), F.substring(F.substring_index(T.strip(F.col("text")), "\n", 1), 1, 80))
-    rows = headings.withColumn("k", k).where(F.col("k") <= cap).withColumn("line", line)
-    return rows.groupBy("doc_id").agg(F.concat(F.lit("# Documento\n"), ordered_text("block_no", "line", "\n")).alias("outline"))
+    return headings.withColumn("line", line).groupBy("doc_id").agg(F.concat(F.lit("# Documento\n"), ordered_text("block_no", "line", "\n")).alias("outline"))
 
 
 #: Marks of argument kinds and relations.

@@ -1,6 +1,9 @@
+import oracle
+
 from paperloom.operators import blocks as B
 from paperloom.operators import render as R
-from test_blocks import planned, small_blocks
+from paperloom.plans import catalogue
+from test_blocks import SF, planned, small_blocks
 
 KINDS = "doc_id long, block_no int, page int, type string, text string, is_heading boolean, heading_level int, is_list_item boolean, list_type string, layout_type string"
 
@@ -34,3 +37,17 @@ def test_blocks_are_classified_and_hashed_once(spark):
     tables = spark.createDataFrame([(1, 0, "| x |")], "doc_id long, k int, md string")
     for render in (R.html, R.markdown):
         assert planned(spark, render(R.with_tables(B.classify(small_blocks(spark)), tables))) == (1, 0)
+
+
+def test_outline_holds_every_heading(spark, tmp_path):
+    heads = spark.createDataFrame([(1, i, i % 7, f" h{i} \nmore") for i in range(45)] + [(2, 0, None, "x" * 90)], "doc_id long, block_no int, level int, text string")
+    one, two = (r.outline for r in R.outline(heads).orderBy("doc_id").collect())
+    assert one == "\n".join(["# Documento"] + ["#" * min(i % 7 + 1, 6) + f" h{i} " for i in range(45)]) and two == "# Documento\n###### " + "x" * 80
+    for name in oracle.TABLES:
+        if name != "documents":
+            (tmp_path / f"{name}.parquet").symlink_to(f"{SF}/{name}.parquet")
+    texts = ["\n".join(f"{i}. heading {i}" if i % 3 else "word " * 40 for i in range(n)) for n in (1, 30, 31, 90)]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert oracle.compare(spark, str(tmp_path), catalogue.QUERIES["outline"], catalogue.ORACLES["outline"]) is None
+    longest = max(catalogue.QUERIES["outline"](spark, str(tmp_path)).collect(), key=lambda r: len(r.outline)).outline.split("\n")
+    assert sum(" heading " in x for x in longest) == 60
